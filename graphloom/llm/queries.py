@@ -1,9 +1,24 @@
 """The queries of this subpackage by name, and their SQL where SQL can express them."""
 
+from graphloom.llm.decontamination import OP10_SQL, op10_decontamination
+from graphloom.llm.neighbours import op5_neighbours
+from graphloom.llm.packing import op3_packing
+from graphloom.llm.pii import op2_pii
 from graphloom.llm.sharding import op9_sharding
+from graphloom.llm.token_counts import op1_token_counts
+from graphloom.llm.urls import OP7_SQL, op7_url_filter
 
 QUERIES = {
+    "op1_token_counts": op1_token_counts,
+    "op2_pii": op2_pii,
+    "op3_packing": op3_packing,
+    "op5_neighbours": op5_neighbours,
+    "op7_url_filter": op7_url_filter,
     "op9_sharding": op9_sharding,
+    "op10_decontamination": op10_decontamination,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op7_url_filter": OP7_SQL,
+    "op10_decontamination": OP10_SQL,
+}
