@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import stored
+from graphloom.llm.common import ship, stored
 
 NEAREST, QUERY_BLOCK, CANDIDATE_BLOCK, TILE = 5, 2048, 8192, 1024
 
@@ -81,6 +81,7 @@ def cell(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: n
 
 def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", k: int = NEAREST, query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK) -> DataFrame:
     """(query, rank, id, score): the k nearest rows of each row for which is_query (a condition on id_col) holds."""
+    ship(vectors.sparkSession)
     v = F.col(vector_col).cast("array<double>")
     fit = F.coalesce((F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0), F.lit(False))
     rows = vectors.select(vectors[id_col].cast("long").alias("id"), v.alias("v"), is_query.alias("q")).where(fit & F.col("id").isNotNull())

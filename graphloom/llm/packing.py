@@ -23,6 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm import tokens
+from graphloom.llm.common import ship
 
 CAPACITY, END, LINEAR, QUADRATIC = 2048, 1, 1.0, 1.0 / 2048
 #: Documents, and tokens, that a window holds at most (the last document may pass the second).
@@ -105,6 +106,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
 
     sequence numbers are unique over all tasks; the pieces of a sequence lie gapless from offset 0.
     """
+    ship(docs.sparkSession)
     path = vocabulary or tokens.default_path()
 
     def run(batches: Iterator) -> Iterator:

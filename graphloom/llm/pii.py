@@ -24,6 +24,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import ship
+
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn", "secret")
 CONTEXT, THRESHOLD = 48, 0.6
@@ -144,6 +146,7 @@ SCHEMA = "id long, n_email long, n_ip long, n_card long, n_phone long, base_sha2
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: counts of the base kinds, a digest of their spans, all spans, how many the method added, the highest score."""
+    ship(docs.sparkSession)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -163,6 +166,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with the texts redacted; all else as it was."""
+    ship(docs.sparkSession)
 
     @F.pandas_udf("string")
     def clean(texts):

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import tokens
-from graphloom.llm.common import scratch
+from graphloom.llm.common import scratch, ship
 
 KEYS = ("source", "lang", "tokenizer")
 SUMS = ("n_docs", "n_tokens", "n_bytes")
@@ -34,6 +34,7 @@ def deltas(docs: DataFrame, sign: Column | int = 1, version: str = VERSION, voca
 
     sign is a constant or a column of docs holding +1 and -1.
     """
+    ship(docs.sparkSession)
     path = vocabulary or tokens.default_path()
 
     def run(batches: Iterator) -> Iterator:

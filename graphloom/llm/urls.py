@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import text_bytes
+from graphloom.llm.common import ship, text_bytes
 
 #: The rules of the contract: verdict, host and path.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -118,6 +118,7 @@ def parts(url: Column) -> tuple[Column, Column]:
 
 def judged(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str]] = RULES, blocked: Sequence[str] = BLOCKED_GLOBS) -> DataFrame:
     """(id, host, path, rule, verdict): the longest rule that fits decides; without one, the globs do."""
+    ship(pages.sparkSession)
     globs = [g for _, rule in rules for g in (f"{rule}**", f"*.{rule}**")] + list(blocked)
     by_length = sorted(range(len(rules)), key=lambda k: (len(rules[k][1].encode()), -k))
 
