@@ -39,11 +39,12 @@ def deltas(docs: DataFrame, sign: Column | int = 1, version: str = VERSION, voca
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         tok = tokens.tokenizer(path)
         for batch in batches:
             n_tokens = [s * (len(tok.encode(t.as_py()))) for s, t in zip(batch.column(2).to_pylist(), batch.column(3), strict=True)]
-            n_bytes = [s * (t or 0) for s, t in zip(batch.column(2).to_pylist(), pa.compute.binary_length(batch.column(3)).to_pylist(), strict=True)]
+            n_bytes = [s * (t or 0) for s, t in zip(batch.column(2).to_pylist(), pc.binary_length(batch.column(3)).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(n_tokens, pa.int64()), pa.array(n_bytes, pa.int64())], ["source", "lang", *SUMS])
 
     sign = sign if isinstance(sign, Column) else F.lit(sign)
