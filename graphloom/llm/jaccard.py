@@ -39,7 +39,7 @@ from graphloom.llm.common import components, mix64, ship, stored, text_bytes
 #: A band's largest size over its smallest; how many more parts than t + 1; bytes hashed at a time.
 RATIO, SLACK, SLICE = 1.5, 0.15, 1 << 20
 #: A block of a candidate group: documents, and shingles.
-BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1_500_000
+BLOCK_DOCS, BLOCK_SHINGLES = 256, 1_500_000
 BROADCAST_ROWS = 1_000_000
 
 _U = np.uint64
