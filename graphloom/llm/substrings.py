@@ -174,15 +174,18 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
 
     found = stored(rows.mapInArrow(find, "ha long, hu long, id long, lo int, hi int, at int"), "anchors")
     many = found.groupBy("ha").agg(F.count("*").alias("c"), F.min("hu").alias("h0"), F.max("hu").alias("h1")).where("c > 1")
-    shared = stored(found.join(many.select("ha", (F.col("h0") != F.col("h1")).alias("mixed")), "ha"), "shared-anchors")
+    # stored, so that the join reads plain exchanges, which the planner can split where an anchor is hot
+    many = stored(many.select("ha", (F.col("h0") != F.col("h1")).alias("mixed")), "repeated-anchors")
+    shared = stored(found.join(many, "ha"), "shared-anchors")
     whole = shared.where("NOT mixed").select("id", F.col("lo").alias("a"), (F.col("hi") + length).alias("b"))
 
     mixed = shared.where("mixed")
     kinds = mixed.groupBy("ha", "hu").agg(F.count("*").alias("c"), F.min("id").alias("first"))
+    kinds = stored(kinds, "segment-kinds")
     mixed = stored(mixed.join(kinds, ["ha", "hu"]).select("ha", "hu", "id", "lo", "hi", "at", "c", "first"), "mixed-anchors")
     copies = mixed.where("c > 1").select("id", F.col("lo").alias("a"), (F.col("hi") + length).alias("b"))
     compared = mixed.where("c = 1 OR id = first")
-    sizes = compared.groupBy("ha").agg(F.count("*").alias("n"))
+    sizes = stored(compared.groupBy("ha").agg(F.count("*").alias("n")), "group-sizes")
     by_doc = compared.join(sizes, "ha").groupBy("id").agg(F.collect_list(F.struct("ha", "lo", "hi", "at", "n")).alias("own"))
     by_doc = stored(by_doc, "compared-anchors")
     wanted = by_doc.select(F.col("id").alias("_id"))
