@@ -45,7 +45,7 @@ SCRIPTS = (
 )
 _STARTS = [s for s, _ in SCRIPTS]
 WORD = re.compile(r"[^\W\d_]+")
-CACHE, LONG_WORD, GROUP = 300_000, 48, 512
+CACHE, GROUP = 300_000, 512
 
 
 def script(letter: str) -> str:
@@ -54,51 +54,79 @@ def script(letter: str) -> str:
 
 
 def grams(word: str) -> list[str]:
-    """The word's n-grams, its ends marked by spaces."""
+    """The word's letters, and its n-grams with its ends marked by spaces."""
     marked = f" {word} "
-    return [marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1)]
+    return [*word, *(marked[i : i + n] for n in GRAMS[1:] for i in range(len(marked) - n + 1))]
+
+
+def codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+
+
+def gram_keys(points: np.ndarray) -> list[np.ndarray]:
+    """Of code points: a key for each 1-, 2- and 3-gram by its start; the ends of the text count as spaces."""
+    after = np.concatenate([points[1:], [32]]).astype(np.uint64)
+    third = np.concatenate([points[2:], [32, 32]])[: len(points)].astype(np.uint64)
+    pair = (points << np.uint64(21)) | after | np.uint64(1 << 63)
+    return [points, pair, (points << np.uint64(42)) | (after << np.uint64(21)) | third]
 
 
 @dataclass
 class Model:
-    """Learned languages, the scripts each uses, and log-probabilities by n-gram (the last row: of any other)."""
+    """Learned languages, the scripts each uses, and log-probabilities by n-gram (keys sorted; the last row: of any other)."""
 
     languages: list[str]
     scripts: dict[str, list[bool]]
-    rows: dict[str, int]
+    keys: np.ndarray
     table: np.ndarray
     known: dict[str, int] = field(default_factory=dict)
     scores: np.ndarray | None = None
+    _next: int = 1
 
     def __getstate__(self):
-        return self.__dict__ | {"known": {}, "scores": None}
-
-    def score(self, word: str) -> np.ndarray:
-        """Log-scores by language, 0 for the best; languages that don't use the script lose CLIP."""
-        none = len(self.table) - 1
-        found = self.table[[self.rows.get(g, none) for g in grams(word)]].sum(0)
-        uses = self.scripts.get(script(word[0]))
-        if uses is None:
-            return np.zeros(len(self.languages), np.float32)
-        found = np.where(uses, found, -np.inf)
-        return np.maximum(found - found.max(), -CLIP).astype(np.float32)
-
-    def index(self, word: str) -> int:
-        """Row of scores for the word, computed when it is new; row 0 is for words without a letter."""
-        if not any(map(str.isalpha, word)):
-            return 0
-        k = len(self.known) + 1
-        if k >= len(self.scores):
+        return {k: v for k, v in self.__dict__.items() if k in ("languages", "scripts", "keys", "table")} | {"known": {}, "scores": None, "_next": 1}
+
+    def score(self, words: list[str]) -> np.ndarray:
+        """Log-scores of words by language, 0 for the best; languages that don't use a word's script lose CLIP."""
+        points = codes(f" {' '.join(words)} ")
+        space = points == 32
+        inner = np.append(space[1:], True)
+        total = np.zeros((len(points), len(self.languages)), np.float32)
+        for keys, unless in zip(gram_keys(points), (space, np.zeros(len(points), bool), inner), strict=True):
+            at = np.searchsorted(self.keys, keys)
+            at[self.keys[np.minimum(at, len(self.keys) - 1)] != keys] = len(self.table) - 1
+            found = self.table[at]
+            found[unless] = 0
+            total += found
+        starts = np.flatnonzero(space)[:-1]
+        sums = np.add.reduceat(total[:-1], starts)
+        kinds = np.array([s for _, s in SCRIPTS])[np.maximum(np.searchsorted(_STARTS, points[starts + 1], "right") - 1, 0)]
+        uses = np.array([self.scripts.get(s, [True] * len(self.languages)) for s in kinds.tolist()])
+        sums = np.where(uses, sums, -np.inf)
+        sums = np.maximum(sums - sums.max(1, keepdims=True), -CLIP)
+        sums[[s not in self.scripts for s in kinds.tolist()]] = 0
+        return sums.astype(np.float32)
+
+    def learn_words(self, words: list[str]) -> None:
+        """Gives rows of scores to words that have none; row 0 is for words without a letter."""
+        new = [w for w in dict.fromkeys(words) if w not in self.known]
+        if self.scores is None:
+            self.scores = np.zeros((4096, len(self.languages)), np.float32)
+        self.known.update((w, 0) for w in new if not any(map(str.isalpha, w)))
+        new = [w for w in new if w not in self.known]
+        at = self._next
+        while at + len(new) > len(self.scores):
             self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-        self.scores[k] = self.score(word)
-        self.known[word] = k
-        return k
+        if new:
+            self.scores[at : at + len(new)] = self.score(new)
+            self.known.update(zip(new, range(at, at + len(new)), strict=True))
+        self._next = at + len(new)
+
+    def forget(self) -> None:
+        self.known, self.scores, self._next = {}, None, 1
 
     def indices(self, words: list[str]) -> np.ndarray:
-        if self.scores is None:
-            self.scores = np.zeros((4096, len(self.languages)), np.float32)
-        get, index = self.known.get, self.index
-        return np.fromiter((get(w) or index(w) for w in words), np.int64, len(words))
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
 
 def learn(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, features: int = FEATURES) -> Model:
@@ -136,7 +164,9 @@ def learn(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col:
     table = np.log((counts + SMOOTHING) / (counts.sum(0) + SMOOTHING * len(counts))).astype(np.float32) if languages else np.zeros((1, 0), np.float32)
     total = sum(letters.values()) if letters else 1
     scripts = {s: (n >= SCRIPT_SHARE * total).tolist() for s, n in letters.items()}
-    return Model(languages, {s: u for s, u in scripts.items() if any(u)}, {r["gram"]: k for k, r in enumerate(kept)}, table)
+    keys = np.array([int(gram_keys(codes(r["gram"]))[len(r["gram"]) - 1][0]) for r in kept], np.uint64)
+    order = np.argsort(keys)
+    return Model(languages, {s: u for s, u in scripts.items() if any(u)}, keys[order], table[[*order.tolist(), len(kept)]])
 
 
 def viterbi(words: list[np.ndarray], scores: np.ndarray, switch: float = SWITCH) -> list[np.ndarray]:
@@ -186,11 +216,12 @@ def labelled(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             for begin in range(0, whole.num_rows, 4 * GROUP):
                 batch = whole.slice(begin, 4 * GROUP)
                 if len(model.known) > CACHE:
-                    model.known, model.scores = {}, None
+                    model.forget()
                 found, indices, sizes = [], [], []
-                for text in batch.column(1):
-                    text = (text.as_py() or "").lower() if model.languages else ""
-                    words = WORD.findall(text)
+                texts = [(text.as_py() or "").lower() if model.languages else "" for text in batch.column(1)]
+                cut = [WORD.findall(text) for text in texts]
+                model.learn_words([w for words in cut for w in words])
+                for text, words in zip(texts, cut, strict=True):
                     index = model.indices(words)
                     kept = index > 0
                     indices.append(index[kept])
