@@ -39,7 +39,9 @@ from graphloom.llm.common import components, mix64, ship, stored, text_bytes
 #: A band's largest size over its smallest; how many more parts than t + 1; bytes hashed at a time.
 RATIO, SLACK, SLICE = 1.5, 0.15, 1 << 20
 #: A block of a candidate group: documents, and shingles.
-BLOCK_DOCS, BLOCK_SHINGLES = 256, 1_500_000
+BLOCK_DOCS, BLOCK_SHINGLES = 512, 1_500_000
+#: Tokens that tell nothing alone: those in at least this many texts and this share of a chunk's; at most so many.
+COMMON_LEAST, COMMON_SHARE, COMMON_MOST = 5, 0.01, 100_000
 BROADCAST_ROWS = 1_000_000
 
 _U = np.uint64
@@ -146,9 +148,16 @@ def bands(p: int, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return top, most, most + 1 + np.ceil(SLACK * (most + 1)).astype(np.int64)
 
 
-def part_keys(values: np.ndarray, bounds: np.ndarray, p: int, q: int) -> tuple[np.ndarray, np.ndarray]:
-    """(set, key) of all keys of all sets."""
+def part_keys(values: np.ndarray, bounds: np.ndarray, p: int, q: int, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(set, key) of all keys of all sets.
+
+    A part that holds tokens of `common` (sorted) only would join all sets of a common passage. A set in
+    which more than t parts hold other tokens leaves such parts out: one of those parts agrees with
+    any partner, which has it too. Sets with fewer keep all parts; so the choice of common tokens changes
+    no result.
+    """
     top, most, parts = bands(p, q)
+    rare = np.ones(len(values), np.uint8) if common is None or not len(common) else (common[np.minimum(np.searchsorted(common, values), len(common) - 1)] != values).astype(np.uint8)
     n = np.diff(bounds)
     own = np.searchsorted(top, n, "left")
     sets, keys = [], []
@@ -165,8 +174,8 @@ def part_keys(values: np.ndarray, bounds: np.ndarray, p: int, q: int) -> tuple[n
             size = n[here]
             begin = np.concatenate([[0], np.cumsum(size)])
             which = np.repeat(np.arange(len(here)), size)
-            tokens = values[np.arange(begin[-1]) - np.repeat(begin[:-1] - bounds[:-1][here], size)]
-            b = band[here]
+            at = np.arange(begin[-1]) - np.repeat(begin[:-1] - bounds[:-1][here], size)
+            tokens, b = values[at], band[here]
             salt = mix64(b.astype(np.uint64) * _U(1000) + _U(dealing))[which]
             part = (mix64(tokens ^ salt) % parts[b][which].astype(np.uint64)).astype(np.int64)
             base = np.concatenate([[0], np.cumsum(parts[b])])
@@ -175,10 +184,14 @@ def part_keys(values: np.ndarray, bounds: np.ndarray, p: int, q: int) -> tuple[n
             slot = slot[order]
             heads = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
             xors = np.bitwise_xor.reduceat(mix64(tokens + _BASE)[order], heads)
+            telling = np.bitwise_or.reduceat(rare[at][order], heads) > 0
             owner = which[order][heads]
-            sets.append(here[owner])
-            keys.append(mix64(xors ^ mix64(slot[heads].astype(np.uint64) - base[:-1][owner].astype(np.uint64) + (salt[order][heads] << _U(1)))))
-            here = here[np.bincount(owner, minlength=len(here)) <= most[b]]
+            enough = np.bincount(owner[telling], minlength=len(here)) > most[b]
+            sent = telling | ~enough[owner]
+            sets.append(here[owner[sent]])
+            place = slot[heads].astype(np.uint64) - base[:-1][owner].astype(np.uint64)
+            keys.append(mix64(xors ^ mix64(place + (salt[order][heads] << _U(1))))[sent])
+            here = here[~enough & (np.bincount(owner, minlength=len(here)) <= most[b])]
         else:
             raise RuntimeError("a set filled too few parts in every dealing")
     return (np.concatenate(sets), np.concatenate(keys)) if sets else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
@@ -240,7 +253,7 @@ def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, p: int,
 
 
 def _digested(rows: DataFrame, k: int) -> DataFrame:
-    """(id, n, d1, d2) of rows (id, text)."""
+    """(id, n, d1, d2) of rows (id, text); and, without an id, tokens (d1) that many texts of a chunk have, with their number (d2)."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -249,11 +262,22 @@ def _digested(rows: DataFrame, k: int) -> DataFrame:
             for a, b, values, bounds in chunks(batch, k):
                 d = digests(values, bounds).view(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(bounds)), pa.array(d[0]), pa.array(d[1])], ["id", "n", "d1", "d2"])
+                seen, times = np.unique(values, return_counts=True)
+                often = times >= max(COMMON_LEAST, (b - a) * COMMON_SHARE)
+                if often.any():
+                    none = pa.nulls(int(often.sum()), pa.int64())
+                    yield pa.RecordBatch.from_arrays([none, none, pa.array(seen[often].view(np.int64)), pa.array(times[often])], ["id", "n", "d1", "d2"])
 
     return rows.mapInArrow(run, "id long, n long, d1 long, d2 long")
 
 
-def _candidates(rows: DataFrame, k: int, p: int, q: int) -> DataFrame:
+def _common(digested: DataFrame) -> np.ndarray:
+    """At most COMMON_MOST tokens of those that many texts have, sorted. Which ones are taken changes no result."""
+    often = digested.where("id IS NULL").groupBy("d1").agg(F.sum("d2").alias("n")).orderBy(F.desc("n"), "d1").limit(COMMON_MOST)
+    return np.sort(np.array([r["d1"] for r in often.collect()], np.int64).view(np.uint64))
+
+
+def _candidates(rows: DataFrame, k: int, p: int, q: int, common: np.ndarray | None = None) -> DataFrame:
     """(a, b): ids of rows (id, text) that connect all sets with a common key."""
 
     def emit(batches: Iterator) -> Iterator:
@@ -263,7 +287,7 @@ def _candidates(rows: DataFrame, k: int, p: int, q: int) -> DataFrame:
             ids = np.asarray(batch.column(0))
             parts = []
             for a, _, values, bounds in chunks(batch, k):
-                sets, keys = part_keys(values, bounds, p, q)
+                sets, keys = part_keys(values, bounds, p, q, common)
                 parts.append((ids[a + sets], keys))
             if not parts:
                 continue
@@ -307,6 +331,8 @@ def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     ship(docs.sparkSession)
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).where("id IS NOT NULL")
     digested = stored(_digested(rows, k), "set-digests")
+    common = _common(digested)
+    digested = digested.where("id IS NOT NULL")
     equal = digested.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("c")).where("c > 1")
     equal = stored(equal.drop("c"), "equal-sets")
     named = digested.join(equal.withColumnsRenamed({"n": "_n", "d1": "_d1", "d2": "_d2"}), (F.col("n") == F.col("_n")) & (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2")), "left")
@@ -315,7 +341,7 @@ def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     few = copies.count() <= BROADCAST_ROWS
     singles = rows.join(F.broadcast(copies) if few else copies, F.col("id") == F.col("_copy"), "left_anti")
 
-    groups = components(_candidates(singles, k, p, q), "candidate-links")
+    groups = components(_candidates(singles, k, p, q, common), "candidate-links")
     sizes = named.where("rep = id").select(F.col("id").alias("_id"), "n").groupBy("_id").agg(F.max("n").alias("n"))
     groups = stored(groups.join(sizes, F.col("id") == F.col("_id")).select("id", "component", "n"), "candidate-groups")
     blocks = groups.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("nb"))

@@ -199,8 +199,10 @@ def test_similar_sets_always_share_a_key(p):
         a, b = np.unique(a), np.unique(b)
         common = len(np.intersect1d(a, b))
         if 100 * common >= p * (len(a) + len(b) - common) and len(b) and (len(a) != len(b) or (a != b).any()):
-            sets, keys = jaccard.part_keys(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), p, 100)
-            assert set(keys[sets == 0].tolist()) & set(keys[sets == 1].tolist())
+            both = np.union1d(a, b)
+            for left_out in (None, both[rng.random(len(both)) < rng.random()], both):
+                sets, keys = jaccard.part_keys(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), p, 100, left_out)
+                assert set(keys[sets == 0].tolist()) & set(keys[sets == 1].tolist())
 
 
 def test_sketch_distance_is_a_lower_bound():
