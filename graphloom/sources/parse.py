@@ -25,7 +25,7 @@ _PHP = re.compile(r"""(?P<c>//[^\n]*|\#(?!\[)[^\n]*|/\*.*?(?:\*/|\Z))|(?P<s>"(?:
 #: Words before '(' that are no calls, by language.
 _COMMON = "if for while switch catch return function new else do in of throw case super await try"
 _WORDS = {k: frozenset(f"{_COMMON} {more}".split()) for k, more in {
-    "ts": "typeof import require delete void instanceof with yield", "go": "func go defer select range", "java": "synchronized instanceof",
+    "ts": "async typeof import require delete void instanceof with yield", "go": "func go defer select range", "java": "synchronized instanceof",
     "php": "echo print isset empty array list and or elseif foreach fn match require require_once include include_once",
 }.items()}
 
