@@ -35,7 +35,7 @@ from graphloom.llm.common import mix64, ship, stored, text_bytes
 
 LENGTH, GRAM = 200, 64
 #: Bytes hashed at a time; segments of a batch; segments of a group that are compared by columns.
-PIECE, BATCH_ROWS, GROUP_ROWS = 900_000, 16_384, 16_384
+PIECE, BATCH_ROWS, GROUP_ROWS = 900_000, 16_384, 2_048
 BROADCAST_ROWS = 1_000_000
 
 _U = np.uint64
