@@ -8,7 +8,7 @@ document). On each diagonal the item is compared with the document word by word:
 some stretch of WINDOW words (or the whole item, if shorter) SHARE of the words agree.
 
 The benchmark's hashes are broadcast while there are at most BROADCAST_ROWS of them, and joined by
-shuffle beyond; so are the hits when texts are read again for the comparison.
+shuffle beyond; so are the ids of documents with hits, when texts are read again for the comparison.
 
 Nulls: a null text, on either side, matches nothing; rows with a null id are left out. Items shorter
 than the shortest mask match nothing. Repeated rows: a (document, item) pair is returned once. Empty
@@ -72,8 +72,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     few = hits.count() <= BROADCAST_ROWS
     cut_items = items.select(F.col("id").alias("item"), words(F.col("text")).alias("b"))
     cut_docs = rows.join(F.broadcast(hits.select("id").distinct()) if few else hits.select("id").distinct(), "id", "left_semi").select("id", words(F.col("text")).alias("w"))
-    diagonals = hits.join(F.broadcast(cut_items) if small else cut_items, "item")
-    pairs = cut_docs.join(F.broadcast(diagonals) if few else diagonals, "id")
+    pairs = cut_docs.join(hits, "id").join(F.broadcast(cut_items) if small else cut_items, "item")
     equal = F.transform("b", lambda x, k: F.when(F.get("w", F.col("start") + k) == x, 1).otherwise(0))
     pairs = pairs.select("id", "item", "start", F.size("b").alias("n_words"), equal.alias("m"))
     span = F.least(F.lit(window), F.col("n_words"))
