@@ -16,11 +16,11 @@ from graphloom.streaming import watch
 # Resolution and parsing
 
 
-@query("J11_import_resolution", ", e AS (SELECT src, CASE WHEN right(src, 1) IN ('1', '2', '3') THEN 'file:nowhere-' || substr(dst, 6) ELSE 'file:' || regexp_replace(f.path, '\\.ts$', '') END AS raw, 'file:' || f.path AS full_path FROM edges JOIN files f ON dst = 'file:' || CAST(f.p_partkey AS VARCHAR) WHERE kind = 'IMPORTS' AND f.p_partkey < 200) SELECT src, CASE WHEN starts_with(raw, 'file:nowhere-') THEN raw ELSE full_path END AS dst, CAST(1 AS DOUBLE) AS confidence FROM e")
+@query("J11_import_resolution", ", e AS (SELECT src, CASE WHEN right(src, 1) IN ('1', '2', '3') THEN 'file:nowhere-' || substr(dst, 6) ELSE 'file:' || regexp_replace(f.path, '\\.ts$', '') END AS raw, 'file:' || f.path AS full_path FROM edges JOIN files f ON dst = 'file:' || CAST(f.p_partkey AS VARCHAR) WHERE kind = 'IMPORTS') SELECT src, CASE WHEN starts_with(raw, 'file:nowhere-') THEN raw ELSE full_path END AS dst, CAST(1 AS DOUBLE) AS confidence FROM e")
 def import_resolution(g: Graph) -> DataFrame:
     files = g.files.withColumn("file_id", F.concat(F.lit("file:"), F.col("p_partkey").cast("string")))
     raw = F.when(F.substring("src", -1, 1).isin("1", "2", "3"), F.concat(F.lit("file:nowhere-"), F.substring(F.col("dst"), F.lit(6), F.lit(30)))).otherwise(F.concat(F.lit("file:"), F.regexp_replace("path", r"\.ts$", "")))
-    edges = g.edges.where("kind = 'IMPORTS'").join(files.where("p_partkey < 200"), F.col("dst") == F.col("file_id")).select("src", raw.alias("dst"), "kind", "weight", "confidence")
+    edges = g.edges.where("kind = 'IMPORTS'").join(files, F.col("dst") == F.col("file_id")).select("src", raw.alias("dst"), "kind", "weight", "confidence")
     return resolve.imports(edges, resolve.file_nodes(g.files)).select("src", "dst", "confidence")
 
 
@@ -37,14 +37,14 @@ def reclassified(g: Graph) -> DataFrame:
     return resolve.with_tests(calls, g.raw_nodes).select("src", "dst", "kind")
 
 
-_SOURCES = """, fns AS (SELECT path, o_orderkey AS k, o_orderstatus = 'O' AS exported, row_number() OVER (PARTITION BY path ORDER BY o_orderkey) AS r FROM orders JOIN (SELECT l_orderkey, min(l_partkey) AS p FROM lineitem GROUP BY l_orderkey) l ON l_orderkey = o_orderkey JOIN files f ON f.p_partkey = p WHERE o_orderkey % 3 = 0)
+_SOURCES = """, fns AS (SELECT path, o_orderkey AS k, o_orderstatus = 'O' AS exported, row_number() OVER (PARTITION BY path ORDER BY o_orderkey) AS r FROM orders JOIN (SELECT l_orderkey, min(l_partkey) AS p FROM lineitem GROUP BY l_orderkey) l ON l_orderkey = o_orderkey JOIN files f ON f.p_partkey = p)
 """
 
 
 def _sources(g: Graph) -> DataFrame:
     """TypeScript files written from orders: a commented function of four lines for each."""
     first = g.table("lineitem").groupBy("l_orderkey").agg(F.min("l_partkey").alias("p"))
-    fns = g.table("orders").where("o_orderkey % 3 = 0").join(first, F.col("o_orderkey") == F.col("l_orderkey")).join(g.files, F.col("p") == F.col("p_partkey"))
+    fns = g.table("orders").join(first, F.col("o_orderkey") == F.col("l_orderkey")).join(g.files, F.col("p") == F.col("p_partkey"))
     line = F.concat(F.lit("// TODO: see "), F.col("o_orderkey").cast("string"), F.lit("\n"), F.when(F.col("o_orderstatus") == "O", "export function fn_").otherwise("function fn_"), F.col("o_orderkey").cast("string"), F.lit("(x) {\n  if (x && x.ok) { helper(x); }\n}\n"))
     return fns.groupBy("path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", line.alias("t")))), lambda s: s["t"]), "").alias("content")).withColumn("language", F.lit("typescript"))
 

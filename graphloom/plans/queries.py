@@ -391,28 +391,28 @@ def _hops(seeds: str, depth: int, step: str) -> str:
     return out
 
 
-_BOTH = "SELECT DISTINCT src AS a, dst AS t FROM edges WHERE kind <> 'IMPORTS' UNION SELECT DISTINCT dst, src FROM edges WHERE kind <> 'IMPORTS'"
-_BACK = "SELECT DISTINCT dst AS a, src AS t FROM edges WHERE kind <> 'IMPORTS'"
-_LINKED = "kind <> 'IMPORTS'"
+_BOTH = "SELECT DISTINCT src AS a, dst AS t FROM edges UNION SELECT DISTINCT dst, src FROM edges"
+_BACK = "SELECT DISTINCT dst AS a, src AS t FROM edges"
 
 
 @query("G1_neighbours", _hops("SELECT 'fn:100' AS seed, 'fn:100' AS id", 3, _BOTH) + "SELECT id, hops FROM s3 WHERE hops > 0")
 def neighbours(g: Graph) -> DataFrame:
-    return traverse.neighbours(g.raw_nodes, g.edges.where(_LINKED), "fn:100", 3).select("id", "hops")
+    return traverse.neighbours(g.raw_nodes, g.edges, "fn:100", 3).select("id", "hops")
 
 
 @query("G2_dependents", _hops("SELECT 'mod:3' AS seed, 'mod:3' AS id", 3, _BACK) + "SELECT id, hops FROM s3 WHERE hops > 0")
 def dependents(g: Graph) -> DataFrame:
-    return traverse.dependents(g.raw_nodes, g.edges.where(_LINKED), "mod:3", 3).select("id", "hops")
+    return traverse.dependents(g.raw_nodes, g.edges, "mod:3", 3).select("id", "hops")
 
 
 @query(
     "G3_blast_radius",
-    _hops("SELECT id AS seed, id FROM raw_nodes WHERE kind = 'Function'", 3, _BACK)
+    _hops("SELECT id AS seed, id FROM raw_nodes WHERE kind IN ('Module', 'Type', 'Author') OR id = 'fn:100'", 3, _BACK)
     + ", k AS (SELECT seed, n.kind, count(*) AS n FROM s3 JOIN raw_nodes n USING (id) WHERE hops > 0 GROUP BY 1, 2), t AS (SELECT seed, CAST(sum(n) AS BIGINT) AS total, string_agg(kind || '=' || n, ',' ORDER BY kind || '=' || n) AS by_kind FROM k GROUP BY seed) SELECT h0.seed, coalesce(total, 0) AS total, coalesce(by_kind, '') AS by_kind, CASE WHEN coalesce(total, 0) > 50 THEN 'CRITICAL' WHEN coalesce(total, 0) > 20 THEN 'HIGH' WHEN coalesce(total, 0) > 5 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM h0 LEFT JOIN t USING (seed)",
 )
 def blast_radius(g: Graph) -> DataFrame:
-    return traverse.blast_radius(g.raw_nodes, g.edges.where(_LINKED), g.raw_nodes.where("kind = 'Function'").select(F.col("id").alias("seed")))
+    seeds = g.raw_nodes.where(F.col("kind").isin("Module", "Type", "Author") | (F.col("id") == "fn:100"))
+    return traverse.blast_radius(g.raw_nodes, g.edges, seeds.select(F.col("id").alias("seed")))
 
 
 _CHAIN = ", calls AS (SELECT DISTINCT src, dst FROM edges WHERE kind IN ('CALLS', 'TESTS')), first AS (SELECT src FROM calls WHERE src NOT IN (SELECT dst FROM calls)), ends AS (SELECT min(src) AS a FROM first)"
@@ -427,29 +427,27 @@ def call_chain(g: Graph) -> DataFrame:
 
 @query(
     "G5_impact",
-    ", e AS (SELECT DISTINCT dst AS a, src AS t FROM edges WHERE kind <> 'IMPORTS'), c AS (SELECT id FROM raw_nodes WHERE starts_with(path, 'economy/brand2/')), "
+    ", e AS (SELECT DISTINCT dst AS a, src AS t FROM edges), c AS (SELECT id FROM raw_nodes WHERE starts_with(path, 'economy/brand2/')), "
     "r AS (WITH RECURSIVE w AS (SELECT id FROM c UNION SELECT e.t FROM w JOIN e ON e.a = w.id) SELECT id FROM w) SELECT r.id, CASE WHEN r.id IN (SELECT id FROM c) THEN 'changed' ELSE 'impacted' END AS role FROM r JOIN raw_nodes USING (id)",
 )
 def impact(g: Graph) -> DataFrame:
     changed = g.files.where(F.startswith("path", F.lit("economy/brand2/"))).select("path")
-    return traverse.impact(g.raw_nodes, g.edges.where(_LINKED), changed).select("id", "role")
+    return traverse.impact(g.raw_nodes, g.edges, changed).select("id", "role")
 
 
-@query("A31_impact_report", ", e AS (SELECT DISTINCT dst AS a, src AS t FROM edges WHERE kind <> 'IMPORTS'), f AS (SELECT path FROM files WHERE starts_with(path, 'economy/brand2/')), c AS (SELECT id FROM raw_nodes WHERE path IN (SELECT path FROM f)), r AS (WITH RECURSIVE w AS (SELECT id FROM c UNION SELECT e.t FROM w JOIN e ON e.a = w.id) SELECT id FROM w JOIN raw_nodes USING (id)) SELECT (SELECT count(*) FROM f) AS changed_files, (SELECT count(*) FROM c) AS changed_nodes, (SELECT count(*) FROM r) - (SELECT count(*) FROM c) AS impacted_nodes, (SELECT count(*) FROM r) AS total")
+@query("A31_impact_report", ", e AS (SELECT DISTINCT dst AS a, src AS t FROM edges), f AS (SELECT path FROM files WHERE starts_with(path, 'economy/brand2/')), c AS (SELECT id FROM raw_nodes WHERE path IN (SELECT path FROM f)), r AS (WITH RECURSIVE w AS (SELECT id FROM c UNION SELECT e.t FROM w JOIN e ON e.a = w.id) SELECT id FROM w JOIN raw_nodes USING (id)) SELECT (SELECT count(*) FROM f) AS changed_files, (SELECT count(*) FROM c) AS changed_nodes, (SELECT count(*) FROM r) - (SELECT count(*) FROM c) AS impacted_nodes, (SELECT count(*) FROM r) AS total")
 def impact_report(g: Graph) -> DataFrame:
-    return reports.impact_report(g.raw_nodes, g.edges.where(_LINKED), g.files.where(F.startswith("path", F.lit("economy/brand2/"))))
+    return reports.impact_report(g.raw_nodes, g.edges, g.files.where(F.startswith("path", F.lit("economy/brand2/"))))
 
 
-@query("G7_cycles", ", e AS (SELECT DISTINCT src, dst FROM edges WHERE kind = 'IMPORTS' AND src <> dst AND (hash(src) % 1 = 0) AND CAST(substr(src, 6) AS BIGINT) % 8 = CAST(substr(dst, 6) AS BIGINT) % 8), r AS (WITH RECURSIVE w AS (SELECT src AS a, dst AS b FROM e UNION SELECT w.a, e.dst FROM w JOIN e ON e.src = w.b) SELECT a, b FROM w) SELECT e.src, e.dst FROM e WHERE EXISTS (SELECT 1 FROM r WHERE r.a = e.dst AND r.b = e.src)")
+@query("G7_cycles", ", e AS (SELECT DISTINCT src, dst FROM edges WHERE kind = 'IMPORTS' AND src <> dst), r AS (WITH RECURSIVE w AS (SELECT src AS a, dst AS b FROM e UNION SELECT w.a, e.dst FROM w JOIN e ON e.src = w.b) SELECT a, b FROM w) SELECT e.src, e.dst FROM e JOIN r ON r.a = e.dst AND r.b = e.src")
 def cycles(g: Graph) -> DataFrame:
-    """Imports between files of the same module (a part's key modulo 8 here), as imports over all files make one large component."""
-    module = lambda c: F.substring(c, F.lit(6), F.lit(20)).cast("long") % 8
-    return traverse.cyclic_edges(g.edges.where(F.col("kind") == "IMPORTS").where(module(F.col("src")) == module(F.col("dst"))))
+    return traverse.cyclic_edges(g.edges.where("kind = 'IMPORTS'"))
 
 
 @query("G9_ego", _hops("SELECT 'fn:100' AS seed, 'fn:100' AS id", 1, _BOTH) + "SELECT id, hops FROM s1")
 def ego(g: Graph) -> DataFrame:
-    around = traverse.neighbours(g.raw_nodes, g.edges.where(_LINKED), "fn:100", 1).select("id", "hops")
+    around = traverse.neighbours(g.raw_nodes, g.edges, "fn:100", 1).select("id", "hops")
     return around.unionByName(lookup.get_node(g.raw_nodes, "fn:100").select("id", F.lit(0).alias("hops")))
 
 
@@ -553,7 +551,7 @@ def import_paths(g: Graph) -> DataFrame:
 # Differences and storage
 
 
-@query("J21_graph_diff", ", b AS (SELECT * FROM nodes WHERE hash(1) >= 0 AND NOT (kind = 'Function' AND line_start = 7)), a AS (SELECT * REPLACE (CASE WHEN kind = 'Class' AND line_start = 9 THEN name || '!' ELSE name END AS name) FROM nodes WHERE NOT (kind = 'Function' AND line_start = 8)) SELECT 'node' AS element, coalesce(a.id, b.id) AS id, CASE WHEN b.id IS NULL THEN 'added' WHEN a.id IS NULL THEN 'removed' ELSE 'modified' END AS change FROM b FULL JOIN a ON a.id = b.id WHERE a.id IS NULL OR b.id IS NULL OR a.name <> b.name UNION ALL SELECT 'edge', src || '|' || kind || '|' || dst, 'removed' FROM edges WHERE kind = 'DEPENDS_ON' UNION ALL SELECT 'edge', src || '|' || kind || '|' || dst, 'added' FROM edges WHERE kind = 'INHERITS'")
+@query("J21_graph_diff", ", b AS (SELECT * FROM nodes WHERE NOT (kind = 'Function' AND line_start = 7)), a AS (SELECT * REPLACE (CASE WHEN kind = 'Class' AND line_start = 9 THEN name || '!' ELSE name END AS name) FROM nodes WHERE NOT (kind = 'Function' AND line_start = 8)) SELECT 'node' AS element, coalesce(a.id, b.id) AS id, CASE WHEN b.id IS NULL THEN 'added' WHEN a.id IS NULL THEN 'removed' ELSE 'modified' END AS change FROM b FULL JOIN a ON a.id = b.id WHERE a.id IS NULL OR b.id IS NULL OR a.name <> b.name UNION ALL SELECT 'edge', src || '|' || kind || '|' || dst, 'removed' FROM edges WHERE kind = 'DEPENDS_ON' UNION ALL SELECT 'edge', src || '|' || kind || '|' || dst, 'added' FROM edges WHERE kind = 'INHERITS'")
 def graph_diff(g: Graph) -> DataFrame:
     n, e = g.raw_nodes, g.edges
     before = n.where(~((F.col("kind") == "Function") & (F.col("line_start") == 7)))
@@ -600,4 +598,4 @@ def update_by_id(g: Graph) -> DataFrame:
     "SELECT changed_nodes, hotspots, missing_tests, missing_docs, blast, CAST(0 AS BIGINT) AS todos, reviewers, CASE WHEN hotspots > 0 OR blast > 20 THEN 'HIGH' WHEN blast > 5 OR missing_tests > 0 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM ct, bl, rv",
 )
 def review(g: Graph) -> DataFrame:
-    return reports.review(g.nodes, g.edges.where((F.col("kind") != "IMPORTS")), g.files.where(F.col("p_partkey").isin(1, 2, 3)).select("path"))
+    return reports.review(g.nodes, g.edges, g.files.where(F.col("p_partkey").isin(1, 2, 3)).select("path"))
