@@ -39,9 +39,9 @@ from graphloom.llm.common import components, mix64, ship, stored, text_bytes
 #: A band's largest size over its smallest; how many more parts than t + 1; bytes hashed at a time.
 RATIO, SLACK, SLICE = 1.5, 0.15, 1 << 20
 #: A block of a candidate group: documents, and shingles.
-BLOCK_DOCS, BLOCK_SHINGLES = 512, 1_500_000
-#: Tokens that tell nothing alone: those in at least this many texts and this share of a chunk's; at most so many.
-COMMON_LEAST, COMMON_SHARE, COMMON_MOST = 5, 0.01, 100_000
+BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1_500_000
+#: Tokens that tell nothing alone: those in at least so many texts of a batch; at most so many of them.
+COMMON_LEAST, COMMON_MOST = 5, 200_000
 BROADCAST_ROWS = 1_000_000
 
 _U = np.uint64
@@ -253,20 +253,23 @@ def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, p: int,
 
 
 def _digested(rows: DataFrame, k: int) -> DataFrame:
-    """(id, n, d1, d2) of rows (id, text); and, without an id, tokens (d1) that many texts of a chunk have, with their number (d2)."""
+    """(id, n, d1, d2) of rows (id, text); and, without an id, tokens (d1) that many texts of a batch have, with their number (d2)."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
+            tokens = []
             for a, b, values, bounds in chunks(batch, k):
                 d = digests(values, bounds).view(np.int64)
+                tokens.append(values)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(bounds)), pa.array(d[0]), pa.array(d[1])], ["id", "n", "d1", "d2"])
-                seen, times = np.unique(values, return_counts=True)
-                often = times >= max(COMMON_LEAST, (b - a) * COMMON_SHARE)
-                if often.any():
-                    none = pa.nulls(int(often.sum()), pa.int64())
-                    yield pa.RecordBatch.from_arrays([none, none, pa.array(seen[often].view(np.int64)), pa.array(times[often])], ["id", "n", "d1", "d2"])
+            tokens = np.sort(np.concatenate(tokens)) if tokens else np.zeros(0, np.uint64)
+            heads = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, np.int64)
+            times = np.diff(np.append(heads, len(tokens)))
+            often = times >= COMMON_LEAST
+            none = pa.nulls(int(often.sum()), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, pa.array(tokens[heads[often]].view(np.int64)), pa.array(times[often])], ["id", "n", "d1", "d2"])
 
     return rows.mapInArrow(run, "id long, n long, d1 long, d2 long")
 
@@ -274,7 +277,7 @@ def _digested(rows: DataFrame, k: int) -> DataFrame:
 def _common(digested: DataFrame) -> np.ndarray:
     """At most COMMON_MOST tokens of those that many texts have, sorted. Which ones are taken changes no result."""
     often = digested.where("id IS NULL").groupBy("d1").agg(F.sum("d2").alias("n")).orderBy(F.desc("n"), "d1").limit(COMMON_MOST)
-    return np.sort(np.array([r["d1"] for r in often.collect()], np.int64).view(np.uint64))
+    return np.sort(often.select("d1").toPandas()["d1"].to_numpy(np.int64).view(np.uint64))
 
 
 def _candidates(rows: DataFrame, k: int, p: int, q: int, common: np.ndarray | None = None) -> DataFrame:
