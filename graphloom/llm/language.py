@@ -201,6 +201,40 @@ def viterbi(words: list[np.ndarray], scores: np.ndarray, switch: float = SWITCH)
     return out
 
 
+def judged(model: Model, texts: list[str | None]) -> list[tuple[str, float]]:
+    """Language and score of each text."""
+    out: list[tuple[str, float]] = []
+    for begin in range(0, len(texts), 4 * GROUP):
+        part = texts[begin : begin + 4 * GROUP]
+        if not model.languages:
+            out += [(UNDETERMINED, 0.0)] * len(part)
+            continue
+        if len(model.known) > CACHE:
+            model.forget()
+        cut = [WORD.findall((text or "").lower()) for text in part]
+        model.learn_words([w for words in cut for w in words])
+        indices = [model.indices(words) for words in cut]
+        sizes = [np.fromiter(map(len, words), np.int64, len(words))[index > 0] for words, index in zip(cut, indices, strict=True)]
+        for labels, size in zip(viterbi([index[index > 0] for index in indices], model.scores), sizes, strict=True):
+            letters = np.bincount(labels, size, len(model.languages))
+            top = int(letters.argmax())
+            out.append((model.languages[top], float(letters[top] / letters.sum())) if len(labels) else (UNDETERMINED, 0.0))
+    return out
+
+
+def accepted(docs: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:
+    """docs in a language that holds at least this share of the letters; judged where the rows are, without a join."""
+    ship(docs.sparkSession)
+
+    @F.pandas_udf("boolean")
+    def fits(texts):
+        import pandas as pd
+
+        return pd.Series([lang != UNDETERMINED and score >= least for lang, score in judged(model, [t if isinstance(t, str) else None for t in texts])], dtype=bool)
+
+    return docs.where(fits(docs[text_col].cast("string")))
+
+
 SCHEMA = "id long, lang_pred string, score double, n_spans long, spans array<struct<lang:string,start:int,end:int>>"
 
 

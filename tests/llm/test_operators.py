@@ -185,7 +185,11 @@ def test_language(spark, empty):
     mixed = found[1002]
     assert mixed["lang_pred"] == "bb" and 0.5 < mixed["score"] < 0.7 and [s["lang"] for s in mixed["spans"]] == ["aa", "bb"]
     assert (mixed["spans"][0]["start"], mixed["spans"][0]["end"]) == (0, 139)
+    texts = [(i, text) for i, text, *_ in rows]
+    assert dict(zip([i for i, _ in texts], language.judged(model, [text for _, text in texts]), strict=True)) == {i: (r["lang_pred"], r["score"]) for i, r in found.items()}
+    assert {r["doc_id"] for r in language.accepted(clashing(docs), model, 0.8).collect()} == {i for i, r in found.items() if r["lang_pred"] != "und" and r["score"] >= 0.8}
     nothing = language.learn(empty, F.lit(True))
+    assert language.accepted(docs, nothing, 0.0).collect() == []
     assert {r["lang_pred"] for r in language.labelled(docs, nothing).collect()} == {"und"}
     assert language.labelled(empty, model).collect() == []
 
