@@ -537,6 +537,13 @@ def near_clones(g: Graph) -> DataFrame:
     return found.select("node_a", "node_b", F.round(F.col("similarity").cast("double"), 5).alias("similarity"))
 
 
+@query("J23_near_clones_bodies")
+def near_clone_bodies(g: Graph) -> DataFrame:
+    """Among all whole documents, as J24; J23_near_clones keeps the short strings that its SQL can compare."""
+    found = clones.near_clones(_bodies(g))
+    return found.select("node_a", "node_b", F.round(F.col("similarity").cast("double"), 5).alias("similarity"))
+
+
 @query("X6_content_hashes", "SELECT doc_id, sha256(text) AS hash, substr(sha256(text), 1, 16) AS short FROM documents", graph=False)
 def content_hashes(g: Graph) -> DataFrame:
     return g.table("documents").select("doc_id", storage.content_hash(F.col("text")).alias("hash"), text.short_hash(F.col("text")).alias("short"))

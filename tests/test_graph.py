@@ -174,6 +174,23 @@ def test_clones(spark):
     assert found == {(1, 2): "exact", (1, 3): "near"}
 
 
+def test_near_clones_of_whole_documents_equal_brute_force(spark, tmp_path):
+    import __spark_entry__
+
+    rng = random.Random(4)
+    words = [f"{a}{b}" for a in ("stone", "river", "cloud", "amber", "quiet") for b in ("fall", "mark", "wise", "less", "gate", "ward")]
+    base = [" ".join(rng.choice(words) for _ in range(n)) for n in (6, 60, 600, 4000)]
+    texts = [*base, *(t + " and one more end" for t in base), base[1].replace("stone", "brick"), "abc", "", None, base[2]]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    grams = {}
+    for i, t in reversed(list(enumerate(texts))):
+        grams = {k: v for k, v in grams.items() if texts[k] != t} | {i: {t[k : k + 4] for k in range(len(t) - 3)}} if t and len(t) >= 4 else grams
+    want = {(a, b): len(x & y) / len(x | y) for a, x in grams.items() for b, y in grams.items() if a < b and len(x & y) / len(x | y) >= 0.8}
+    found = __spark_entry__.queries()["J23_near_clones_bodies"](spark, str(tmp_path)).collect()
+    assert {(r["node_a"], r["node_b"]): r["similarity"] for r in found} == {k: pytest.approx(v, abs=2e-5) for k, v in want.items()}
+    assert (2, 6) in want and len(found) == len(want)
+
+
 def test_storage(spark):
     table = spark.createDataFrame([("a", 1), ("b", 2)], "id string, v int")
     new = spark.createDataFrame([("b", 3, 1), ("b", 4, 2), ("c", 5, 1)], "id string, v int, seq int")
