@@ -112,9 +112,7 @@ def docs_status(g: Graph) -> DataFrame:
 
 @query("G8_communities")
 def communities(g: Graph) -> DataFrame:
-    """Of customers, nations and regions, whose links form a forest."""
-    kinds = ("Class", "Module", "Type")
-    return community.detect(g.raw_nodes.where(F.col("kind").isin(*kinds)), g.edges.where(F.col("kind").isin("INHERITS", "DEPENDS_ON")), sweeps=6)
+    return community.detect(g.raw_nodes, g.edges)
 
 
 @query("X12_labels")

@@ -96,6 +96,32 @@ def test_communities(spark):
     assert weights["center"] == weights["strong"]
 
 
+def test_communities_of_the_whole_graph(spark):
+    import __spark_entry__
+    from graphloom.plans.projection import Graph
+
+    g = Graph(spark, "/root/testdata/sf0.001")
+    nodes, edges = storage.stored(g.raw_nodes, "n"), storage.stored(g.edges, "e")
+    found = storage.stored(__spark_entry__.queries()["G8_communities"](spark, g.sf_dir), "found")
+    given = {r["id"]: r["community"] for r in found.collect()}
+    ids = {r["id"] for r in nodes.select("id").collect()}
+    assert len(given) == found.count() and set(given) == ids and {i.split(":")[0] for i in given} == {"file", "fn", "cls", "mod", "type", "author"}
+    firsts = {}
+    for i in sorted(given):
+        firsts.setdefault(given[i], i)
+    assert list(firsts) == list(range(1, len(firsts) + 1))
+    up = {i: i for i in ids}
+    root = lambda x: x if up[x] == x else root(up[x])
+    for r in edges.collect():
+        if r["src"] in ids and r["dst"] in ids:
+            up[root(r["src"])] = root(r["dst"])
+    whole = {i: root(i) for i in ids}
+    assert all(whole[i] == whole[firsts[c]] for i, c in given.items())  # none reaches over what no edge joins
+    few = community.detect(nodes, edges, sweeps=6)
+    quality = lambda parts: community.modularity(nodes, edges, parts).first()[0]
+    assert quality(found) > quality(few) - 1e-9 and quality(found) > 0
+
+
 def test_dead_code(spark):
     rows = [
         ("exp", "Function", "exp", "src/a.ts", True), ("idx", "Function", "idx", "src/index.ts", True), ("priv", "Function", "priv", "src/a.ts", False), ("main", "Function", "main", "src/a.ts", False),
