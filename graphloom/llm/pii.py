@@ -2,14 +2,16 @@
 
 Kinds and what proposes them:
   email, ip, card, phone   the base kinds; a match that fails its check is dropped, without a retry
-  iban                     two letters, two digits and 11 to 30 letters or digits, confirmed by mod 97
+  iban                     two letters, two digits and 11 to 30 letters or digits, the longest that ends
+                           with a word and is confirmed by mod 97
   ssn                      ddd-dd-dddd; counts only with a context word nearby
   secret                   a value after token, password, secret or api key; key ids of the form AKIA...
 Base kinds are leftmost and do not overlap within a kind. A span's score is the kind's prior, raised
 for a checksum and for a context word within CONTEXT code points; base spans stay whatever their
 score, the others need THRESHOLD.
 
-Every scan is linear in the text: no pattern is tried again inside a run it has already failed on.
+Every scan is linear in the text: no pattern is tried again inside a run it has already failed on, but
+for iban, which looks at no more than 34 letters or digits from each word.
 
 Nulls: a null text has no spans; a null id stays null. Repeated rows: each has its row. Empty table:
 no rows. Other columns are left alone.
@@ -49,8 +51,11 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_LEAST_IBAN = 15
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _SECRET = re.compile(r"(?:token|password|passwd|secret|api[_-]?key)\x20?[=:]\x20?[\"']?([A-Za-z0-9+/_-]{8,})|(?<![A-Z0-9])(AKIA[A-Z0-9]{16})(?![A-Z0-9])")
+#: One of these is in every text with a secret.
+_SECRET_STARTS = ("token", "passw", "secret", "api", "AKIA")
 
 
 def luhn(digits: str) -> bool:
@@ -94,6 +99,21 @@ def phones(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in _PHONE.finditer(text) if 9 <= sum("0" <= c <= "9" for c in m[0]) <= 15]
 
 
+def ibans(text: str) -> list[tuple[int, int]]:
+    """What follows a number in capitals or digits is proposed with it, so shorter ends are tried, and each later word as a start."""
+    out, at = [], 0
+    while m := _IBAN.search(text, at):
+        start, end = m.span()
+        while end > start and not mod97(text[start:end]):
+            end = text.rfind(" ", start, end)
+            if end < 0 or len(text[start:end].replace(" ", "")) < _LEAST_IBAN:
+                end = start
+        if end > start:
+            out.append((start, end))
+        at = max(end, start + 1)
+    return out
+
+
 def score(text: str, kind: str, start: int, end: int, confirmed: bool) -> float:
     """Between 0 and 1."""
     around = (text[max(0, start - CONTEXT) : start] + " " + text[end : end + CONTEXT]).lower()
@@ -111,12 +131,13 @@ def find(text: str | None) -> list[tuple[str, int, int, float]]:
     found["card"] = cards(text) if digit else []
     found["phone"] = phones(text) if digit and "+" in text else []
     out = [(k, a, b, score(text, k, a, b, k == "card")) for k in BASE for a, b in found[k]]
+    more = []
     if digit:
-        more = [("iban", *m.span(), score(text, "iban", *m.span(), True)) for m in _IBAN.finditer(text) if mod97(m[0])]
+        more += [("iban", a, b, score(text, "iban", a, b, True)) for a, b in ibans(text)]
         more += [("ssn", *m.span(), score(text, "ssn", *m.span(), False)) for m in _SSN.finditer(text)]
+    if any(w in text for w in _SECRET_STARTS):
         more += [("secret", *m.span(m.lastindex), score(text, "secret", *m.span(m.lastindex), m.lastindex == 2)) for m in _SECRET.finditer(text)]
-        out += [x for x in more if x[3] >= THRESHOLD]
-    return out
+    return out + [x for x in more if x[3] >= THRESHOLD]
 
 
 def joined(spans: list[tuple]) -> str:

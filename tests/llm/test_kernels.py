@@ -105,6 +105,30 @@ def test_personal_data_method_adds_spans():
     assert near > far
 
 
+def test_secrets_without_a_digit():
+    assert pii.find("password: correct-horse-battery")[0][:3] == ("secret", 10, 31)
+    assert pii.redact("my token=abcdefgh, bye") == "my token=[SECRET], bye"
+    for word in ("token", "password", "passwd", "secret", "apikey", "api_key", "api-key"):
+        assert [s[0] for s in pii.find(f"{word} = correct-horse")] == ["secret"]
+    assert [s[0] for s in pii.find("AKIA" + "Q" * 16)] == ["secret"] and pii.find("secretly said; a token of love") == []
+
+
+def test_ibans_before_and_after_other_capitals():
+    number, other = "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"
+    for text, want in (
+        (f"{number} BIC COBADEFF", [number]),
+        (f"{other} REF 2024", [other]),
+        (f"{number} {other} {number} X", [number, other, number]),
+        (f"REF AB12 3456789012345 {number}", [number]),
+        (f"{number[:-1]}1 BIC COBADEFF", []),
+        (f"{other}9", []),
+        (f"x{other}", []),
+    ):
+        assert [text[a:b] for k, a, b, _ in pii.find(text) if k == "iban"] == want, text
+    pii.find("AB12 " * 60_000)
+    pii.find("AB12CDEFGHIJKLMNOPQ" * 20_000)
+
+
 def test_personal_data_is_linear_in_long_runs():
     for text in ("1" * 300_000, "a" * 300_000 + "@", "1." * 150_000, "+1" * 150_000, "a@" * 150_000):
         pii.find(text)
