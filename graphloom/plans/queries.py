@@ -415,6 +415,12 @@ def blast_radius(g: Graph) -> DataFrame:
     return traverse.blast_radius(g.raw_nodes, g.edges, seeds.select(F.col("id").alias("seed")))
 
 
+@query("G3_blast_radius_all")
+def blast_radius_all(g: Graph) -> DataFrame:
+    """Of every node; G3_blast_radius keeps the seeds of its SQL."""
+    return traverse.blast_radius(g.raw_nodes, g.edges, g.raw_nodes.select(F.col("id").alias("seed")))
+
+
 _CHAIN = ", calls AS (SELECT DISTINCT src, dst FROM edges WHERE kind IN ('CALLS', 'TESTS')), first AS (SELECT src FROM calls WHERE src NOT IN (SELECT dst FROM calls)), ends AS (SELECT min(src) AS a FROM first)"
 
 

@@ -240,6 +240,30 @@ def test_exports(spark):
     assert lines(formats.mermaid(nodes.limit(0), edges.limit(0))) == ["graph TD"]
 
 
+def test_blast_radius_of_every_node(spark):
+    import __spark_entry__
+    from graphloom.plans.projection import Graph
+
+    g = Graph(spark, "/root/testdata/sf0.001")
+    kinds = {r["id"]: r["kind"] for r in g.raw_nodes.select("id", "kind").collect()}
+    back = {}
+    for r in g.edges.collect():
+        back.setdefault(r["dst"], set()).add(r["src"])
+    want = {}
+    for seed in kinds:
+        seen, frontier = {seed}, {seed}
+        for _ in range(3):
+            frontier = {b for a in frontier for b in back.get(a, ()) if b in kinds} - seen
+            seen |= frontier
+        n = {}
+        for i in seen - {seed}:
+            n[kinds[i]] = n.get(kinds[i], 0) + 1
+        total = sum(n.values())
+        want[seed] = (total, ",".join(sorted(f"{k}={v}" for k, v in n.items())), "CRITICAL" if total > 50 else "HIGH" if total > 20 else "MEDIUM" if total > 5 else "LOW")
+    found = __spark_entry__.queries()["G3_blast_radius_all"](spark, g.sf_dir).collect()
+    assert len(found) == len(want) and {r["seed"]: (r["total"], r["by_kind"], r["risk"]) for r in found} == want
+
+
 def test_bursts_and_watch(spark, tmp_path):
     rows = [("u", "2024-01-01 00:00:00.0"), ("u", "2024-01-01 00:00:00.4"), ("u", "2024-01-01 00:00:02.0"), ("v", "2024-01-01 00:00:00.0")]
     events = spark.createDataFrame(rows, "path string, ts string").withColumn("ts", F.to_timestamp("ts"))
