@@ -125,7 +125,7 @@ def labels(g: Graph) -> DataFrame:
 
 @query("K10_json")
 def json_rows(g: Graph) -> DataFrame:
-    return formats.json_rows(g.raw_nodes.where("kind = 'Module'"), g.edges.where("kind = 'DEPENDS_ON'"))
+    return formats.json_rows(g.nodes, g.edges)
 
 
 @query("K11_mermaid", ", inside AS (SELECT e.* FROM edges e WHERE e.src IN (SELECT id FROM nodes) AND e.dst IN (SELECT id FROM nodes)), deg AS (SELECT id, count(*) AS d FROM (SELECT src AS id FROM inside UNION ALL SELECT dst FROM inside) GROUP BY id), top AS (SELECT n.*, coalesce(d, 0) AS d FROM nodes n LEFT JOIN deg USING (id) ORDER BY coalesce(d, 0) DESC, id LIMIT 50), kept AS (SELECT * FROM inside WHERE src IN (SELECT id FROM top) AND dst IN (SELECT id FROM top) ORDER BY src, kind, dst LIMIT 50) SELECT 'graph TD' AS line UNION ALL SELECT '  ' || regexp_replace(id, '[:./\\-()\\[\\] <>|]', '_', 'g') || '[\"' || left(name, 40) || '\"]' FROM top UNION ALL SELECT '  ' || regexp_replace(src, '[:./\\-()\\[\\] <>|]', '_', 'g') || CASE kind WHEN 'IMPORTS' THEN ' -.-> ' WHEN 'CO_CHANGES' THEN ' ==> ' ELSE ' --> ' END || regexp_replace(dst, '[:./\\-()\\[\\] <>|]', '_', 'g') FROM kept UNION ALL SELECT '  %% Showing 50/' || (SELECT count(*) FROM nodes) || ' nodes (' || ((SELECT count(*) FROM edges) - (SELECT count(*) FROM kept)) || ' edges filtered)'")
@@ -139,9 +139,15 @@ def dot(g: Graph) -> DataFrame:
     return lines.where("section = 2").select(F.regexp_extract("line", r"^(.*) \[", 1).alias("arrow"))
 
 
+@query("K12_dot_lines")
+def dot_lines(g: Graph) -> DataFrame:
+    """All lines of the whole graph; K12_dot keeps the arrows that its SQL has."""
+    return formats.dot(g.nodes, g.edges)
+
+
 @query("K13_svg")
 def svg(g: Graph) -> DataFrame:
-    return formats.svg(g.raw_nodes.where(F.col("kind").isin("Module", "Type")), g.edges.where("kind = 'DEPENDS_ON'")).select("section", "k", "line")
+    return formats.svg(g.nodes, g.edges).select("section", "k", "line")
 
 
 @query("K14_graphml", "SELECT '    <edge source=\"' || src || '\" target=\"' || dst || '\"><data key=\"rel\">' || kind || '</data><data key=\"weight\">1.0</data></edge>' AS line FROM edges WHERE kind = 'DEPENDS_ON'")
@@ -149,6 +155,12 @@ def graphml(g: Graph) -> DataFrame:
     return formats.graphml(g.raw_nodes.where("kind = 'Module'"), g.edges.where("kind = 'DEPENDS_ON'")).where("section = 2").select("line")
 
 
+@query("K14_graphml_lines")
+def graphml_lines(g: Graph) -> DataFrame:
+    """All lines of the whole graph; K14_graphml keeps the edge lines that its SQL has."""
+    return formats.graphml(g.nodes, g.edges)
+
+
 # Other reports
 
 

@@ -240,6 +240,27 @@ def test_exports(spark):
     assert lines(formats.mermaid(nodes.limit(0), edges.limit(0))) == ["graph TD"]
 
 
+def test_exports_hold_the_whole_graph(spark):
+    import json
+
+    import __spark_entry__
+    from graphloom.plans.projection import Graph
+
+    g = Graph(spark, "/root/testdata/sf0.001")
+    nodes = {r["id"]: r for r in storage.stored(g.nodes, "n").collect()}
+    edges = g.edges.collect()
+    rows = {name: __spark_entry__.queries()[name](spark, g.sf_dir).collect() for name in ("K10_json", "K12_dot_lines", "K13_svg", "K14_graphml_lines")}
+    found = {part: [json.loads(r["json"]) for r in rows["K10_json"] if r["part"] == part] for part in ("nodes", "edges", "meta")}
+    assert sorted(n["id"] for n in found["nodes"]) == sorted(nodes) and all(n["churn"] == nodes[n["id"]]["churn"] for n in found["nodes"])
+    ends = lambda each: sorted((e["src"], e["kind"], e["dst"]) for e in each)
+    assert ends(found["edges"]) == ends(edges) and found["meta"] == [{"node_count": len(nodes), "edge_count": len(edges)}]
+    for name, head, foot in (("K12_dot_lines", 2, 1), ("K14_graphml_lines", 11, 2)):
+        by = {k: [r["line"] for r in rows[name] if r["section"] == k] for k in range(4)}
+        assert [len(by[k]) for k in range(4)] == [head, len(nodes), len(edges), foot]
+        assert all(any(i in line for line in by[1]) for i in ("author:1", "file:1", "fn:1", "mod:3", "type:2"))
+    assert [sum(r["section"] == k for r in rows["K13_svg"]) for k in (0, 2, 3)] == [1, 200, 1] and len(rows["K13_svg"]) <= 602
+
+
 def test_blast_radius_of_every_node(spark):
     import __spark_entry__
     from graphloom.plans.projection import Graph
