@@ -427,10 +427,18 @@ _CHAIN = ", calls AS (SELECT DISTINCT src, dst FROM edges WHERE kind IN ('CALLS'
 @query("G4_call_chain", "SELECT CAST(count(*) - 1 AS INT) AS hops, string_agg('fn:' || CAST(o_orderkey AS VARCHAR), '>' ORDER BY o_orderdate, o_orderkey) AS path FROM orders WHERE o_custkey = 10", graph=False)
 def call_chain(g: Graph) -> DataFrame:
     own = g.table("orders").where("o_custkey = 10").orderBy("o_orderdate", "o_orderkey").select("o_orderkey").collect()
-    chain = traverse.shortest_chain(g.edges.where(F.col("kind").isin("CALLS", "TESTS")), f"fn:{own[0][0]}", f"fn:{own[-1][0]}")
+    chain = traverse.shortest_chain(g.edges, f"fn:{own[0][0]}", f"fn:{own[-1][0]}")
     return chain.select("hops", F.array_join("path", ">").alias("path"))
 
 
+@query("G4_chain_over_kinds")
+def chain_over_kinds(g: Graph) -> DataFrame:
+    """From an author to the last order of customer 10, over files and functions."""
+    last = g.table("orders").where("o_custkey = 10").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).first()["o_orderkey"]
+    first = g.edges.where("kind = 'OWNS'").agg(F.min("src")).first()[0]
+    return traverse.shortest_chain(g.edges, first, f"fn:{last}").select("hops", F.array_join("path", ">").alias("path"))
+
+
 @query(
     "G5_impact",
     ", e AS (SELECT DISTINCT dst AS a, src AS t FROM edges), c AS (SELECT id FROM raw_nodes WHERE starts_with(path, 'economy/brand2/')), "

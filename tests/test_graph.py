@@ -285,6 +285,34 @@ def test_blast_radius_of_every_node(spark):
     assert len(found) == len(want) and {r["seed"]: (r["total"], r["by_kind"], r["risk"]) for r in found} == want
 
 
+def test_chain_over_kinds_equals_brute_force(spark):
+    import __spark_entry__
+    from graphloom.plans.projection import Graph
+
+    g = Graph(spark, "/root/testdata/sf0.001")
+    kinds, out = {}, {}
+    for r in g.edges.collect():
+        out.setdefault(r["src"], set()).add(r["dst"])
+        kinds.setdefault((r["src"], r["dst"]), r["kind"])
+    first = min(a for (a, _), kind in kinds.items() if kind == "OWNS")
+    parent, frontier = {first: None}, [first]
+    while frontier:
+        new = {}
+        for a in sorted(frontier):
+            for b in out.get(a, ()):
+                if b not in parent:
+                    new.setdefault(b, a)
+        parent |= new
+        frontier = list(new)
+    (row,) = __spark_entry__.queries()["G4_chain_over_kinds"](spark, g.sf_dir).collect()
+    path = row["path"].split(">")
+    want = [path[-1]]
+    while parent[want[-1]]:
+        want.append(parent[want[-1]])
+    assert path == want[::-1] and row["hops"] == len(path) - 1 and path[0] == first
+    assert {"OWNS", "EXPORTS"} <= {kinds[link] for link in zip(path, path[1:])}
+
+
 def test_bursts_and_watch(spark, tmp_path):
     rows = [("u", "2024-01-01 00:00:00.0"), ("u", "2024-01-01 00:00:00.4"), ("u", "2024-01-01 00:00:02.0"), ("v", "2024-01-01 00:00:00.0")]
     events = spark.createDataFrame(rows, "path string, ts string").withColumn("ts", F.to_timestamp("ts"))
