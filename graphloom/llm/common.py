@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir; only where that is unset, a new local one."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Only a local master may go without: it gets a new one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="graphloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -41,6 +43,10 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
+#: Paths of intermediates in the order they were made, for release().
+_MADE: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
@@ -51,9 +57,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
+    _MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def mark() -> int:
+    """The place up to which intermediates exist, to be given to release()."""
+    return len(_MADE)
+
+
+def release(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Deletes the intermediates stored since a mark, but for the last `keep`; for callers that have stored their own result."""
+    upto = len(_MADE) - keep
+    for path in _MADE[since:upto]:
+        remove(spark, path)
+    del _MADE[since:upto]
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a path of the shared folder by Hadoop's file system."""
     jvm = spark.sparkContext._jvm
@@ -91,25 +111,76 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets
 
 
+#: A key is hot if it has more rows than HUB, and more than one in HUB_SHARE of all.
+HUB, HUB_SHARE = 1000, 1_000_000
+
+
+def met(rows: DataFrame, sums: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """rows joined with sums, which has a row a key and in `count` (then dropped) how many of the `total` rows have it at most.
+
+    Rows of a hot key stay where they are and get its row by broadcast: with total rows there are at most total / HUB and HUB_SHARE
+    hot keys. The others meet by shuffle, where no key has more rows than that. Both frames are read twice, so they should be stored.
+    """
+    most = max(HUB, total // HUB_SHARE)
+    hot = sums.where(F.col(count) > most).drop(count)
+    cold = sums.where(F.col(count) <= most).drop(count)
+    near = rows.join(F.broadcast(hot), keys)
+    far = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys)
+    return near.unionByName(far)
+
+
 def components(links: DataFrame, name: str, rounds: int = 60) -> DataFrame:
-    """Connected components of links (a long, b long; any order, repeats allowed): rows (id, component), component the smallest id.
+    """Connected components of links (a, b of one orderable type; any order, repeats allowed): rows (id, component), component the smallest id.
 
     Alternating large-star and small-star steps; each is one aggregation and one join, so no node's
-    neighbours are ever gathered in a row. Stops when a round changes nothing.
+    neighbours are ever gathered in a row, nor the links of a hub in a task. Stops when a round changes
+    nothing; each round's file is deleted once the next is written.
     """
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    spark, print_of = links.sparkSession, (F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
     edges = stored(edges, name)
+    seen = edges.agg(*print_of).first()
     for _ in range(rounds):
+        since = mark()
         both = edges.union(edges.select(F.col("v"), F.col("u")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), f"{name}-low")
+        large = met(both.where("v > u"), low, ["u"], "n", 2 * seen[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = stored(large, f"{name}-large")
+        lowest = stored(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), f"{name}-lowest")
+        small = met(large, lowest, ["u"], "n", seen[0]).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         new = stored(small, name)
-        same = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() == edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now = new.agg(*print_of).first()
+        release(spark, since - 1, keep=1)  # the last round's links, and this one's sums
         edges = new
-        if same:
+        if now == seen:
             break
+        seen = now
     else:
         raise RuntimeError(f"components: no fixpoint after {rounds} rounds")
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select(F.col("v"), F.col("v")).distinct())
+
+
+def runs(batches, columns: int):
+    """Tables of the rows with equal values in the first `columns` columns; batches come sorted by these. Nothing but one such run is held."""
+    import pyarrow as pa
+
+    held: list = []
+    last = None
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        keys = [np.asarray(batch.column(c)) if pa.types.is_integer(batch.schema.field(c).type) else np.array(batch.column(c).to_pylist(), object) for c in range(columns)]
+        cut = np.zeros(n - 1, bool)
+        for k in keys:
+            cut |= k[1:] != k[:-1]
+        edges = [0, *(np.flatnonzero(cut) + 1).tolist(), n]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            key = tuple(k[a] for k in keys)
+            if key != last and held:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
