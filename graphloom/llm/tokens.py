@@ -1,14 +1,14 @@
 """Byte-level BPE ids of whole texts, with a cache of ids by pre-token.
 
 Texts are split by the vocabulary's own pre-token pattern; each distinct piece is encoded once per
-worker (up to a bound) and looked up afterwards. The ids equal those of the tokenizers library for
-byte_bpe_50k.json with add_special_tokens=False and encode_special_tokens=True: the strings of
-special tokens in a text are ordinary text.
+worker (up to a bound) and looked up afterwards. Added tokens of the vocabulary, such as an end-of-text mark,
+are cut out of a text first and give their own id. The ids equal those of the tokenizers library for
+byte_bpe_50k.json with add_special_tokens=False and its other settings as they come.
 """
 
 from __future__ import annotations
 
-import base64
+import json
 import re
 from functools import lru_cache
 
@@ -22,10 +22,17 @@ CACHE, PIECE = 400_000, 64
 
 
 def default_path() -> str:
-    """The public vocabulary as ranks."""
+    """The public vocabulary."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def _bytes_of_letters() -> dict[str, int]:
+    """Byte-level vocabularies write a byte as a letter: itself where it can be printed, else the next free code point from 256."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
 class _Ids(dict):
@@ -45,18 +52,25 @@ class _Ids(dict):
 
 
 class Tokenizer:
-    """Ids of texts under the vocabulary in a rank file."""
+    """Ids of texts under a byte-level BPE vocabulary in a tokenizers JSON file."""
 
     def __init__(self, path: str):
         import public_tokenizers
         import regex
         import tiktoken
 
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        added = spec["added_tokens"]
+        if spec["model"]["type"] != "BPE" or any(t[k] for t in added for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError(f"not a plain byte-level BPE vocabulary: {path}")
+        letters, special = _bytes_of_letters(), {t["content"]: t["id"] for t in added}
+        ranks = {bytes(letters[c] for c in token): k for token, k in spec["model"]["vocab"].items() if token not in special}
         encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.unicode = regex.compile(public_tokenizers.PATTERN)
-        self.ids = _Ids(lambda piece: encoding.encode_single_piece(piece) if hasattr(encoding, "encode_single_piece") else encoding._encode_single_piece(piece))
+        self.ids = _Ids(encoding._encode_single_piece)
+        self.special = {text: np.asarray([k], "<u4").tobytes() for text, k in special.items()}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
 
     def pieces(self, text: str) -> list[str]:
         try:
@@ -67,7 +81,11 @@ class Tokenizer:
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids as unsigned 32-bit; none for a null or empty text."""
-        return np.frombuffer(b"".join(map(self.ids.__getitem__, self.pieces(text))), "<u4") if text else np.zeros(0, "<u4")
+        if not text:
+            return np.zeros(0, "<u4")
+        parts = self.cut.split(text) if self.cut and any(t in text for t in self.special) else [text]
+        raw = b"".join(self.special.get(part) or b"".join(map(self.ids.__getitem__, self.pieces(part))) for part in parts)
+        return np.frombuffer(raw, "<u4")
 
 
 @lru_cache(maxsize=2)
