@@ -22,18 +22,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import tokens
-from graphloom.llm.common import scratch, ship
+from graphloom.llm.common import scratch, ship, stored
 
 KEYS = ("source", "lang", "tokenizer")
 SUMS = ("n_docs", "n_tokens", "n_bytes")
 VERSION = "byte_bpe_50k/1"
 
 
-def deltas(docs: DataFrame, sign: Column | int = 1, version: str = VERSION, vocabulary: str | None = None, source_col: str = "source", lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """A signed row (source, lang, tokenizer, n_docs, n_tokens, n_bytes) for each document and sign, pre-summed by each task.
-
-    sign is a constant or a column of docs holding +1 and -1.
-    """
+def counted(docs: DataFrame, version: str = VERSION, vocabulary: str | None = None, source_col: str = "source", lang_col: str = "lang", text_col: str = "text", **carried: Column) -> DataFrame:
+    """A row (source, lang, tokenizer, n_docs = 1, n_tokens, n_bytes) for each document, with the columns `carried`."""
     ship(docs.sparkSession)
     path = vocabulary or tokens.default_path()
 
@@ -43,19 +40,42 @@ def deltas(docs: DataFrame, sign: Column | int = 1, version: str = VERSION, voca
 
         tok = tokens.tokenizer(path)
         for batch in batches:
-            n_tokens = [s * (len(tok.encode(t.as_py()))) for s, t in zip(batch.column(2).to_pylist(), batch.column(3), strict=True)]
-            n_bytes = [s * (t or 0) for s, t in zip(batch.column(2).to_pylist(), pc.binary_length(batch.column(3)).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(n_tokens, pa.int64()), pa.array(n_bytes, pa.int64())], ["source", "lang", *SUMS])
+            n_tokens = [len(tok.encode(t.as_py())) for t in batch.column(0)]
+            n_bytes = pc.fill_null(pc.binary_length(batch.column(0)), 0).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(n_tokens, pa.int64()), n_bytes, *batch.columns[1:]], ["n_tokens", "n_bytes", *batch.schema.names[1:]])
+
+    kept = docs.select(docs[text_col].cast("string").alias("text"), docs[source_col].cast("string").alias("source"), docs[lang_col].cast("string").alias("lang"), *(c.alias(f"carried_{n}") for n, c in carried.items()))
+    schema = "n_tokens long, n_bytes long, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema.fields[1:])
+    return kept.mapInArrow(run, schema).select("source", "lang", F.lit(version).alias("tokenizer"), F.lit(1).cast("long").alias("n_docs"), "n_tokens", "n_bytes", *(F.col(f"carried_{n}").alias(n) for n in carried))
 
+
+def deltas(docs: DataFrame, sign: Column | int = 1, version: str = VERSION, vocabulary: str | None = None, source_col: str = "source", lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+    """A signed row (source, lang, tokenizer, n_docs, n_tokens, n_bytes) for each document and sign.
+
+    sign is a constant or a column of docs holding +1 and -1.
+    """
     sign = sign if isinstance(sign, Column) else F.lit(sign)
-    rows = docs.select(docs[source_col].cast("string").alias("source"), docs[lang_col].cast("string").alias("lang"), sign.cast("long").alias("sign"), docs[text_col].cast("string").alias("text"))
-    counted = rows.mapInArrow(run, "source string, lang string, n_docs long, n_tokens long, n_bytes long")
-    return counted.select("source", "lang", F.lit(version).alias("tokenizer"), *SUMS)
+    rows = counted(docs, version, vocabulary, source_col, lang_col, text_col, sign=sign.cast("long"))
+    return rows.select(*KEYS, *((F.col(c) * F.col("sign")).alias(c) for c in SUMS))
+
+
+def negated(rows: DataFrame) -> DataFrame:
+    """The deltas that undo these."""
+    return rows.select(*KEYS, *((-F.col(c)).alias(c) for c in SUMS))
 
 
 def revised(old: DataFrame, new: DataFrame) -> DataFrame:
     """Deltas that replace old rows by new ones; both as deltas() gives them with sign +1."""
-    return old.select(*KEYS, *((-F.col(c)).alias(c) for c in SUMS)).unionByName(new)
+    return negated(old).unionByName(new.select(*KEYS, *SUMS))
+
+
+def copies_gone(rows: DataFrame, digest: str = "digest", order: str = "id") -> DataFrame:
+    """Deltas that delete all rows of a digest but the first by order: every row's -1, and one first row's +1 a digest.
+
+    Only sums and a minimum are taken by digest, so a digest that a third of all rows have is combined before the shuffle.
+    """
+    first = rows.groupBy(digest).agg(F.min(F.struct(order, *KEYS, *SUMS)).alias("f")).select("f.*")
+    return revised(rows, first)
 
 
 class Rollup:
@@ -95,7 +115,7 @@ class Rollup:
         if batch in self._live()[1]:
             return False
         summed = rows.groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in SUMS))
-        summed.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/batch-{batch}")
+        summed.write.mode("overwrite").parquet(f"{self.path}/batch-{batch}")
         return True
 
     def compact(self) -> None:
@@ -106,7 +126,7 @@ class Rollup:
         name = f"base-{len(self._done()):08d}"
         totals = self._sum(folders)
         self.spark.createDataFrame([(n,) for n in sorted(covered)], "name string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/names-{name}")
-        totals.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/{name}.tmp/data")
+        totals.write.mode("overwrite").parquet(f"{self.path}/{name}.tmp/data")
         self._fs.rename(self._path(f"{self.path}/names-{name}"), self._path(f"{self.path}/{name}.tmp/names"))
         self._fs.create(self._path(f"{self.path}/{name}.tmp/_SUCCESS")).close()
         self._fs.rename(self._path(f"{self.path}/{name}.tmp"), self._path(f"{self.path}/{name}"))
@@ -124,9 +144,19 @@ class Rollup:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals after all documents have come in as one batch, given twice."""
+    """Totals of all documents after batches of every kind, each given twice.
+
+    The documents come in without a language; exact copies are deleted and come back; then every document's
+    count is revised to be under its language; at last all batches are folded into one base. What is left is each
+    document once.
+    """
     rollup = Rollup(spark, scratch(spark, "token-counts"))
-    rows = deltas(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    rollup.commit("load", rows)
-    rollup.commit("load", rows)  # skipped
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    known = stored(counted(docs, id=docs["doc_id"], digest=F.unhex(F.sha2(docs["text"], 256))), "document-counts")
+    unlabelled = known.withColumn("lang", F.lit(None).cast("string"))
+    copies = copies_gone(unlabelled)
+    for batch, rows in (("load", unlabelled), ("delete-copies", copies), ("restore-copies", negated(copies)), ("languages", revised(unlabelled, known))):
+        rollup.commit(batch, rows)
+        rollup.commit(batch, rows)  # skipped
+    rollup.compact()
     return rollup.totals()
