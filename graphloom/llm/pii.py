@@ -2,13 +2,13 @@
 
 Kinds and what proposes them:
   email, ip, card, phone   the base kinds; a match that fails its check is dropped, without a retry
-  iban                     two letters, two digits and 11 to 30 letters or digits, the longest that ends
-                           with a word and is confirmed by mod 97
+  iban                     a country's letters, two digits and as many letters or digits as the country's numbers
+                           have, single spaces between them; confirmed by mod 97
   ssn                      ddd-dd-dddd; counts only with a context word nearby
-  secret                   a value after token, password, secret or api key; key ids of the form AKIA...
+  secret                   a value after token, password, secret or api key, in any case; key ids of the form AKIA...
 Base kinds are leftmost and do not overlap within a kind. A span's score is the kind's prior, raised
-for a checksum and for a context word within CONTEXT code points; base spans stay whatever their
-score, the others need THRESHOLD.
+for a checksum and for a context word (a whole word, or its plural) within CONTEXT code points; base spans
+stay whatever their score, the others need THRESHOLD.
 
 Every scan is linear in the text: no pattern is tried again inside a run it has already failed on, but
 for iban, which looks at no more than 34 letters or digits from each word.
@@ -34,14 +34,26 @@ CONTEXT, THRESHOLD = 48, 0.6
 PRIOR = {"email": 0.8, "ip": 0.5, "card": 0.4, "phone": 0.5, "iban": 0.4, "ssn": 0.3, "secret": 0.6}
 CONFIRMED, NEARBY = 0.4, 0.35
 WORDS = {
-    "email": ("mail", "contact", "write"),
+    "email": ("mail", "email", "contact", "write"),
     "ip": ("ip", "address", "host", "server"),
     "card": ("card", "visa", "credit", "payment"),
-    "phone": ("phone", "tel", "call", "mobile", "fax"),
+    "phone": ("phone", "telephone", "tel", "call", "mobile", "fax"),
     "iban": ("iban", "account", "bank"),
     "ssn": ("ssn", "social security", "security number"),
-    "secret": ("token", "password", "secret", "key"),
+    "secret": ("token", "password", "passwd", "secret", "key", "apikey", "api_key", "api-key"),
 }
+_NEAR = {kind: re.compile(rf"(?<![^\W\d_])(?:{'|'.join(words)})s?(?![^\W\d_])", re.I) for kind, words in WORDS.items()}
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27, "BR": 29, "BY": 28,
+    "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DJ": 27, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18,
+    "FK": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22,
+    "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20,
+    "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MN": 20, "MR": 27, "MT": 31, "MU": 30, "NI": 28, "NL": 18,
+    "NO": 15, "OM": 23, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "RU": 33, "SA": 24, "SC": 31,
+    "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "SO": 23, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29,
+    "VA": 22, "VG": 24, "XK": 20, "YE": 30,
+}
 
 _LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -50,12 +62,12 @@ _DIGIT = re.compile("[0-9]")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
-_LEAST_IBAN = 15
+_IBAN_START = re.compile(r"(?<![A-Za-z0-9])([A-Z]{2})[0-9]{2}")
+_IBAN_REST = {n: re.compile(rf"(?:\x20?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])") for n in sorted(set(IBAN_LENGTHS.values()))}
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
-_SECRET = re.compile(r"(?:token|password|passwd|secret|api[_-]?key)\x20?[=:]\x20?[\"']?([A-Za-z0-9+/_-]{8,})|(?<![A-Z0-9])(AKIA[A-Z0-9]{16})(?![A-Z0-9])")
-#: One of these is in every text with a secret.
-_SECRET_STARTS = ("token", "passw", "secret", "api", "AKIA")
+_SECRET = re.compile(r"(?i:token|password|passwd|secret|api[_-]?key)\x20?[=:]\x20?[\"']?([A-Za-z0-9+/_-]{8,})|(?<![A-Z0-9])(AKIA[A-Z0-9]{16})(?![A-Z0-9])")
+#: One of these is in every text with a secret, in lower case.
+_SECRET_STARTS = ("token", "passw", "secret", "api", "akia")
 
 
 def luhn(digits: str) -> bool:
@@ -100,25 +112,20 @@ def phones(text: str) -> list[tuple[int, int]]:
 
 
 def ibans(text: str) -> list[tuple[int, int]]:
-    """What follows a number in capitals or digits is proposed with it, so shorter ends are tried, and each later word as a start."""
     out, at = [], 0
-    while m := _IBAN.search(text, at):
-        start, end = m.span()
-        while end > start and not mod97(text[start:end]):
-            end = text.rfind(" ", start, end)
-            if end < 0 or len(text[start:end].replace(" ", "")) < _LEAST_IBAN:
-                end = start
-        if end > start:
-            out.append((start, end))
-        at = max(end, start + 1)
+    while m := _IBAN_START.search(text, at):
+        at = m.start() + 1
+        length = IBAN_LENGTHS.get(m[1])
+        if length and (rest := _IBAN_REST[length].match(text, m.end())) and mod97(text[m.start() : rest.end()]):
+            at = rest.end()
+            out.append((m.start(), at))
     return out
 
 
 def score(text: str, kind: str, start: int, end: int, confirmed: bool) -> float:
     """Between 0 and 1."""
-    around = (text[max(0, start - CONTEXT) : start] + " " + text[end : end + CONTEXT]).lower()
-    near = any(w in around for w in WORDS[kind])
-    return min(1.0, PRIOR[kind] + CONFIRMED * confirmed + NEARBY * near)
+    near = _NEAR[kind].search(text[max(0, start - CONTEXT) : start]) or _NEAR[kind].search(text[end : end + CONTEXT])
+    return min(1.0, PRIOR[kind] + CONFIRMED * confirmed + NEARBY * bool(near))
 
 
 def find(text: str | None) -> list[tuple[str, int, int, float]]:
@@ -135,7 +142,8 @@ def find(text: str | None) -> list[tuple[str, int, int, float]]:
     if digit:
         more += [("iban", a, b, score(text, "iban", a, b, True)) for a, b in ibans(text)]
         more += [("ssn", *m.span(), score(text, "ssn", *m.span(), False)) for m in _SSN.finditer(text)]
-    if any(w in text for w in _SECRET_STARTS):
+    lower = text.lower()
+    if any(w in lower for w in _SECRET_STARTS):
         more += [("secret", *m.span(m.lastindex), score(text, "secret", *m.span(m.lastindex), m.lastindex == 2)) for m in _SECRET.finditer(text)]
     return out + [x for x in more if x[3] >= THRESHOLD]
 
