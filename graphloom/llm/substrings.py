@@ -3,23 +3,30 @@
 Every window of LENGTH bytes has an anchor: the leftmost of its GRAM-byte strings with the smallest
 hash. Equal windows have equal anchors at equal places, so only windows of equal anchors need
 comparing, aligned at them. Each anchor has a segment, the bytes of all windows that it anchors.
- 1. Anchors whose hash occurs once are done, and so are those whose whole segments are all equal.
- 2. The other segments, group by group of equal anchors, go through a column-wise construction in the
+ 1. Anchors whose hash occurs once are done. Identical segments of an anchor (by 128-bit BLAKE2b digests of
+    their bytes) collapse into one; what was there more than once repeats as a whole.
+ 2. The distinct segments, group by group of equal anchors, go through a column-wise construction in the
     manner of Bauer, Cox and Rosone: from the right, one symbol of every segment is inserted a round;
     the symbols in the order of the suffixes inserted so far are the round's column of the
     Burrows-Wheeler transform, a stable sort of it places the new suffixes, and the common prefixes of
     neighbours follow from range minima over the previous round's. Segments of a group are aligned, so
     a round's suffixes need comparing among themselves only. A window repeats where a neighbour has
     LENGTH bytes in common.
- 3. Groups of more than GROUP_ROWS segments, such as those of a passage that a third of all documents hold, would
-    not fit a task: their windows are counted by a 128-bit hash each, summed before the shuffle.
+ 3. A group of more than GROUP_ROWS segments, such as that of a passage that a third of all documents hold,
+    would not fit a task. It is split, as often as needed: the windows of a segment are halved by where they
+    start before the anchor, and each half goes with those that agree in the bytes which all its windows
+    share. Equal windows stay together; after eight halvings a half is one window, and equal ones collapse.
+    All parts end in step 2.
 
 The whole collection is not built as one transform: with one symbol a round it takes as many passes
-over everything as the longest document has bytes.
+over everything as the longest document has bytes. Segments lie in sequential files of the shared folder, sorted by
+group; a task reads them in order, and holds the columns of BATCH_ROWS segments and one group at most.
 
-Nulls: a null text is empty; rows with a null id are left out. Texts of fewer than LENGTH bytes lose
-nothing. Repeated rows: an id given twice stands for two texts that each repeat the other. Empty
-table: no rows. Other columns are not looked at.
+A text is known by a hash of 64 bits, of which a pass over all documents has made sure that different texts
+have different ones (else another seed is taken); so nulls and repeats among the ids play no part.
+
+Nulls: a null text is empty; a null id has its row. Texts of fewer than LENGTH bytes lose nothing. Repeated rows:
+each has its row, and they repeat one another. Empty table: no rows. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -31,7 +38,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import mix64, ship, stored, text_bytes
+from graphloom.llm.common import met, mix64, ship, stored, text_bytes
 
 LENGTH, GRAM = 200, 64
 #: Bytes hashed at a time; segments of a batch; segments of a group that are compared by columns.
@@ -42,7 +49,6 @@ _U = np.uint64
 _BITS = 20
 _BASE = _U(0xD1342543DE82EF95)
 _VALUE = mix64(np.arange(1001, 1257, dtype=np.uint64))
-_VALUE2 = mix64(np.arange(2001, 2257, dtype=np.uint64))
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -56,14 +62,14 @@ def _power(n: int, inverse: bool) -> np.ndarray:
     return _POWERS[name]
 
 
-def _sums(raw: np.ndarray, values: np.ndarray = _VALUE) -> np.ndarray:
+def _sums(raw: np.ndarray) -> np.ndarray:
     out = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(values[raw] * _power(len(raw) + 1, False)[: len(raw)], out=out[1:])
+    np.cumsum(_VALUE[raw] * _power(len(raw) + 1, False)[: len(raw)], out=out[1:])
     return out
 
 
 def _span_hash(sums: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Hashes of the byte spans [a, b)."""
+    """Hashes of the byte spans [a, b), which only say what may be equal."""
     return mix64((sums[b] - sums[a]) * _power(len(sums), True)[a] + (b - a).astype(np.uint64))
 
 
@@ -85,7 +91,7 @@ def pieces(offsets: np.ndarray, length: int) -> Iterator[list[tuple[int, int, in
 
 
 def anchors(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[np.ndarray, ...]]:
-    """(text, lo, hi, at, anchor hash, segment hash), byte positions within the text: windows starting at lo to hi have their anchor at `at`."""
+    """(text, lo, hi, at, anchor hash, segment digest as two words a row), byte positions within the text: windows starting at lo to hi have their anchor at `at`."""
     width = length - gram + 1
     for part in pieces(offsets, length):
         data = np.concatenate([raw[a:b] for _, a, b in part])
@@ -108,7 +114,9 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: in
         lo, hi, at, own = starts[cut], starts[np.concatenate([cut[1:], [len(starts)]]) - 1], at[cut], own[cut]
         text = np.array([d for d, _, _ in part])[own]
         shift = np.array([a for _, a, _ in part])[own] - begins[:-1][own] - offsets[:-1][text]
-        yield text, lo + shift, hi + shift, at + shift, hashes[at], _span_hash(sums, lo, hi + length)
+        held = data.tobytes()
+        digests = b"".join(hashlib.blake2b(held[a:b], digest_size=16).digest() for a, b in zip(lo.tolist(), (hi + length).tolist(), strict=True))
+        yield text, lo + shift, hi + shift, at + shift, hashes[at], np.frombuffer(digests, np.int64).reshape(-1, 2)
 
 
 def repeated(group: np.ndarray, segments: list[bytes], lo: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
@@ -160,75 +168,40 @@ def _arrow_rows(names: list[str], *columns):
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(np.ascontiguousarray(c)) for c in columns], names)
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """(id, a, b): byte spans whose bytes are covered by repeated strings; they may overlap."""
-    ship(docs.sparkSession)
-    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+def texts_of(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(id, text, doc) of all rows, and (doc, id, c) of all distinct texts: the smallest id, and how many rows."""
+    for seed in range(8):
+        text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+        rows = docs.select(docs[id_col].cast("long").alias("id"), text.alias("text"), F.xxhash64(text, F.lit(seed)).alias("doc"))
+        sha = rows.select("doc", "id", F.unhex(F.sha2("text", 256)).alias("sha"))
+        known = stored(sha.groupBy("doc").agg(F.min("id").alias("id"), F.count("*").alias("c"), (F.min("sha") != F.max("sha")).alias("clash")), "texts")
+        if known.where("clash").isEmpty():
+            return rows, known.drop("clash")
+    raise RuntimeError("different texts had equal hashes under every seed")
 
-    def find(batches: Iterator) -> Iterator:
-        for batch in batches:
-            ids = np.asarray(batch.column(0))
-            raw, offsets = text_bytes(batch.column(1))
-            for text, lo, hi, at, ha, hu in anchors(raw, offsets, length, gram):
-                yield _arrow_rows(["ha", "hu", "id", "lo", "hi", "at"], ha.view(np.int64), hu.view(np.int64), ids[text], *(x.astype(np.int32) for x in (lo, hi, at)))
-
-    found = stored(rows.mapInArrow(find, "ha long, hu long, id long, lo int, hi int, at int"), "anchors")
-    many = found.groupBy("ha").agg(F.count("*").alias("c"), F.min("hu").alias("h0"), F.max("hu").alias("h1")).where("c > 1")
-    # stored, so that the join reads plain exchanges, which the planner can split where an anchor is hot
-    many = stored(many.select("ha", (F.col("h0") != F.col("h1")).alias("mixed")), "repeated-anchors")
-    shared = stored(found.join(many, "ha"), "shared-anchors")
-    whole = shared.where("NOT mixed").select("id", F.col("lo").alias("a"), (F.col("hi") + length).alias("b"))
-
-    mixed = shared.where("mixed")
-    kinds = mixed.groupBy("ha", "hu").agg(F.count("*").alias("c"), F.min("id").alias("first"))
-    kinds = stored(kinds, "segment-kinds")
-    mixed = stored(mixed.join(kinds, ["ha", "hu"]).select("ha", "hu", "id", "lo", "hi", "at", "c", "first"), "mixed-anchors")
-    copies = mixed.where("c > 1").select("id", F.col("lo").alias("a"), (F.col("hi") + length).alias("b"))
-    compared = mixed.where("c = 1 OR id = first")
-    sizes = stored(compared.groupBy("ha").agg(F.count("*").alias("n")), "group-sizes")
-    by_doc = compared.join(sizes, "ha").groupBy("id").agg(F.collect_list(F.struct("ha", "lo", "hi", "at", "n")).alias("own"))
-    by_doc = stored(by_doc, "compared-anchors")
-    wanted = by_doc.select(F.col("id").alias("_id"))
-    few = wanted.count() <= BROADCAST_ROWS
-    texts = rows.join(F.broadcast(wanted), F.col("id") == F.col("_id"), "left_semi") if few else rows
-    with_own = texts.join(by_doc.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id")).select("id", "text", "own")
-
-    def cut(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            out = []
-            for key, text, own in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                data = text.as_py().encode()
-                out += [(x["ha"], x["n"], key, x["lo"], x["at"], data[x["lo"] : x["hi"] + length]) for x in own if x["hi"] + length <= len(data)]
-                if len(out) > 20_000:
-                    yield _arrow_rows(["ha", "n", "id", "lo", "at", "seg"], *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), SEGMENT, strict=True)))
-                    out = []
-            if out:
-                yield _arrow_rows(["ha", "n", "id", "lo", "at", "seg"], *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), SEGMENT, strict=True)))
 
-    import pyarrow as pa
+def _columnwise(segments: DataFrame, keys: list[str], length: int, gram: int) -> DataFrame:
+    """(doc, a, b) of the windows that repeat within a group of segments (keys, doc, lo, at, seg)."""
 
-    SEGMENT = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-    segments = stored(with_own.mapInArrow(cut, "ha long, n long, id long, lo int, at int, seg binary"), "segments")
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-    def columnwise(batches: Iterator) -> Iterator:
         held: list = []
         count = 0
 
         def done(upto) -> Iterator:
             table = pa.Table.from_batches(held).slice(0, upto).combine_chunks()
             at = np.asarray(table["at"].combine_chunks()).astype(np.int64)
-            flags = repeated(np.asarray(table["ha"].combine_chunks()), table["seg"].to_pylist(), np.asarray(table["lo"].combine_chunks()).astype(np.int64), at, length, gram)
+            flags = repeated(np.asarray(table["g"].combine_chunks()), table["seg"].to_pylist(), np.asarray(table["lo"].combine_chunks()).astype(np.int64), at, length, gram)
             row, a, b = _union(flags, at, length)
-            yield _arrow_rows(["id", "a", "b"], np.asarray(table["id"].combine_chunks())[row], a.astype(np.int32), b.astype(np.int32))
+            yield _arrow_rows(["doc", "a", "b"], np.asarray(table["doc"].combine_chunks())[row], a.astype(np.int32), b.astype(np.int32))
 
         for batch in batches:
             held.append(batch)
             count += batch.num_rows
             if count >= BATCH_ROWS:
-                ha = np.concatenate([np.asarray(b.column(0)) for b in held])
-                edge = int(np.flatnonzero(ha != ha[-1])[-1]) + 1 if ha[0] != ha[-1] else 0
+                g = np.concatenate([np.asarray(b.column(0)) for b in held])
+                edge = int(np.flatnonzero(g != g[-1])[-1]) + 1 if g[0] != g[-1] else 0
                 if edge:
                     yield from done(edge)
                     held = pa.Table.from_batches(held).slice(edge).combine_chunks().to_batches()
@@ -236,43 +209,118 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
         if count:
             yield from done(count)
 
-    small = segments.where(F.col("n") <= group_rows).select("ha", "id", "lo", "at", "seg")
-    by_columns = small.repartition("ha").sortWithinPartitions("ha").mapInArrow(columnwise, "id long, a int, b int")
+    one = segments.select(F.col(keys[0]).alias("g") if len(keys) == 1 else F.xxhash64(*keys).alias("g"), "doc", "lo", "at", "seg")
+    return one.repartition("g").sortWithinPartitions("g").mapInArrow(run, "doc long, a int, b int")
+
+
+def _halved(large: DataFrame, length: int, gram: int) -> DataFrame:
+    """(g, d1, d2, r0, r1, doc, lo, at, seg): the segments (g, r0, r1, doc, lo, at, seg) of windows that start r0 to r1 bytes before the anchor, in halves by that.
+
+    g names the group of a half: the group before, the half, and the bytes that all its windows share; d1 and d2 digest its own bytes.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        names = ["g", "r0", "r1", "doc", "lo", "at", "seg"]
+        kinds = [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.int64()] + [pa.int32()] * 2 + [pa.binary()]
+        for batch in batches:
+            out = []
+            for g, r0, r1, doc, lo, at, seg in zip(*(batch.column(n).to_pylist() for n in names), strict=True):
+                hi, middle = lo + len(seg) - length, (r0 + r1) // 2
+                for first, last in ((r0, middle), (middle + 1, r1)):
+                    a, b = max(lo, at - last), min(hi, at - first)
+                    if first <= last and a <= b:
+                        part = seg[a - lo : b - lo + length]
+                        shared = part[at - first - a : at - last - a + length]
+                        group = hashlib.blake2b(g.to_bytes(8, "little", signed=True) + first.to_bytes(4, "little") + shared, digest_size=8).digest()
+                        own = hashlib.blake2b((at - a).to_bytes(4, "little") + part, digest_size=16).digest()
+                        out.append((*np.frombuffer(group + own, np.int64).tolist(), first, last, doc, a, at, part))
+            yield _arrow_rows(["g", "d1", "d2", "r0", "r1", "doc", "lo", "at", "seg"], *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True))) if out else _arrow_rows(["g", "d1", "d2", "r0", "r1", "doc", "lo", "at", "seg"], *(pa.array([], t) for t in kinds))
+
+    return large.mapInArrow(run, "g long, d1 long, d2 long, r0 int, r1 int, doc long, lo int, at int, seg binary")
+
+
+def _compared(segments: DataFrame, length: int, gram: int, group_rows: int) -> DataFrame:
+    """(doc, a, b) of the windows that repeat among the distinct segments (ha, n, doc, lo, at, seg), n of which have the anchor ha."""
+    found = _columnwise(segments.where(F.col("n") <= group_rows), ["ha"], length, gram)
+    large = segments.where(F.col("n") > group_rows).select(F.col("ha").alias("g"), F.lit(0).alias("r0"), F.lit(length - gram).alias("r1"), "doc", "lo", "at", "seg")
+    while (total := large.count()) > 0:
+        halves = stored(_halved(large, length, gram), "halves")
+        kinds = halves.groupBy("g", "d1", "d2").agg(F.count("*").alias("c"), F.min(F.struct("doc", "lo", "at", "r0", "r1")).alias("f"), F.first("seg").alias("seg"))
+        kinds = stored(kinds.select("g", "d1", "d2", "c", "f.*", "seg"), "half-kinds")
+        copies = met(halves.select("g", "d1", "d2", "doc", "lo", F.octet_length("seg").alias("size")), kinds.where("c > 1").select("g", "d1", "d2", "c"), ["g", "d1", "d2"], "c", 2 * total)
+        sizes = stored(kinds.groupBy("g").agg(F.count("*").alias("n")), "half-sizes")
+        sized = stored(met(kinds, sizes.withColumn("times", F.col("n")), ["g"], "times", 2 * total), "sized-halves")
+        found = found.unionByName(copies.select("doc", F.col("lo").alias("a"), (F.col("lo") + F.col("size")).alias("b")))
+        found = found.unionByName(_columnwise(sized.where(F.col("n") <= group_rows), ["g"], length, gram))
+        large = sized.where(F.col("n") > group_rows).select("g", "r0", "r1", "doc", "lo", "at", "seg")
+    return found
+
+
+def repeats(rows: DataFrame, known: DataFrame, length: int = LENGTH, gram: int = GRAM, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """(doc, a, b): byte spans of texts, as texts_of() gives them, whose bytes are covered by repeated strings; they may overlap."""
+    ship(rows.sparkSession)
+
+    def find(batches: Iterator) -> Iterator:
+        for batch in batches:
+            docs = np.asarray(batch.column(0))
+            raw, offsets = text_bytes(batch.column(1))
+            for text, lo, hi, at, ha, hu in anchors(raw, offsets, length, gram):
+                yield _arrow_rows(["ha", "u1", "u2", "doc", "lo", "hi", "at"], ha.view(np.int64), hu[:, 0], hu[:, 1], docs[text], *(x.astype(np.int32) for x in (lo, hi, at)))
+
+    found = stored(rows.select("doc", "text").mapInArrow(find, "ha long, u1 long, u2 long, doc long, lo int, hi int, at int"), "anchors")
+    total = found.count()
+    segment = F.struct("u1", "u2")
+    many = found.groupBy("ha").agg(F.count("*").alias("c"), (F.min(segment) != F.max(segment)).alias("mixed")).where("c > 1")
+    shared = stored(met(found, stored(many, "repeated-anchors"), ["ha"], "c", total), "shared-anchors")
+    whole = shared.where("NOT mixed").select("doc", F.col("lo").alias("a"), (F.col("hi") + length).alias("b"))
+
+    mixed = shared.where("mixed").drop("mixed")
+    kinds = stored(mixed.groupBy("ha", "u1", "u2").agg(F.count("*").alias("c"), F.min(F.struct("doc", "lo", "hi", "at")).alias("f")).select("ha", "u1", "u2", "c", "f.*"), "segment-kinds")
+    copies = met(mixed, kinds.where("c > 1").select("ha", "u1", "u2", "c"), ["ha", "u1", "u2"], "c", total).select("doc", F.col("lo").alias("a"), (F.col("hi") + length).alias("b"))
+    sizes = stored(kinds.groupBy("ha").agg(F.count("*").alias("n")), "group-sizes")
+    compared = met(kinds.select("ha", "doc", "lo", "hi", "at"), sizes.where("n > 1").withColumn("times", F.col("n")), ["ha"], "times", total)
+    by_doc = stored(compared.groupBy("doc").agg(F.collect_list(F.struct("ha", "lo", "hi", "at", "n")).alias("own")), "compared-anchors")  # of one text
+    wanted = stored(by_doc.join(known, "doc").select(F.col("doc").alias("_doc"), F.col("id").alias("_id"), "own"), "compared-texts")
+    few = wanted.count() <= BROADCAST_ROWS
+    ids = wanted.select("_doc", "_id")
+    texts = rows.join(F.broadcast(ids) if few else ids, (F.col("doc") == F.col("_doc")) & F.col("id").eqNullSafe(F.col("_id")), "left_semi")
+    with_own = texts.join(wanted, F.col("doc") == F.col("_doc")).select("doc", "text", "own")
+
+    def cut(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-    def windows(batches: Iterator) -> Iterator:
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
         for batch in batches:
-            ids, lo = np.asarray(batch.column(0)), np.asarray(batch.column(1)).astype(np.int64)
-            raw, offsets = text_bytes(batch.column(2))
-            n = np.diff(offsets) - length + 1
-            own = np.repeat(np.arange(len(n)), n)
-            first = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
-            starts = first + offsets[:-1][own]
-            one, two = _span_hash(_sums(raw), starts, starts + length), _span_hash(_sums(raw, _VALUE2), starts, starts + length)
-            for k in range(0, len(own), 100_000):
-                s = slice(k, k + 100_000)
-                yield _arrow_rows(["h1", "h2", "id", "a"], one[s].view(np.int64), two[s].view(np.int64), ids[own[s]], (lo[own[s]] + first[s]).astype(np.int32))
-
-    large = segments.where(F.col("n") > group_rows).select("id", "lo", "seg").mapInArrow(windows, "h1 long, h2 long, id long, a int")
-    large = stored(large, "windows")
-    twice = large.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1").drop("c")
-    by_windows = large.join(twice, ["h1", "h2"]).select("id", "a", (F.col("a") + length).alias("b"))
-    return whole.unionByName(copies).unionByName(by_columns).unionByName(by_windows)
+            out, seen = [], set()
+            for doc, text, own in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                if doc in seen:  # a row given twice
+                    continue
+                seen.add(doc)
+                data = text.as_py().encode()
+                out += [(x["ha"], x["n"], doc, x["lo"], x["at"], data[x["lo"] : x["hi"] + length]) for x in own]
+                if len(out) > 20_000:
+                    yield _arrow_rows(["ha", "n", "doc", "lo", "at", "seg"], *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)))
+                    out = []
+            if out:
+                yield _arrow_rows(["ha", "n", "doc", "lo", "at", "seg"], *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)))
+
+    segments = stored(with_own.mapInArrow(cut, "ha long, n long, doc long, lo int, at int, seg binary"), "segments")
+    return whole.unionByName(copies).unionByName(_compared(segments, length, gram, group_rows))
 
 
 def kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, group_rows: int = GROUP_ROWS, with_bytes: bool = False) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) of each row: what is left of its bytes."""
-    spans = repeats(docs, id_col, text_col, length, gram, group_rows)
-    spans = stored(spans.groupBy("id").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "repeated-spans")
-    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).where("id IS NOT NULL")
-    wanted = spans.select(F.col("id").alias("_id"))
-    few = wanted.count() <= BROADCAST_ROWS
-    named = spans.withColumnRenamed("id", "_id")
-    if few:
-        touched = rows.join(F.broadcast(wanted), F.col("id") == F.col("_id"), "left_semi").join(named, F.col("id") == F.col("_id")).select("id", "text", "spans")
-        rest = rows.join(F.broadcast(wanted), F.col("id") == F.col("_id"), "left_anti").select("id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
-        joined = touched.unionByName(rest)
-    else:
-        joined = rows.join(named, F.col("id") == F.col("_id"), "left").select("id", "text", "spans")
+    rows, known = texts_of(docs, id_col, text_col)
+    spans = repeats(rows, known, length, gram, group_rows)
+    spans = spans.groupBy("doc").agg(F.collect_set(F.struct("a", "b")).alias("spans"))  # of one text
+    spans = stored(spans.join(known.select("doc", "c"), "doc"), "repeated-spans")
+    n_rows = known.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    names = spans.select("doc")
+    touched = met(rows, spans, ["doc"], "c", n_rows).select("id", "text", "spans")
+    rest = rows.join(F.broadcast(names) if names.count() <= BROADCAST_ROWS else names, "doc", "left_anti").select("id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
+    joined = touched.unionByName(rest)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -281,9 +329,8 @@ def kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
         for batch in batches:
             rows = []
             for key, text, own in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                data, parts, at, gone, runs = (text.as_py() or "").encode(), [], 0, 0, 0
-                for x in sorted((x["a"], x["b"]) for x in own.as_py() or ()):
-                    a, b = x
+                data, parts, at, gone, runs = text.as_py().encode(), [], 0, 0, 0
+                for a, b in sorted((x["a"], x["b"]) for x in own.as_py() or ()):
                     if b <= at and runs:
                         continue
                     if a > at or not runs:
