@@ -25,11 +25,18 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import ship, stored
 
-NEAREST, QUERY_BLOCK, CANDIDATE_BLOCK, TILE = 5, 2048, 8192, 1024
+NEAREST, TILE, QUERY_TILE = 5, 1024, 2048
+#: Bytes of vectors in a block at most; rows of a candidate block at least, so that small tables still make several.
+BLOCK_BYTES, CANDIDATE_BLOCK = 32 << 20, 8192
+
+
+def levelled(vectors: np.ndarray) -> np.ndarray:
+    """Each vector times the power of two that brings its largest component to [0.5, 1): exact, and squares neither overflow nor vanish."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(1, keepdims=True))[1])
 
 
 def quantised(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """int8 codes, scales and error lengths of vectors scaled to length 1."""
+    """int8 codes, scales and error lengths of levelled vectors scaled to length 1."""
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     scale = np.abs(unit).max(1, keepdims=True) / 127
     codes = np.rint(unit / scale).astype(np.int8)
@@ -46,15 +53,21 @@ def cell(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: n
     if not len(query_ids) or not len(ids):
         return []
     order = np.lexsort((ids,))
-    ids, vectors = ids[order], vectors[order]
+    ids, vectors, queries = ids[order], levelled(vectors[order]), levelled(queries)
     _, kind = np.unique(vectors, axis=0, return_inverse=True)
     kind = kind.ravel()
     by_kind = np.argsort(kind, kind="stable")
     place = np.arange(len(ids)) - np.searchsorted(kind[by_kind], kind[by_kind])
     kept = np.sort(by_kind[place <= k])
     ids, vectors = ids[kept], vectors[kept]
+    codes = quantised(vectors)
+    return [x for a in range(0, len(query_ids), QUERY_TILE) for x in _tiles(query_ids[a : a + QUERY_TILE], queries[a : a + QUERY_TILE], ids, vectors, codes, k)]
+
+
+def _tiles(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, quantities: tuple, k: int) -> list[tuple[int, int, float]]:
+    """cell() of a tile of levelled queries against levelled vectors, tile by tile."""
     q_codes, q_scale, q_error = quantised(queries)
-    codes, scale, error = quantised(vectors)
+    codes, scale, error = quantities
     wide = np.float32 if vectors.shape[1] * 127 * 127 < 1 << 24 else np.float64  # sums of products stay exact integers
     heaps: list[list[tuple[float, int]]] = [[] for _ in query_ids]
     floor = np.full(len(query_ids), -np.inf)
@@ -79,8 +92,12 @@ def cell(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: n
     return [(int(q), -i, s) for q, heap in zip(query_ids, heaps, strict=True) for s, i in heap]
 
 
-def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", k: int = NEAREST, query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK) -> DataFrame:
-    """(query, rank, id, score): the k nearest rows of each row for which is_query (a condition on id_col) holds."""
+def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", k: int = NEAREST, query_block: int | None = None, candidate_block: int | None = None) -> DataFrame:
+    """(query, rank, id, score): the k nearest rows of each row for which is_query (a condition on id_col) holds.
+
+    Every candidate goes to each query block and every query to each candidate block. So blocks are as large as BLOCK_BYTES
+    allows, but candidate blocks at first no larger than keeps all cores busy.
+    """
     ship(vectors.sparkSession)
     v = F.col(vector_col).cast("array<double>")
     fit = F.coalesce((F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0), F.lit(False))
@@ -90,6 +107,10 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: st
     if counts is None:
         return rows.select(F.col("id").alias("query"), F.lit(1).alias("rank"), "id", F.lit(0.0).alias("score"))
     rows = rows.where(F.size("v") == counts["n"])
+    most = max(1, BLOCK_BYTES // (8 * counts["n"]))
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    query_block = query_block or most
+    candidate_block = candidate_block or min(most, max(CANDIDATE_BLOCK, -(-counts["c"] // (4 * cores))))
     n_q, n_c = -(-counts["qs"] // query_block) or 1, -(-counts["c"] // candidate_block)
     deal = F.xxhash64("id", F.lit(7))
     candidates = rows.select("id", "v", F.lit(False).alias("asks"), F.pmod(deal, F.lit(n_c)).cast("int").alias("c"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("b"))
