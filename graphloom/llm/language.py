@@ -5,8 +5,9 @@ may be; among these, sums of smoothed log-probabilities of its character n-grams
 ends) score it. Viterbi over the words, with a penalty for each switch, labels spans of one language
 each. The text's language is the one with most letters, its score the share of letters under it.
 
-The model is learned from a bounded sample of labelled rows (the SAMPLE rows of smallest hash among
-those that may be learned from) and keeps the FEATURES most frequent n-grams. The labels are looked at for nothing else.
+The model is learned from a bounded sample of labelled rows: of each language about SAMPLE / languages rows, LEAST at
+least, those of smallest hash among the ones that may be learned from. Each language keeps its most frequent
+n-grams, FEATURES / languages of them, LEAST_FEATURES at least. The labels are looked at for nothing else.
 
 Nulls: a null text, or one without a letter, is 'und' with score 0; so is every text if nothing could be learned. A
 null id is not held out and not learned from. Ties go to the alphabetically first language. Repeated
@@ -23,11 +24,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import ship
 
-SAMPLE, FEATURES, GRAMS, SMOOTHING = 6000, 60_000, (1, 2, 3), 0.5
+SAMPLE, LEAST, FEATURES, LEAST_FEATURES, GRAMS, SMOOTHING = 6000, 20, 60_000, 400, (1, 2, 3), 0.5
 #: Of Viterbi: log-probability lost by a switch, and the most that one word can count against a language.
 SWITCH, CLIP = 12.0, 15.0
 UNDETERMINED = "und"
@@ -59,6 +61,11 @@ def grams(word: str) -> list[str]:
     return [*word, *(marked[i : i + n] for n in GRAMS[1:] for i in range(len(marked) - n + 1))]
 
 
+def lowered(text: str | None) -> str:
+    """In lower case, letter for letter: the one letter whose lower case is longer, dotted capital I, becomes i."""
+    return (text or "").replace("\u0130", "i").lower()
+
+
 def codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
 
@@ -132,9 +139,12 @@ class Model:
 def learn(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, features: int = FEATURES) -> Model:
     """The model of a bounded sample of the rows with a language for which may_learn holds."""
     ship(docs.sparkSession)
-    usable = docs.where(may_learn & docs[lang_col].isNotNull() & docs[id_col].isNotNull())
-    chosen = usable.select(docs[id_col].alias("_chosen")).distinct().orderBy(F.xxhash64("_chosen"), "_chosen").limit(sample)
-    rows = usable.join(F.broadcast(chosen), usable[id_col] == F.col("_chosen"), "left_semi").select(usable[text_col].alias("text"), usable[lang_col].alias("lang"))
+    usable = docs.where(may_learn & docs[lang_col].isNotNull() & docs[id_col].isNotNull()).select(docs[id_col].alias("key"), docs[lang_col].alias("lang"), docs[text_col].alias("text"))
+    sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
+    wanted = max(LEAST, sample // max(1, len(sizes)))
+    shares = docs.sparkSession.createDataFrame([(lang, min(1.0, wanted / n)) for lang, n in sizes.items()], "_lang string, share double")
+    place = F.pmod(F.xxhash64("key"), F.lit(1 << 40)) / float(1 << 40)
+    rows = usable.join(F.broadcast(shares), (F.col("lang") == F.col("_lang")) & (place < F.col("share"))).select("text", "lang")
 
     def count(batches: Iterator) -> Iterator:
         import pandas as pd
@@ -143,14 +153,16 @@ def learn(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col:
         for pdf in batches:
             for text, lang in zip(pdf["text"], pdf["lang"], strict=True):
                 mine = sums.setdefault(lang, Counter())
-                for word, n in Counter(WORD.findall(text.lower())).items() if text else ():
+                for word, n in Counter(WORD.findall(lowered(text))).items():
                     for g in grams(word):
                         mine[g] += n
         yield pd.DataFrame([(lang, g, n) for lang, c in sums.items() for g, n in c.items()], columns=["lang", "gram", "n"])
 
     counted = rows.mapInPandas(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    by_gram = counted.groupBy("gram").agg(F.collect_list(F.struct("lang", "n")).alias("by"), F.sum("n").alias("n"))
-    kept = by_gram.orderBy(F.desc("n"), "gram").limit(features).collect()  # a bounded vocabulary
+    each = max(LEAST_FEATURES, features // max(1, len(sizes)))
+    ranked = counted.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram")))  # of the sample: a bounded vocabulary a language
+    by_gram = ranked.groupBy("gram").agg(F.collect_list(F.struct("lang", "n")).alias("by"), F.min("r").alias("r"))
+    kept = sorted(by_gram.where(F.col("r") <= each).select("gram", "by").collect(), key=lambda r: r["gram"])
     languages = sorted({x["lang"] for r in kept for x in r["by"]})
     place = {lang: k for k, lang in enumerate(languages)}
     counts = np.zeros((len(kept) + 1, len(languages)))
@@ -171,7 +183,7 @@ def learn(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col:
 
 def viterbi(words: list[np.ndarray], scores: np.ndarray, switch: float = SWITCH) -> list[np.ndarray]:
     """The best language of each word of each text; texts of like length take each step together."""
-    out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(words)
+    out: list[np.ndarray] = [np.zeros(0, np.int16)] * len(words)
     order = sorted(range(len(words)), key=lambda d: -len(words[d]))
     for a in range(0, len(order), GROUP):
         group = [d for d in order[a : a + GROUP] if len(words[d])]
@@ -182,7 +194,7 @@ def viterbi(words: list[np.ndarray], scores: np.ndarray, switch: float = SWITCH)
         flat = np.concatenate([words[d] for d in group])
         n_at = np.searchsorted(-lengths, -np.arange(lengths[0]), "left")
         values = np.zeros((len(group), scores.shape[1]), np.float32)
-        best_from, stays = np.empty(len(flat), np.int8), np.empty((len(flat), scores.shape[1]), bool)
+        best_from, stays = np.empty(len(flat), np.int16), np.empty((len(flat), scores.shape[1]), bool)
         for t, n in enumerate(n_at.tolist()):
             at, now = begins[:n] + t, values[:n]
             best = now.argmax(1)
@@ -190,7 +202,7 @@ def viterbi(words: list[np.ndarray], scores: np.ndarray, switch: float = SWITCH)
             stay = now >= moved
             best_from[at], stays[at] = best, stay
             values[:n] = np.where(stay, now, moved) + scores[flat[at]]
-        labels, state = np.empty(len(flat), np.int8), values.argmax(1)
+        labels, state = np.empty(len(flat), np.int16), values.argmax(1)
         for t in range(len(n_at) - 1, -1, -1):
             n = n_at[t]
             at, here = begins[:n] + t, state[:n]
@@ -201,25 +213,31 @@ def viterbi(words: list[np.ndarray], scores: np.ndarray, switch: float = SWITCH)
     return out
 
 
-def judged(model: Model, texts: list[str | None]) -> list[tuple[str, float]]:
-    """Language and score of each text."""
-    out: list[tuple[str, float]] = []
+def labels_of(model: Model, texts: list[str | None]) -> Iterator[tuple[str, list[str], np.ndarray, np.ndarray]]:
+    """Of each text: it in lower case, its words, which of them count, and the language of each of these."""
     for begin in range(0, len(texts), 4 * GROUP):
-        part = texts[begin : begin + 4 * GROUP]
-        if not model.languages:
-            out += [(UNDETERMINED, 0.0)] * len(part)
-            continue
+        lower = [lowered(text) if model.languages else "" for text in texts[begin : begin + 4 * GROUP]]
         if len(model.known) > CACHE:
             model.forget()
-        cut = [WORD.findall((text or "").lower()) for text in part]
+        cut = [WORD.findall(text) for text in lower]
         model.learn_words([w for words in cut for w in words])
         indices = [model.indices(words) for words in cut]
-        sizes = [np.fromiter(map(len, words), np.int64, len(words))[index > 0] for words, index in zip(cut, indices, strict=True)]
-        for labels, size in zip(viterbi([index[index > 0] for index in indices], model.scores), sizes, strict=True):
-            letters = np.bincount(labels, size, len(model.languages))
-            top = int(letters.argmax())
-            out.append((model.languages[top], float(letters[top] / letters.sum())) if len(labels) else (UNDETERMINED, 0.0))
-    return out
+        found = viterbi([index[index > 0] for index in indices], model.scores) if model.languages else [np.zeros(0, np.int16)] * len(lower)
+        yield from zip(lower, cut, (index > 0 for index in indices), found, strict=True)
+
+
+def verdict(model: Model, words: list[str], counts: np.ndarray, labels: np.ndarray) -> tuple[str, float]:
+    """The language with most letters, and their share."""
+    if not len(labels):
+        return UNDETERMINED, 0.0
+    letters = np.bincount(labels, np.fromiter(map(len, words), np.int64, len(words))[counts], len(model.languages))
+    top = int(letters.argmax())
+    return model.languages[top], float(letters[top] / letters.sum())
+
+
+def judged(model: Model, texts: list[str | None]) -> list[tuple[str, float]]:
+    """Language and score of each text."""
+    return [verdict(model, words, counts, labels) for _, words, counts, labels in labels_of(model, texts)]
 
 
 def accepted(docs: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:
@@ -242,36 +260,20 @@ def labelled(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """(id, lang_pred, score, n_spans, spans) of each row; spans, in code points, only where asked for."""
     ship(docs.sparkSession)
 
+    def spans(text: str, counts: np.ndarray, labels: np.ndarray, edges: list[int]) -> list[dict]:
+        places = [m.span() for m, counted in zip(WORD.finditer(text), counts, strict=True) if counted]
+        return [{"lang": model.languages[labels[a]], "start": places[a][0], "end": places[b - 1][1]} for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         kinds = [pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))]
         for whole in batches:
             for begin in range(0, whole.num_rows, 4 * GROUP):
-                batch = whole.slice(begin, 4 * GROUP)
-                if len(model.known) > CACHE:
-                    model.forget()
-                found, indices, sizes = [], [], []
-                texts = [(text.as_py() or "").lower() if model.languages else "" for text in batch.column(1)]
-                cut = [WORD.findall(text) for text in texts]
-                model.learn_words([w for words in cut for w in words])
-                for text, words in zip(texts, cut, strict=True):
-                    index = model.indices(words)
-                    kept = index > 0
-                    indices.append(index[kept])
-                    sizes.append(np.fromiter(map(len, words), np.int64, len(words))[kept])
-                    found.append([m.span() for m, k in zip(WORD.finditer(text), kept, strict=True) if k] if with_spans else None)
-                rows = []
-                for key, labels, size, places in zip(batch.column(0).to_pylist(), viterbi(indices, model.scores), sizes, found, strict=True) if model.languages else ((k, np.zeros(0, int), np.zeros(0), []) for k in batch.column(0).to_pylist()):
-                    if not len(labels):
-                        rows.append((key, UNDETERMINED, 0.0, 0, [] if with_spans else None))
-                        continue
-                    letters = np.bincount(labels, size, len(model.languages))
-                    top = int(letters.argmax())
-                    cuts = np.flatnonzero(np.diff(labels)) + 1
-                    edges = [0, *cuts.tolist(), len(labels)]
-                    spans = [{"lang": model.languages[labels[a]], "start": places[a][0], "end": places[b - 1][1]} for a, b in zip(edges[:-1], edges[1:], strict=True)] if with_spans else None
-                    rows.append((key, model.languages[top], float(letters[top] / letters.sum()), len(cuts) + 1, spans))
+                batch, rows = whole.slice(begin, 4 * GROUP), []
+                for key, (text, words, counts, labels) in zip(batch.column(0).to_pylist(), labels_of(model, batch.column(1).to_pylist()), strict=True):
+                    edges = [0, *(np.flatnonzero(np.diff(labels)) + 1).tolist(), len(labels)] if len(labels) else [0]
+                    rows.append((key, *verdict(model, words, counts, labels), len(edges) - 1, spans(text, counts, labels, edges) if with_spans else None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds], ["id", "lang_pred", "score", "n_spans", "spans"])
 
     return docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, SCHEMA)
