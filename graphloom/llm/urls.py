@@ -30,8 +30,8 @@ RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com
 #: What decides where no rule fits: a URL that one of these globs matches is blocked.
 BLOCKED_GLOBS = ("*spam*/**", "*spam*", "*cheap-*/**", "*cheap-*", "*casino*/**", "*casino*", "**/ads/**", "**.exe", "**viagra**")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: URLs of a batch that are stepped together at most.
-LANES = 16_384
+#: URLs of a batch that are stepped together at most, and bytes that their states take at most (a few such arrays live at once).
+LANES, STATE_BYTES = 16_384, 16 << 20
 
 
 @dataclass
@@ -126,9 +126,10 @@ def judged(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rule
         import pyarrow as pa
 
         auto = compiled(globs)
+        lanes = max(64, min(LANES, STATE_BYTES // (8 * auto.words)))
         for whole in batches:
-            for at in range(0, whole.num_rows, LANES):
-                batch = whole.slice(at, LANES)
+            for at in range(0, whole.num_rows, lanes):
+                batch = whole.slice(at, lanes)
                 raw, offsets = text_bytes(batch.column(3))
                 states = matches(auto, raw, offsets)
                 rule, block = np.full(batch.num_rows, None, object), np.zeros(batch.num_rows, bool)
