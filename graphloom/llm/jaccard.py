@@ -1,7 +1,7 @@
 """Exact n-gram Jaccard join by parity sketches.
 
-A text's set holds the distinct word shingles (hashed to 64 bits). Sets of equal content are joined
-first, by a 128-bit digest; one of each goes on.
+A text's node is the 128-bit BLAKE2b digest of its words, so texts of equal words are one node, whatever their
+ids. A node's set holds the distinct word shingles, hashed to 64 bits from BLAKE2b hashes of the words.
 
 Sketch: every token of a set is hashed to one of P parts and toggled there, in a bit sketch (one bit
 a token) and in a XOR of token hashes. The bit sketches' Hamming distance is at most the symmetric
@@ -11,22 +11,24 @@ tokens differ, so of more than t parts that are not empty one agrees in full: th
 joined (a set also joins the lower band from which a smaller partner may come). Where a set leaves
 too many parts empty to have more than t others, it adds the keys of a second dealing, and so on.
 
-Keys shared by several sets connect candidates. Within a connected group of candidates, all pairs are tested by
-size and Hamming distance, nearest first; those that may reach the threshold and are not yet linked
-through others are verified on the full sets. Large groups are cut into blocks, and each pair of blocks is a
-task of its own, so neither a group nor its pairs are ever gathered or emitted. What is
-emitted are spanning links, and their components are taken once more over all groups.
+Of each key the smallest node is the head. First every node is tested with the heads of its keys (stars, cut
+into buckets of BLOCK_DOCS). Most groups of copies end there: all of a group were found linked with one head. In the
+groups that were not (connected by keys, but of several labels), all pairs of different labels are tested by size and
+Hamming distance, nearest first. Groups are cut into blocks, and each pair of blocks is a task group of its
+own, so neither a group nor its pairs are ever gathered or emitted. A link counts only when the pair's word shingles,
+compared as words, reach the threshold; what is emitted are spanning links, and their components are taken once more.
 
 Hot keys are combined in each batch before they are shuffled: a batch sends a key once.
 
-Nulls: a null text has no words, an empty set, and links with nothing. Rows with a null id are left
-out. Texts with fewer words than a shingle have the whole sequence as their one shingle. Repeated
-rows: each has its row; an id with several texts may be linked through each of them. Empty table: no rows. Other columns are not
-looked at.
+Nulls: a null text has no words, an empty set, and links with nothing; a null id is a document like others, but
+never names a component unless all its ids are null. Texts with fewer words than a shingle have the whole
+sequence as their one shingle. Repeated rows: each has its row, in the same component; an id with several texts
+stands for several documents, each linked for itself. Empty table: no rows. Other columns are not looked at.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,80 +36,60 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import components, mix64, ship, stored, text_bytes
+from graphloom.llm.common import components, mix64, runs, ship, stored
 
-#: A band's largest size over its smallest; how many more parts than t + 1; bytes hashed at a time.
-RATIO, SLACK, SLICE = 1.5, 0.15, 1 << 20
+#: A band's largest size over its smallest; how many more parts than t + 1; words hashed at a time.
+RATIO, SLACK, SLICE = 1.5, 0.15, 200_000
 #: A block of a candidate group: documents, and shingles.
-BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1_500_000
+BLOCK_DOCS, BLOCK_SHINGLES = 256, 400_000
+#: Word hashes that a worker keeps.
+CACHE = 1_000_000
 #: Tokens that tell nothing alone: those in at least so many texts of a batch; at most so many of them.
 COMMON_LEAST, COMMON_MOST = 5, 200_000
 BROADCAST_ROWS = 1_000_000
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
-_VALUE = mix64(np.arange(1, 257, dtype=np.uint64))
-_VALUE[65:91] = _VALUE[97:123]  # A-Z as a-z
-
-
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64, n of each."""
-    inverse = _U(pow(int(_BASE), -1, 1 << 64))
-    both = []
-    for b in (_BASE, inverse):
-        p = np.full(n, b, np.uint64)
-        p[0] = 1
-        both.append(np.multiply.accumulate(p))
-    return both[0], both[1]
-
-
-def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of all texts in raw, and the n + 1 bounds of each text's words."""
-    found, starts_all = [], []
-    a = 0
-    while a < len(raw):
-        b = min(a + SLICE, len(raw))
-        while b < len(raw) and not _SPACE[raw[b - 1]]:  # not inside a word
-            nearby = np.flatnonzero(_SPACE[raw[b : b + SLICE]])
-            b = b + int(nearby[0]) + 1 if len(nearby) else min(b + SLICE, len(raw))
-        part = raw[a:b]
-        inner = offsets[np.searchsorted(offsets, a, "left") : np.searchsorted(offsets, b, "left")] - a
-        word = ~_SPACE[part]
-        first, last = word.copy(), word.copy()
-        first[1:] &= ~word[:-1]
-        last[:-1] &= ~word[1:]
-        first[inner] = word[inner]
-        cut = inner[inner > 0] - 1
-        last[cut] = word[cut]
-        starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-        forth, back = _powers(1 << max(20, (len(part)).bit_length()))
-        sums = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(_VALUE[part] * forth[: len(part)], out=sums[1:])
-        found.append(mix64((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64)))
-        starts_all.append(starts + a)
-        a = b
-    hashes = np.concatenate(found) if found else np.zeros(0, np.uint64)
-    starts = np.concatenate(starts_all) if starts_all else np.zeros(0, np.int64)
-    return hashes, np.searchsorted(starts, offsets, "left")
-
-
-def shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of each text, and their n + 1 bounds."""
-    words, bounds = word_hashes(raw, offsets)
-    counts = np.diff(bounds)
+
+
+class _Hashes(dict):
+    """Word -> 64 bits of its BLAKE2b digest, filled on demand."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        if len(self) >= CACHE:
+            self.clear()
+        self[word] = h
+        return h
+
+
+_HASHES = _Hashes()
+
+
+def words_of(text: str | None) -> list[bytes]:
+    """A-Z in lower case, cut at space and \\x09 to \\x0D; the methods of bytes know ASCII only."""
+    return (text or "").encode().lower().split()
+
+
+def node_of(words: list[bytes]) -> bytes | None:
+    """The words' digest; none without words."""
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest() if words else None
+
+
+def shingle_sets(words: list[list[bytes]], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingle hashes of each text's words, and their n + 1 bounds."""
+    counts = np.fromiter(map(len, words), np.int64, len(words))
+    bounds = np.concatenate([[0], np.cumsum(counts)])
+    hashes = np.fromiter((h for part in words for h in map(_HASHES.__getitem__, part)), np.uint64, bounds[-1])
     text = np.repeat(np.arange(len(counts)), counts)
     n = np.maximum(counts - k + 1, np.minimum(counts, 1))  # shingles of each text
-    starts = np.arange(len(words)) - bounds[:-1][text] < n[text]
+    starts = np.arange(len(hashes)) - bounds[:-1][text] < n[text]
     at, of = np.flatnonzero(starts), text[starts]
     size = np.minimum(counts[of], k)
     out = size.astype(np.uint64)
     for j in range(k):
         there = size > j
-        step = mix64(out[there] * _BASE + words[at[there] + j])
-        out[there] = step
+        out[there] = mix64(out[there] * _BASE + hashes[at[there] + j])
     order = np.lexsort((out, of))
     out, of = out[order], of[order]
     fresh = np.ones(len(out), bool)
@@ -116,23 +98,17 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarr
     return out, np.searchsorted(of, np.arange(len(counts) + 1), "left")
 
 
-def chunks(batch, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, shingles, bounds) of a batch whose column 1 holds texts; chunks of about SLICE bytes or one text."""
-    raw, offsets = text_bytes(batch.column(1))
-    a = 0
-    while a < len(offsets) - 1:
-        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + SLICE, "right")) - 1)
-        values, bounds = shingle_sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], k)
-        yield a, b, values, bounds
-        a = b
-
-
-def digests(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Two words a set that depend on its members only."""
-    sums = np.zeros((2, len(values) + 1), np.uint64)
-    np.cumsum(mix64(values ^ _U(0x1234567)), out=sums[0, 1:])
-    np.cumsum(mix64(values * _BASE + _U(99)), out=sums[1, 1:])
-    return sums[:, bounds[1:]] - sums[:, bounds[:-1]]
+def chunks(texts, k: int) -> Iterator[tuple[int, int, list[bytes | None], np.ndarray, np.ndarray]]:
+    """(first row, end row, nodes, shingles, bounds) of an Arrow array of texts; chunks of about SLICE words or one text."""
+    words, held, begin = [], 0, 0
+    for at, text in enumerate(texts):
+        words.append(words_of(text.as_py()))
+        held += len(words[-1])
+        if held >= SLICE:
+            yield begin, at + 1, list(map(node_of, words)), *shingle_sets(words, k)
+            words, held, begin = [], 0, at + 1
+    if words:
+        yield begin, begin + len(words), list(map(node_of, words)), *shingle_sets(words, k)
 
 
 @lru_cache(maxsize=4)
@@ -145,7 +121,7 @@ def bands(p: int, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         low = top + 1
     top = np.array(tops, np.int64)
     most = top * (q - p) // p
-    return top, most, most + 1 + np.ceil(SLACK * (most + 1)).astype(np.int64)
+    return top, most, np.where(most > 0, most + 1 + np.ceil(SLACK * (most + 1)), 1).astype(np.int64)
 
 
 def part_keys(values: np.ndarray, bounds: np.ndarray, p: int, q: int, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -167,7 +143,6 @@ def part_keys(values: np.ndarray, bounds: np.ndarray, p: int, q: int, common: np
         here = np.flatnonzero((n > 0) & (band >= 0) & ((down == 0) | (p * n <= q * top[np.maximum(band, 0)])))
         if down and not len(here):
             break
-        here = here[most[band[here]] > 0]  # else only equal sets link
         for dealing in range(256):
             if not len(here):
                 break
@@ -222,18 +197,29 @@ class Forest:
         return x != y
 
 
-def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, p: int, q: int) -> list[tuple[int, int]]:
-    """Spanning links of the pairs of left and right members that reach p/q; sets sorted."""
-    n = np.array([len(s) for s in sets], np.int64)
-    words = 1 << max(2, int(np.median(n) / 16).bit_length())
-    words = min(words, 256)
-    bits = np.stack([sketch(s, words) for s in sets])
+def shingles_of(words: list[bytes], k: int) -> set[tuple[bytes, ...]]:
+    """The set itself, for a last comparison."""
+    return set(zip(*(words[j:] for j in range(k)), strict=False)) if len(words) >= k else {tuple(words)} if words else set()
+
+
+def linked(words: list[list[bytes]], left: np.ndarray, right: np.ndarray, k: int, p: int, q: int, labels: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Spanning links of the pairs of left and right members that reach p/q; members of one label count as linked."""
+    values, bounds = shingle_sets(words, k)
+    sets = [values[bounds[r] : bounds[r + 1]] for r in range(len(words))]
+    n = np.diff(bounds)
+    labels = np.arange(len(words)) if labels is None else labels
+    size = min(1 << max(2, int(np.median(n) / 16).bit_length()), 256)
+    bits = np.stack([sketch(s, size) for s in sets])
     forest, out = Forest(len(sets)), []
+    _, first = np.unique(labels, return_index=True)
+    head = {labels[i]: i for i in first.tolist()}
+    for x, label in enumerate(labels.tolist()):
+        forest.join(head[label], x)
     same = len(left) == len(right) and (left == right).all()
     pairs = []
-    for k, x in enumerate(left.tolist()):
-        others = right[k + 1 :] if same else right
-        fits = others[(q * np.minimum(n[x], n[others]) >= p * np.maximum(n[x], n[others])) & (others != x)]
+    for at, x in enumerate(left.tolist()):
+        others = right[at + 1 :] if same else right
+        fits = others[(q * np.minimum(n[x], n[others]) >= p * np.maximum(n[x], n[others])) & (labels[others] != labels[x])]
         if not len(fits):
             continue
         apart = np.bitwise_count(bits[fits] ^ bits[x]).sum(1, dtype=np.int64)
@@ -247,136 +233,228 @@ def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, p: int,
             continue
         common = len(sets[x]) + len(sets[y]) - len(np.union1d(sets[x], sets[y]))
         if q * common >= p * (len(sets[x]) + len(sets[y]) - common):
-            forest.join(x, y)
-            out.append((x, y))
+            a, b = shingles_of(words[x], k), shingles_of(words[y], k)
+            if q * len(a & b) >= p * len(a | b):
+                forest.join(x, y)
+                out.append((x, y))
     return out
 
 
 def _digested(rows: DataFrame, k: int) -> DataFrame:
-    """(id, n, d1, d2) of rows (id, text); and, without an id, tokens (d1) that many texts of a batch have, with their number (d2)."""
+    """(id, n, node) of rows (id, text); and rows without n of tokens (id) that many texts of a batch have, their number in node."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
             tokens = []
-            for a, b, values, bounds in chunks(batch, k):
-                d = digests(values, bounds).view(np.int64)
+            for a, b, nodes, values, bounds in chunks(batch.column(1), k):
                 tokens.append(values)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(bounds)), pa.array(d[0]), pa.array(d[1])], ["id", "n", "d1", "d2"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(bounds)), pa.array(nodes, pa.binary()), pa.nulls(b - a, pa.int64())], ["id", "n", "node", "times"])
             tokens = np.sort(np.concatenate(tokens)) if tokens else np.zeros(0, np.uint64)
             heads = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, np.int64)
             times = np.diff(np.append(heads, len(tokens)))
             often = times >= COMMON_LEAST
-            none = pa.nulls(int(often.sum()), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, pa.array(tokens[heads[often]].view(np.int64)), pa.array(times[often])], ["id", "n", "d1", "d2"])
+            m = int(often.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[heads[often]].view(np.int64)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(times[often])], ["id", "n", "node", "times"])
 
-    return rows.mapInArrow(run, "id long, n long, d1 long, d2 long")
+    return rows.mapInArrow(run, "id long, n long, node binary, times long")
 
 
 def _common(digested: DataFrame) -> np.ndarray:
     """At most COMMON_MOST tokens of those that many texts have, sorted. Which ones are taken changes no result."""
-    often = digested.where("id IS NULL").groupBy("d1").agg(F.sum("d2").alias("n")).orderBy(F.desc("n"), "d1").limit(COMMON_MOST)
-    return np.sort(often.select("d1").toPandas()["d1"].to_numpy(np.int64).view(np.uint64))
+    often = digested.where("times IS NOT NULL").groupBy(F.col("id").alias("token")).agg(F.sum("times").alias("n")).orderBy(F.desc("n"), "token").limit(COMMON_MOST)
+    return np.sort(often.select("token").toPandas()["token"].to_numpy(np.int64).view(np.uint64))
+
+
+def _headed(keys: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sorted keys and who has them: the first place of each key, and distinct (head, other) positions of nodes with a common key."""
+    first = np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)]
+    head = own[np.maximum.accumulate(np.where(first, np.arange(len(keys)), 0))] if len(keys) else own
+    pairs = np.unique(np.stack([head[~first], own[~first]], 1), axis=0)
+    return first, head, pairs[pairs[:, 0] != pairs[:, 1]]
 
 
 def _candidates(rows: DataFrame, k: int, p: int, q: int, common: np.ndarray | None = None) -> DataFrame:
-    """(a, b): ids of rows (id, text) that connect all sets with a common key."""
+    """(a, b): nodes of rows (text) that connect all sets with a common key; a is the head of such a key, in a batch or overall."""
 
     def emit(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            ids = np.asarray(batch.column(0))
-            parts = []
-            for a, _, values, bounds in chunks(batch, k):
-                sets, keys = part_keys(values, bounds, p, q, common)
-                parts.append((ids[a + sets], keys))
-            if not parts:
-                continue
-            own, keys = np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts])
-            order = np.argsort(keys, kind="stable")
+            names: dict[bytes, int] = {}
+            own, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+            for _, _, nodes, values, bounds in chunks(batch.column(0), k):
+                fresh, place = np.zeros(len(nodes), bool), np.zeros(len(nodes), np.int64)
+                for r, node in enumerate(nodes):
+                    if node is not None:
+                        fresh[r] = node not in names
+                        place[r] = names.setdefault(node, len(names))
+                sets, part = part_keys(values, bounds, p, q, common)
+                told = fresh[sets]
+                own.append(place[sets[told]])
+                keys.append(part[told])
+            sorted_names = sorted(names)
+            rank = {node: r for r, node in enumerate(sorted_names)}
+            own = np.array([rank[node] for node in names], np.int64)[np.concatenate(own)]
+            keys = np.concatenate(keys)
+            order = np.lexsort((own, keys))
             own, keys = own[order], keys[order]
-            first = np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)]
-            head = own[np.maximum.accumulate(np.where(first, np.arange(len(keys)), 0))] if len(keys) else own
-            pairs = np.unique(np.stack([head[~first], own[~first]], 1), axis=0)
-            pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-            key = np.concatenate([keys[first], mix64(pairs[:, 0].astype(np.uint64) * _BASE + pairs[:, 1].astype(np.uint64))]).view(np.int64)
-            other = pa.concat_arrays([pa.nulls(int(first.sum()), pa.int64()), pa.array(pairs[:, 1].copy(), pa.int64())])
-            out = pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.concatenate([own[first], pairs[:, 0]])), other], ["key", "a", "b"])
+            first, _, pairs = _headed(keys, own)
+            node = pa.array(sorted_names, pa.binary())
+            salt = mix64(pairs[:, 0].astype(np.uint64) * _BASE + pairs[:, 1].astype(np.uint64))
+            other = pa.concat_arrays([pa.nulls(int(first.sum()), pa.binary()), node.take(pa.array(pairs[:, 1]))])
+            out = pa.RecordBatch.from_arrays([pa.array(np.concatenate([keys[first], salt]).view(np.int64)), node.take(pa.array(np.concatenate([own[first], pairs[:, 0]]))), other], ["key", "a", "b"])
             for at in range(0, out.num_rows, 100_000):
                 yield out.slice(at, 100_000)
 
     def meet(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        last_key, last_id = None, None
+        last_key, last_node = None, None
         for batch in batches:
-            told = np.asarray(batch.column(2).is_valid())
-            yield pa.RecordBatch.from_arrays([batch.column(1).filter(pa.array(told)), batch.column(2).filter(pa.array(told))], ["a", "b"])
-            keys, own = np.asarray(batch.column(0))[~told], np.asarray(batch.column(1))[~told]
-            if not len(keys):
+            told = pc.is_valid(batch.column(2))
+            pairs = batch.filter(told)
+            yield pa.RecordBatch.from_arrays([pairs.column(1), pairs.column(2)], ["a", "b"])
+            rest = batch.filter(pc.invert(told))
+            if not rest.num_rows:
                 continue
+            keys, nodes = np.asarray(rest.column(0)), rest.column(1)
             if last_key is not None:
-                keys, own = np.concatenate([[last_key], keys]), np.concatenate([[last_id], own])
-            first = np.concatenate([[True], keys[1:] != keys[:-1]])
-            head = own[np.maximum.accumulate(np.where(first, np.arange(len(keys)), 0))]
-            pairs = np.unique(np.stack([head[~first], own[~first]], 1), axis=0)
-            last_key, last_id = keys[-1], head[-1]
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy(), pa.int64()), pa.array(pairs[:, 1].copy(), pa.int64())], ["a", "b"])
+                keys, nodes = np.concatenate([[last_key], keys]), pa.concat_arrays([pa.array([last_node], pa.binary()), nodes])
+            coded = nodes.dictionary_encode()
+            own = np.asarray(coded.indices).astype(np.int64)
+            _, head, found = _headed(keys, own)
+            last_key, last_node = keys[-1], coded.dictionary[int(head[-1])].as_py()
+            yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(found[:, 0])), coded.dictionary.take(pa.array(found[:, 1]))], ["a", "b"])
 
-    keyed = rows.mapInArrow(emit, "key long, a long, b long")
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long").where("a <> b")
+    keyed = rows.mapInArrow(emit, "key long, a binary, b binary")
+    return keyed.repartition("key").sortWithinPartitions("key", "a").mapInArrow(meet, "a binary, b binary").where("a <> b").distinct()
 
 
-def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, p: int = 90, q: int = 100) -> DataFrame:
-    """(id, n, component) of each row: size of its set, and the smallest id that it is linked with, through others too, at p/q or more."""
-    ship(docs.sparkSession)
-    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).where("id IS NOT NULL")
-    digested = stored(_digested(rows, k), "set-digests")
-    common = _common(digested)
-    digested = digested.where("id IS NOT NULL")
-    equal = digested.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("c")).where("c > 1")
-    equal = stored(equal.drop("c"), "equal-sets")
-    named = digested.join(equal.withColumnsRenamed({"n": "_n", "d1": "_d1", "d2": "_d2"}), (F.col("n") == F.col("_n")) & (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2")), "left")
-    named = stored(named.select("id", "n", F.coalesce("rep", "id").alias("rep")), "named-sets")
-    copies = named.where("rep <> id OR n = 0").select(F.col("id").alias("_copy")).distinct()
-    few = copies.count() <= BROADCAST_ROWS
-    singles = rows.join(F.broadcast(copies) if few else copies, F.col("id") == F.col("_copy"), "left_anti")
-
-    groups = components(_candidates(singles, k, p, q, common), "candidate-links")
-    sizes = named.where("rep = id").select(F.col("id").alias("_id"), "n").groupBy("_id").agg(F.max("n").alias("n"))
-    groups = stored(groups.join(sizes, F.col("id") == F.col("_id")).select("id", "component", "n"), "candidate-groups")
-    blocks = groups.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("nb"))
-    members = groups.join(blocks, "component").select(F.col("id").alias("_member"), "component", "nb", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int").alias("block"))
-    few = groups.count() <= BROADCAST_ROWS
-    texts = rows.join(F.broadcast(members) if few else members, F.col("id") == F.col("_member"))
-    tiles = texts.select("id", "text", "component", "block", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
-    tiles = tiles.select("id", "text", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+def _texts_of(rows: DataFrame, wanted: DataFrame, few: bool) -> DataFrame:
+    """(node, text): one text of each wanted node; wanted has (node, id), the smallest id that has it."""
 
-    def test(key, pdf):
-        import pandas as pd
+    def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        i, j = key[1], key[2]
-        batch = pa.RecordBatch.from_arrays([pa.array(pdf["id"]), pa.array(pdf["text"], pa.string())], ["id", "text"])
-        sets = [values[bounds[r] : bounds[r + 1]].copy() for _, _, values, bounds in chunks(batch, k) for r in range(len(bounds) - 1)]
-        ids, block = pdf["id"].to_numpy(), pdf["block"].to_numpy()
-        links = linked(sets, np.flatnonzero(block == i), np.flatnonzero(block == j), p, q)
-        return pd.DataFrame([(ids[x], ids[y]) for x, y in links], columns=["a", "b"], dtype="int64")
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([node_of(words_of(t.as_py())) for t in batch.column(0)], pa.binary()), batch.column(0)], ["node", "text"])
 
-    links = tiles.groupBy("component", "i", "j").applyInPandas(test, "a long, b long")
-    joined = components(links, "verified-links").select(F.col("id").alias("_rep"), "component")
-    out = named.join(joined, F.col("rep") == F.col("_rep"), "left")
-    return out.select("id", "n", F.coalesce("component", "rep").alias("component"))
+    ids, nodes = wanted.select(F.col("id").alias("_id")).distinct(), wanted.select("node")
+    held = rows.join(F.broadcast(ids) if few else ids, F.col("id").eqNullSafe(F.col("_id")), "left_semi").select("text")
+    return held.mapInArrow(run, "node binary, text string").join(F.broadcast(nodes) if few else nodes, "node", "left_semi").dropDuplicates(["node"])
+
+
+def _starred(members: DataFrame, k: int, p: int, q: int) -> DataFrame:
+    """(a, b): of members (head, bucket, node, text) the links of each head with the others of its bucket."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for table in runs(batches, 2):
+            head, nodes = table["head"][0].as_py(), table["node"].to_pylist()
+            at = nodes.index(head)
+            words = [words_of(t) for t in table["text"].to_pylist()]
+            own = np.array([at])
+            links = [nodes[y] for _, y in linked(words, own, np.delete(np.arange(len(nodes)), at), k, p, q)]
+            yield pa.RecordBatch.from_arrays([pa.array([head] * len(links), pa.binary()), pa.array(links, pa.binary())], ["a", "b"])
+
+    return members.select("head", "bucket", "node", "text").repartition("head", "bucket").sortWithinPartitions("head", "bucket").mapInArrow(run, "a binary, b binary")
+
+
+def _tiled(members: DataFrame, k: int, p: int, q: int) -> DataFrame:
+    """(a, b): of members (component, i, j, block, label, node, text) spanning links between blocks i and j of each component."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for table in runs(batches, 3):
+            i, j = table["i"][0].as_py(), table["j"][0].as_py()
+            block, nodes = np.asarray(table["block"]), table["node"].to_pylist()
+            labels = np.asarray(table["label"].combine_chunks().dictionary_encode().indices).astype(np.int64)
+            links = linked([words_of(t) for t in table["text"].to_pylist()], np.flatnonzero(block == i), np.flatnonzero(block == j), k, p, q, labels)
+            yield pa.RecordBatch.from_arrays([pa.array([nodes[x] for x, _ in links], pa.binary()), pa.array([nodes[y] for _, y in links], pa.binary())], ["a", "b"])
+
+    return members.select("component", "i", "j", "block", "label", "node", "text").repartition("component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(run, "a binary, b binary")
+
+
+def _links(rows: DataFrame, known: DataFrame, k: int, p: int, q: int, common: np.ndarray) -> DataFrame:
+    """(a, b): links of nodes that connect all that are to be connected; known has (node, id, n) once a node."""
+    stars = stored(_candidates(rows.select("text"), k, p, q, common), "candidate-links")
+    groups = stored(components(stars, "candidate-groups"), "candidate-nodes")
+    few = groups.count() <= BROADCAST_ROWS
+    wanted = stored(known.join(F.broadcast(groups.withColumnRenamed("id", "node")) if few else groups.withColumnRenamed("id", "node"), "node"), "candidate-sizes")
+    texts = stored(_texts_of(rows, wanted, few), "candidate-texts")
+
+    buckets = stars.groupBy(F.col("a").alias("head")).agg(F.ceil(F.count("*") / BLOCK_DOCS).cast("int").alias("nb")).where("nb > 1")
+    buckets = stored(buckets, "large-stars")  # at most a row for BLOCK_DOCS pairs
+    large = F.broadcast(buckets) if buckets.count() <= BROADCAST_ROWS else buckets
+    dealt = stars.select(F.col("a").alias("head"), F.col("b").alias("node")).join(large, "head", "left").select("head", F.pmod(F.xxhash64("node"), F.coalesce("nb", F.lit(1))).cast("int").alias("bucket"), "node")
+    heads = dealt.select("head", "bucket").distinct().select("head", "bucket", F.col("head").alias("node"))
+    near = stored(_starred(dealt.unionByName(heads).join(texts, "node"), k, p, q), "star-links")
+
+    labels = stored(near.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("head")), "star-labels")
+    # the heads of batches have heads of their own
+    labels = labels.join(labels.select(F.col("node").alias("head"), F.col("head").alias("top")), "head", "left").select("node", F.coalesce("top", "head").alias("head"))
+    named = stored(wanted.join(labels, "node", "left").select("node", "component", "n", F.coalesce("head", "node").alias("label")), "candidate-labels")
+    mixed = named.groupBy("component").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("nb")).where("l0 <> l1")
+    mixed = stored(mixed.select("component", "nb"), "mixed-groups")
+    left = F.broadcast(mixed) if mixed.count() <= BROADCAST_ROWS else mixed
+    members = named.join(left, "component").select("node", "component", "label", "nb", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int").alias("block"))
+    tiles = members.join(texts, "node").select("node", "text", "component", "label", "block", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
+    tiles = tiles.select("node", "text", "component", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    return near.unionByName(_tiled(tiles, k, p, q))
+
+
+def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, p: int = 90, q: int = 100) -> DataFrame:
+    """(id, n, component, node) of each row: size of its set, and the smallest id that it is linked with, through others too, at p/q or more."""
+    ship(docs.sparkSession)
+    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
+    digested = stored(_digested(rows, k), "nodes")
+    common = _common(digested)
+    digested = digested.where("times IS NULL").drop("times")
+    known = stored(digested.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.count("*").alias("c")), "distinct-nodes")
+    joined = stored(components(_links(rows, known.drop("c"), k, p, q, common), "verified-links"), "linked-nodes").withColumnRenamed("id", "node")
+    few = joined.count() <= BROADCAST_ROWS
+    named = known.join(F.broadcast(joined) if few else joined, "node", "left").where("c > 1 OR component IS NOT NULL").select("node", "id", F.coalesce("component", "node").alias("component"))
+    named = stored(named, "named-nodes")
+    least = named.groupBy("component").agg(F.min("id").alias("least"))
+    named = stored(named.join(least, "component").select(F.col("node").alias("_node"), "least"), "named-nodes")
+    out = digested.join(F.broadcast(named) if named.count() <= BROADCAST_ROWS else named, F.col("node") == F.col("_node"), "left")
+    return out.select("id", "n", F.coalesce("least", "id").alias("component"), "node")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, p: int = 80, q: int = 100) -> DataFrame:
-    """docs with one row of each component, that of the smallest id; rows with a null id or an empty set stay."""
-    found = clusters(docs, id_col, text_col, k, p, q).where("id <> component").select(F.col("id").alias("_copy")).distinct()
-    return docs.join(found, docs[id_col].cast("long") == F.col("_copy"), "left_anti")
+    """docs with one row of each component, that of the smallest id. Rows with an empty set stay, and so do those of components without an id."""
+    found = clusters(docs, id_col, text_col, k, p, q).where("n > 0").groupBy("id", "node").agg(F.first("component").alias("component"), F.count("*").alias("c"))
+    found = stored(found, "nodes-by-id")
+    stays = found.where("id = component")
+    several = stays.groupBy("id").agg(F.min("node").alias("first"), F.count("*").alias("m")).where("m > 1").select("id", "first")
+    second = stays.join(several, "id").where("node <> first").select("id", "node", F.lit(False).alias("one"))
+    found = found.where(~F.col("id").eqNullSafe(F.col("component"))).select("id", "node", F.lit(False).alias("one")).unionByName(second).unionByName(stays.where("c > 1").join(second, ["id", "node"], "left_anti").select("id", "node", F.lit(True).alias("one")))
+    found = stored(found, "copies")
+    fresh = lambda name: name + "_" * (1 + max(map(len, docs.columns)))
+
+    @F.pandas_udf("binary")
+    def node(texts):
+        import pandas as pd
+
+        return pd.Series([node_of(words_of(t)) if isinstance(t, str) else None for t in texts], dtype=object)
+
+    marked = docs.withColumns({fresh("n"): node(docs[text_col].cast("string")), fresh("i"): docs[id_col].cast("long")})
+    gone = found.toDF(fresh("id"), fresh("node"), fresh("one"))
+    same = F.col(fresh("i")).eqNullSafe(F.col(fresh("id"))) & (F.col(fresh("n")) == F.col(fresh("node")))
+    small = found.count() <= BROADCAST_ROWS
+    kept = marked.join(F.broadcast(gone) if small else gone, same, "left_anti").select(*docs.columns)
+    again = gone.where(F.col(fresh("one")))
+    if again.isEmpty():
+        return kept
+    one = marked.join(F.broadcast(again) if small else again, same, "left_semi").dropDuplicates([fresh("i"), fresh("n")])
+    return kept.unionByName(one.select(*docs.columns))
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 3-word shingle sets reach a Jaccard similarity of 0.9."""
-    return clusters(spark.read.parquet(f"{sf_dir}/documents.parquet")).toDF("doc_id", "n_shingles", "component_id")
+    return clusters(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("node").toDF("doc_id", "n_shingles", "component_id")
