@@ -14,9 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import stored
+from graphloom.llm.common import scratch, stored
 
 SLOTS = 4096
+MAP = "vslot int, shard int, bytes long, n long, version int"
 
 
 def records(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
@@ -76,8 +77,8 @@ def save_map(slot_map: DataFrame, path: str) -> None:
 
 def load_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
     """A stored version, by default the newest."""
-    kept = spark.read.parquet(path)
-    version = kept.agg(F.max("version")).first()[0] if version is None else version
+    kept = spark.read.schema(MAP).parquet(path)
+    version = kept.agg(F.coalesce(F.max("version"), F.lit(1))).first()[0] if version is None else version
     return kept.where(F.col("version") == version).select("version", "vslot", "shard", "bytes", "n")
 
 
@@ -95,19 +96,26 @@ def place(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
 
 
 def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
-    """(id, size, crc, vslot, shard, place) of all rows under a new map, which is also saved where map_path says."""
+    """(id, size, crc, vslot, shard, place) of all rows under version 1 of a new map, stored at map_path (by default a new path of the shared folder) and read from there."""
+    spark = docs.sparkSession
+    map_path = map_path or scratch(spark, "slot-maps")
     rows = stored(records(docs, id_col, text_col, slots), "shard-rows")
-    slot_map = stored(first_map(slot_sizes(rows), shards), "slot-map")
-    if map_path:
-        save_map(slot_map, map_path)
-    return place(rows, slot_map)
+    save_map(first_map(slot_sizes(rows), shards), map_path)
+    return place(rows, load_map(spark, map_path, 1))
+
+
+def grown(spark: SparkSession, map_path: str, shards: int) -> DataFrame:
+    """The stored newest map edited for one more shard (shards counts it), stored as the next version and read from there."""
+    save_map(edited_map(load_map(spark, map_path), shards), map_path)
+    return load_map(spark, map_path)
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in 8 shards of near equal bytes."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    out = shard_by_bytes(docs, 8)
-    return out.select(
+    """All documents in 8 shards of near equal bytes under the stored version 1; next_shard: under version 2, edited for a ninth shard."""
+    path = scratch(spark, "slot-maps")
+    out = shard_by_bytes(spark.read.parquet(f"{sf_dir}/documents.parquet"), 8, map_path=path)
+    later = grown(spark, path, 9).select("vslot", F.col("shard").alias("next_shard"))
+    return out.join(F.broadcast(later), "vslot").select(
         F.col("id").alias("doc_id"),
         "size",
         F.col("crc").alias("text_crc32"),
@@ -115,4 +123,6 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "shard",
         F.col("place").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
+        F.lit(1).alias("map_version"),
+        "next_shard",
     )
