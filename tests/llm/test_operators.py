@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.llm import common, decontamination, jaccard, language, neighbours, packing, pii, sharding, substrings, token_counts, tokens, urls
-from tests.llm.test_kernels import brute_cover, brute_sets, brute_spans
+from tests.llm.test_kernels import brute_cover, brute_sets, brute_spans, thue_morse
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "the of and to in is that it for was on with as be by at from this have are not or an they which you one had".split()
@@ -50,7 +50,7 @@ def empty(spark):
 
 def clashing(df):
     """With more columns of the names that the operators use inside."""
-    return df.withColumns({c: F.lit("x") for c in ("id", "n", "rep", "component", "h", "spans", "score", "size", "item", "key", "ha")})
+    return df.withColumns({c: F.lit("x") for c in ("id", "n", "rep", "component", "h", "spans", "score", "size", "item", "key", "ha", "doc", "node", "_chosen", "_copy", "_overlapping", "_id", "_doc", "_node")})
 
 
 def test_components(spark):
@@ -119,6 +119,49 @@ def test_sharding(docs, empty, spark):
     assert sharding.shard_by_bytes(empty, 4).collect() == []
 
 
+def test_sharding_recomputed(docs, spark, tmp_path):
+    """Slots, the greedy map, its edit for one more shard and all places, in plain Python."""
+    import xxhash
+
+    def slot(i, text):
+        h = xxhash.xxh64_intdigest(i.to_bytes(8, "little", signed=True), 42)
+        h = xxhash.xxh64_intdigest((text or "").encode(), h)
+        return (h - (1 << 64) if h >> 63 else h) % 16
+
+    rows = [(slot(i, t), i, zlib.crc32((t or "").encode()), len((t or "").encode()) + 1) for i, t, *_ in corpus()]
+    sizes = Counter()
+    for v, _, _, n in rows:
+        sizes[v] += n
+    loads, shard = [0] * 3, {}
+    for n, v in sorted(((n, v) for v, n in sizes.items()), reverse=True):
+        shard[v] = loads.index(min(loads))
+        loads[shard[v]] += n
+    fair, later = sum(loads) / 4, dict(shard)
+    for s in range(3):
+        tail = 0
+        for n, v in sorted((n, v) for v, n in sizes.items() if shard[v] == s):
+            tail += n
+            if tail <= loads[s] - fair:
+                later[v] = 3
+    places = Counter()
+    want = set()
+    for v, i, crc, n in sorted(rows):
+        want.add((i, n, crc, v, shard[v], places[shard[v]]))
+        places[shard[v]] += 1
+    path = f"file://{tmp_path}/maps"
+    found = sharding.shard_by_bytes(docs, 3, slots=16, map_path=path)
+    assert {(r["id"], r["size"], r["crc"], r["vslot"], r["shard"], r["place"]) for r in found.collect()} == want
+    assert {r["vslot"]: r["shard"] for r in sharding.grown(spark, path, 4).collect()} == later
+    assert {r["vslot"]: r["shard"] for r in sharding.load_map(spark, path, 1).collect()} == shard
+
+
+def test_sharding_query(spark, docs, tmp_path):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = sharding.op9_sharding(spark, str(tmp_path)).collect()
+    assert {r["law"] for r in rows} == {"bytes"} and {r["grown_shard"] for r in rows} == {None} and len(rows) == len(corpus())
+    assert all(r["next_shard"] in (r["shard"], 8) for r in rows)
+
+
 def test_token_counts(docs, empty, spark):
     tok = tokens.tokenizer(tokens.default_path())
     want = defaultdict(lambda: [0, 0, 0])
@@ -147,6 +190,23 @@ def test_token_counts(docs, empty, spark):
         rollup.commit("../x", rows)
 
 
+def test_token_count_query(docs, spark, tmp_path):
+    """Inserts, deletes, restores and revisions leave the plain counts, here by the tokenizers library."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    theirs = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    docs.unionByName(docs.where("doc_id < 3")).write.parquet(f"{tmp_path}/documents.parquet")
+    want = defaultdict(lambda: [0, 0, 0])
+    for _, text, lang, source, _ in corpus() + corpus()[:3]:
+        for k, v in enumerate((1, len(theirs.encode(text or "", add_special_tokens=False).ids), len((text or "").encode()))):
+            want[source, lang][k] += v
+    found = token_counts.op1_token_counts(spark, str(tmp_path)).collect()
+    assert {(r["source"], r["lang"]): [r["n_docs"], r["n_tokens"], r["n_bytes"]] for r in found} == dict(want)
+    copies = token_counts.copies_gone(token_counts.counted(docs, id=F.col("doc_id"), digest=F.md5("text"))).groupBy().agg(F.sum("n_docs")).first()[0]
+    assert copies == len({t for _, t, *_ in corpus()}) - len(corpus())
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(4)
     vectors = rng.normal(size=(300, 8)).astype(np.float32)
@@ -164,6 +224,10 @@ def test_neighbours(spark):
         cosines = neighbours.exact(np.repeat(wide[q : q + 1], 300, 0), wide)
         best = sorted((-c, i) for i, c in enumerate(cosines) if i != q)[:5]
         assert [mine[q][k + 1][0] for k in range(5)] == [i for _, i in best]
+    tiny = spark.createDataFrame([(i, (vectors[i].astype(float) * scale).tolist()) for i, scale in enumerate([1e-200, 1e200, 1.0, 1e-300, 3.0])], "vec_id long, embedding array<double>")
+    for r in neighbours.nearest(tiny, F.col("vec_id") >= 0).collect():
+        a, b = wide[r["query"]], wide[r["id"]]
+        assert abs(r["score"] - a @ b / np.sqrt((a @ a) * (b @ b))) < 1e-12
     few = spark.createDataFrame(rows[:3], df.select("vec_id", "embedding", "label").schema)
     assert [(r["id"]) for r in neighbours.nearest(few, F.col("vec_id") == 0).orderBy("rank").collect()] != []
     assert neighbours.nearest(few.limit(0), F.col("vec_id") == 0).collect() == []
@@ -194,6 +258,25 @@ def test_language(spark, empty):
     assert language.labelled(empty, model).collect() == []
 
 
+def test_languages_beyond_a_byte(spark):
+    """Two hundred languages, each of letters of its own; a rare one keeps its features."""
+    letters = [chr(0x4E00 + 3 * k) + chr(0x4E01 + 3 * k) + chr(0x4E02 + 3 * k) for k in range(200)]
+    rows = [(5 * k + j, " ".join([letters[k], letters[k][::-1]] * 5), f"l{k:03d}") for k in range(200) for j in range(2 if k else 200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = language.learn(clashing(docs), F.lit(True))
+    assert len(model.languages) == 200
+    assert all(r["lang_pred"] == f"l{r['id'] // 5:03d}" for r in language.labelled(docs.where("doc_id >= 1000 OR doc_id < 2"), model).collect() if r["id"] < 2)
+    found = {r["id"]: r["lang_pred"] for r in language.labelled(docs, model).collect()}
+    assert all(found[5 * k] == f"l{k:03d}" for k in range(41, 200))
+
+
+def test_spans_after_letters_with_a_longer_lower_case(spark, docs):
+    model = language.learn(docs, F.lit(True))
+    text = "\u0130stanbul the of and"
+    spans = language.labelled(spark.createDataFrame([(1, text)], "doc_id long, text string"), model, with_spans=True).first()["spans"]
+    assert (spans[0]["start"], spans[-1]["end"]) == (0, len(text))
+
+
 def brute_components(texts, k, p):
     sets = brute_sets([t or "" for t in texts], k)
     up = list(range(len(sets)))
@@ -216,11 +299,24 @@ def test_jaccard(docs, k, p, monkeypatch):
 
 def test_jaccard_edges(empty, docs, spark):
     assert jaccard.clusters(empty).collect() == []
-    odd = spark.createDataFrame([(None, "a b c"), (1, "a b c"), (1, "a b c"), (2, None)], "doc_id long, text string")
-    assert sorted((r["id"], r["n"], r["component"]) for r in jaccard.clusters(odd).collect()) == [(1, 1, 1), (1, 1, 1), (2, 0, 2)]
-    kept = jaccard.deduplicated(docs)
+    odd = spark.createDataFrame([(None, "a b c"), (1, "a b c"), (1, "a b c"), (2, None), (None, "x y z"), (None, None)], "doc_id long, text string")
+    assert Counter((r["id"], r["n"], r["component"]) for r in jaccard.clusters(odd).collect()) == Counter([(None, 1, 1), (1, 1, 1), (1, 1, 1), (2, 0, 2), (None, 1, None), (None, 0, None)])
+    kept = jaccard.deduplicated(clashing(docs))
     want = {c for n, c in brute_components([t for _, t, *_ in corpus()], 5, 80)}
-    assert {r["doc_id"] for r in kept.collect()} == want and kept.columns == docs.columns
+    assert {r["doc_id"] for r in kept.collect()} == want and kept.columns == clashing(docs).columns
+    assert Counter(map(tuple, jaccard.deduplicated(odd).collect())) == Counter([(1, "a b c"), (2, None), (None, "x y z"), (None, None)])
+
+
+def test_jaccard_of_ids_with_several_texts(spark):
+    """Each row is a document of its own, whatever its id."""
+    rng = random.Random(3)
+    a, b = sentence(rng, 80), sentence(rng, 80)
+    one, two = thue_morse(2048)
+    rows = [(1, a), (5, a), (5, b), (9, f"{b} tail"), (7, one), (8, two), (3, f"{a} tail"), (3, f"{a} end")]
+    found = Counter((r["id"], r["component"]) for r in jaccard.clusters(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert found == Counter([(1, 1), (5, 1), (5, 5), (9, 5), (7, 7), (8, 8), (3, 1), (3, 1)])
+    kept = jaccard.deduplicated(spark.createDataFrame(rows[2:], "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in kept) == [3, 5, 7, 8]
 
 
 @pytest.mark.parametrize("group_rows", [16384, 3])
@@ -236,6 +332,29 @@ def test_substrings(docs, empty, group_rows):
     assert substrings.kept(empty).collect() == []
 
 
+def test_substrings_of_ids_with_several_texts(spark):
+    rng = random.Random(4)
+    passage, other = sentence(rng, 60), "".join(thue_morse(512))
+    rows = [(1, f"{passage} one"), (2, f"{passage} two"), (1, sentence(rng, 120)), (None, f"{passage} three"), (None, None), (3, "short"), (4, other[:512]), (5, other[512:])]
+    found = [tuple(r) for r in substrings.kept(spark.createDataFrame(rows, "doc_id long, text string"), with_bytes=True).collect()]
+    want = []
+    for (i, text), cover in zip(rows, brute_cover([t or "" for _, t in rows], 200), strict=True):
+        left = bytes(b for b, c in zip((text or "").encode(), cover, strict=True) if not c)
+        want.append((i, len(cover), sum(cover), len([x for x in cover.split(b"\0") if x]), hashlib.sha256(left).hexdigest(), left))
+    assert Counter((*r[:5], bytes(r[5])) for r in found) == Counter(want)
+
+
+def test_substrings_of_a_passage_that_all_hold(spark):
+    """Groups larger than a task takes are split by content; several halvings."""
+    rng = random.Random(6)
+    passage = sentence(rng, 60)
+    texts = [f"{sentence(rng, rng.randrange(2, 40))} {passage} {sentence(rng, rng.randrange(2, 40))}" for _ in range(60)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["id"]: bytes(r["kept"]) for r in substrings.kept(rows, group_rows=2, with_bytes=True).collect()}
+    for i, (text, cover) in enumerate(zip(texts, brute_cover(texts, 200), strict=True)):
+        assert found[i] == bytes(b for b, c in zip(text.encode(), cover, strict=True) if not c)
+
+
 def test_decontamination(spark, docs, empty):
     rng = random.Random(9)
     item, short = sentence(rng, 40), "too short"
@@ -245,13 +364,21 @@ def test_decontamination(spark, docs, empty):
     train = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"id": F.lit(1), "h": F.lit(2), "w": F.lit("x")})
     bench = spark.createDataFrame([(10, item), (11, short), (12, None), (None, item), (10, item)], "item_id long, text string")
     found = {(r["id"], r["item"]): r for r in decontamination.overlaps(train, bench).collect()}
-    assert set(found) == {(1, 10), (2, 10), (3, 10), (7, 10)}
+    assert set(found) == {(i, k) for i in (1, 2, 3, 7, None) for k in (10, None)}
     assert (found[1, 10]["start"], found[1, 10]["n_equal"], found[3, 10]["start"], found[3, 10]["n_equal"]) == (50, 40, -5, 25)
     assert found[2, 10]["n_equal"] == 35
-    assert sorted(r["doc_id"] or 0 for r in decontamination.clean(train, bench).collect()) == [0, 4, 5, 6, 8]
+    assert sorted(r["doc_id"] or 0 for r in decontamination.clean(train, bench).collect()) == [4, 5, 6, 8]
+    assert decontamination.clean(clashing(train), bench).columns == clashing(train).columns
     assert decontamination.overlaps(empty, bench).collect() == [] and decontamination.overlaps(train, bench.limit(0)).collect() == []
 
 
+def test_short_benchmark_items(spark):
+    """Of four and five words they match as they are; shorter ones don't."""
+    train = spark.createDataFrame([(1, "so Alpha beta, gamma delta!"), (2, "alpha beta gamma other delta"), (3, "one two three four five"), (4, "one two")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "one two three four five"), (3, "one two three"), (4, "one two")], "item_id long, text string")
+    assert {(r["id"], r["item"], r["n_equal"]) for r in decontamination.overlaps(train, bench).collect()} == {(1, 1, 4), (3, 2, 5)}
+
+
 def test_url_filter(spark):
     cases = [
         ("http://Example.NET/en/x?q#f", "example.net", "/en/x", "example.net/en/", "allow"), ("http://a.b.net/", "a.b.net", "/", "net/", "block"), ("http://x.net", "x.net", "", None, "allow"),
@@ -268,6 +395,14 @@ def test_url_filter(spark):
     assert {r["verdict"] for r in urls.judged(pages, rules=(), blocked=()).collect()} == {"allow"}
 
 
+def test_many_url_rules(spark):
+    """Thousands of rules: lanes shrink so that states stay within their bytes."""
+    rules = tuple(("block" if k % 2 else "allow", f"host{k:05d}.example/part{k % 7}/") for k in range(2000))
+    pages = spark.createDataFrame([(k, f"http://a.HOST{k:05d}.example/part{k % 7}/x") for k in range(0, 2000, 97)] + [(9999, "http://host00001.example/part2/")], "page_id long, url string")
+    found = {r["id"]: (r["rule"], r["verdict"]) for r in urls.judged(pages, rules=rules).collect()}
+    assert found == {k: (rules[k][1], rules[k][0]) for k in range(0, 2000, 97)} | {9999: (None, "allow")}
+
+
 def test_counts_follow_the_tables(docs):
     """Repeated rows are kept as rows by every operator that returns one a document."""
     twice = docs.where("doc_id < 6").union(docs.where("doc_id < 6"))
