@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from graphloom.operators.lookup import induced
 
 MOST = 500
+#: Keys of GraphML: id, what for, type.
+GRAPHML_KEYS = (("kind", "node", "string"), ("name", "node", "string"), ("path", "node", "string"), ("churn", "node", "double"), ("coupling", "node", "double"), ("community", "node", "long"), ("rel", "edge", "string"), ("weight", "edge", "double"))
 #: Colours and arrows by kind.
 NODE_COLORS = {"Function": "#00ff88", "Class": "#3b82f6", "File": "#f59e0b", "Module": "#8b5cf6", "Author": "#ec4899", "Variable": "#06b6d4", "Type": "#f97316"}
 OTHER_NODE = "#888888"
@@ -106,8 +108,7 @@ def svg(nodes: DataFrame, edges: DataFrame, most_nodes: int = 200, most_edges: i
 
 
 def graphml(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    keys = [("kind", "node", "string"), ("name", "node", "string"), ("path", "node", "string"), ("churn", "node", "double"), ("coupling", "node", "double"), ("community", "node", "long"), ("rel", "edge", "string"), ("weight", "edge", "double")]
-    head = _fixed(nodes, 0, '<?xml version="1.0" encoding="UTF-8"?>', '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">', *(f'  <key id="{k}" for="{on}" attr.name="{k}" attr.type="{kind}"/>' for k, on, kind in keys), '  <graph id="G" edgedefault="directed">')
+    head = _fixed(nodes, 0, '<?xml version="1.0" encoding="UTF-8"?>', '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">', *(f'  <key id="{k}" for="{on}" attr.name="{k}" attr.type="{kind}"/>' for k, on, kind in GRAPHML_KEYS), '  <graph id="G" edgedefault="directed">')
     data = lambda k, c: F.concat(F.lit(f'<data key="{k}">'), xml_escape(c.cast("string")), F.lit("</data>"))
     shown = _lines(nodes, 1, "id", F.concat(F.lit('    <node id="'), xml_escape(F.col("id")), F.lit('">'), *(data(k, F.col(k)) for k in ("kind", "name", "path", "churn", "coupling", "community")), F.lit("</node>")))
     lines = _lines(edges, 2, F.concat_ws("|", "src", "kind", "dst"), F.concat(F.lit('    <edge source="'), xml_escape(F.col("src")), F.lit('" target="'), xml_escape(F.col("dst")), F.lit('">'), data("rel", F.col("kind")), data("weight", F.col("weight")), F.lit("</edge>")))

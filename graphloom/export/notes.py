@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from graphloom.export.formats import yaml_escape
 from graphloom.functions.paths import safe_filename
 from graphloom.operators import rank, reports
+from graphloom.operators.storage import ship
 from graphloom.streaming.watch import changed_notes
 
 BEGIN, END = "<!-- prompt:begin -->", "<!-- prompt:end -->"
@@ -50,6 +51,7 @@ def index_notes(nodes: DataFrame, facts: DataFrame) -> DataFrame:
 
 def write(notes: DataFrame, root: str) -> int:
     """Writes (note, text) below a folder that all workers share; how many."""
+    ship(notes.sparkSession)
 
     def put(batches: Iterator) -> Iterator:
         for pdf in batches:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-#: One alternation, so that a text is read once from left to right; in order: line comment, block comment, three quoted strings, number, white space, any character.
-_TOKENS = r"""(?s)//[^\n]*|/\*(?:.*?\*/|.*\z)|"(?:\\.|[^"\\])*(?:"|\\?\z)|'(?:\\.|[^'\\])*(?:'|\\?\z)|`(?:\\.|[^`\\])*(?:`|\\?\z)|(?:[0-9]|\.[0-9])[0-9._xob]*|\s+|."""
+#: One alternation, so that a text is read once from left to right; in order: line comment, block comment, three quoted strings, number, white space, a run of what begins none of these, any character.
+_TOKENS = r"""(?s)//[^\n]*|/\*(?:.*?\*/|.*\z)|"(?:\\.|[^"\\])*(?:"|\\?\z)|'(?:\\.|[^'\\])*(?:'|\\?\z)|`(?:\\.|[^`\\])*(?:`|\\?\z)|(?:[0-9]|\.[0-9])[0-9._xob]*|\s+|[^/"'`0-9.\s]+|."""
 #: Annotation tags in order of precedence.
 TAGS = ("TODO", "FIXME", "HACK", "NOTE", "BUG", "OPTIMIZE", "WARN", "XXX")
 

@@ -156,12 +156,19 @@ def keywords(text: Column) -> Column:
 
 
 def guarded_sql(spark: SparkSession, sql: str, **views: DataFrame) -> DataFrame:
-    """One SELECT over the named views; anything else is refused. The views live in a session of their own."""
+    """One SELECT over the named views; anything else is refused. The views are there only while the statement is read; views of the caller's that have their names come back."""
     if ";" in sql:
         raise ValueError("only one statement, without ';'")
     words = sql.split()
     if not words or words[0].upper() != "SELECT":
         raise ValueError("only SELECT statements")
-    for name, df in views.items():
-        df.createOrReplaceTempView(name)
-    return spark.sql(sql)
+    own = {t.name: spark.table(t.name) for t in spark.catalog.listTables() if t.isTemporary and t.name in views}
+    try:
+        for name, df in views.items():
+            df.createOrReplaceTempView(name)
+        return spark.sql(sql)
+    finally:
+        for name in views:
+            spark.catalog.dropTempView(name)
+        for name, df in own.items():
+            df.createOrReplaceTempView(name)

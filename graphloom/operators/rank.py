@@ -37,10 +37,10 @@ def entry_points(nodes: DataFrame, limit: int = 20) -> DataFrame:
 
 
 def listed_entry_points(nodes: DataFrame) -> DataFrame:
-    """All symbols that nothing refers to, with a reason."""
+    """All symbols that nothing refers to, with a reason; exported ones first, then by what they refer to."""
     reason = F.when(F.col("exported"), "exported, no callers").when(F.col("kind").isin("Function", "Method"), "no callers in graph (CLI entry / event handler / dead candidate)").otherwise("no incoming references")
     hit = nodes.where((F.col("in_degree") == 0) & ~F.col("kind").isin("File", "Author", "Module") & ~F.col("is_test_file"))
-    return hit.select("id", "kind", "name", "path", "line_start", "exported", "out_degree", reason.alias("reason"))
+    return hit.select("id", "kind", "name", "path", "line_start", "exported", "out_degree", reason.alias("reason")).orderBy(F.desc("exported"), F.desc("out_degree"), "path", "line_start", "id")
 
 
 def god_nodes(nodes: DataFrame, limit: int = 20) -> DataFrame:
@@ -75,9 +75,10 @@ def counts_by_kind(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("kind").agg(F.count("*").alias("n"))
 
 
-def counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row: node_count, edge_count."""
-    return nodes.agg(F.count("*").alias("node_count")).join(F.broadcast(edges.agg(F.count("*").alias("edge_count"))))
+def counts(nodes: DataFrame, edges: DataFrame, snapshots: DataFrame | None = None) -> DataFrame:
+    """One row: node_count, edge_count and, of given snapshots, snapshot_count."""
+    out = nodes.agg(F.count("*").alias("node_count")).join(F.broadcast(edges.agg(F.count("*").alias("edge_count"))))
+    return out if snapshots is None else out.join(F.broadcast(snapshots.agg(F.count("*").alias("snapshot_count"))))
 
 
 def language_breakdown(nodes: DataFrame) -> DataFrame:

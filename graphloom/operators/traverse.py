@@ -27,21 +27,21 @@ def _ends(edges: DataFrame, direction: str) -> DataFrame:
 def within(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int = DEPTH, direction: str = "both", cap: int | None = None) -> DataFrame:
     """(seed, id, hops) of nodes within depth steps of each seed (a column `seed` of ids), the seeds left out.
 
-    Only ids with a node row count, and only through such is it walked on. Unrolled, one plan for
-    all seeds. A cap keeps the first neighbours by id of each node walked from.
+    Only ids with a node row count, and only through such is it walked on. All seeds are walked at once; the ends of
+    edges and each frontier are stored, so a hop's plan holds that hop alone. A cap keeps the first neighbours by
+    id of each node walked from.
     """
     ends = _ends(edges, direction).distinct()
     if cap is not None:
         from pyspark.sql import Window as W
 
         ends = ends.withColumn("_r", F.row_number().over(W.partitionBy("at").orderBy("to"))).where(F.col("_r") <= cap).drop("_r")
-    ids = nodes.select(F.col("id").alias("to"))
-    seeds = seeds.select("seed").distinct()
-    seen = seeds.select("seed", F.col("seed").alias("id"), F.lit(0).alias("hops"))
-    frontier = seen
+    ends = stored(ends.join(nodes.select(F.col("id").alias("to")), "to", "left_semi").select("at", "to"), "ends")
+    frontier = stored(seeds.select("seed").distinct().select("seed", F.col("seed").alias("id"), F.lit(0).alias("hops")), "frontier")
+    seen = frontier
     for hop in range(1, depth + 1):
-        reached = frontier.select("seed", F.col("id").alias("at")).join(ends, "at").select("seed", "to").distinct().join(ids, "to", "left_semi")
-        frontier = reached.join(seen.select("seed", F.col("id").alias("to")), ["seed", "to"], "left_anti").select("seed", F.col("to").alias("id"), F.lit(hop).alias("hops"))
+        reached = frontier.select("seed", F.col("id").alias("at")).join(ends, "at").select("seed", F.col("to").alias("id")).distinct()
+        frontier = stored(reached.join(seen.select("seed", "id"), ["seed", "id"], "left_anti").withColumn("hops", F.lit(hop)), "frontier")
         seen = seen.unionByName(frontier)
     return seen.where("hops > 0")
 

@@ -9,7 +9,7 @@ from graphloom.export import formats
 from graphloom.functions import paths, text
 from graphloom.operators import community, enrich, lookup, rank, reports, resolve, storage, traverse
 from graphloom.plans.projection import Graph
-from graphloom.plans.queries import query
+from graphloom.plans.queries import NORMAL, query
 from graphloom.sources import parse
 from graphloom.streaming import watch
 
@@ -133,32 +133,63 @@ def mermaid(g: Graph) -> DataFrame:
     return formats.mermaid(g.raw_nodes, g.edges, 50).select("line")
 
 
-@query("K12_dot", "SELECT '  \"' || src || '\" -> \"' || dst || '\"' AS arrow FROM edges WHERE kind = 'DEPENDS_ON'")
-def dot(g: Graph) -> DataFrame:
-    lines = formats.dot(g.raw_nodes.where(F.col("kind").isin("Module", "Type")), g.edges.where("kind = 'DEPENDS_ON'"))
-    return lines.where("section = 2").select(F.regexp_extract("line", r"^(.*) \[", 1).alias("arrow"))
+def _case(column: str, table: dict[str, str], other: str) -> str:
+    return f"CASE {column} {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items())} ELSE '{other}' END"
+
+
+def _fixed(lines: list[str], section: int) -> str:
+    """The fixed lines of a section, as SQL rows."""
+    listed = ", ".join("'" + line.replace("'", "''") + "'" for line in lines)
+    return f"SELECT {section} AS section, unnest([{listed}]) AS line"
 
 
-@query("K12_dot_lines")
-def dot_lines(g: Graph) -> DataFrame:
-    """All lines of the whole graph; K12_dot keeps the arrows that its SQL has."""
-    return formats.dot(g.nodes, g.edges)
+#: Two decimals, halves up in the decimal form, as the JVM prints.
+_TWO = "CAST(round(CAST({} AS DECIMAL(18, 10)), 2) AS VARCHAR)"
+_DOT = "replace({}, '\"', '\\\"')"
+_XML = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;')"
 
 
-@query("K13_svg")
+@query(
+    "K12_dot",
+    ", top AS (SELECT greatest(max(churn), 0.01) AS top FROM nodes) "
+    + _fixed(["digraph graph_view {", "  node [shape=circle, style=filled];"], 0)
+    + f" UNION ALL SELECT 1, '  \"' || {_DOT.format('id')} || '\" [label=\"' || {_DOT.format('name')} || '\", color=\"' || {_case('kind', formats.NODE_COLORS, formats.OTHER_NODE)} || '\", width=' || {_TWO.format('0.3 + 0.7 * churn / (SELECT top FROM top)')} || '];' FROM nodes"
+    + f" UNION ALL SELECT 2, '  \"' || {_DOT.format('src')} || '\" -> \"' || {_DOT.format('dst')} || '\" [color=\"' || {_case('kind', formats.EDGE_COLORS, '#999999')} || '\", penwidth=' || {_TWO.format('least(greatest(weight * 1.5, 0.5), 5.0)')} || '];' FROM edges WHERE src IN (SELECT id FROM nodes) AND dst IN (SELECT id FROM nodes) UNION ALL "
+    + _fixed(["}"], 3),
+)
+def dot(g: Graph) -> DataFrame:
+    """All lines of the whole graph."""
+    return formats.dot(g.nodes, g.edges).select("section", "line")
+
+
+@query(
+    "K13_svg",
+    ", c AS (SELECT id, name, kind, row_number() OVER (ORDER BY id) - 1 AS k, count(*) OVER () AS n FROM (SELECT * FROM nodes ORDER BY id LIMIT 200)), p AS (SELECT id, name, kind, 500 + 400 * cos(2 * pi() * k / n) AS x, 500 + 400 * sin(2 * pi() * k / n) AS y FROM c), "
+    "l AS (SELECT e.kind, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM edges e JOIN p a ON a.id = e.src JOIN p b ON b.id = e.dst ORDER BY e.src, e.kind, e.dst LIMIT 400) "
+    + _fixed(['<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 1000 1000">'], 0)
+    + f" UNION ALL SELECT 1, printf('<line x1=\"%.1f\" y1=\"%.1f\" x2=\"%.1f\" y2=\"%.1f\" stroke=\"%s\"/>', x1, y1, x2, y2, {_case('kind', formats.EDGE_COLORS, '#999999')}) FROM l"
+    + f" UNION ALL SELECT 2, printf('<circle cx=\"%.1f\" cy=\"%.1f\" r=\"5\" fill=\"%s\"><title>%s</title></circle>', x, y, {_case('kind', formats.NODE_COLORS, formats.OTHER_NODE)}, {_XML.format('name')}) FROM p UNION ALL "
+    + _fixed(["</svg>"], 3),
+)
 def svg(g: Graph) -> DataFrame:
-    return formats.svg(g.nodes, g.edges).select("section", "k", "line")
+    """All lines of the picture, which shows 200 nodes and 400 edges at most."""
+    return formats.svg(g.nodes, g.edges).select("section", "line")
 
 
-@query("K14_graphml", "SELECT '    <edge source=\"' || src || '\" target=\"' || dst || '\"><data key=\"rel\">' || kind || '</data><data key=\"weight\">1.0</data></edge>' AS line FROM edges WHERE kind = 'DEPENDS_ON'")
-def graphml(g: Graph) -> DataFrame:
-    return formats.graphml(g.raw_nodes.where("kind = 'Module'"), g.edges.where("kind = 'DEPENDS_ON'")).where("section = 2").select("line")
+def _data(key: str, value: str) -> str:
+    return f"'<data key=\"{key}\">' || {_XML.format(f'CAST({value} AS VARCHAR)')} || '</data>'"
 
 
-@query("K14_graphml_lines")
-def graphml_lines(g: Graph) -> DataFrame:
-    """All lines of the whole graph; K14_graphml keeps the edge lines that its SQL has."""
-    return formats.graphml(g.nodes, g.edges)
+@query(
+    "K14_graphml",
+    _fixed(['<?xml version="1.0" encoding="UTF-8"?>', '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">', *(f'  <key id="{k}" for="{on}" attr.name="{k}" attr.type="{kind}"/>' for k, on, kind in formats.GRAPHML_KEYS), '  <graph id="G" edgedefault="directed">'], 0)
+    + f" UNION ALL SELECT 1, '    <node id=\"' || {_XML.format('id')} || '\">' || {' || '.join(_data(k, k) for k in ('kind', 'name', 'path', 'churn', 'coupling', 'community'))} || '</node>' FROM nodes"
+    + f" UNION ALL SELECT 2, '    <edge source=\"' || {_XML.format('src')} || '\" target=\"' || {_XML.format('dst')} || '\">' || {_data('rel', 'kind')} || {_data('weight', 'weight')} || '</edge>' FROM edges UNION ALL "
+    + _fixed(["  </graph>", "</graphml>"], 3),
+)
+def graphml(g: Graph) -> DataFrame:
+    """All lines of the whole graph."""
+    return formats.graphml(g.nodes, g.edges).select("section", "line")
 
 
 # Other reports
@@ -212,7 +243,7 @@ def tldr(g: Graph) -> DataFrame:
     return reports.file_facts(g.nodes, g.edges).select("path", reports.tldr().alias("line"))
 
 
-@query("X3_normalized_bodies")
+@query("X3_normalized_bodies", f"SELECT doc_id, {NORMAL} AS body FROM documents", graph=False)
 def normalized(g: Graph) -> DataFrame:
     return g.table("documents").select("doc_id", text.normalized_body(F.col("text")).alias("body"))
 

@@ -2,16 +2,22 @@
 
 Each element is one SELECT that Spark SQL and DuckDB both run: parts are files, orders functions, customers
 classes, nations modules, regions types, suppliers authors; an order is also a commit that changes its lines' parts.
+As a repository is indexed once and asked many times, nodes, edges and commits are written to the shared folder
+when they are first asked for, and read from there by all queries of the session over the same tables.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from graphloom.operators import enrich
+from graphloom.operators.storage import exists, shared_dir
 from graphloom.schemas import as_edges, as_nodes
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations")
@@ -33,9 +39,9 @@ SELECT 'cls:' || CAST(c_custkey AS STRING), 'Class', c_name, 'customers/' || low
 UNION ALL
 SELECT 'mod:' || CAST(n_nationkey AS STRING), 'Module', n_name, 'modules/' || lower(n_name) || '.go', 1, 1, 'go', CAST(n_nationkey + 1 AS BIGINT), true, CAST(0 AS DOUBLE), NULL, false FROM nation
 UNION ALL
-SELECT 'type:' || CAST(r_regionkey AS STRING), 'Type', r_name, 'types/' || lower(r_name) || '.d.ts', 1, 1, 'typescript', CAST(0 AS BIGINT), true, CAST(0 AS DOUBLE), NULL, false FROM region
+SELECT 'type:' || CAST(r_regionkey AS STRING), 'Type', r_name || ' "& co"', 'types/' || lower(r_name) || '.d.ts', 1, 1, 'typescript', CAST(r_regionkey + 1 AS BIGINT), true, CAST(0 AS DOUBLE), NULL, false FROM region
 UNION ALL
-SELECT 'author:' || CAST(s_suppkey AS STRING), 'Author', s_name, '', 0, 0, '', CAST(0 AS BIGINT), false, CAST(0 AS DOUBLE), NULL, false FROM supplier
+SELECT 'author:' || CAST(s_suppkey AS STRING), 'Author', s_name || ' <s' || CAST(s_suppkey AS STRING) || '@example.org>', '', 0, 0, '', CAST(0 AS BIGINT), false, CAST(0 AS DOUBLE), NULL, false FROM supplier
 """
 
 COMMITS = """
@@ -61,10 +67,14 @@ SELECT 'cls:' || CAST(c_custkey AS STRING), 'mod:' || CAST(c_nationkey AS STRING
 UNION ALL
 SELECT 'mod:' || CAST(n_nationkey AS STRING), 'type:' || CAST(n_regionkey AS STRING), 'DEPENDS_ON', CAST(1 AS DOUBLE), CAST(1 AS DOUBLE) FROM nation
 UNION ALL
-SELECT 'author:' || CAST(l_suppkey AS STRING), 'file:' || CAST(l_partkey AS STRING), 'OWNS', CAST(0.25 AS DOUBLE) * (1 + (l_suppkey + l_partkey) % 4), CAST(1 AS DOUBLE) FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_linenumber = 1) o
+SELECT 'author:' || CAST(l_suppkey AS STRING), 'file:' || CAST(l_partkey AS STRING), 'OWNS', CAST(0.25 AS DOUBLE) * (1 + (l_suppkey + l_partkey) % 4), CAST(1 AS DOUBLE) FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_linenumber = 1 AND l_suppkey % 9 <> 0) o
 """
 
 
+#: Path and schema of what is written, by application, tables and name.
+_INDEX: dict[tuple[str, str, str], tuple[str, StructType]] = {}
+
+
 @dataclass
 class Graph:
     """The projected tables; nodes come enriched."""
@@ -84,21 +94,31 @@ class Graph:
             text = _bound(text, name)
         return self.spark.sql(text, **used)
 
+    def _indexed(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """What make() gave when it was first written in this session for these tables."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _INDEX or not exists(self.spark, _INDEX[key][0]):
+            df, path = make(), f"{shared_dir(self.spark)}/graphloom/index-{name}-{uuid4().hex}"
+            df.write.parquet(path)
+            _INDEX[key] = path, df.schema
+        path, schema = _INDEX[key]
+        return self.spark.read.schema(schema).parquet(path)
+
     @cached_property
     def files(self) -> DataFrame:
         return self._sql(FILES)
 
     @cached_property
     def raw_nodes(self) -> DataFrame:
-        return as_nodes(self._sql(NODES))
+        return self._indexed("raw_nodes", lambda: as_nodes(self._sql(NODES)))
 
     @cached_property
     def edges(self) -> DataFrame:
-        return as_edges(self._sql(EDGES))
+        return self._indexed("edges", lambda: as_edges(self._sql(EDGES)))
 
     @cached_property
     def commits(self) -> DataFrame:
-        return self._sql(COMMITS)
+        return self._indexed("commits", lambda: self._sql(COMMITS))
 
     @cached_property
     def blame(self) -> DataFrame:
@@ -111,6 +131,9 @@ class Graph:
     @cached_property
     def nodes(self) -> DataFrame:
         """With degrees, coupling, churn and test coverage."""
+        return self._indexed("nodes", self._enriched)
+
+    def _enriched(self) -> DataFrame:
         nodes = enrich.with_degrees(self.raw_nodes, self.edges)
         nodes = enrich.with_churn(enrich.with_coupling(nodes), self.churn)
         return enrich.with_test_coverage(nodes, self.edges)

@@ -271,9 +271,10 @@ def groups(g: Graph) -> DataFrame:
     return g.files.groupBy(paths.file_group(F.col("path")).alias("file_group")).agg(F.count("*").alias("n"))
 
 
-@query("W9_collisions", "SELECT path, regexp_extract(path, '^[^/]*/[^/]*', 0) AS file_group, regexp_extract(path, '[^/]*$', 0) AS basename, count(*) OVER (PARTITION BY regexp_extract(path, '^[^/]*/[^/]*', 0), regexp_extract(path, '[^/]*$', 0)) > 1 AS collides FROM files")
+@query("W9_collisions", ", p AS (SELECT regexp_replace(path, '-[0-9]+\\.ts$', '.ts') AS path FROM files) SELECT path, regexp_extract(path, '^[^/]*/[^/]*', 0) AS file_group, regexp_extract(path, '[^/]*$', 0) AS basename, count(*) OVER (PARTITION BY regexp_extract(path, '^[^/]*/[^/]*', 0), regexp_extract(path, '[^/]*$', 0)) > 1 AS collides FROM p")
 def collisions(g: Graph) -> DataFrame:
-    return reports.name_collisions(g.files)
+    """Without the number that keeps the names of files apart."""
+    return reports.name_collisions(g.files.withColumn("path", F.regexp_replace("path", r"-[0-9]+\.ts$", ".ts")))
 
 
 # Aggregations and rankings
@@ -407,23 +408,14 @@ def dependents(g: Graph) -> DataFrame:
 
 @query(
     "G3_blast_radius",
-    _hops("SELECT id AS seed, id FROM raw_nodes WHERE kind IN ('Module', 'Type', 'Author') OR id = 'fn:100'", 3, _BACK)
+    _hops("SELECT id AS seed, id FROM raw_nodes", 3, _BACK)
     + ", k AS (SELECT seed, n.kind, count(*) AS n FROM s3 JOIN raw_nodes n USING (id) WHERE hops > 0 GROUP BY 1, 2), t AS (SELECT seed, CAST(sum(n) AS BIGINT) AS total, string_agg(kind || '=' || n, ',' ORDER BY kind || '=' || n) AS by_kind FROM k GROUP BY seed) SELECT h0.seed, coalesce(total, 0) AS total, coalesce(by_kind, '') AS by_kind, CASE WHEN coalesce(total, 0) > 50 THEN 'CRITICAL' WHEN coalesce(total, 0) > 20 THEN 'HIGH' WHEN coalesce(total, 0) > 5 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM h0 LEFT JOIN t USING (seed)",
 )
 def blast_radius(g: Graph) -> DataFrame:
-    seeds = g.raw_nodes.where(F.col("kind").isin("Module", "Type", "Author") | (F.col("id") == "fn:100"))
-    return traverse.blast_radius(g.raw_nodes, g.edges, seeds.select(F.col("id").alias("seed")))
-
-
-@query("G3_blast_radius_all")
-def blast_radius_all(g: Graph) -> DataFrame:
-    """Of every node; G3_blast_radius keeps the seeds of its SQL."""
+    """Of every node."""
     return traverse.blast_radius(g.raw_nodes, g.edges, g.raw_nodes.select(F.col("id").alias("seed")))
 
 
-_CHAIN = ", calls AS (SELECT DISTINCT src, dst FROM edges WHERE kind IN ('CALLS', 'TESTS')), first AS (SELECT src FROM calls WHERE src NOT IN (SELECT dst FROM calls)), ends AS (SELECT min(src) AS a FROM first)"
-
-
 @query("G4_call_chain", "SELECT CAST(count(*) - 1 AS INT) AS hops, string_agg('fn:' || CAST(o_orderkey AS VARCHAR), '>' ORDER BY o_orderdate, o_orderkey) AS path FROM orders WHERE o_custkey = 10", graph=False)
 def call_chain(g: Graph) -> DataFrame:
     own = g.table("orders").where("o_custkey = 10").orderBy("o_orderdate", "o_orderkey").select("o_orderkey").collect()
@@ -431,7 +423,20 @@ def call_chain(g: Graph) -> DataFrame:
     return chain.select("hops", F.array_join("path", ">").alias("path"))
 
 
-@query("G4_chain_over_kinds")
+def _chain(depth: int) -> str:
+    """Levels of a breadth-first search with the smallest parent of each id, and the way back from t."""
+    out = ", e AS (SELECT DISTINCT src, dst FROM edges), s AS (SELECT min(src) AS id FROM edges WHERE kind = 'OWNS'), t AS (SELECT 'fn:' || CAST(o_orderkey AS VARCHAR) AS id FROM orders WHERE o_custkey = 10 ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1), l0 AS (SELECT id, CAST(NULL AS VARCHAR) AS parent FROM s)"
+    for k in range(1, depth + 1):
+        seen = " UNION ALL ".join(f"SELECT id FROM l{j}" for j in range(k))
+        out += f", l{k} AS (SELECT dst AS id, min(src) AS parent FROM e JOIN l{k - 1} l ON l.id = e.src WHERE dst NOT IN ({seen}) GROUP BY dst)"
+    ways = []
+    for k in range(1, depth + 1):
+        joins = "".join(f" JOIN l{j} ON l{j}.id = l{j + 1}.parent" for j in range(k - 1, -1, -1))
+        ways.append(f"SELECT {k} AS hops, {' || chr(62) || '.join(f'l{j}.id' for j in range(k + 1))} AS path FROM l{k}{joins} WHERE l{k}.id = (SELECT id FROM t)")
+    return out + ", ways AS (" + " UNION ALL ".join(ways) + ") SELECT CAST(hops AS INT) AS hops, path FROM ways"
+
+
+@query("G4_chain_over_kinds", _chain(6))
 def chain_over_kinds(g: Graph) -> DataFrame:
     """From an author to the last order of customer 10, over files and functions."""
     last = g.table("orders").where("o_custkey = 10").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).first()["o_orderkey"]
@@ -535,11 +540,16 @@ def bisect(g: Graph) -> DataFrame:
     return rules.bisect(asked, g.raw_nodes)
 
 
+#: A text's comments dropped, strings S, numbers N, white space one space, in one pass from left to right.
+_TOKENS = r"""(?s)//[^\n]*|/\*(?:.*?\*/|.*\z)|"(?:\\.|[^"\\])*(?:"|\\?\z)|''(?:\\.|[^''\\])*(?:''|\\?\z)|`(?:\\.|[^`\\])*(?:`|\\?\z)|(?:[0-9]|\.[0-9])[0-9._xob]*|[\t\n\x0B\f\r ]+|[^/"''`0-9.\t\n\x0B\f\r ]+|."""
+NORMAL = f"""trim(array_to_string(list_transform(regexp_extract_all(text, '{_TOKENS}'), lambda t: CASE WHEN starts_with(t, '//') OR starts_with(t, '/*') THEN '' WHEN left(t, 1) IN ('"', '''', '`') THEN 'S' WHEN regexp_matches(t, '^([0-9]|\\.[0-9])') THEN 'N' WHEN regexp_matches(t, '^[\\t\\n\\x0B\\f\\r ]') THEN ' ' ELSE t END), ''), ' ')"""
+
+
 def _bodies(g: Graph) -> DataFrame:
     return g.table("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("body"))
 
 
-@query("J24_exact_clones")
+@query("J24_exact_clones", f"WITH n AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY body) AS first FROM (SELECT doc_id, {NORMAL} AS body FROM documents WHERE text IS NOT NULL)) SELECT first AS node_a, doc_id AS node_b, 'exact' AS kind FROM n WHERE doc_id <> first", graph=False)
 def exact_clones(g: Graph) -> DataFrame:
     return clones.exact_clones(_bodies(g)).select("node_a", "node_b", "kind")
 

@@ -17,8 +17,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TAG_NAMES = ("TODO", "FIXME", "HACK", "NOTE", "BUG", "OPTIMIZE", "WARN", "XXX")
-_TAG = {t: re.compile(rf"(?<![A-Za-z0-9_]){t}(?![A-Za-z0-9_])") for t in TAG_NAMES}
+from graphloom.functions.text import TAGS
+from graphloom.operators.storage import ship
+
+_TAG = {t: re.compile(rf"(?<![A-Za-z0-9_]){t}(?![A-Za-z0-9_])") for t in TAGS}
 _C_LIKE = re.compile(r"""(?P<c>//[^\n]*|/\*.*?(?:\*/|\Z))|(?P<s>"(?:\\.|[^"\\\n])*"?|'(?:\\.|[^'\\\n])*'?|`(?:\\.|[^`\\])*`?)""", re.S)
 _RUST = re.compile(r"""(?P<c>//[^\n]*|/\*.*?(?:\*/|\Z))|(?P<s>r(?P<h>\#*)".*?"(?P=h)|"(?:\\.|[^"\\])*"?|'(?:\\.[^']*|[^'\\])')""", re.S)
 _PHP = re.compile(r"""(?P<c>//[^\n]*|\#(?!\[)[^\n]*|/\*.*?(?:\*/|\Z))|(?P<s>"(?:\\.|[^"\\])*"?|'(?:\\.|[^'\\])*'?)""", re.S)
@@ -156,11 +158,11 @@ def _calls(out: Parsed, scan: Scan, owners: list[tuple[int, int, str]], skip: se
 
 
 def _tags(out: Parsed, scan: Scan) -> None:
-    """The first tagged line of each comment; within a line the order of TAG_NAMES decides."""
+    """The first tagged line of each comment; within a line the order of TAGS decides."""
     for a, b in scan.comments:
         comment = scan.text[a:b]
         for k, line in enumerate(comment.split("\n")):
-            tag = next((t for t in TAG_NAMES if _TAG[t].search(line)), None)
+            tag = next((t for t in TAGS if _TAG[t].search(line)), None)
             if tag:
                 in_jsx = scan.text[:a].rstrip().endswith("{") and scan.text[b:].lstrip().startswith("}")
                 kind = ("jsx_commented_code" if "<" in comment else "jsx") if in_jsx else "code"
@@ -352,12 +354,13 @@ PARSERS: dict[str, Callable[[str, str], Parsed]] = {
 
 
 def register(language: str, parser: Callable[[str, str], Parsed]) -> None:
+    """Adds a parser, or takes another one for a language; extract() sends it to the workers as it is then."""
     PARSERS[language] = parser
 
 
-def parse(path: str, language: str, text: str) -> tuple[Parsed, str | None]:
+def parse(path: str, language: str, text: str, parsers: dict[str, Callable[[str, str], Parsed]] | None = None) -> tuple[Parsed, str | None]:
     """What the language's parser sees, and the message of a failure; unknown languages have nothing."""
-    parser = PARSERS.get(language)
+    parser = (PARSERS if parsers is None else parsers).get(language)
     if parser is None:
         return Parsed(path), None
     try:
@@ -376,16 +379,16 @@ SCHEMA = (
 
 def extract(files: DataFrame) -> DataFrame:
     """One row a file (path, language, content) with arrays of what its parser saw; Arrow batches, parsed where the file is."""
-    parsers = PARSERS
+    ship(files.sparkSession)
+    parsers = dict(PARSERS)
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
 
-        PARSERS.update(parsers)
         for pdf in batches:
             rows = []
             for path, language, content in zip(pdf["path"], pdf["language"], pdf["content"], strict=True):
-                p, error = parse(path, language or "", content or "")
+                p, error = parse(path, language or "", content or "", parsers)
                 rows.append((path, language, error, p.nodes, p.edges, p.tags))
             out = pd.DataFrame(rows, columns=["path", "language", "error", "nodes", "edges", "tags"])
             for c, names in (("nodes", ("id", "kind", "name", "line_start", "line_end", "exported", "complexity", "doc_comment")), ("edges", ("src", "dst", "kind", "confidence")), ("tags", ("tag_type", "text", "line", "comment_type"))):

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.paths import EXTENSIONS
+from graphloom.operators.storage import ship
 from graphloom.schemas import BLAME, COMMITS, FILES
 
 #: Directories and file-name ends that a walk leaves out.
@@ -86,6 +87,7 @@ def listed(repo: str, largest: int = LARGEST) -> Iterator[tuple[str, str, int]]:
 
 def repo_files(spark: SparkSession, repo: str, largest: int = LARGEST, per_task: int = 500) -> DataFrame:
     """The files table of a working tree; binary files (a zero byte in the first 8192) and such as aren't UTF-8 are left out."""
+    ship(spark)
     repo = os.path.abspath(repo)
     found = list(listed(repo, largest))
     names = spark.createDataFrame(found, "path string, language string, size_bytes bigint").repartition(max(1, -(-len(found) // per_task)), "path")
@@ -107,6 +109,7 @@ def repo_files(spark: SparkSession, repo: str, largest: int = LARGEST, per_task:
 
 def tree_files(spark: SparkSession, repo: str, ref: str = "HEAD", largest: int = LARGEST) -> DataFrame:
     """The files table of a commit."""
+    ship(spark)
     found = []
     for line in git(repo, "ls-tree", "-r", "-l", "-z", ref).split("\0"):
         if "\t" in line:
@@ -137,6 +140,7 @@ def commits(spark: SparkSession, repo: str, since: str | None = None, parents: s
 
 def blame(spark: SparkSession, repo: str, paths: DataFrame) -> DataFrame:
     """The blame table of the given paths (`path`)."""
+    ship(spark)
 
     def read(batches: Iterator) -> Iterator:
         import pandas as pd
@@ -165,6 +169,7 @@ def changed_paths(spark: SparkSession, repo: str, span: str) -> DataFrame:
 
 def timeline(spark: SparkSession, repo: str, most: int = 100, since: str | None = None, known: DataFrame | None = None) -> DataFrame:
     """Snapshot rows of commits that are not known yet: date, summary, source files in the tree, lines added and removed."""
+    ship(spark)
     import datetime
 
     out = git(repo, "log", "HEAD", f"--max-count={most}", *([f"--since={since}"] if since else []), "--diff-merges=first-parent", "--numstat", "--pretty=format:%x01%H%x02%ct%x02%s%x02")

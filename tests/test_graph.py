@@ -169,6 +169,24 @@ def test_rules_and_bisect(spark):
             lookup.guarded_sql(spark, sql, nodes=nodes)
 
 
+def test_guarded_sql_leaves_no_views(spark):
+    nodes, _ = graph(spark, ["a"], [])
+    spark.range(3).createOrReplaceTempView("nodes")
+    try:
+        assert lookup.guarded_sql(spark, "SELECT count(*) AS n FROM nodes JOIN edges", nodes=nodes, edges=nodes).first()["n"] == 1
+        assert spark.table("nodes").count() == 3 and not spark.catalog.tableExists("edges")
+        with pytest.raises(ValueError):
+            lookup.guarded_sql(spark, "DROP TABLE nodes", nodes=nodes)
+    finally:
+        spark.catalog.dropTempView("nodes")
+
+
+def test_normalized_bodies(spark):
+    bodies = ['x1 = "a\\"b" + 12.5; // c', "/* a\nb */ y\t\n z/2 .5e", "`t", "'", "", None, "a/b//c\nd"]
+    found = spark.createDataFrame([(k, b) for k, b in enumerate(bodies)], "k int, b string").select("k", text.normalized_body(F.col("b")).alias("n")).orderBy("k").collect()
+    assert [r["n"] for r in found] == ["xN = S + N;", "y z/N Ne", "S", "S", "", None, "a/b d"]
+
+
 def test_text_functions(spark):
     cases = [('a = "x//y" + 12; // c', "a = S + N;"), ("foo1", "fooN"), ("x /* y", "x"), ("  a\n\t b  ", "a b"), ("'it\\'s' `t`", "S S"), ("", "")]
     rows = spark.createDataFrame(cases, "t string, want string").select("want", text.normalized_body(F.col("t")).alias("got")).collect()
@@ -249,12 +267,12 @@ def test_exports_hold_the_whole_graph(spark):
     g = Graph(spark, "/root/testdata/sf0.001")
     nodes = {r["id"]: r for r in storage.stored(g.nodes, "n").collect()}
     edges = g.edges.collect()
-    rows = {name: __spark_entry__.queries()[name](spark, g.sf_dir).collect() for name in ("K10_json", "K12_dot_lines", "K13_svg", "K14_graphml_lines")}
+    rows = {name: __spark_entry__.queries()[name](spark, g.sf_dir).collect() for name in ("K10_json", "K12_dot", "K13_svg", "K14_graphml")}
     found = {part: [json.loads(r["json"]) for r in rows["K10_json"] if r["part"] == part] for part in ("nodes", "edges", "meta")}
     assert sorted(n["id"] for n in found["nodes"]) == sorted(nodes) and all(n["churn"] == nodes[n["id"]]["churn"] for n in found["nodes"])
     ends = lambda each: sorted((e["src"], e["kind"], e["dst"]) for e in each)
     assert ends(found["edges"]) == ends(edges) and found["meta"] == [{"node_count": len(nodes), "edge_count": len(edges)}]
-    for name, head, foot in (("K12_dot_lines", 2, 1), ("K14_graphml_lines", 11, 2)):
+    for name, head, foot in (("K12_dot", 2, 1), ("K14_graphml", 11, 2)):
         by = {k: [r["line"] for r in rows[name] if r["section"] == k] for k in range(4)}
         assert [len(by[k]) for k in range(4)] == [head, len(nodes), len(edges), foot]
         assert all(any(i in line for line in by[1]) for i in ("author:1", "file:1", "fn:1", "mod:3", "type:2"))
@@ -281,7 +299,7 @@ def test_blast_radius_of_every_node(spark):
             n[kinds[i]] = n.get(kinds[i], 0) + 1
         total = sum(n.values())
         want[seed] = (total, ",".join(sorted(f"{k}={v}" for k, v in n.items())), "CRITICAL" if total > 50 else "HIGH" if total > 20 else "MEDIUM" if total > 5 else "LOW")
-    found = __spark_entry__.queries()["G3_blast_radius_all"](spark, g.sf_dir).collect()
+    found = __spark_entry__.queries()["G3_blast_radius"](spark, g.sf_dir).collect()
     assert len(found) == len(want) and {r["seed"]: (r["total"], r["by_kind"], r["risk"]) for r in found} == want
 
 

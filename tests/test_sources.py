@@ -103,6 +103,21 @@ def history(tmp_path_factory):
     return str(root)
 
 
+def test_registered_parsers_reach_the_workers(spark):
+    def lines(path, content):
+        out = parse.Parsed(path)
+        for k, name in enumerate(content.split()):
+            out.symbol("Function", name, k + 1, k + 1, True)
+        return out
+
+    parse.register("plain", lines)
+    try:
+        found = parse.nodes_of(parse.extract(spark.createDataFrame([("a.txt", "plain", "x y"), ("b.txt", "none", "z")], "path string, language string, content string"))).collect()
+        assert sorted(r["id"] for r in found) == ["fn:a.txt:x", "fn:a.txt:y"]
+    finally:
+        del parse.PARSERS["plain"]
+
+
 def test_repository(spark, history):
     files = {r["path"]: r for r in repo.repo_files(spark, history).collect()}
     assert sorted(files) == ["src/auth.ts", "src/db.ts", "src/router.ts"] and files["src/db.ts"]["language"] == "typescript"
