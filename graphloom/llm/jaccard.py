@@ -1,7 +1,7 @@
 """Exact n-gram Jaccard join by parity sketches.
 
 A text's node is the 128-bit BLAKE2b digest of its words, so texts of equal words are one node, whatever their
-ids. A node's set holds the distinct word shingles, hashed to 64 bits from BLAKE2b hashes of the words.
+ids. A node's set holds the distinct word shingles, hashed to 64 bits from keyed SipHashes of the words.
 
 Sketch: every token of a set is hashed to one of P parts and toggled there, in a bit sketch (one bit
 a token) and in a XOR of token hashes. The bit sketches' Hamming distance is at most the symmetric
@@ -31,6 +31,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -40,10 +41,12 @@ from graphloom.llm.common import components, mix64, runs, ship, stored
 
 #: A band's largest size over its smallest; how many more parts than t + 1; words hashed at a time.
 RATIO, SLACK, SLICE = 1.5, 0.15, 200_000
-#: A block of a candidate group: documents, and shingles.
-BLOCK_DOCS, BLOCK_SHINGLES = 256, 400_000
-#: Word hashes that a worker keeps.
-CACHE = 1_000_000
+#: A block of a candidate group: documents, and shingles. Groups of up to BLOCKS blocks are cut finer, down to LEAST_DOCS, to be spread over more tasks.
+BLOCK_DOCS, BLOCK_SHINGLES, BLOCKS, LEAST_DOCS = 256, 400_000, 32, 64
+#: So few sets are compared as words at once, without sketches.
+DIRECT = 3
+#: Key of the words' hash.
+HASH_KEY = "parity sketches."
 #: Tokens that tell nothing alone: those in at least so many texts of a batch; at most so many of them.
 COMMON_LEAST, COMMON_MOST = 5, 200_000
 BROADCAST_ROWS = 1_000_000
@@ -52,20 +55,6 @@ _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 
 
-class _Hashes(dict):
-    """Word -> 64 bits of its BLAKE2b digest, filled on demand."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        if len(self) >= CACHE:
-            self.clear()
-        self[word] = h
-        return h
-
-
-_HASHES = _Hashes()
-
-
 def words_of(text: str | None) -> list[bytes]:
     """A-Z in lower case, cut at space and \\x09 to \\x0D; the methods of bytes know ASCII only."""
     return (text or "").encode().lower().split()
@@ -78,9 +67,11 @@ def node_of(words: list[bytes]) -> bytes | None:
 
 def shingle_sets(words: list[list[bytes]], k: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each text's words, and their n + 1 bounds."""
+    from pandas.util import hash_array
+
     counts = np.fromiter(map(len, words), np.int64, len(words))
     bounds = np.concatenate([[0], np.cumsum(counts)])
-    hashes = np.fromiter((h for part in words for h in map(_HASHES.__getitem__, part)), np.uint64, bounds[-1])
+    hashes = hash_array(np.array([*chain.from_iterable(words)], object), hash_key=HASH_KEY, categorize=False)
     text = np.repeat(np.arange(len(counts)), counts)
     n = np.maximum(counts - k + 1, np.minimum(counts, 1))  # shingles of each text
     starts = np.arange(len(hashes)) - bounds[:-1][text] < n[text]
@@ -90,8 +81,9 @@ def shingle_sets(words: list[list[bytes]], k: int) -> tuple[np.ndarray, np.ndarr
     for j in range(k):
         there = size > j
         out[there] = mix64(out[there] * _BASE + hashes[at[there] + j])
-    order = np.lexsort((out, of))
-    out, of = out[order], of[order]
+    ends = np.cumsum(n)
+    for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True):
+        out[a:b].sort()
     fresh = np.ones(len(out), bool)
     fresh[1:] = (out[1:] != out[:-1]) | (of[1:] != of[:-1])
     out, of = out[fresh], of[fresh]
@@ -204,6 +196,8 @@ def shingles_of(words: list[bytes], k: int) -> set[tuple[bytes, ...]]:
 
 def linked(words: list[list[bytes]], left: np.ndarray, right: np.ndarray, k: int, p: int, q: int, labels: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Spanning links of the pairs of left and right members that reach p/q; members of one label count as linked."""
+    if len(words) <= DIRECT:
+        return _compared(words, left, right, k, p, q, labels)
     values, bounds = shingle_sets(words, k)
     sets = [values[bounds[r] : bounds[r + 1]] for r in range(len(words))]
     n = np.diff(bounds)
@@ -240,6 +234,17 @@ def linked(words: list[list[bytes]], left: np.ndarray, right: np.ndarray, k: int
     return out
 
 
+def _compared(words: list[list[bytes]], left: np.ndarray, right: np.ndarray, k: int, p: int, q: int, labels: np.ndarray | None) -> list[tuple[int, int]]:
+    """linked() of a few members."""
+    sets, forest, out = [shingles_of(w, k) for w in words], Forest(len(words)), []
+    for x in left.tolist():
+        for y in right.tolist():
+            if x != y and (labels is None or labels[x] != labels[y]) and forest.root(x) != forest.root(y) and q * len(sets[x] & sets[y]) >= p * len(sets[x] | sets[y]):
+                forest.join(x, y)
+                out.append((x, y))
+    return out
+
+
 def _digested(rows: DataFrame, k: int) -> DataFrame:
     """(id, n, node) of rows (id, text); and rows without n of tokens (id) that many texts of a batch have, their number in node."""
 
@@ -399,8 +404,8 @@ def _links(rows: DataFrame, known: DataFrame, k: int, p: int, q: int, common: np
     # the heads of batches have heads of their own
     labels = labels.join(labels.select(F.col("node").alias("head"), F.col("head").alias("top")), "head", "left").select("node", F.coalesce("top", "head").alias("head"))
     named = stored(wanted.join(labels, "node", "left").select("node", "component", "n", F.coalesce("head", "node").alias("label")), "candidate-labels")
-    mixed = named.groupBy("component").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("nb")).where("l0 <> l1")
-    mixed = stored(mixed.select("component", "nb"), "mixed-groups")
+    mixed = named.groupBy("component").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.least(F.ceil(F.count("*") / LEAST_DOCS), F.greatest(F.lit(BLOCKS), F.ceil(F.count("*") / BLOCK_DOCS))).alias("nb"), F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("ns")).where("l0 <> l1")
+    mixed = stored(mixed.select("component", F.greatest("nb", "ns").cast("int").alias("nb")), "mixed-groups")
     left = F.broadcast(mixed) if mixed.count() <= BROADCAST_ROWS else mixed
     members = named.join(left, "component").select("node", "component", "label", "nb", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int").alias("block"))
     tiles = members.join(texts, "node").select("node", "text", "component", "label", "block", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))

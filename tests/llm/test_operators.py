@@ -291,7 +291,8 @@ def brute_components(texts, k, p):
 
 @pytest.mark.parametrize("k, p", [(3, 90), (5, 80)])
 def test_jaccard(docs, k, p, monkeypatch):
-    monkeypatch.setattr(jaccard, "BLOCK_DOCS", 4)  # candidate groups in several blocks
+    for name, n in (("BLOCK_DOCS", 4), ("LEAST_DOCS", 4), ("DIRECT", 0)):
+        monkeypatch.setattr(jaccard, name, n)  # candidate groups in several blocks
     texts = [t for _, t, *_ in corpus()]
     found = {r["id"]: (r["n"], r["component"]) for r in jaccard.clusters(clashing(docs), k=k, p=p).collect()}
     assert [found[i] for i in range(len(texts))] == brute_components(texts, k, p)
