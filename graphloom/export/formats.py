@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.operators.lookup import induced
+from graphloom.operators.storage import positions
 
 MOST = 500
 #: Keys of GraphML: id, what for, type.
@@ -97,6 +98,21 @@ def circle(nodes: DataFrame, most: int = 200, radius: float = 400.0) -> DataFram
     return placed.select("id", "name", "kind", "k", (F.lit(500.0) + F.lit(radius) * F.cos(angle)).alias("x"), (F.lit(500.0) + F.lit(radius) * F.sin(angle)).alias("y"))
 
 
+def grid(nodes: DataFrame, width: float, height: float, padding: float = 0.08) -> DataFrame:
+    """(id, x, y): all nodes by id on a grid as square as can be, inside a border."""
+    placed = positions(nodes.select("id"), "id").join(F.broadcast(nodes.agg(F.count("*").alias("n"))))
+    columns = F.ceil(F.sqrt("n"))
+    rows = F.ceil(F.col("n") / columns)
+    step = lambda many, whole: F.when(many > 1, F.lit(whole * (1 - 2 * padding)) / (many - 1)).otherwise(0.0)
+    k = F.col("position")
+    return placed.select("id", (F.lit(width * padding) + (k % columns) * step(columns, width)).alias("x"), (F.lit(height * padding) + F.floor(k / columns) * step(rows, height)).alias("y"))
+
+
+def bounds(placed: DataFrame) -> DataFrame:
+    """One row: the smallest and largest x and y."""
+    return placed.agg(F.min("x").alias("min_x"), F.max("x").alias("max_x"), F.min("y").alias("min_y"), F.max("y").alias("max_y"))
+
+
 def svg(nodes: DataFrame, edges: DataFrame, most_nodes: int = 200, most_edges: int = 400) -> DataFrame:
     placed = circle(nodes, most_nodes)
     at = placed.select("id", "x", "y")

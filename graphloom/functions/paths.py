@@ -37,6 +37,19 @@ def safe_filename(raw: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(dashed, r"^-+|-+$", ""), r"^/+", "")
 
 
+def link(target: Column, alias: Column, style: str = "wiki") -> Column:
+    """A link to a note, given without its ending: [[target|alias]], or Markdown's form."""
+    if style == "wiki":
+        return F.concat(F.lit("[["), target, F.lit("|"), alias, F.lit("]]"))
+    return F.concat(F.lit("["), alias, F.lit("]("), target, F.lit(".md)"))
+
+
+def community_slug(label: Column, number: Column) -> Column:
+    """A label as one segment of a path."""
+    slug = F.regexp_replace(F.replace(F.lower(safe_filename(label)), F.lit("/"), F.lit("-")), "^-+|-+$", "")
+    return F.when(slug == "", F.concat(F.lit("community-"), number.cast("string"))).otherwise(slug)
+
+
 def file_group(path: Column) -> Column:
     """The first two directories that tell something, else root."""
     parent = F.when(F.contains(path, F.lit("/")), F.regexp_replace(path, "/[^/]*$", "")).otherwise("")

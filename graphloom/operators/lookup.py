@@ -5,6 +5,8 @@ Results that are cut are cut after a total order; every ranking ends in the id,
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -155,6 +157,19 @@ def keywords(text: Column) -> Column:
     return F.array_distinct(F.filter(words, lambda w: (F.octet_length(w) > 1) & ~w.isin(*STOP_WORDS)))
 
 
+def retrieved(nodes: DataFrame, edges: DataFrame, words: Sequence[str], selected: str | None = None, most: int = 15, with_neighbours: int = 20) -> DataFrame:
+    """What a question is answered from: nodes whose name or id holds a keyword, earlier keywords first, then ids, `most` at most;
+    with neighbours of a selected node up to `with_neighbours`. Most churned first."""
+    hit = F.coalesce(*(F.when(F.contains(F.lower("name"), F.lit(w)) | F.contains(F.lower("id"), F.lit(w)), F.lit(k)) for k, w in enumerate(words)), F.lit(None).cast("int"))
+    found = nodes.withColumn("_k", hit).where("_k IS NOT NULL").orderBy("_k", "id").limit(most).drop("_k")
+    if selected is not None:
+        ends = edges.where(F.col("src") == selected).select(F.col("dst").alias("_end")).union(edges.where(F.col("dst") == selected).select("src")).where(F.col("_end") != selected).distinct()
+        near = nodes.join(ends, nodes["id"] == F.col("_end"), "left_semi").join(F.broadcast(found.select(F.col("id").alias("_id"))), F.col("id") == F.col("_id"), "left_anti")
+        both = found.withColumn("_n", F.lit(0)).unionByName(near.orderBy("id").limit(with_neighbours).withColumn("_n", F.lit(1)))
+        found = both.orderBy("_n", "id").limit(with_neighbours).drop("_n")
+    return found.select("id", "name", "kind", "path", "churn", "community").orderBy(F.desc("churn"), "id")
+
+
 def guarded_sql(spark: SparkSession, sql: str, **views: DataFrame) -> DataFrame:
     """One SELECT over the named views; anything else is refused. The views are there only while the statement is read; views of the caller's that have their names come back."""
     if ";" in sql:

@@ -189,6 +189,13 @@ def tldr() -> Column:
     return F.concat(F.lit("> **"), language.otherwise(F.col("language")), F.lit(" · "), F.col("role"), F.lit("** — "), exported, F.lit(", "), links, F.lit("."), hot)
 
 
+def group_sizes(nodes: DataFrame) -> DataFrame:
+    """(file_group, files, exported): files of each group, and the exported symbols in them."""
+    symbols = nodes.where(F.col("kind").isin("Function", "Class", "Variable", "Type")).groupBy("path").agg(F.count_if("exported").alias("n"))
+    files = nodes.where("kind = 'File'").select("path", file_group(F.col("path")).alias("file_group"))
+    return files.join(symbols, "path", "left").groupBy("file_group").agg(F.count("*").alias("files"), F.coalesce(F.sum("n"), F.lit(0)).alias("exported"))
+
+
 def name_collisions(files: DataFrame) -> DataFrame:
     """(path, file_group, basename, collides): whether another file of the group has the same base name."""
     base = files.select("path", file_group(F.col("path")).alias("file_group"), F.regexp_extract("path", "[^/]*$", 0).alias("basename"))

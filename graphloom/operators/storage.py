@@ -74,6 +74,16 @@ def delete_paths(nodes: DataFrame, edges: DataFrame, paths: DataFrame) -> tuple[
     return kept, left
 
 
+def cleared(table: DataFrame) -> DataFrame:
+    """The table without rows: what a clearing of tags, clones or a whole graph leaves."""
+    return table.limit(0)
+
+
+def upsert_tags(current: DataFrame, new: DataFrame) -> DataFrame:
+    """Tags by id; new ones replace."""
+    return upsert(current, new)
+
+
 def delete_tags(tags: DataFrame, paths: DataFrame) -> DataFrame:
     return tags.join(paths.select(F.col("path").alias("file_path")).distinct(), "file_path", "left_anti").select(*tags.columns)
 
@@ -114,6 +124,35 @@ def evicted(repos: DataFrame, budget: int) -> DataFrame:
     return repos.join(F.broadcast(total)).select("id", "size", (F.col("_total") - before > budget).alias("evict"))
 
 
+def touched(repos: DataFrame, ids: DataFrame, now: Column) -> DataFrame:
+    """repos with last_used_at set to now where their id is among ids (`id`)."""
+    used = ids.select(F.col("id").alias("_used")).distinct()
+    kind = repos.schema["last_used_at"].dataType
+    return repos.join(used, repos["id"] == F.col("_used"), "left").withColumn("last_used_at", F.when(F.col("_used").isNotNull(), now.cast(kind)).otherwise(F.col("last_used_at"))).select(*repos.columns)
+
+
+def registry(entries: DataFrame, present: DataFrame) -> DataFrame:
+    """entries (path, db_path) with state: kept if their path is among those present (`path`), else orphaned."""
+    there = present.select(F.col("path").alias("_there")).distinct()
+    return entries.join(there, entries["path"] == F.col("_there"), "left").select(*entries.columns, F.when(F.col("_there").isNotNull(), "kept").otherwise("orphaned").alias("state"))
+
+
+def untracked(stored_files: DataFrame, kept: DataFrame) -> DataFrame:
+    """Files (`path`) that no kept entry names as its db_path."""
+    return stored_files.join(kept.select(F.col("db_path").alias("path")), "path", "left_anti")
+
+
+def positions(df: DataFrame, key: str) -> DataFrame:
+    """df with `position`, its place from 0 in the order of a unique key.
+
+    Ranks are taken per range of keys and shifted by what comes before, so no task sees all rows.
+    """
+    parts = stored(df.repartitionByRange(key).withColumn("_p", F.spark_partition_id()), "ranges")
+    before = parts.groupBy("_p").agg(F.count("*").alias("n")).withColumn("_before", F.coalesce(F.sum("n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("_p", "_before")
+    ranks = parts.withColumn("_r", F.row_number().over(W.partitionBy("_p").orderBy(key))).join(F.broadcast(before), "_p")  # a row a range
+    return ranks.select(*df.columns, (F.col("_before") + F.col("_r") - 1).cast("long").alias("position"))
+
+
 def snapshots_missing(commits: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Commits without a stored snapshot yet."""
     return commits.join(snapshots.select(F.col("commit_sha").alias("sha")), "sha", "left_anti")

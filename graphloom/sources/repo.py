@@ -193,3 +193,9 @@ def timeline(spark: SparkSession, repo: str, most: int = 100, since: str | None
 def snapshot_json(snapshots: DataFrame) -> DataFrame:
     """With the counts of the snapshot as one JSON column."""
     return snapshots.withColumn("snapshot_data", F.to_json(F.struct("file_count", "insertions", "deletions")))
+
+
+def snapshot_counts(rows: DataFrame) -> DataFrame:
+    """rows with the counts out of their JSON column; what it lacks is null."""
+    read = F.from_json("snapshot_data", "file_count bigint, insertions bigint, deletions bigint")
+    return rows.withColumn("_read", read).select(*(c for c in rows.columns if c != "snapshot_data"), "_read.*")
