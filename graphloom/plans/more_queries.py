@@ -9,7 +9,7 @@ from graphloom.export import formats
 from graphloom.functions import paths, text
 from graphloom.operators import community, enrich, lookup, rank, reports, resolve, storage, traverse
 from graphloom.plans.projection import Graph
-from graphloom.plans.queries import NORMAL, query
+from graphloom.plans.queries import COMMUNITIES, FACTS, NORMAL, query
 from graphloom.sources import parse
 from graphloom.streaming import watch
 
@@ -115,7 +115,15 @@ def communities(g: Graph) -> DataFrame:
     return community.detect(g.raw_nodes, g.edges)
 
 
-@query("X12_labels")
+@query(
+    "X12_labels",
+    COMMUNITIES
+    + ", p AS (SELECT community, min(path) AS p0, max(path) AS p1, min(regexp_replace(path, '[^/]*$', '')) AS d0, max(regexp_replace(path, '[^/]*$', '')) AS d1 FROM nodes WHERE path <> '' GROUP BY community), "
+    "s AS (SELECT *, string_split(d0, '/') AS a, string_split(d1, '/') AS b, regexp_extract(d0, '([^/]*)/$', 1) AS tail, regexp_replace(regexp_extract(p0, '[^/]*$', 0), '\\.[^.]*$', '') AS stem FROM p), "
+    "c AS (SELECT *, regexp_replace(array_to_string(a[1:list_max(list_filter(range(0, 20), lambda k: k <= len(a) AND k <= len(b) AND a[1:k] = b[1:k]))], '/'), '/+$', '') AS prefix FROM s), "
+    "o AS (SELECT community, CASE WHEN p0 = p1 THEN CASE WHEN tail IN ('', 'src', '.') THEN stem ELSE tail || '/' || stem END WHEN prefix <> '' THEN prefix END AS own FROM c) "
+    "SELECT community, coalesce(own, CASE WHEN trim(label) <> '' AND NOT starts_with(label, 'File:') AND NOT starts_with(label, 'Function:') THEN trim(label) END, 'community-' || community) AS label FROM o LEFT JOIN comm ON comm.id = o.community",
+)
 def labels(g: Graph) -> DataFrame:
     return paths.community_labels(g.raw_nodes, rank.communities(g.nodes))
 
@@ -233,12 +241,22 @@ def owns_edges(g: Graph) -> DataFrame:
     return enrich.ownership_edges(enrich.owners(g.blame)).select("src", "dst", F.round("weight", 9).alias("weight"))
 
 
-@query("M3_slice_hashes")
+_JOINED = " FROM nodes f LEFT JOIN sy ON sy.path = f.path LEFT JOIN cr ON cr.path = f.path LEFT JOIN ce ON ce.path = f.path LEFT JOIN te ON te.path = f.path"
+
+
+@query("M3_slice_hashes", FACTS + ", own AS (SELECT path, string_agg(s, ';' ORDER BY s) AS own FROM (SELECT path, id || ':' || line_start || ':' || line_end AS s FROM nodes WHERE kind IN ('Function', 'Class', 'Variable', 'Type')) GROUP BY path) SELECT f.path, sha256(concat_ws(chr(1), f.path, f.community, coalesce(own, ''), coalesce(cr.n, 0), coalesce(ce.n, 0), coalesce(te.n, 0), CAST(floor(coalesce(sy.cx, 0) / 10) AS BIGINT))) AS hash" + _JOINED + " LEFT JOIN own ON own.path = f.path WHERE f.kind = 'File'")
 def slice_hashes(g: Graph) -> DataFrame:
     return reports.slice_hashes(reports.file_facts(g.nodes, g.edges), g.raw_nodes)
 
 
-@query("X22_tldr")
+@query(
+    "X22_tldr",
+    FACTS
+    + "SELECT f.path, '> **' || CASE WHEN f.language = '' THEN 'Source' ELSE f.language END || ' · ' || CASE WHEN contains(lower(f.path), '/tests/') THEN 'test' WHEN coalesce(sy.ex, 0) >= 8 AND coalesce(cr.n, 0) <= 3 THEN 'library' ELSE 'other' END || '** — ' || CASE WHEN coalesce(sy.ex, 0) > 0 THEN sy.ex || ' exported symbol' || CASE WHEN sy.ex = 1 THEN '' ELSE 's' END ELSE 'internal-only' END || ', ' "
+    "|| CASE WHEN coalesce(cr.n, 0) = 0 AND coalesce(ce.n, 0) = 0 THEN 'no cross-file edges' WHEN coalesce(ce.n, 0) = 0 THEN 'called by ' || cr.n || ' other file(s)' WHEN coalesce(cr.n, 0) = 0 THEN 'calls into ' || ce.n || ' other file(s)' ELSE 'called by ' || cr.n || ' · calls into ' || ce.n END || '.' || CASE WHEN f.churn >= 0.5 OR coalesce(sy.cx, 0) >= 10 THEN ' · ⚠ hotspot' ELSE '' END AS line"
+    + _JOINED
+    + " WHERE f.kind = 'File'",
+)
 def tldr(g: Graph) -> DataFrame:
     return reports.file_facts(g.nodes, g.edges).select("path", reports.tldr().alias("line"))
 

@@ -187,17 +187,17 @@ def community_edges(g: Graph) -> DataFrame:
     return rank.community_edges(g.raw_nodes, g.edges, 5)
 
 
-_COMMUNITIES = """, ranked AS (SELECT community, kind || ':' || name AS t, row_number() OVER (PARTITION BY community ORDER BY in_degree DESC, name, id) AS r, count(*) OVER (PARTITION BY community) AS n FROM nodes WHERE community > 0),
+COMMUNITIES = """, ranked AS (SELECT community, kind || ':' || name AS t, row_number() OVER (PARTITION BY community ORDER BY in_degree DESC, name, id) AS r, count(*) OVER (PARTITION BY community) AS n FROM nodes WHERE community > 0),
 comm AS (SELECT community AS id, max(CASE WHEN r = 1 THEN t END) AS label, any_value(n) AS node_count, string_agg(t, ',' ORDER BY r) AS top_nodes FROM ranked WHERE r <= 5 GROUP BY community)
 """
 
 
-@query("A6_communities", _COMMUNITIES + "SELECT id, label, node_count, top_nodes FROM comm")
+@query("A6_communities", COMMUNITIES + "SELECT id, label, node_count, top_nodes FROM comm")
 def communities(g: Graph) -> DataFrame:
     return rank.communities(g.nodes).withColumn("top_nodes", F.array_join("top_nodes", ","))
 
 
-@query("J5_cross_cluster", _COMMUNITIES + "SELECT a.community AS src_community, coalesce(ca.label, '') AS src_label, b.community AS dst_community, coalesce(cb.label, '') AS dst_label, count(*) AS edge_count, sum(e.weight) AS total_weight FROM edges e JOIN nodes a ON a.id = e.src JOIN nodes b ON b.id = e.dst LEFT JOIN comm ca ON ca.id = a.community LEFT JOIN comm cb ON cb.id = b.community WHERE a.community <> b.community AND a.community > 0 AND b.community > 0 AND e.kind IN ('CALLS', 'IMPORTS', 'INHERITS', 'DEPENDS_ON') GROUP BY 1, 2, 3, 4")
+@query("J5_cross_cluster", COMMUNITIES + "SELECT a.community AS src_community, coalesce(ca.label, '') AS src_label, b.community AS dst_community, coalesce(cb.label, '') AS dst_label, count(*) AS edge_count, sum(e.weight) AS total_weight FROM edges e JOIN nodes a ON a.id = e.src JOIN nodes b ON b.id = e.dst LEFT JOIN comm ca ON ca.id = a.community LEFT JOIN comm cb ON cb.id = b.community WHERE a.community <> b.community AND a.community > 0 AND b.community > 0 AND e.kind IN ('CALLS', 'IMPORTS', 'INHERITS', 'DEPENDS_ON') GROUP BY 1, 2, 3, 4")
 def cross_cluster(g: Graph) -> DataFrame:
     return rank.cross_cluster(g.nodes, g.edges, rank.communities(g.nodes))
 
@@ -247,7 +247,7 @@ def symbol_context(g: Graph) -> DataFrame:
     return reports.symbol_context(g.nodes, g.edges, "fn:100")
 
 
-_FACTS = """, ends AS (SELECT e.*, a.path AS sp, a.kind AS sk, a.is_test_file AS st, b.path AS dp, b.kind AS dk FROM edges e JOIN nodes a ON a.id = e.src JOIN nodes b ON b.id = e.dst),
+FACTS = """, ends AS (SELECT e.*, a.path AS sp, a.kind AS sk, a.is_test_file AS st, b.path AS dp, b.kind AS dk FROM edges e JOIN nodes a ON a.id = e.src JOIN nodes b ON b.id = e.dst),
 cr AS (SELECT dp AS path, count(DISTINCT src) AS n FROM ends WHERE kind IN ('CALLS', 'IMPORTS', 'INHERITS') AND sp <> dp AND sk NOT IN ('File', 'Author') GROUP BY dp),
 ce AS (SELECT sp AS path, count(DISTINCT dst) AS n FROM ends WHERE kind IN ('CALLS', 'IMPORTS', 'INHERITS') AND sp <> dp AND dk NOT IN ('File', 'Author') GROUP BY sp),
 te AS (SELECT dp AS path, count(DISTINCT src) AS n FROM ends WHERE st GROUP BY dp),
@@ -255,13 +255,13 @@ sy AS (SELECT path, count(*) AS n, max(complexity) AS cx, count(*) FILTER (expor
 """
 
 
-@query("Q15_file_facts", _FACTS + "SELECT f.path, f.language, round(f.churn, 9) AS churn, f.community, round(coalesce(sy.cx, 0), 9) AS complexity, coalesce(sy.ex, 0) AS exported_count, coalesce(sy.n, 0) AS n_symbols, coalesce(cr.n, 0) AS n_callers, coalesce(ce.n, 0) AS n_callees, coalesce(te.n, 0) AS n_tests FROM nodes f LEFT JOIN sy ON sy.path = f.path LEFT JOIN cr ON cr.path = f.path LEFT JOIN ce ON ce.path = f.path LEFT JOIN te ON te.path = f.path WHERE f.kind = 'File'")
+@query("Q15_file_facts", FACTS + "SELECT f.path, f.language, round(f.churn, 9) AS churn, f.community, round(coalesce(sy.cx, 0), 9) AS complexity, coalesce(sy.ex, 0) AS exported_count, coalesce(sy.n, 0) AS n_symbols, coalesce(cr.n, 0) AS n_callers, coalesce(ce.n, 0) AS n_callees, coalesce(te.n, 0) AS n_tests FROM nodes f LEFT JOIN sy ON sy.path = f.path LEFT JOIN cr ON cr.path = f.path LEFT JOIN ce ON ce.path = f.path LEFT JOIN te ON te.path = f.path WHERE f.kind = 'File'")
 def file_facts(g: Graph) -> DataFrame:
     facts = reports.file_facts(g.nodes, g.edges).drop("role", "file_group")
     return facts.withColumns({c: F.round(c, 9) for c in ("churn", "complexity")})
 
 
-@query("A24_roles", _FACTS + "SELECT CASE WHEN contains(lower(f.path), '/tests/') THEN 'test' WHEN coalesce(sy.ex, 0) >= 8 AND coalesce(cr.n, 0) <= 3 THEN 'library' ELSE 'other' END AS role, count(*) AS n FROM nodes f LEFT JOIN sy ON sy.path = f.path LEFT JOIN cr ON cr.path = f.path WHERE f.kind = 'File' GROUP BY 1")
+@query("A24_roles", FACTS + "SELECT CASE WHEN contains(lower(f.path), '/tests/') THEN 'test' WHEN coalesce(sy.ex, 0) >= 8 AND coalesce(cr.n, 0) <= 3 THEN 'library' ELSE 'other' END AS role, count(*) AS n FROM nodes f LEFT JOIN sy ON sy.path = f.path LEFT JOIN cr ON cr.path = f.path WHERE f.kind = 'File' GROUP BY 1")
 def roles(g: Graph) -> DataFrame:
     return reports.file_facts(g.nodes, g.edges).groupBy("role").agg(F.count("*").alias("n"))
 
