@@ -87,9 +87,11 @@ def met(rows: DataFrame, sums: DataFrame, keys: list[str], count: str, total: in
     """rows joined with sums, which has a row a key and in `count` (then dropped) how many of the `total` rows have it at most.
 
     Rows of a hot key stay where they are and get its row by broadcast: with total rows there are at most total / HUB and HUB_SHARE
-    hot keys. The others meet by shuffle, where no key has more rows than that. Both frames are read twice, so they should be stored.
+    hot keys. The others meet by shuffle, where no key has more rows than that. Both frames are read more than once, so they should be stored.
     """
     most = max(HUB, total // HUB_SHARE)
+    if total <= most or sums.where(F.col(count) > most).isEmpty():
+        return rows.join(sums.drop(count), keys)
     hot = sums.where(F.col(count) > most).drop(count)
     cold = sums.where(F.col(count) <= most).drop(count)
     near = rows.join(F.broadcast(hot), keys)
