@@ -6,12 +6,12 @@ import os
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.export.formats import yaml_escape
-from graphloom.functions.paths import safe_filename
-from graphloom.operators import rank, reports
+from graphloom.functions.paths import file_group, safe_filename
+from graphloom.operators import lookup, rank, reports
 from graphloom.operators.storage import ship
 from graphloom.streaming.watch import changed_notes
 
@@ -28,21 +28,64 @@ def file_notes(facts: DataFrame, nodes: DataFrame) -> DataFrame:
     return facts.join(listed, "path", "left").select("path", note.alias("note"), F.concat(head, body).alias("text"))
 
 
-def index_notes(nodes: DataFrame, facts: DataFrame) -> DataFrame:
-    """(note, text) of the index notes: hotspots, entry points, public symbols, coverage, glossary."""
+def _listing(rows: DataFrame, note: Column, title: Column, line: Column) -> DataFrame:
+    """(note, text) of the lines of each note, sorted; a note gathers what belongs to one folder or community."""
+    lines = rows.select(note.alias("note"), title.alias("title"), line.alias("line")).groupBy("note", "title").agg(F.array_join(F.sort_array(F.collect_list("line")), "\n").alias("t"))
+    return lines.select("note", F.concat(F.lit("# "), "title", F.lit("\n\n"), "t", F.lit("\n")).alias("text"))
+
+
+def public_api_notes(nodes: DataFrame) -> DataFrame:
+    """(note, text): the exported symbols of each community."""
+    place = F.concat(F.lit("index/public-api/community-"), F.col("community").cast("string"), F.lit(".md"))
+    title = F.concat(F.lit("Public API of community "), F.col("community").cast("string"))
+    return _listing(lookup.public_api(nodes), place, title, F.format_string("- `%s` (%s) in %s:%d", "name", "kind", "path", "line_start"))
+
+
+def entry_point_notes(nodes: DataFrame) -> DataFrame:
+    """(note, text): the entry points of each group of files."""
+    group = file_group(F.col("path"))
+    return _listing(rank.listed_entry_points(nodes), F.concat(F.lit("index/entry-points/"), group, F.lit(".md")), F.concat(F.lit("Entry points of "), group), F.format_string("- `%s` in %s: %s", "name", "path", "reason"))
+
+
+NAVIGATE = """# How to find things
+
+- `files/` has a note for each file: its role, its symbols and who refers to them.
+- `index/public-api/` lists what each community exports, `index/entry-points/` what nothing refers to.
+- `index/architecture.md` has the links between communities, `index/ownership.md` who owns how much.
+- `index/hotspots.md` and `index/complexity.md` say where changes are risky.
+- Text between the prompt markers of a note is yours and is kept.
+"""
+
+
+def index_notes(nodes: DataFrame, facts: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """(note, text) of the index notes: overview, navigation, glossary, public symbols, architecture, entry points, risk (hotspots, complexity), coverage, roles, ownership.
+
+    Lists that grow with the code are cut by community or group of files; the others are rankings of fixed length or have a line a community or author.
+    """
+    spark = nodes.sparkSession
 
     def note(name: str, title: str, rows: DataFrame, line) -> DataFrame:
         lines = rows.select(line.alias("line")).agg(F.array_join(F.sort_array(F.collect_list("line")), "\n").alias("t"))
         return lines.select(F.lit(f"index/{name}.md").alias("note"), F.concat(F.lit(f"# {title}\n\n"), F.when(F.col("t") == "", "None.").otherwise(F.col("t")), F.lit("\n")).alias("text"))
 
     parts = [
+        spark.createDataFrame([("index/navigation.md", NAVIGATE)], "note string, text string"),
+        public_api_notes(nodes),
+        entry_point_notes(nodes),
+        note("overview", "Overview", rank.counts_by_kind(nodes).unionByName(rank.language_breakdown(nodes).select(F.col("language").alias("kind"), "n")), F.format_string("- %s: %d", "kind", "n")),
         note("hotspots", "Hotspots", rank.hotspots(nodes, 30, churned_only=True), F.format_string("- %s (score %.3f)", "path", "score")),
-        note("entry-points", "Entry points", rank.listed_entry_points(nodes), F.format_string("- `%s` in %s: %s", "name", "path", "reason")),
         note("roles", "Roles", facts.groupBy("role").agg(F.count("*").alias("n")), F.format_string("- %s: %d", "role", "n")),
+        note("groups", "Groups", reports.group_sizes(nodes), F.format_string("- %s: %d files, %d exported symbols", "file_group", "files", "exported")),
         note("glossary", "Glossary", rank.glossary(nodes), F.format_string("- %s %s: %d", "section", "name", "n")),
         note("docs-coverage", "Documentation coverage", reports.docs_coverage(nodes, by_community=True), F.format_string("- community %d: %.1f %%", "community", "pct")),
         note("complexity", "Complexity", rank.complex_functions(nodes), F.format_string("- `%s` in %s: %.2f", "name", "path", "complexity")),
     ]
+    if edges is not None:
+        crossing = rank.cross_cluster(nodes, edges, rank.communities(nodes))
+        parts += [
+            note("architecture", "Architecture", crossing, F.format_string("- %s to %s: %d links", "src_label", "dst_label", "edge_count")),
+            note("ownership", "Ownership", rank.ownership(nodes, edges), F.format_string("- %s: %d files (%.1f %%)", "name", "files", F.col("share") * 100)),
+        ]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -73,7 +116,7 @@ def generate(nodes: DataFrame, edges: DataFrame, root: str, saved: DataFrame | N
     if saved is not None:
         state = changed_notes(hashes, saved).where("state <> 'unchanged'").select("path")
         notes = notes.join(state, "path", "left_semi")
-    return write(notes, root) + write(index_notes(nodes, facts), root), hashes
+    return write(notes, root) + write(index_notes(nodes, facts, edges), root), hashes
 
 
 def unfilled(spark: SparkSession, root: str) -> DataFrame:

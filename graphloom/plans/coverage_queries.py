@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.export import formats
+from graphloom.export import formats, notes
 from graphloom.functions import paths, purpose, text, units
 from graphloom.operators import lookup, reports, storage, traverse
 from graphloom.plans.projection import Graph
 from graphloom.plans.queries import NORMAL, query
+from graphloom.sources import manifests
 
 # Lookups
 
@@ -226,3 +227,33 @@ def impact_depths(g: Graph) -> DataFrame:
     seed = g.spark.createDataFrame([("file:1",)], "seed string")
     found = traverse.within(g.raw_nodes, g.edges, seed, 4, "in").groupBy("hops").agg(F.count("*").alias("n"))
     return found.unionByName(g.spark.createDataFrame([(0, 1)], "hops int, n long"))
+
+
+@query("K15_public_api_notes", "SELECT 'index/public-api/community-' || community || '.md' AS note, '# Public API of community ' || community || chr(10) || chr(10) || string_agg(line, chr(10) ORDER BY line) || chr(10) AS text FROM (SELECT community, '- `' || name || '` (' || kind || ') in ' || path || ':' || line_start AS line FROM nodes WHERE exported AND kind NOT IN ('File', 'Author', 'Module')) GROUP BY community")
+def public_api_notes(g: Graph) -> DataFrame:
+    return notes.public_api_notes(g.raw_nodes)
+
+
+@query("K15_entry_point_notes", ", e AS (SELECT CASE WHEN contains(path, '/') THEN CASE WHEN contains(regexp_replace(path, '/[^/]*$', ''), '/') THEN regexp_extract(path, '^[^/]*/[^/]*', 0) ELSE regexp_extract(path, '^[^/]*', 0) END ELSE 'root' END AS g, '- `' || name || '` in ' || path || ': ' || CASE WHEN exported THEN 'exported, no callers' WHEN kind IN ('Function', 'Method') THEN 'no callers in graph (CLI entry / event handler / dead candidate)' ELSE 'no incoming references' END AS line FROM nodes WHERE in_degree = 0 AND kind NOT IN ('File', 'Author', 'Module') AND NOT is_test_file) SELECT 'index/entry-points/' || replace(g, ' ', '-') || '.md' AS note, '# Entry points of ' || replace(g, ' ', '-') || chr(10) || chr(10) || string_agg(line, chr(10) ORDER BY line) || chr(10) AS text FROM e GROUP BY 1, g")
+def entry_point_notes(g: Graph) -> DataFrame:
+    return notes.entry_point_notes(g.nodes)
+
+
+@query("S11_merged_dependencies", "SELECT 'dep' || (p_partkey // 3) AS name, coalesce(max(CASE WHEN p_partkey % 3 = 0 AND p_size % 2 = 0 THEN '1.' || p_size END), max(CASE WHEN p_partkey % 3 = 1 THEN '2.' || p_size END), max(CASE WHEN p_partkey % 3 = 2 THEN '3.' || p_size END), '') AS version, CASE WHEN count(*) FILTER (p_partkey % 3 = 2) > 0 THEN 'crates/member/Cargo.toml' WHEN count(*) FILTER (p_partkey % 3 = 1) > 0 THEN 'crates/m/Cargo.toml' ELSE 'Cargo.toml' END AS manifest FROM part GROUP BY p_partkey // 3", graph=False)
+def merged_dependencies(g: Graph) -> DataFrame:
+    """Of up to three manifests; every second root manifest tells no version."""
+    k, n = F.col("p_partkey") % 3, F.col("p_size").cast("string")
+    version = F.when(k == 0, F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("1."), n)).otherwise("")).when(k == 1, F.concat(F.lit("2."), n)).otherwise(F.concat(F.lit("3."), n))
+    manifest = F.when(k == 0, "Cargo.toml").when(k == 1, "crates/m/Cargo.toml").otherwise("crates/member/Cargo.toml")
+    deps = g.table("part").select(F.concat(F.lit("dep"), F.floor(F.col("p_partkey") / 3).cast("string")).alias("name"), version.alias("version"), F.lit("crates.io").alias("ecosystem"), manifest.alias("manifest"), F.lit("normal").alias("dep_kind"))
+    return manifests.merged(deps).select("name", "version", "manifest")
+
+
+@query("J20_usage", "SELECT 'dep' || (p_partkey % 50) AS name, count(*) AS use_count FROM part GROUP BY 1 UNION ALL SELECT 'unused', 0", graph=False)
+def usage(g: Graph) -> DataFrame:
+    """Each part is a TypeScript file that imports one of fifty dependencies, twice."""
+    name = F.concat(F.lit("dep"), (F.col("p_partkey") % 50).cast("string"))
+    content = F.concat(F.lit("import x from '"), name, F.lit("/sub';\nconst y = require('"), name, F.lit("');\nimport z from './"), name, F.lit("';\n"))
+    files = g.table("part").select(F.concat(F.col("p_partkey").cast("string"), F.lit(".ts")).alias("path"), F.lit("typescript").alias("language"), content.alias("content"))
+    deps = g.table("part").select(name.alias("name")).distinct().unionByName(g.spark.createDataFrame([("unused",)], "name string")).withColumn("ecosystem", F.lit("npm"))
+    return manifests.usage(deps, files).select("name", "use_count")

@@ -88,8 +88,52 @@ def dependencies(spark: SparkSession, repo: str, workspaces: bool = False) -> Da
 
 
 def merged(deps: DataFrame) -> DataFrame:
-    """One row a name: of several manifests the one with the shortest path."""
-    return deps.groupBy("name").agg(F.min_by(F.struct("version", "ecosystem", "manifest", "dep_kind"), F.struct(F.length("manifest"), "manifest")).alias("d")).select("name", "d.*")
+    """One row a name: the longest manifest path, as that of a member says more; the first version that is told; the rest from the first manifest."""
+    by = deps.groupBy("name").agg(
+        F.min_by("version", F.struct(F.col("version") == "", "manifest")).alias("version"),
+        F.min_by("ecosystem", "manifest").alias("ecosystem"),
+        F.min_by("manifest", F.struct(-F.length("manifest"), "manifest")).alias("manifest"),
+        F.min_by("dep_kind", F.struct("manifest", "dep_kind")).alias("dep_kind"),
+    )
+    return by.select("name", "version", "ecosystem", "manifest", "dep_kind")
+
+
+#: What a manifest says of a project's stack.
+STACKS = {"Cargo.toml": "Rust workspace", "package.json": "Node project", "pyproject.toml": "Python package", "requirements.txt": "Python package", "go.mod": "Go module"}
+
+
+def header(name: str, text: str) -> tuple[str | None, str | None, str | None]:
+    """Name, version and description of the project that a manifest declares."""
+    if name == "package.json":
+        data = json.loads(text)
+    elif name == "Cargo.toml":
+        data = tomllib.loads(text).get("package", {})
+    elif name == "pyproject.toml":
+        data = tomllib.loads(text).get("project", {})
+    elif name == "go.mod":
+        module = re.search(r"^module\s+(\S+)", text, re.M)
+        data = {"name": module[1]} if module else {}
+    else:
+        data = {}
+    return tuple(data.get(k) if isinstance(data.get(k), str) else None for k in ("name", "version", "description"))
+
+
+def headers(spark: SparkSession, repo: str, workspaces: bool = True) -> DataFrame:
+    """(manifest, name, version, description, stack) of each manifest that can be read."""
+    rows = []
+    for path in manifests(repo, workspaces):
+        try:
+            with open(os.path.join(repo, path)) as f:
+                rows.append((path, *header(os.path.basename(path), f.read()), STACKS[os.path.basename(path)]))
+        except (OSError, ValueError):
+            continue
+    return spark.createDataFrame(rows, "manifest string, name string, version string, description string, stack string")
+
+
+def project(found: DataFrame) -> DataFrame:
+    """One row: of each field of headers() the first that is told, by manifest path, and all stacks."""
+    first = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col("manifest"))).alias(c) for c in ("name", "version", "description")]
+    return found.agg(*first, F.sort_array(F.collect_set("stack")).alias("stacks"))
 
 
 def import_heads(files: DataFrame) -> DataFrame:

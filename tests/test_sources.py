@@ -160,6 +160,15 @@ def test_manifests(spark, tmp_path):
     assert {r["name"] for r in manifests.usage(deps, files).where("use_count > 0").collect()} == {"left-pad", "numpy", "requests", "serde", "github.com/c/d"}
 
 
+def test_project_header(spark, tmp_path):
+    (tmp_path / "Cargo.toml").write_text('[package]\nname = "root"\nversion.workspace = true\n')
+    (tmp_path / "crates" / "a").mkdir(parents=True)
+    (tmp_path / "crates" / "a" / "package.json").write_text('{"name": "a", "version": "2.0", "description": "A."}')
+    (tmp_path / "go.mod").write_text("module m\n")
+    row = manifests.project(manifests.headers(spark, str(tmp_path))).first()
+    assert (row["name"], row["version"], row["description"], row["stacks"]) == ("root", "2.0", "A.", ["Go module", "Node project", "Rust workspace"])
+
+
 def test_incremental_graph(spark):
     files = spark.createDataFrame([("a.ts", "typescript", "export function f() { g(); }"), ("b.ts", "typescript", "export function g() {}"), ("t/__tests__/c.ts", "typescript", "g();"), ("bad.py", "python", "def (")], "path string, language string, content string")
     parsed, hashes = watch.incremental(files, spark.createDataFrame([], "path string, hash string"), parse.extract(files.limit(0)))
