@@ -51,7 +51,7 @@ def test_settings_and_registry(spark):
 
 def test_notes(spark, graph, tmp_path):
     n, hashes = notes.generate(graph.nodes, graph.edges, str(tmp_path / "vault"))
-    assert n == 2 + 6 and os.path.exists(tmp_path / "vault" / "index" / "hotspots.md")
+    assert n == 2 + 12 and os.path.exists(tmp_path / "vault" / "index" / "hotspots.md")
     assert sorted(r["path"] for r in notes.unfilled(spark, str(tmp_path / "vault" / "files")).collect()) == ["src/a.ts", "src/b.ts"]
     again, _ = notes.generate(graph.nodes, graph.edges, str(tmp_path / "vault"), hashes)
     assert again == 6
