@@ -54,7 +54,7 @@ def test_notes(spark, graph, tmp_path):
     assert n == 2 + 12 and os.path.exists(tmp_path / "vault" / "index" / "hotspots.md")
     assert sorted(r["path"] for r in notes.unfilled(spark, str(tmp_path / "vault" / "files")).collect()) == ["src/a.ts", "src/b.ts"]
     again, _ = notes.generate(graph.nodes, graph.edges, str(tmp_path / "vault"), hashes)
-    assert again == 6
+    assert again == 12
     assert notes.readme_excerpt("# T\n\n<img src=x>\n\nA *tool* for\nthings.\n") == "A tool for things."
 
 
