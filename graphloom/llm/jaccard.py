@@ -18,7 +18,7 @@ Hamming distance, nearest first. Groups are cut into blocks, and each pair of bl
 own, so neither a group nor its pairs are ever gathered or emitted. A link counts only when the pair's word shingles,
 compared as words, reach the threshold; what is emitted are spanning links, and their components are taken once more.
 
-Hot keys are combined in each batch before they are shuffled: a batch sends a key once.
+Hot keys are combined before they are shuffled: of HELD_KEYS keys at a time, a task sends each once.
 
 Nulls: a null text has no words, an empty set, and links with nothing; a null id is a document like others, but
 never names a component unless all its ids are null. Texts with fewer words than a shingle have the whole
@@ -45,9 +45,11 @@ RATIO, SLACK, SLICE = 1.5, 0.15, 200_000
 BLOCK_DOCS, BLOCK_SHINGLES, BLOCKS, LEAST_DOCS = 256, 400_000, 32, 64
 #: So few sets are compared as words at once, without sketches.
 DIRECT = 3
+#: Keys that a task holds to combine them; tokens that it holds to count them.
+HELD_KEYS, HELD_TOKENS = 500_000, 2_000_000
 #: Key of the words' hash.
 HASH_KEY = "parity sketches."
-#: Tokens that tell nothing alone: those in at least so many texts of a batch; at most so many of them.
+#: Tokens that tell nothing alone: those in at least so many of the texts that a task holds at a time; at most so many of them.
 COMMON_LEAST, COMMON_MOST = 5, 200_000
 BROADCAST_ROWS = 1_000_000
 
@@ -246,22 +248,32 @@ def _compared(words: list[list[bytes]], left: np.ndarray, right: np.ndarray, k:
 
 
 def _digested(rows: DataFrame, k: int) -> DataFrame:
-    """(id, n, node) of rows (id, text); and rows without n of tokens (id) that many texts of a batch have, their number in node."""
+    """(id, n, node) of rows (id, text); and, with `times`, tokens (as id) that so many of the texts that a task held at a time have."""
+
+    def often(tokens: list[np.ndarray]):
+        import pyarrow as pa
+
+        sorted_tokens = np.sort(np.concatenate(tokens))
+        heads = np.flatnonzero(np.concatenate([[True], sorted_tokens[1:] != sorted_tokens[:-1]]))
+        times = np.diff(np.append(heads, len(sorted_tokens)))
+        kept = times >= COMMON_LEAST
+        m = int(kept.sum())
+        return pa.RecordBatch.from_arrays([pa.array(sorted_tokens[heads[kept]].view(np.int64)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(times[kept])], ["id", "n", "node", "times"])
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        tokens, held = [], 0
         for batch in batches:
-            tokens = []
             for a, b, nodes, values, bounds in chunks(batch.column(1), k):
-                tokens.append(values)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(bounds)), pa.array(nodes, pa.binary()), pa.nulls(b - a, pa.int64())], ["id", "n", "node", "times"])
-            tokens = np.sort(np.concatenate(tokens)) if tokens else np.zeros(0, np.uint64)
-            heads = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, np.int64)
-            times = np.diff(np.append(heads, len(tokens)))
-            often = times >= COMMON_LEAST
-            m = int(often.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[heads[often]].view(np.int64)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(times[often])], ["id", "n", "node", "times"])
+                tokens.append(values)
+                held += len(values)
+                if held >= HELD_TOKENS:
+                    yield often(tokens)
+                    tokens, held = [], 0
+        if held:
+            yield often(tokens)
 
     return rows.mapInArrow(run, "id long, n long, node binary, times long")
 
@@ -283,12 +295,30 @@ def _headed(keys: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 def _candidates(rows: DataFrame, k: int, p: int, q: int, common: np.ndarray | None = None) -> DataFrame:
     """(a, b): nodes of rows (text) that connect all sets with a common key; a is the head of such a key, in a batch or overall."""
 
-    def emit(batches: Iterator) -> Iterator:
+    def combined(names: dict[bytes, int], own: list[np.ndarray], keys: list[np.ndarray]) -> Iterator:
+        """The keys of some nodes, each key once with its smallest node, and the pairs of that node and the others."""
         import pyarrow as pa
 
+        nodes = sorted(names)
+        rank = {node: r for r, node in enumerate(nodes)}
+        place, key = np.array([rank[node] for node in names], np.int64)[np.concatenate(own)], np.concatenate(keys)
+        order = np.lexsort((place, key))
+        place, key = place[order], key[order]
+        first, _, pairs = _headed(key, place)
+        node = pa.array(nodes, pa.binary())
+        salt = mix64(pairs[:, 0].astype(np.uint64) * _BASE + pairs[:, 1].astype(np.uint64))
+        key, place = key[first], place[first]
+        for at in range(0, len(key), 50_000):
+            part = slice(at, at + 50_000)
+            yield pa.RecordBatch.from_arrays([pa.array(key[part].view(np.int64)), node.take(pa.array(place[part])), pa.nulls(len(key[part]), pa.binary())], ["key", "a", "b"])
+        for at in range(0, len(pairs), 50_000):
+            part = slice(at, at + 50_000)
+            yield pa.RecordBatch.from_arrays([pa.array(salt[part].view(np.int64)), node.take(pa.array(pairs[part, 0])), node.take(pa.array(pairs[part, 1]))], ["key", "a", "b"])
+
+    def emit(batches: Iterator) -> Iterator:
+        names: dict[bytes, int] = {}
+        own, keys, held = [], [], 0
         for batch in batches:
-            names: dict[bytes, int] = {}
-            own, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
             for _, _, nodes, values, bounds in chunks(batch.column(0), k):
                 fresh, place = np.zeros(len(nodes), bool), np.zeros(len(nodes), np.int64)
                 for r, node in enumerate(nodes):
@@ -299,19 +329,12 @@ def _candidates(rows: DataFrame, k: int, p: int, q: int, common: np.ndarray | No
                 told = fresh[sets]
                 own.append(place[sets[told]])
                 keys.append(part[told])
-            sorted_names = sorted(names)
-            rank = {node: r for r, node in enumerate(sorted_names)}
-            own = np.array([rank[node] for node in names], np.int64)[np.concatenate(own)]
-            keys = np.concatenate(keys)
-            order = np.lexsort((own, keys))
-            own, keys = own[order], keys[order]
-            first, _, pairs = _headed(keys, own)
-            node = pa.array(sorted_names, pa.binary())
-            salt = mix64(pairs[:, 0].astype(np.uint64) * _BASE + pairs[:, 1].astype(np.uint64))
-            other = pa.concat_arrays([pa.nulls(int(first.sum()), pa.binary()), node.take(pa.array(pairs[:, 1]))])
-            out = pa.RecordBatch.from_arrays([pa.array(np.concatenate([keys[first], salt]).view(np.int64)), node.take(pa.array(np.concatenate([own[first], pairs[:, 0]]))), other], ["key", "a", "b"])
-            for at in range(0, out.num_rows, 100_000):
-                yield out.slice(at, 100_000)
+                held += len(keys[-1])
+                if held >= HELD_KEYS:
+                    yield from combined(names, own, keys)
+                    names, own, keys, held = {}, [], [], 0
+        if own:
+            yield from combined(names, own, keys)
 
     def meet(batches: Iterator) -> Iterator:
         import pyarrow as pa
