@@ -46,29 +46,21 @@ def _seed(w: Column, k: int, taken: list[int]):
     return lambda i: F.struct(i.alias("i"), F.xxhash64(F.lit(k), *(F.get(w, i + F.lit(j)) for j in taken)).alias("h"))
 
 
-def _seeds(w: Column, masks: tuple[str, ...]) -> Column:
-    """All (mask, position) hashes of an array of word hashes, as structs m, i, h."""
+def _seeds(w: Column, masks: tuple[str, ...], numbers: range) -> Column:
+    """(position, hash) under the masks of these numbers at all positions of an array of word hashes, as structs i, h."""
     out = []
-    for k, mask in enumerate(masks):
-        taken = [j for j, c in enumerate(mask) if c == "1"]
-        last = F.size(w) - F.lit(len(mask))
+    for k in numbers:
+        taken = [j for j, c in enumerate(masks[k]) if c == "1"]
+        last = F.size(w) - F.lit(len(masks[k]))
         places = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
         out.append(F.transform(places, _seed(w, k, taken)))
     return F.concat(*out)
 
 
-def seeds(rows: DataFrame, masks: tuple[str, ...] = MASKS) -> DataFrame:
-    """(id, i, h) of rows (id, text): one row for each mask and position."""
+def seeds(rows: DataFrame, masks: tuple[str, ...] = MASKS, numbers: range | None = None) -> DataFrame:
+    """(id, i, h) of rows (id, text): one row for each mask, or each of these numbers, and position."""
     hashed = rows.select("id", F.transform(words(F.col("text")), lambda x: F.xxhash64(x)).alias("w"))
-    return hashed.select("id", F.explode(_seeds(F.col("w"), masks)).alias("s")).select("id", "s.i", "s.h")
-
-
-def _only(rows: DataFrame, masks: tuple[str, ...], k: int) -> DataFrame:
-    """seeds() under mask k alone."""
-    taken = [j for j, c in enumerate(masks[k]) if c == "1"]
-    hashed = rows.select("id", F.transform(words(F.col("text")), lambda x: F.xxhash64(x)).alias("w"))
-    places = F.sequence(F.lit(0), F.size("w") - F.lit(len(masks[k])))
-    return hashed.select("id", F.explode(F.transform(places, _seed(F.col("w"), k, taken))).alias("s")).select("id", "s.i", "s.h")
+    return hashed.select("id", F.explode(_seeds(F.col("w"), masks, range(len(masks)) if numbers is None else numbers)).alias("s")).select("id", "s.i", "s.h")
 
 
 def with_short(items: DataFrame, masks: tuple[str, ...] = MASKS) -> tuple[str, ...]:
@@ -78,6 +70,15 @@ def with_short(items: DataFrame, masks: tuple[str, ...] = MASKS) -> tuple[str, .
     return (*masks, *("1" * r["n"] for r in sorted(lengths)))
 
 
+def item_seeds(items: DataFrame, masks: tuple[str, ...], spaced: int) -> DataFrame:
+    """seeds() of the items: under the first `spaced` masks, and of an item that is exactly as long as one of the others, under that."""
+    n = F.size(words(F.col("text")))
+    out = seeds(items.where(n >= min(map(len, masks[:spaced]))), masks, range(spaced))
+    for k in range(spaced, len(masks)):
+        out = out.unionByName(seeds(items.where(n == len(masks[k])), masks, range(k, k + 1)))
+    return out
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", masks: tuple[str, ...] = MASKS, window: int = WINDOW, share: float = SHARE) -> DataFrame:
     """(id, item, start, n_words, n_equal, best): one row for each document and item that overlap.
 
@@ -87,16 +88,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     """
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
     items = benchmark.select(benchmark[item_col].cast("long").alias("id"), benchmark[item_text_col].cast("string").alias("text")).distinct()
-    short, least = masks, min(map(len, masks))
-    masks = with_short(items, masks)
-    n = F.size(words(F.col("text")))
-    own = [seeds(items.where(n >= least), short)] + [_only(items.where(n == len(m)), masks, k) for k, m in enumerate(masks) if k >= len(short)]
-    item_seeds = own[0]
-    for more in own[1:]:
-        item_seeds = item_seeds.unionByName(more)
-    item_seeds = stored(item_seeds.select(F.col("id").alias("item"), F.col("i").alias("at"), "h").distinct(), "item-seeds")
-    small = item_seeds.count() <= BROADCAST_ROWS
-    hits = seeds(rows, masks).join(F.broadcast(item_seeds) if small else item_seeds, "h").select("id", "item", (F.col("i") - F.col("at")).alias("start")).distinct()
+    all_masks = with_short(items, masks)
+    known = stored(item_seeds(items, all_masks, len(masks)).select(F.col("id").alias("item"), F.col("i").alias("at"), "h").distinct(), "item-seeds")
+    small = known.count() <= BROADCAST_ROWS
+    hits = seeds(rows, all_masks).join(F.broadcast(known) if small else known, "h").select("id", "item", (F.col("i") - F.col("at")).alias("start")).distinct()
     hits = stored(hits, "seed-hits")
     few = hits.count() <= BROADCAST_ROWS
     cut_items = items.select(F.col("id").alias("item"), words(F.col("text")).alias("b"))
@@ -116,10 +111,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     return top.select("id", "item", (-F.col("t.s")).cast("long").alias("start"), F.col("t.n_words").cast("long").alias("n_words"), F.col("t.n_equal").cast("long").alias("n_equal"), F.col("t.best").cast("long").alias("best"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the ids that overlap with an item; a null id goes like any other."""
-    found = overlaps(docs, benchmark, id_col, text_col).select("id").distinct()
-    return docs.join(found, docs[id_col].cast("long").eqNullSafe(found["id"]), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs without the rows whose text overlaps with an item. Texts are known by a 64-bit hash, so equal ones go together and ids play no part."""
+    text = docs[text_col].cast("string")
+    found = overlaps(docs.select(F.xxhash64(text).alias("doc"), text.alias("text")), benchmark, "doc", "text").select("id").distinct()
+    return docs.join(found, F.xxhash64(text) == found["id"], "left_anti")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

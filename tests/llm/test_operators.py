@@ -369,6 +369,8 @@ def test_decontamination(spark, docs, empty):
     assert (found[1, 10]["start"], found[1, 10]["n_equal"], found[3, 10]["start"], found[3, 10]["n_equal"]) == (50, 40, -5, 25)
     assert found[2, 10]["n_equal"] == 35
     assert sorted(r["doc_id"] or 0 for r in decontamination.clean(train, bench).collect()) == [4, 5, 6, 8]
+    mixed = spark.createDataFrame([(None, item), (None, "clean words"), (1, f"x {item}"), (1, "other words")], "doc_id long, text string")
+    assert sorted(r["text"] for r in decontamination.clean(mixed, bench).collect()) == ["clean words", "other words"]
     assert decontamination.clean(clashing(train), bench).columns == clashing(train).columns
     assert decontamination.overlaps(empty, bench).collect() == [] and decontamination.overlaps(train, bench.limit(0)).collect() == []
 
