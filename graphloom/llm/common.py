@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import time
 import uuid
 
 import numpy as np
@@ -49,6 +51,35 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def trim() -> None:
+    """Gives memory that this worker no longer uses back to the system; workers live on from stage to stage."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def lean(run):
+    """A function of Arrow batches that trims at its end, and between batches once a second."""
+
+    def fed(batches):
+        last = time.monotonic()
+        for batch in batches:
+            yield batch
+            if time.monotonic() - last > 1:
+                trim()
+                last = time.monotonic()
+
+    def out(batches):
+        yield from run(fed(batches))
+        trim()
+
+    return out
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on unsigned 64-bit words; wraps."""
     x = x.astype(np.uint64, copy=True)

@@ -37,7 +37,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import components, mix64, runs, ship, stored
+from graphloom.llm.common import components, lean, mix64, runs, ship, stored, trim
 
 #: A band's largest size over its smallest; how many more parts than t + 1; words hashed at a time.
 RATIO, SLACK, SLICE = 1.5, 0.15, 200_000
@@ -275,7 +275,7 @@ def _digested(rows: DataFrame, k: int) -> DataFrame:
         if held:
             yield often(tokens)
 
-    return rows.mapInArrow(run, "id long, n long, node binary, times long")
+    return rows.mapInArrow(lean(run), "id long, n long, node binary, times long")
 
 
 def _common(digested: DataFrame) -> np.ndarray:
@@ -357,8 +357,8 @@ def _candidates(rows: DataFrame, k: int, p: int, q: int, common: np.ndarray | No
             last_key, last_node = keys[-1], coded.dictionary[int(head[-1])].as_py()
             yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(found[:, 0])), coded.dictionary.take(pa.array(found[:, 1]))], ["a", "b"])
 
-    keyed = rows.mapInArrow(emit, "key long, a binary, b binary")
-    return keyed.repartition("key").sortWithinPartitions("key", "a").mapInArrow(meet, "a binary, b binary").where("a <> b").distinct()
+    keyed = rows.mapInArrow(lean(emit), "key long, a binary, b binary")
+    return keyed.repartition("key").sortWithinPartitions("key", "a").mapInArrow(lean(meet), "a binary, b binary").where("a <> b").distinct()
 
 
 def _texts_of(rows: DataFrame, wanted: DataFrame, few: bool) -> DataFrame:
@@ -372,7 +372,7 @@ def _texts_of(rows: DataFrame, wanted: DataFrame, few: bool) -> DataFrame:
 
     ids, nodes = wanted.select(F.col("id").alias("_id")).distinct(), wanted.select("node")
     held = rows.join(F.broadcast(ids) if few else ids, F.col("id").eqNullSafe(F.col("_id")), "left_semi").select("text")
-    return held.mapInArrow(run, "node binary, text string").join(F.broadcast(nodes) if few else nodes, "node", "left_semi").dropDuplicates(["node"])
+    return held.mapInArrow(lean(run), "node binary, text string").join(F.broadcast(nodes) if few else nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
 def _starred(members: DataFrame, k: int, p: int, q: int) -> DataFrame:
@@ -389,7 +389,7 @@ def _starred(members: DataFrame, k: int, p: int, q: int) -> DataFrame:
             links = [nodes[y] for _, y in linked(words, own, np.delete(np.arange(len(nodes)), at), k, p, q)]
             yield pa.RecordBatch.from_arrays([pa.array([head] * len(links), pa.binary()), pa.array(links, pa.binary())], ["a", "b"])
 
-    return members.select("head", "bucket", "node", "text").repartition("head", "bucket").sortWithinPartitions("head", "bucket").mapInArrow(run, "a binary, b binary")
+    return members.select("head", "bucket", "node", "text").repartition("head", "bucket").sortWithinPartitions("head", "bucket").mapInArrow(lean(run), "a binary, b binary")
 
 
 def _tiled(members: DataFrame, k: int, p: int, q: int) -> DataFrame:
@@ -405,7 +405,7 @@ def _tiled(members: DataFrame, k: int, p: int, q: int) -> DataFrame:
             links = linked([words_of(t) for t in table["text"].to_pylist()], np.flatnonzero(block == i), np.flatnonzero(block == j), k, p, q, labels)
             yield pa.RecordBatch.from_arrays([pa.array([nodes[x] for x, _ in links], pa.binary()), pa.array([nodes[y] for _, y in links], pa.binary())], ["a", "b"])
 
-    return members.select("component", "i", "j", "block", "label", "node", "text").repartition("component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(run, "a binary, b binary")
+    return members.select("component", "i", "j", "block", "label", "node", "text").repartition("component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(lean(run), "a binary, b binary")
 
 
 def _links(rows: DataFrame, known: DataFrame, k: int, p: int, q: int, common: np.ndarray) -> DataFrame:
@@ -469,7 +469,9 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def node(texts):
         import pandas as pd
 
-        return pd.Series([node_of(words_of(t)) if isinstance(t, str) else None for t in texts], dtype=object)
+        out = pd.Series([node_of(words_of(t)) if isinstance(t, str) else None for t in texts], dtype=object)
+        trim()
+        return out
 
     marked = docs.withColumns({fresh("n"): node(docs[text_col].cast("string")), fresh("i"): docs[id_col].cast("long")})
     gone = found.toDF(fresh("id"), fresh("node"), fresh("one"))

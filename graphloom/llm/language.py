@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import ship
+from graphloom.llm.common import lean, ship, trim
 
 SAMPLE, LEAST, FEATURES, LEAST_FEATURES, GRAMS, SMOOTHING = 6000, 20, 60_000, 400, (1, 2, 3), 0.5
 #: Of Viterbi: log-probability lost by a switch, and the most that one word can count against a language.
@@ -215,8 +215,8 @@ def viterbi(words: list[np.ndarray], scores: np.ndarray, switch: float = SWITCH)
 
 def labels_of(model: Model, texts: list[str | None]) -> Iterator[tuple[str, list[str], np.ndarray, np.ndarray]]:
     """Of each text: it in lower case, its words, which of them count, and the language of each of these."""
-    for begin in range(0, len(texts), 4 * GROUP):
-        lower = [lowered(text) if model.languages else "" for text in texts[begin : begin + 4 * GROUP]]
+    for begin in range(0, len(texts), 2 * GROUP):
+        lower = [lowered(text) if model.languages else "" for text in texts[begin : begin + 2 * GROUP]]
         if len(model.known) > CACHE:
             model.forget()
         cut = [WORD.findall(text) for text in lower]
@@ -248,7 +248,9 @@ def accepted(docs: DataFrame, model: Model, least: float, text_col: str = "text"
     def fits(texts):
         import pandas as pd
 
-        return pd.Series([lang != UNDETERMINED and score >= least for lang, score in judged(model, [t if isinstance(t, str) else None for t in texts])], dtype=bool)
+        out = pd.Series([lang != UNDETERMINED and score >= least for lang, score in judged(model, [t if isinstance(t, str) else None for t in texts])], dtype=bool)
+        trim()
+        return out
 
     return docs.where(fits(docs[text_col].cast("string")))
 
@@ -269,14 +271,14 @@ def labelled(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
         kinds = [pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))]
         for whole in batches:
-            for begin in range(0, whole.num_rows, 4 * GROUP):
-                batch, rows = whole.slice(begin, 4 * GROUP), []
+            for begin in range(0, whole.num_rows, 2 * GROUP):
+                batch, rows = whole.slice(begin, 2 * GROUP), []
                 for key, (text, words, counts, labels) in zip(batch.column(0).to_pylist(), labels_of(model, batch.column(1).to_pylist()), strict=True):
                     edges = [0, *(np.flatnonzero(np.diff(labels)) + 1).tolist(), len(labels)] if len(labels) else [0]
                     rows.append((key, *verdict(model, words, counts, labels), len(edges) - 1, spans(text, counts, labels, edges) if with_spans else None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds], ["id", "lang_pred", "score", "n_spans", "spans"])
 
-    return docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(lean(run), SCHEMA)
 
 
 def fold(key: Column) -> Column:

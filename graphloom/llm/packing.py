@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm import tokens
-from graphloom.llm.common import ship
+from graphloom.llm.common import lean, ship
 
 CAPACITY, END, LINEAR, QUADRATIC = 2048, 1, 1.0, 1.0 / 2048
 #: Documents, and tokens, that a window holds at most (the last document may pass the second).
@@ -123,7 +123,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
         yield packer.drain()
 
     schema = "id long, start long, length long, crc long, doc_tokens long, sequence long, offset long" + ", ids binary" * with_ids
-    return docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).mapInArrow(run, schema)
+    return docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).mapInArrow(lean(run), schema)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

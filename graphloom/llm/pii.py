@@ -26,7 +26,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import ship
+from graphloom.llm.common import lean, ship, trim
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn", "secret")
@@ -190,7 +190,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 rows.append((key, *(sum(s[0] == k for s in base) for k in BASE), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), len(spans) - len(base), max((s[3] for s in spans), default=0.0)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds], names)
 
-    return docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).mapInArrow(lean(run), SCHEMA)
 
 
 def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -199,7 +199,9 @@ def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     @F.pandas_udf("string")
     def clean(texts):
-        return texts.map(redact, na_action="ignore")
+        out = texts.map(redact, na_action="ignore")
+        trim()
+        return out
 
     return docs.withColumn(text_col, clean(docs[text_col]))
 

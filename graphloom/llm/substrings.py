@@ -38,7 +38,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import met, mix64, ship, stored, text_bytes
+from graphloom.llm.common import lean, met, mix64, ship, stored, text_bytes
 
 LENGTH, GRAM = 200, 64
 #: Bytes hashed at a time; segments of a batch; segments of a group that are compared by columns.
@@ -210,7 +210,7 @@ def _columnwise(segments: DataFrame, keys: list[str], length: int, gram: int) ->
             yield from done(count)
 
     one = segments.select(F.col(keys[0]).alias("g") if len(keys) == 1 else F.xxhash64(*keys).alias("g"), "doc", "lo", "at", "seg")
-    return one.repartition("g").sortWithinPartitions("g").mapInArrow(run, "doc long, a int, b int")
+    return one.repartition("g").sortWithinPartitions("g").mapInArrow(lean(run), "doc long, a int, b int")
 
 
 def _halved(large: DataFrame, length: int, gram: int) -> DataFrame:
@@ -238,7 +238,7 @@ def _halved(large: DataFrame, length: int, gram: int) -> DataFrame:
                         out.append((*np.frombuffer(group + own, np.int64).tolist(), first, last, doc, a, at, part))
             yield _arrow_rows(["g", "d1", "d2", "r0", "r1", "doc", "lo", "at", "seg"], *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True))) if out else _arrow_rows(["g", "d1", "d2", "r0", "r1", "doc", "lo", "at", "seg"], *(pa.array([], t) for t in kinds))
 
-    return large.mapInArrow(run, "g long, d1 long, d2 long, r0 int, r1 int, doc long, lo int, at int, seg binary")
+    return large.mapInArrow(lean(run), "g long, d1 long, d2 long, r0 int, r1 int, doc long, lo int, at int, seg binary")
 
 
 def _compared(segments: DataFrame, length: int, gram: int, group_rows: int) -> DataFrame:
@@ -269,7 +269,7 @@ def repeats(rows: DataFrame, known: DataFrame, length: int = LENGTH, gram: int =
             for text, lo, hi, at, ha, hu in anchors(raw, offsets, length, gram):
                 yield _arrow_rows(["ha", "u1", "u2", "doc", "lo", "hi", "at"], ha.view(np.int64), hu[:, 0], hu[:, 1], docs[text], *(x.astype(np.int32) for x in (lo, hi, at)))
 
-    found = stored(rows.select("doc", "text").mapInArrow(find, "ha long, u1 long, u2 long, doc long, lo int, hi int, at int"), "anchors")
+    found = stored(rows.select("doc", "text").mapInArrow(lean(find), "ha long, u1 long, u2 long, doc long, lo int, hi int, at int"), "anchors")
     total = found.count()
     segment = F.struct("u1", "u2")
     many = found.groupBy("ha").agg(F.count("*").alias("c"), (F.min(segment) != F.max(segment)).alias("mixed")).where("c > 1")
@@ -306,7 +306,7 @@ def repeats(rows: DataFrame, known: DataFrame, length: int = LENGTH, gram: int =
             if out:
                 yield _arrow_rows(["ha", "n", "doc", "lo", "at", "seg"], *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)))
 
-    segments = stored(with_own.mapInArrow(cut, "ha long, n long, doc long, lo int, at int, seg binary"), "segments")
+    segments = stored(with_own.mapInArrow(lean(cut), "ha long, n long, doc long, lo int, at int, seg binary"), "segments")
     return whole.unionByName(copies).unionByName(_compared(segments, length, gram, group_rows))
 
 
@@ -346,7 +346,7 @@ def kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
             columns = list(zip(*rows, strict=True))[: 5 + with_bytes] if rows else [()] * (5 + with_bytes)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=False)], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + with_bytes])
 
-    return joined.mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_bytes)
+    return joined.mapInArrow(lean(run), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_bytes)
 
 
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import tokens
-from graphloom.llm.common import scratch, ship, stored
+from graphloom.llm.common import lean, scratch, ship, stored
 
 KEYS = ("source", "lang", "tokenizer")
 SUMS = ("n_docs", "n_tokens", "n_bytes")
@@ -46,7 +46,7 @@ def counted(docs: DataFrame, version: str = VERSION, vocabulary: str | None = No
 
     kept = docs.select(docs[text_col].cast("string").alias("text"), docs[source_col].cast("string").alias("source"), docs[lang_col].cast("string").alias("lang"), *(c.alias(f"carried_{n}") for n, c in carried.items()))
     schema = "n_tokens long, n_bytes long, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema.fields[1:])
-    return kept.mapInArrow(run, schema).select("source", "lang", F.lit(version).alias("tokenizer"), F.lit(1).cast("long").alias("n_docs"), "n_tokens", "n_bytes", *(F.col(f"carried_{n}").alias(n) for n in carried))
+    return kept.mapInArrow(lean(run), schema).select("source", "lang", F.lit(version).alias("tokenizer"), F.lit(1).cast("long").alias("n_docs"), "n_tokens", "n_bytes", *(F.col(f"carried_{n}").alias(n) for n in carried))
 
 
 def deltas(docs: DataFrame, sign: Column | int = 1, version: str = VERSION, vocabulary: str | None = None, source_col: str = "source", lang_col: str = "lang", text_col: str = "text") -> DataFrame:
