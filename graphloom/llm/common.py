@@ -10,7 +10,18 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.operators.storage import shared_dir, ship  # noqa: F401  (operators take ship from here)
+from graphloom.operators import storage
+from graphloom.operators.storage import shared_dir
+
+#: Rows of an Arrow batch of texts, where the session leaves Spark's default.
+BATCH_SETTING, DEFAULT_ROWS, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives Python workers this package; and lets batches hold fewer rows than Spark's default, as whole texts are large."""
+    storage.ship(spark)
+    if spark.conf.get(BATCH_SETTING, DEFAULT_ROWS) == DEFAULT_ROWS:
+        spark.conf.set(BATCH_SETTING, BATCH_ROWS)
 
 
 #: Paths of intermediates in the order they were made, for release().

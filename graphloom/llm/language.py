@@ -47,7 +47,7 @@ SCRIPTS = (
 )
 _STARTS = [s for s, _ in SCRIPTS]
 WORD = re.compile(r"[^\W\d_]+")
-CACHE, GROUP = 300_000, 512
+CACHE, GROUP = 100_000, 512
 
 
 def script(letter: str) -> str:
