@@ -23,13 +23,42 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Paths of intermediates in the order they were made, for release().
+_MADE: list[str] = []
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: cuts the lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/graphloom/{name}-{uuid.uuid4().hex}"
+    """df written as Parquet in the shared folder and read again: cuts the lineage, survives lost executors. release() deletes it."""
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
+    _MADE.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def mark() -> int:
+    """The place up to which intermediates exist, to be given to release()."""
+    return len(_MADE)
+
+
+def release(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Deletes the intermediates stored since a mark, but for the last `keep`; for callers that read them no more."""
+    upto = max(since, len(_MADE) - keep)
+    for path in _MADE[since:upto]:
+        remove(spark, path)
+    del _MADE[since:upto]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a path of the shared folder by Hadoop's file system."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 _SHIPPED: set[str] = set()
 
 
@@ -74,11 +103,6 @@ def delete_paths(nodes: DataFrame, edges: DataFrame, paths: DataFrame) -> tuple[
     return kept, left
 
 
-def cleared(table: DataFrame) -> DataFrame:
-    """The table without rows: what a clearing of tags, clones or a whole graph leaves."""
-    return table.limit(0)
-
-
 def upsert_tags(current: DataFrame, new: DataFrame) -> DataFrame:
     """Tags by id; new ones replace."""
     return upsert(current, new)

@@ -195,11 +195,6 @@ def tags(g: Graph) -> DataFrame:
     return storage.upsert_tags(left, old.where("p_partkey % 2 = 0").withColumn("text", F.lit("new"))).select("id", "text")
 
 
-@query("K4_cleared", "SELECT 0 AS rows_left", graph=False)
-def cleared(g: Graph) -> DataFrame:
-    return storage.cleared(g.table("part")).agg(F.count("*").cast("int").alias("rows_left"))
-
-
 @query("M4_missing_snapshots", f"SELECT commit_sha AS sha FROM ({_SNAPSHOTS}) WHERE n % 4 <> 0", graph=False)
 def missing_snapshots(g: Graph) -> DataFrame:
     known = _snapshots(g).where("n % 4 = 0")
