@@ -7,8 +7,12 @@ are joined; a hit names a document, an item and a diagonal (how far the item is
 document). On each diagonal the item is compared with the document word by word: it counts when in
 some stretch of WINDOW words (or the whole item, if shorter) SHARE of the words agree.
 
-The benchmark's hashes are broadcast while there are at most BROADCAST_ROWS of them, and joined by
-shuffle beyond; so are the ids of documents with hits, when texts are read again for the comparison.
+First each document is only asked whether it has any seed of the benchmark: one probe a position, however many items share the
+seed. Those that do are read again, equal texts once, and their seeds are joined with the items. What travels from there is the window of
+the document that lies on the item. The benchmark's hashes, the ids of documents with seeds and the items that are hit are
+broadcast while there are at most BROADCAST_ROWS of them (and BROADCAST_WORDS words of items), and joined by shuffle beyond, where a
+seed that more than HOT_ITEMS items share is dealt over several keys. A seed that m items and n different texts share still
+makes a comparison for each pair, spread over all tasks; and the result has a row for each document and item that overlap.
 
 What the masks miss: of all ways to substitute as many words as SHARE allows, 2 of 15,504 in a stretch of 20
 words, 17 of 1820 in an item of 16, 15 of 220 in one of 12, 15 of 28 in one of 8. Items of EXACT to 5 words have
@@ -17,7 +21,7 @@ ordinary text and match nothing.
 
 Nulls: a null text, on either side, matches nothing; a null id does, on either side, as an id of its own. Repeated
 rows: a (document, item) pair is returned once; an id with several texts has the best match of them. Empty
-tables: no rows. Other columns are not looked at.
+tables: no rows. Long texts: a row's seeds are an array of its words' size. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -32,7 +36,10 @@ MASKS = ("1101011", "111001011", "111011")
 #: Items of at least so many words, but fewer than the shortest mask has, are matched as they are.
 EXACT = 4
 WINDOW, SHARE = 20, 0.75
-BROADCAST_ROWS = 1_000_000
+#: Of what is broadcast: rows, and words of items.
+BROADCAST_ROWS, BROADCAST_WORDS = 1_000_000, 5_000_000
+#: Items that share a seed and are joined with the texts that have it as one key.
+HOT_ITEMS = 1000
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
@@ -79,6 +86,67 @@ def item_seeds(items: DataFrame, masks: tuple[str, ...], spaced: int) -> DataFra
     return out
 
 
+def _digest(text: Column) -> Column:
+    """128 bits that stand for a text."""
+    return F.unhex(F.md5(text.cast("binary")))
+
+
+def _salted(known: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """known (h, ..) and found (h, ..) with `salt`: a hash that more than HOT_ITEMS rows of known have is dealt over several salts, to each of which found's rows go."""
+    hot = known.groupBy("h").agg(F.ceil(F.count("*") / HOT_ITEMS).cast("int").alias("_salts")).where("_salts > 1")  # at most a row for HOT_ITEMS of known
+    if hot.isEmpty():
+        return known.withColumn("salt", F.lit(0)), found.withColumn("salt", F.lit(0))
+    hot = F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot
+    dealt = known.join(hot, "h", "left").withColumn("salt", F.pmod(F.xxhash64("item"), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
+    every = found.join(hot, "h", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    return dealt, every
+
+
+def _matches(rows: DataFrame, items: DataFrame, masks: tuple[str, ...], window: int, share: float) -> tuple[DataFrame, DataFrame]:
+    """(held, scored): held has (id, k) of each row (id, text) that has a seed of an item, k its text's digest; scored has (k, item, start, n_words, n_equal, best) of each of these texts and items that overlap.
+
+    Equal texts are compared once. Of a row nothing but its id is kept at first, however many items have its seeds.
+    """
+    all_masks = with_short(items, masks)
+    known = stored(item_seeds(items, all_masks, len(masks)).select(F.col("id").alias("item"), F.col("i").alias("at"), "h").distinct(), "item-seeds")
+    hashes = stored(known.select("h").distinct(), "seed-hashes")
+    few = hashes.count() <= BROADCAST_ROWS
+    wanted = stored(seeds(rows, all_masks).join(F.broadcast(hashes) if few else hashes, "h", "left_semi").select(F.col("id").alias("_id")).distinct(), "rows-with-seeds")
+    few_rows = wanted.count() <= BROADCAST_ROWS
+    with_hits = rows.join(F.broadcast(wanted) if few_rows else wanted, F.col("id").eqNullSafe(F.col("_id")), "left_semi")
+    with_hits = with_hits.where("text IS NOT NULL").withColumn("k", _digest(F.col("text")))
+    texts = stored(with_hits.groupBy("k").agg(F.first("text").alias("text")).select("k", words(F.col("text")).alias("w"), "text"), "texts-with-seeds")
+    own = seeds(texts.select(F.col("k").alias("id"), "text"), all_masks).withColumnRenamed("id", "k")
+    if few and known.count() <= BROADCAST_ROWS:
+        hits = own.join(F.broadcast(known), "h")
+    else:
+        dealt, every = _salted(known, own)
+        hits = every.join(dealt, ["h", "salt"])
+    hits = stored(hits.select("k", "item", (F.col("i") - F.col("at")).alias("start")).distinct(), "seed-hits")
+    hit_items = stored(hits.select("item").distinct(), "hit-items")
+    cut = items.select(F.col("id").alias("_item"), words(F.col("text")).alias("b"))
+    cut = stored(cut.join(hit_items, F.col("_item").eqNullSafe(F.col("item")), "left_semi").withColumn("n_words", F.size("b")), "items-hit")
+    size = cut.agg(F.count("*").alias("n"), F.sum("n_words").alias("words")).first()
+    small = size["n"] <= BROADCAST_ROWS and (size["words"] or 0) <= BROADCAST_WORDS
+    lengths = cut.select("_item", "n_words")
+    same = F.col("item").eqNullSafe(F.col("_item"))
+    placed = hits.join(F.broadcast(lengths) if size["n"] <= BROADCAST_ROWS else lengths, same).select("k", "item", "start", "n_words")
+    begin = F.greatest("start", F.lit(0))
+    windows = placed.join(texts, "k").select("k", "item", "start", (begin - F.col("start")).alias("skip"), F.slice("w", begin + 1, F.greatest(F.col("start") + F.col("n_words") - begin, F.lit(0))).alias("w"))
+    pairs = windows.join(F.broadcast(cut) if small else cut, same)
+    equal = F.transform("b", lambda x, j: F.when(F.get("w", j - F.col("skip")) == x, 1).otherwise(0))
+    pairs = pairs.select("k", "item", "start", "n_words", equal.alias("m"))
+    span = F.least(F.lit(window), F.col("n_words"))
+    add = lambda a, x: a + x
+    best = F.array_max(F.transform(F.sequence(F.lit(1), F.col("n_words") - span + 1), lambda j: F.aggregate(F.slice("m", j, span), F.lit(0), add)))
+    scored = pairs.select("k", "item", "start", "n_words", F.aggregate("m", F.lit(0), add).alias("n_equal"), best.alias("best"), span.alias("span"))
+    return with_hits.select("id", "k").distinct(), scored.where(F.col("best") >= F.ceil(F.col("span") * F.lit(share))).drop("span")
+
+
+def _items(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    return benchmark.select(benchmark[item_col].cast("long").alias("id"), benchmark[text_col].cast("string").alias("text")).distinct()
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", masks: tuple[str, ...] = MASKS, window: int = WINDOW, share: float = SHARE) -> DataFrame:
     """(id, item, start, n_words, n_equal, best): one row for each document and item that overlap.
 
@@ -87,35 +155,21 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     several diagonals, the one with the greatest best, then n_equal, then the smallest start.
     """
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
-    items = benchmark.select(benchmark[item_col].cast("long").alias("id"), benchmark[item_text_col].cast("string").alias("text")).distinct()
-    all_masks = with_short(items, masks)
-    known = stored(item_seeds(items, all_masks, len(masks)).select(F.col("id").alias("item"), F.col("i").alias("at"), "h").distinct(), "item-seeds")
-    small = known.count() <= BROADCAST_ROWS
-    hits = seeds(rows, all_masks).join(F.broadcast(known) if small else known, "h").select("id", "item", (F.col("i") - F.col("at")).alias("start")).distinct()
-    hits = stored(hits, "seed-hits")
-    few = hits.count() <= BROADCAST_ROWS
-    cut_items = items.select(F.col("id").alias("item"), words(F.col("text")).alias("b"))
-    wanted = hits.select(F.col("id").alias("_id")).distinct()
-    cut_docs = rows.join(F.broadcast(wanted) if few else wanted, F.col("id").eqNullSafe(F.col("_id")), "left_semi").select("id", words(F.col("text")).alias("w"))
-    pairs = cut_docs.join(hits.withColumnRenamed("id", "_id"), F.col("id").eqNullSafe(F.col("_id")))
-    cut_items = cut_items.withColumnRenamed("item", "_item")
-    pairs = pairs.join(F.broadcast(cut_items) if small else cut_items, F.col("item").eqNullSafe(F.col("_item")))
-    equal = F.transform("b", lambda x, k: F.when(F.get("w", F.col("start") + k) == x, 1).otherwise(0))
-    pairs = pairs.select("id", "item", "start", F.size("b").alias("n_words"), equal.alias("m"))
-    span = F.least(F.lit(window), F.col("n_words"))
-    add = lambda a, x: a + x
-    best = F.array_max(F.transform(F.sequence(F.lit(1), F.col("n_words") - span + 1), lambda j: F.aggregate(F.slice("m", j, span), F.lit(0), add)))
-    scored = pairs.select("id", "item", "start", "n_words", F.aggregate("m", F.lit(0), add).alias("n_equal"), best.alias("best"), span.alias("span"))
-    found = scored.where(F.col("best") >= F.ceil(F.col("span") * F.lit(share)))
-    top = found.groupBy("id", "item").agg(F.max(F.struct("best", "n_equal", (-F.col("start")).alias("s"), "n_words")).alias("t"))
+    held, scored = _matches(rows, _items(benchmark, item_col, item_text_col), masks, window, share)
+    best = F.max(F.struct("best", "n_equal", (-F.col("start")).alias("s"), "n_words")).alias("t")
+    by_text = stored(scored.groupBy("k", "item").agg(best), "matches")
+    some = by_text.select("k").distinct()
+    owners = stored(held.join(F.broadcast(some) if some.count() <= BROADCAST_ROWS else some, "k", "left_semi"), "owners")
+    top = by_text.join(owners, "k").groupBy("id", "item").agg(F.max("t").alias("t"))
     return top.select("id", "item", (-F.col("t.s")).cast("long").alias("start"), F.col("t.n_words").cast("long").alias("n_words"), F.col("t.n_equal").cast("long").alias("n_equal"), F.col("t.best").cast("long").alias("best"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs without the rows whose text overlaps with an item. Texts are known by a 64-bit hash, so equal ones go together and ids play no part."""
+    """docs without the rows whose text overlaps with an item. Texts are known by a 128-bit digest, so equal ones go together and ids play no part."""
     text = docs[text_col].cast("string")
-    found = overlaps(docs.select(F.xxhash64(text).alias("doc"), text.alias("text")), benchmark, "doc", "text").select("id").distinct()
-    return docs.join(found, F.xxhash64(text) == found["id"], "left_anti")
+    _, scored = _matches(docs.select(_digest(text).alias("id"), text.alias("text")), _items(benchmark), MASKS, WINDOW, SHARE)
+    found = stored(scored.select(F.col("k").alias("_k")).distinct(), "texts-found")
+    return docs.join(F.broadcast(found) if found.count() <= BROADCAST_ROWS else found, _digest(text) == found["_k"], "left_anti")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
