@@ -4,8 +4,9 @@ Kinds and what proposes them:
   email, ip, card, phone   the base kinds; a match that fails its check is dropped, without a retry
   iban                     a country's letters, two digits and as many letters or digits as the country's numbers
                            have, single spaces between them; confirmed by mod 97
-  ssn                      ddd-dd-dddd; counts only with a context word nearby
-  secret                   a value after token, password, secret or api key, in any case; key ids of the form AKIA...
+  ssn                      ddd-dd-dddd in the ranges that are given out; counts only with a context word nearby
+  secret                   a value after token, password, secret or api key, in any case, confirmed where it is unlike a word of prose
+                           (see unlike_prose()); key ids of the form AKIA...
 Base kinds are leftmost and do not overlap within a kind. A span's score is the kind's prior, raised
 for a checksum and for a context word (a whole word, or its plural) within CONTEXT code points; base spans
 stay whatever their score, the others need THRESHOLD.
@@ -23,15 +24,16 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import lean, ship, trim
+from graphloom.llm.common import lean, ship, slices, trim
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn", "secret")
 CONTEXT, THRESHOLD = 48, 0.6
-PRIOR = {"email": 0.8, "ip": 0.5, "card": 0.4, "phone": 0.5, "iban": 0.4, "ssn": 0.3, "secret": 0.6}
+PRIOR = {"email": 0.8, "ip": 0.5, "card": 0.4, "phone": 0.5, "iban": 0.4, "ssn": 0.3, "secret": 0.2}
 CONFIRMED, NEARBY = 0.4, 0.35
 WORDS = {
     "email": ("mail", "email", "contact", "write"),
@@ -40,7 +42,7 @@ WORDS = {
     "phone": ("phone", "telephone", "tel", "call", "mobile", "fax"),
     "iban": ("iban", "account", "bank"),
     "ssn": ("ssn", "social security", "security number"),
-    "secret": ("token", "password", "passwd", "secret", "key", "apikey", "api_key", "api-key"),
+    "secret": ("token", "password", "passwd", "secret", "key", "apikey", "api_key", "api-key", "credential", "login"),
 }
 _NEAR = {kind: re.compile(rf"(?<![^\W\d_])(?:{'|'.join(words)})s?(?![^\W\d_])", re.I) for kind, words in WORDS.items()}
 #: Characters of an IBAN by country.
@@ -64,8 +66,8 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN_START = re.compile(r"(?<![A-Za-z0-9])([A-Z]{2})[0-9]{2}")
 _IBAN_REST = {n: re.compile(rf"(?:\x20?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])") for n in sorted(set(IBAN_LENGTHS.values()))}
-_SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
-_SECRET = re.compile(r"(?i:token|password|passwd|secret|api[_-]?key)\x20?[=:]\x20?[\"']?([A-Za-z0-9+/_-]{8,})|(?<![A-Z0-9])(AKIA[A-Z0-9]{16})(?![A-Z0-9])")
+_SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
+_SECRET = re.compile(r"(?i:token|password|passwd|secret|api[_-]?key)(?P<sign>\x20?[=:]\x20?)(?P<quote>[\"']?)(?P<value>[A-Za-z0-9+/_-]{8,})|(?<![A-Z0-9])(?P<id>AKIA[A-Z0-9]{16})(?![A-Z0-9])")
 #: One of these is in every text with a secret, in lower case.
 _SECRET_STARTS = ("token", "passw", "secret", "api", "akia")
 
@@ -122,9 +124,31 @@ def ibans(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def score(text: str, kind: str, start: int, end: int, confirmed: bool) -> float:
-    """Between 0 and 1."""
-    near = _NEAR[kind].search(text[max(0, start - CONTEXT) : start]) or _NEAR[kind].search(text[end : end + CONTEXT])
+def unlike_prose(m: re.Match) -> bool:
+    """Whether a value after `password:` and the like is hardly an ordinary word.
+
+    It holds a digit, or mixes cases other than by a first capital; or it has an underscore or two other marks inside (one after an
+    equals sign); or it is assigned without a space, or quoted after an equals sign.
+    """
+    value = m["value"]
+    if any("0" <= c <= "9" for c in value) or not (value.islower() or value.isupper() or value[1:].islower()):
+        return True
+    inner = value.strip("+/_-")
+    if "_" in inner or sum(c in "+/-" for c in inner) > ("=" not in m["sign"]):
+        return True
+    quoted = m["quote"] and m.string[m.end() : m.end() + 1] == m["quote"]
+    return m["sign"] in ("=", ":") or bool(quoted and "=" in m["sign"])
+
+
+def secrets(text: str) -> list[tuple[int, int, int, bool]]:
+    """(start, end, start of the word that proposes it, confirmed)."""
+    return [(*m.span("id"), m.start(), True) if m["id"] else (*m.span("value"), m.start(), unlike_prose(m)) for m in _SECRET.finditer(text)]
+
+
+def score(text: str, kind: str, start: int, end: int, confirmed: bool, proposed: int | None = None) -> float:
+    """Between 0 and 1; what proposed the span, from there on, is no context of it."""
+    before = start if proposed is None else proposed
+    near = _NEAR[kind].search(text[max(0, before - CONTEXT) : before]) or _NEAR[kind].search(text[end : end + CONTEXT])
     return min(1.0, PRIOR[kind] + CONFIRMED * confirmed + NEARBY * bool(near))
 
 
@@ -144,7 +168,7 @@ def find(text: str | None) -> list[tuple[str, int, int, float]]:
         more += [("ssn", *m.span(), score(text, "ssn", *m.span(), False)) for m in _SSN.finditer(text)]
     lower = text.lower()
     if any(w in lower for w in _SECRET_STARTS):
-        more += [("secret", *m.span(m.lastindex), score(text, "secret", *m.span(m.lastindex), m.lastindex == 2)) for m in _SECRET.finditer(text)]
+        more += [("secret", a, b, score(text, "secret", a, b, sure, proposed)) for a, b, proposed, sure in secrets(text)]
     return out + [x for x in more if x[3] >= THRESHOLD]
 
 
@@ -178,8 +202,6 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     ship(docs.sparkSession)
 
     def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
         kinds = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.int64(), pa.float64()]
         names = [c.split()[0] for c in SCHEMA.split(", ")]
         for batch in batches:
@@ -197,13 +219,13 @@ def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with the texts redacted; all else as it was."""
     ship(docs.sparkSession)
 
-    @F.pandas_udf("string")
-    def clean(texts):
-        out = texts.map(redact, na_action="ignore")
+    @F.arrow_udf("string")
+    def clean(texts: pa.Array) -> pa.Array:
+        parts = [pa.array([redact(t) for t in texts.slice(a, b - a).to_pylist()], texts.type) for a, b in slices(texts)]
         trim()
-        return out
+        return pa.concat_arrays(parts) if parts else texts
 
-    return docs.withColumn(text_col, clean(docs[text_col]))
+    return docs.withColumn(text_col, clean(docs[text_col].cast("string")))
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
