@@ -90,7 +90,7 @@ class Rollup:
         """Folder by name of what is committed."""
         found = self._fs.globStatus(self._path(f"{self.path}/*/_SUCCESS")) or []
         folders = [str(f.getPath().getParent()) for f in found]
-        return {f.rsplit("/", 1)[1]: f for f in folders}
+        return {name: f for f in folders if re.fullmatch(r"batch-.*|base-[0-9]+", name := f.rsplit("/", 1)[1])}
 
     def _live(self) -> tuple[list[str], set[str]]:
         """Folders to sum, and all batch names that they cover."""
@@ -118,21 +118,26 @@ class Rollup:
         return True
 
     def compact(self) -> None:
-        """Folds all that is committed into a new base; its totals are written last, and with them it counts."""
+        """Folds all that is committed into a new base; its mark is written last, and with it it counts. Then what it covers is deleted, so not beside a reader."""
         folders, covered = self._live()
         if not folders:
             return
-        name = f"base-{len(self._done()):08d}"
+        last = max((int(n[5:]) for n in self._done() if n.startswith("base-")), default=-1)
+        name = f"base-{last + 1:08d}"
+        self._fs.delete(self._path(f"{self.path}/{name}.tmp"), True)  # of a compaction that was cut off
         totals = self._sum(folders)
         self.spark.createDataFrame([(n,) for n in sorted(covered)], "name string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/names-{name}")
         totals.write.mode("overwrite").parquet(f"{self.path}/{name}.tmp/data")
         self._fs.rename(self._path(f"{self.path}/names-{name}"), self._path(f"{self.path}/{name}.tmp/names"))
         self._fs.create(self._path(f"{self.path}/{name}.tmp/_SUCCESS")).close()
         self._fs.rename(self._path(f"{self.path}/{name}.tmp"), self._path(f"{self.path}/{name}"))
+        for old, folder in self._done().items():
+            if old != name and (old.startswith("base-") or old[6:] in covered):
+                self._fs.delete(self._path(folder), True)
 
     def _sum(self, folders: list[str]) -> DataFrame:
         schema = ", ".join([*(f"{k} string" for k in KEYS), *(f"{s} long" for s in SUMS)])
-        paths = [f"{f}/data" if "/base-" in f else f for f in folders]
+        paths = [f"{f}/data" if f.rsplit("/", 1)[1].startswith("base-") else f for f in folders]
         rows = self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
         summed = rows.groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in SUMS))
         return summed.where(" OR ".join(f"{s} <> 0" for s in SUMS))
