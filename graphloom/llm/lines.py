@@ -34,10 +34,11 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import lean, met, mix64, runs, scratch, ship, stored
+from graphloom.llm.common import lean, met, mix64, runs, scratch, ship, stored, trim
 
 LEAST = 10
 SHARD_KEYS, MOST_SHARDS = 250_000, 1 << 16
@@ -157,8 +158,6 @@ def _line_rows(docs: DataFrame) -> DataFrame:
     """(doc, h1, h2) of docs (doc, text): a row for each distinct long key of a text."""
 
     def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
         def out(ids, keys):
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, pa.int64()) for c in (zip(*keys, strict=True) if keys else ([], [])))], ["doc", *KEY])
 
@@ -180,8 +179,6 @@ def _filtered(rows: DataFrame) -> DataFrame:
     """rows (shard, kind, h1, h2, table), the shard's filter first if it has one (kind 0): its keys (kind 1) with `known`, false if it surely has not seen them."""
 
     def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
         shard, held = None, None
         for batch in batches:
             shards, kinds = np.asarray(batch.column(0)), np.asarray(batch.column(1))
@@ -205,8 +202,6 @@ def _changed(rows: DataFrame) -> DataFrame:
     """(shard, table): filters after rows (shard, kind, h1, h2, table), of kind 0 the old filter, 1 keys that come, 2 keys that go. A null table: it is to be made anew, larger."""
 
     def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
         for table in runs(batches, 1):
             kind, hashes = np.asarray(table["kind"]), np.asarray(table["h2"].fill_null(0)).view(np.uint64)
             come, go = hashes[kind == 1], hashes[kind == 2]
@@ -372,19 +367,20 @@ class Index:
         marks = marks.toDF(*map(fresh, ("doc", "h1", "h2")))
         joined = docs.join(F.broadcast(marks) if small else marks, docs[id_col].cast("long").eqNullSafe(F.col(fresh("doc"))), "left")
 
-        @F.pandas_udf("n long, d long, t string")
-        def cut(texts, h1, h2):
-            import pandas as pd
-
-            out = []
+        @F.arrow_udf("struct<n: bigint, d: bigint, t: string>")
+        def cut(texts: pa.Array, h1: pa.Array, h2: pa.Array) -> pa.Array:
+            n_lines, n_dropped, kept_texts = [], [], []
             for text, a, b in zip(texts, h1, h2, strict=True):
-                lines = (text if isinstance(text, str) else "").split("\n")
+                lines = (text.as_py() or "").split("\n")
                 kept = lines
-                if a is not None:
-                    dropped = set(zip(a.tolist(), b.tolist(), strict=True))
+                if a.is_valid:
+                    dropped = set(zip(a.as_py(), b.as_py(), strict=True))
                     kept = [line for line in lines if key_of(line) not in dropped]
-                out.append((len(lines), len(lines) - len(kept), "\n".join(kept) if isinstance(text, str) else None))
-            return pd.DataFrame(out, columns=["n", "d", "t"])
+                n_lines.append(len(lines))
+                n_dropped.append(len(lines) - len(kept))
+                kept_texts.append("\n".join(kept) if text.is_valid else None)
+            trim()
+            return pa.StructArray.from_arrays([pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept_texts, pa.string())], ["n", "d", "t"])
 
         joined = joined.withColumn(fresh("cut"), cut(docs[text_col].cast("string"), fresh("h1"), fresh("h2")))
         others = [c for c in docs.columns if c not in (text_col, lines_col, dropped_col)]
