@@ -4,62 +4,38 @@ from __future__ import annotations
 
 import contextlib
 import time
-import uuid
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators import storage
-from graphloom.operators.storage import shared_dir
+from graphloom.operators.storage import mark, release, remove, scratch, ship, stored
 
-#: Rows of an Arrow batch of texts, where the session leaves Spark's default.
-BATCH_SETTING, DEFAULT_ROWS, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"
+__all__ = ["components", "lean", "mark", "met", "mix64", "offsets_of", "release", "remove", "runs", "scratch", "ship", "slices", "stored", "text_bytes", "trim"]
 
+#: Bytes of text that a worker turns into Python objects at a time. Spark itself ends an Arrow batch at 64 MB or the session's number of rows.
+SLICE_BYTES = 2_000_000
 
-def ship(spark: SparkSession) -> None:
-    """Gives Python workers this package; and lets batches hold fewer rows than Spark's default, as whole texts are large."""
-    storage.ship(spark)
-    if spark.conf.get(BATCH_SETTING, DEFAULT_ROWS) == DEFAULT_ROWS:
-        spark.conf.set(BATCH_SETTING, BATCH_ROWS)
 
+def slices(texts, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """(first, end) of slices of an Arrow array of texts, each of at most so many bytes, or one text."""
+    offsets = offsets_of(texts)
+    at, n = 0, len(texts)
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
+        yield at, to
+        at = to
 
-#: Paths of intermediates in the order they were made, for release().
-_MADE: list[str] = []
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    _MADE.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def mark() -> int:
-    """The place up to which intermediates exist, to be given to release()."""
-    return len(_MADE)
-
-
-def release(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
-    """Deletes the intermediates stored since a mark, but for the last `keep`; for callers that have stored their own result."""
-    upto = len(_MADE) - keep
-    for path in _MADE[since:upto]:
-        remove(spark, path)
-    del _MADE[since:upto]
 
+def offsets_of(column) -> np.ndarray:
+    """The n + 1 offsets of an Arrow string or binary array into its bytes."""
+    import pyarrow as pa
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a path of the shared folder by Hadoop's file system."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    if not len(column):
+        return np.zeros(1, np.int64)
+    return np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32, len(column) + 1, column.offset * (8 if wide else 4))
 
 
 def trim() -> None:

@@ -34,6 +34,7 @@ from functools import lru_cache
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -251,8 +252,6 @@ def _digested(rows: DataFrame, k: int) -> DataFrame:
     """(id, n, node) of rows (id, text); and, with `times`, tokens (as id) that so many of the texts that a task held at a time have."""
 
     def often(tokens: list[np.ndarray]):
-        import pyarrow as pa
-
         sorted_tokens = np.sort(np.concatenate(tokens))
         heads = np.flatnonzero(np.concatenate([[True], sorted_tokens[1:] != sorted_tokens[:-1]]))
         times = np.diff(np.append(heads, len(sorted_tokens)))
@@ -261,8 +260,6 @@ def _digested(rows: DataFrame, k: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(sorted_tokens[heads[kept]].view(np.int64)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(times[kept])], ["id", "n", "node", "times"])
 
     def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
         tokens, held = [], 0
         for batch in batches:
             for a, b, nodes, values, bounds in chunks(batch.column(1), k):
@@ -297,8 +294,6 @@ def _candidates(rows: DataFrame, k: int, p: int, q: int, common: np.ndarray | No
 
     def combined(names: dict[bytes, int], own: list[np.ndarray], keys: list[np.ndarray]) -> Iterator:
         """The keys of some nodes, each key once with its smallest node, and the pairs of that node and the others."""
-        import pyarrow as pa
-
         nodes = sorted(names)
         rank = {node: r for r, node in enumerate(nodes)}
         place, key = np.array([rank[node] for node in names], np.int64)[np.concatenate(own)], np.concatenate(keys)
@@ -337,7 +332,6 @@ def _candidates(rows: DataFrame, k: int, p: int, q: int, common: np.ndarray | No
             yield from combined(names, own, keys)
 
     def meet(batches: Iterator) -> Iterator:
-        import pyarrow as pa
         import pyarrow.compute as pc
 
         last_key, last_node = None, None
@@ -365,8 +359,6 @@ def _texts_of(rows: DataFrame, wanted: DataFrame, few: bool) -> DataFrame:
     """(node, text): one text of each wanted node; wanted has (node, id), the smallest id that has it."""
 
     def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([node_of(words_of(t.as_py())) for t in batch.column(0)], pa.binary()), batch.column(0)], ["node", "text"])
 
@@ -379,8 +371,6 @@ def _starred(members: DataFrame, k: int, p: int, q: int) -> DataFrame:
     """(a, b): of members (head, bucket, node, text) the links of each head with the others of its bucket."""
 
     def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
         for table in runs(batches, 2):
             head, nodes = table["head"][0].as_py(), table["node"].to_pylist()
             at = nodes.index(head)
@@ -396,8 +386,6 @@ def _tiled(members: DataFrame, k: int, p: int, q: int) -> DataFrame:
     """(a, b): of members (component, i, j, block, label, node, text) spanning links between blocks i and j of each component."""
 
     def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
         for table in runs(batches, 3):
             i, j = table["i"][0].as_py(), table["j"][0].as_py()
             block, nodes = np.asarray(table["block"]), table["node"].to_pylist()
@@ -465,11 +453,9 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = stored(found, "copies")
     fresh = lambda name: name + "_" * (1 + max(map(len, docs.columns)))
 
-    @F.pandas_udf("binary")
-    def node(texts):
-        import pandas as pd
-
-        out = pd.Series([node_of(words_of(t)) if isinstance(t, str) else None for t in texts], dtype=object)
+    @F.arrow_udf("binary")
+    def node(texts: pa.Array) -> pa.Array:
+        out = pa.array([node_of(words_of(t.as_py())) if t.is_valid else None for t in texts], pa.binary())
         trim()
         return out
 

@@ -23,11 +23,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import lean, ship, trim
+from graphloom.llm.common import lean, ship, slices, trim
 
 SAMPLE, LEAST, FEATURES, LEAST_FEATURES, GRAMS, SMOOTHING = 6000, 20, 60_000, 400, (1, 2, 3), 0.5
 #: Of Viterbi: log-probability lost by a switch, and the most that one word can count against a language.
@@ -244,13 +245,13 @@ def accepted(docs: DataFrame, model: Model, least: float, text_col: str = "text"
     """docs in a language that holds at least this share of the letters; judged where the rows are, without a join."""
     ship(docs.sparkSession)
 
-    @F.pandas_udf("boolean")
-    def fits(texts):
-        import pandas as pd
-
-        out = pd.Series([lang != UNDETERMINED and score >= least for lang, score in judged(model, [t if isinstance(t, str) else None for t in texts])], dtype=bool)
+    @F.arrow_udf("boolean")
+    def fits(texts: pa.Array) -> pa.Array:
+        out: list[bool] = []
+        for a, b in slices(texts):
+            out += [lang != UNDETERMINED and score >= least for lang, score in judged(model, texts.slice(a, b - a).to_pylist())]
         trim()
-        return out
+        return pa.array(out, pa.bool_())
 
     return docs.where(fits(docs[text_col].cast("string")))
 
@@ -267,12 +268,10 @@ def labelled(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         return [{"lang": model.languages[labels[a]], "start": places[a][0], "end": places[b - 1][1]} for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
     def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
         kinds = [pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))]
         for whole in batches:
-            for begin in range(0, whole.num_rows, 2 * GROUP):
-                batch, rows = whole.slice(begin, 2 * GROUP), []
+            for begin, end in slices(whole.column(1)):
+                batch, rows = whole.slice(begin, end - begin), []
                 for key, (text, words, counts, labels) in zip(batch.column(0).to_pylist(), labels_of(model, batch.column(1).to_pylist()), strict=True):
                     edges = [0, *(np.flatnonzero(np.diff(labels)) + 1).tolist(), len(labels)] if len(labels) else [0]
                     rows.append((key, *verdict(model, words, counts, labels), len(edges) - 1, spans(text, counts, labels, edges) if with_spans else None))

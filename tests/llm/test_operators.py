@@ -411,3 +411,84 @@ def test_counts_follow_the_tables(docs):
     twice = docs.where("doc_id < 6").union(docs.where("doc_id < 6"))
     for rows in (pii.scan(twice), substrings.kept(twice), jaccard.clusters(twice), sharding.shard_by_bytes(twice)):
         assert Counter(r["id"] for r in rows.collect()) == Counter(list(range(6)) * 2)
+
+
+def test_hot_seeds_of_a_benchmark(spark, monkeypatch):
+    """Equal and different documents that share an opening with every item."""
+    rng = random.Random(8)
+    opening = " ".join(f"open{k}" for k in range(12))
+    items = [(k, f"{opening} item{k} " + " ".join(f"w{k}x{j}" for j in range(rng.randrange(2, 12)))) for k in range(40)]
+    docs = [(k, f"{opening} item{k % 5} " + " ".join(f"w{k % 5}x{j}" for j in range(12)), "en", "s", 1) for k in range(40)]
+    docs += [(100 + k, f"{opening} other{k} words{k}", "en", "s", 1) for k in range(10)] + [(200, " ".join(f"long{k}" for k in range(30_000)) + " " + items[7][1], "en", "s", 1), (201, None, "en", "s", 1)]
+    df, bench = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")
+
+    def brute():
+        out = set()
+        for i, text, *_ in docs:
+            w = decontamination_words(text)
+            for item, b_text in items:
+                b = decontamination_words(b_text)
+                span = min(decontamination.WINDOW, len(b))
+                for start in {a - c for a, x in enumerate(w) for c, y in enumerate(b) if x == y}:
+                    m = [1 if 0 <= start + j < len(w) and w[start + j] == b[j] else 0 for j in range(len(b))]
+                    if max(sum(m[j : j + span]) for j in range(len(b) - span + 1)) >= -(-span * 3 // 4):
+                        out.add((i, item))
+        return out
+
+    want = brute()
+    found = {(r["id"], r["item"]) for r in decontamination.overlaps(df, bench).collect()}
+    assert found == want and (200, 7) in want
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(decontamination, "HOT_ITEMS", 6)
+    assert {(r["id"], r["item"]) for r in decontamination.overlaps(df, bench).collect()} == want
+    assert {r["doc_id"] for r in decontamination.clean(df, bench).collect()} == {d[0] for d in docs} - {i for i, _ in want}
+
+
+def decontamination_words(text):
+    import re
+
+    return [w for w in re.split(decontamination.SEPARATORS, (text or "").lower()) if w]
+
+
+def test_prose_is_no_secret():
+    prose = ["The secret: information about the garden", "Password: required before Monday", "Your token = whatever you like", "Secret: Everything was well-known", "the api key: documentation follows", "a token: INFORMATION", "password : 'sentence' ends"]
+    for text in prose:
+        assert pii.find(text) == [] and pii.redact(text) == text
+    real = ["password=hunterhunter", "token: a1b2c3d4e5", 'secret = "swordfish"', "api_key: qWeRtYuIoP", "passwd: some_long_value", "password: correct-horse-battery", "Token = abc/def+ghi"]
+    for text in real:
+        assert [s[0] for s in pii.find(text)] == ["secret"]
+    for number in ("000-12-3456", "666-12-3456", "912-12-3456", "123-00-4567", "123-45-0000"):
+        assert pii.find(f"ssn {number}") == []
+
+
+def test_rollup_in_a_folder_called_like_a_base(spark):
+    rollup = token_counts.Rollup(spark, common.scratch(spark, "t/base-corpus/roll"))
+    rows = spark.createDataFrame([("s", "en", "t", 1, 10, 100)], ", ".join([*(f"{k} string" for k in token_counts.KEYS), *(f"{s} long" for s in token_counts.SUMS)]))
+    for batch in ("a", "b", "a"):
+        rollup.commit(batch, rows)
+    assert [tuple(r)[3:] for r in rollup.totals().collect()] == [(2, 20, 200)]
+    for _ in range(2):  # cleans up, and counts on
+        rollup.compact()
+        assert [tuple(r)[3:] for r in rollup.totals().collect()] == [(2, 20, 200)] and len(rollup._done()) == 1
+    assert not rollup.commit("b", rows) and rollup.commit("c", rows)
+    rollup._fs.create(rollup._path(f"{rollup.path}/base-00000002.tmp/_SUCCESS")).close()  # a compaction that was cut off
+    assert [tuple(r)[3:] for r in rollup.totals().collect()] == [(3, 30, 300)]
+    rollup.compact()
+    assert [tuple(r)[3:] for r in rollup.totals().collect()] == [(3, 30, 300)] and [*rollup._done()] == ["base-00000002"]
+
+
+def test_the_session_is_left_alone(spark, docs):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    pii.redacted(docs).collect()
+    pii.scan(docs).collect()
+    assert spark.conf.get(name) == before
+
+
+def test_slices_by_bytes():
+    import pyarrow as pa
+
+    for kind in (pa.string(), pa.large_string()):
+        texts = pa.array(["x" * n for n in (5, 0, 5, 30, 1, 1)] + [None, "é" * 6], kind)
+        assert list(common.slices(texts, 10)) == [(0, 3), (3, 4), (4, 7), (7, 8)]
+        assert list(common.slices(texts.slice(2, 3), 10)) == [(0, 1), (1, 2), (2, 3)] and list(common.slices(texts[:0], 10)) == []
