@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators.storage import positions, stored
+from graphloom.operators.storage import mark, positions, release, stored
 
 DEPTH = 3
 
@@ -105,8 +105,13 @@ def blast_radius(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: in
 
 
 def reachable(edges: DataFrame, seeds: DataFrame, direction: str = "out", rounds: int = 10_000) -> DataFrame:
-    """(id, hops) of all ids that can be reached from any seed (a column `id`); seeds at 0."""
+    """(id, hops) of all ids that can be reached from any seed (a column `id`); seeds at 0.
+
+    Each round stores its frontier; every eighth folds them into what was reached before, and deletes them.
+    """
+    spark = edges.sparkSession
     ends = stored(_ends(edges, direction).where("at IS NOT NULL AND to IS NOT NULL").distinct(), "ends")
+    since = mark()
     seen = stored(seeds.select("id").where("id IS NOT NULL").distinct().withColumn("hops", F.lit(0)), "reached")
     frontier = seen
     for hop in range(1, rounds + 1):
@@ -114,38 +119,58 @@ def reachable(edges: DataFrame, seeds: DataFrame, direction: str = "out", rounds
         frontier = stored(new, "frontier")
         if frontier.isEmpty():
             return seen
-        seen = stored(seen.unionByName(frontier), "reached") if hop % 8 == 0 else seen.unionByName(frontier)
+        seen = seen.unionByName(frontier)
+        if hop % 8 == 0:
+            seen = stored(seen, "reached")
+            frontier = seen.where(F.col("hops") == hop)
+            release(spark, since, keep=1)
     raise RuntimeError(f"reachable: no end after {rounds} rounds")
 
 
 def shortest_chain(edges: DataFrame, source: str, target: str, rounds: int = 10_000) -> DataFrame:
     """(hops, path) of a shortest directed chain, by level the one through the smallest ids; no row if there is none.
 
-    Each round keeps one parent for every newly met id, so a round holds as many rows as ids it meets.
+    Each round keeps one parent for every newly met id, so a round holds as many rows as ids it meets. The way back reads those of
+    eight levels at a time.
     """
     spark = edges.sparkSession
     ends = stored(_ends(edges, "out").where("at IS NOT NULL AND to IS NOT NULL").distinct(), "ends")
     schema = "hops int, path array<string>"
     if source == target:
         return spark.createDataFrame([(0, [source])], schema)
-    frontier = spark.createDataFrame([(source, None)], "id string, parent string")
-    seen, levels = frontier.select("id"), []
-    for _ in range(rounds):
+    since = mark()
+    frontier = spark.createDataFrame([(source, None, 0)], "id string, parent string, level int")
+    seen = frontier
+    for level in range(1, rounds + 1):
         new = frontier.select(F.col("id").alias("at")).join(ends, "at").groupBy(F.col("to").alias("id")).agg(F.min("at").alias("parent"))
-        frontier = stored(new.join(seen, "id", "left_anti"), "level")
+        frontier = stored(new.join(seen, "id", "left_anti").withColumn("level", F.lit(level)), "level")
         if frontier.isEmpty():
             return spark.createDataFrame([], schema)
-        levels.append(frontier)
-        hit = frontier.where(F.col("id") == target).first()
-        if hit:
-            path = [target, hit["parent"]]
-            for level in reversed(levels[:-1]):  # one row a level
-                path.append(level.where(F.col("id") == path[-1]).first()["parent"])
-            return spark.createDataFrame([(len(path) - 1, path[::-1])], schema)
-        seen = seen.unionByName(frontier.select("id"))
+        seen = seen.unionByName(frontier)
+        if not frontier.where(F.col("id") == target).isEmpty():
+            return spark.createDataFrame([(level, _way_back(seen, target, level))], schema)
+        if level % 8 == 0:
+            seen = stored(seen, "levels")
+            frontier = seen.where(F.col("level") == level)
+            release(spark, since, keep=1)
     raise RuntimeError(f"shortest_chain: no end after {rounds} rounds")
 
 
+def _way_back(seen: DataFrame, target: str, level: int) -> list[str]:
+    """Ids from the source to the target; seen has the parent and level of each id."""
+    path = [target]
+    while level > 0:
+        step = min(8, level)
+        at = seen.where((F.col("level") == level) & (F.col("id") == path[-1])).select("id", F.col("parent").alias("p1"))
+        for k in range(1, step):
+            up = seen.where(F.col("level") == level - k).select(F.col("id").alias(f"p{k}"), F.col("parent").alias(f"p{k + 1}"))
+            at = at.join(up, f"p{k}")
+        row = at.first()
+        path += [row[f"p{k}"] for k in range(1, step + 1)]
+        level -= step
+    return path[::-1]
+
+
 def with_name_fallback(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges whose dst is no id lead to all nodes of that name; those that name none go."""
     ids = nodes.select(F.col("id").alias("dst"))
@@ -169,30 +194,30 @@ def cyclic_edges(edges: DataFrame, rounds: int = 10_000) -> DataFrame:
     that reaches a node is spread along the edges, and from each colour's root the nodes of that colour that
     reach it are one strongly connected component; it is taken out, and the rest is coloured anew.
     """
+    spark, since = edges.sparkSession, mark()
     live = stored(edges.where("src <> dst").select("src", "dst").distinct(), "cycle-edges")
-    found: list[DataFrame] = []
+    found = live.limit(0)
     for _ in range(rounds):
         live = _peeled(live, rounds)
         if live.isEmpty():
-            break
+            return found
         color = _coloured(live, rounds)
         same = stored(live.join(color.toDF("src", "cs"), "src").join(color.toDF("dst", "cd"), "dst").where("cs = cd").select("src", "dst", F.col("cs").alias("root")), "same-colour")
         members = _back_from_roots(same, rounds)
         inner = same.join(members.toDF("src"), "src", "left_semi").join(members.toDF("dst"), "dst", "left_semi").select("src", "dst")
-        found.append(stored(inner, "cyclic"))
+        found = stored(found.unionByName(inner), "cyclic")
         live = stored(live.join(members.toDF("src"), "src", "left_anti").join(members.toDF("dst"), "dst", "left_anti"), "cycle-edges")
-    out = live.limit(0)
-    for part in found:
-        out = out.unionByName(part)
-    return out
+        release(spark, since, keep=2)
+    raise RuntimeError(f"cycles: no end after {rounds} rounds")
 
 
 def _peeled(live: DataFrame, rounds: int) -> DataFrame:
     """Edges left when ids that lack edges in or out go, again and again."""
-    before = live.count()
+    before, spark, since = live.count(), live.sparkSession, mark()
     for _ in range(rounds):
         kept = live.join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(live.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
         live = stored(kept.select("src", "dst"), "peeled")
+        release(spark, since, keep=1)
         after = live.count()
         if after == before:
             return live
@@ -202,10 +227,12 @@ def _peeled(live: DataFrame, rounds: int) -> DataFrame:
 
 def _coloured(live: DataFrame, rounds: int) -> DataFrame:
     """(id, color): the largest id that reaches each id, itself included."""
+    spark, since = live.sparkSession, mark()
     color = stored(live.select(F.col("src").alias("id")).union(live.select("dst")).distinct().withColumn("color", F.col("id")), "colour")
     for _ in range(rounds):
         moved = live.join(color.toDF("src", "color"), "src").groupBy(F.col("dst").alias("id")).agg(F.max("color").alias("new"))
         after = stored(color.join(moved, "id", "left").select("id", F.greatest("color", "new").alias("color"), (F.col("new") > F.col("color")).alias("moved")), "colour")
+        release(spark, since, keep=1)
         done = after.where("moved").isEmpty()
         color = after.select("id", "color")
         if done:
@@ -215,14 +242,16 @@ def _coloured(live: DataFrame, rounds: int) -> DataFrame:
 
 def _back_from_roots(same: DataFrame, rounds: int) -> DataFrame:
     """(id): what reaches its colour's root inside the colour; the roots too."""
-    seen = stored(same.select(F.col("root").alias("id")).distinct(), "roots")
+    spark, since = same.sparkSession, mark()
+    seen = stored(same.select(F.col("root").alias("id"), F.lit(0).alias("round")).distinct(), "roots")
     frontier = seen
-    for _ in range(rounds):
-        new = same.join(frontier.toDF("dst"), "dst", "left_semi").select(F.col("src").alias("id")).distinct().join(seen, "id", "left_anti")
-        frontier = stored(new, "roots")
+    for k in range(1, rounds + 1):
+        new = same.join(frontier.select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("id")).distinct().join(seen, "id", "left_anti")
+        seen = stored(seen.unionByName(new.select("id", F.lit(k).alias("round"))), "roots")
+        release(spark, since, keep=1)
+        frontier = seen.where(F.col("round") == k)
         if frontier.isEmpty():
-            return seen
-        seen = stored(seen.union(frontier), "roots")
+            return seen.select("id")
     raise RuntimeError(f"backward step: no end after {rounds} rounds")
 
 

@@ -11,13 +11,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
-from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from graphloom.operators import enrich
-from graphloom.operators.storage import exists, shared_dir
+from graphloom.operators.storage import exists, remove, scratch
 from graphloom.schemas import as_edges, as_nodes
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations")
@@ -71,8 +70,8 @@ SELECT 'author:' || CAST(l_suppkey AS STRING), 'file:' || CAST(l_partkey AS STRI
 """
 
 
-#: Path and schema of what is written, by application, tables and name.
-_INDEX: dict[tuple[str, str, str], tuple[str, StructType]] = {}
+#: State of the tables, path and schema of what is written, by application, folder and name.
+_INDEX: dict[tuple[str, str, str], tuple[tuple, str, StructType]] = {}
 
 
 @dataclass
@@ -94,14 +93,27 @@ class Graph:
             text = _bound(text, name)
         return self.spark.sql(text, **used)
 
+    @cached_property
+    def _state(self) -> tuple:
+        """Path, bytes and time of change of the tables' files; another state needs another index."""
+        spark = self.spark
+        fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        root = fs_path(self.sf_dir)
+        fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        found = [f for tail in ("*.parquet", "*.parquet/*") for f in fs.globStatus(fs_path(root, tail)) or []]
+        return tuple(sorted((str(f.getPath()), f.getLen(), f.getModificationTime()) for f in found))
+
     def _indexed(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-        """What make() gave when it was first written in this session for these tables."""
+        """What make() gave when it was first written in this session for these tables as they are now."""
         key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
-        if key not in _INDEX or not exists(self.spark, _INDEX[key][0]):
-            df, path = make(), f"{shared_dir(self.spark)}/graphloom/index-{name}-{uuid4().hex}"
+        known = _INDEX.get(key)
+        if known is None or known[0] != self._state or not exists(self.spark, known[1]):
+            if known is not None:
+                remove(self.spark, known[1])
+            df, path = make(), scratch(self.spark, f"index-{name}")
             df.write.parquet(path)
-            _INDEX[key] = path, df.schema
-        path, schema = _INDEX[key]
+            _INDEX[key] = self._state, path, df.schema
+        _, path, schema = _INDEX[key]
         return self.spark.read.schema(schema).parquet(path)
 
     @cached_property

@@ -1,5 +1,6 @@
 """Graph operators on seed graphs."""
 
+import os
 import random
 
 import pytest
@@ -354,3 +355,36 @@ def test_reports(spark):
     health = reports.dependency_health(deps, bad)
     assert {r["name"]: (r["cve_count"], r["risk_score"], r["label"]) for r in health.collect()} == {"x": (4, 0.8, "CRITICAL"), "y": (0, 0.0, "OK")}
     assert tuple(reports.dependency_totals(health).first()) == (2, 1, 4)
+
+
+def test_long_loops_leave_few_folders(spark):
+    n = 40
+    rows = [(f"n{k:02d}", f"n{k + 1:02d}") for k in range(n)]
+    edges = spark.createDataFrame(rows, "src string, dst string")
+    seeds = spark.createDataFrame([("n00",)], "id string")
+    before = len(storage._MADE)
+    found = traverse.reachable(edges, seeds)
+    assert found.count() == n + 1 and len(storage._MADE) - before <= 12
+    chain = traverse.shortest_chain(edges, "n03", "n31").first()
+    assert chain["hops"] == 28 and chain["path"] == [f"n{k:02d}" for k in range(3, 32)]
+    ring = edges.unionByName(spark.createDataFrame([("n09", "n05"), ("n30", "n20"), ("n20", "n19")], "src string, dst string"))
+    before = len(storage._MADE)
+    cyclic = {tuple(r) for r in traverse.cyclic_edges(ring).collect()}
+    assert cyclic == {(f"n{k:02d}", f"n{k + 1:02d}") for k in [*range(5, 9), *range(19, 30)]} | {("n09", "n05"), ("n30", "n20"), ("n20", "n19")}
+    assert len(storage._MADE) - before <= 8
+
+
+def test_a_replaced_table_makes_a_new_index(spark, tmp_path):
+    import shutil
+
+    from graphloom.plans.projection import Graph
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no test tables here")
+    for name in os.listdir("/root/testdata/sf0.001"):
+        shutil.copy(f"/root/testdata/sf0.001/{name}", tmp_path / name)
+    modules = lambda: Graph(spark, str(tmp_path)).raw_nodes.where("kind = 'Module'").count()
+    assert modules() == 25
+    kept = spark.read.parquet(f"{tmp_path}/nation.parquet").where("n_nationkey < 5").toPandas()
+    kept.to_parquet(f"{tmp_path}/nation.parquet")
+    assert modules() == 5
