@@ -1,4 +1,4 @@
-"""Registered queries over the versioned store: the projected graph through three batches, every version read back, each with SQL of its own."""
+"""Registered queries over the versioned store, each with SQL of its own: the projected graph through three batches, every version read back; streams into it; its history."""
 
 from __future__ import annotations
 
@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from graphloom.operators.storage import scratch
 from graphloom.operators.store import GraphStore
-from graphloom.plans.projection import Graph
+from graphloom.plans.projection import PRELUDE, Graph
 from graphloom.plans.queries import query
+from graphloom.streaming import closing
 
 #: The four states as SQL over raw_nodes and edges: loaded; modules renamed and classes added; every third file gone; functions come back under other paths.
 _STATES = """, n1 AS (SELECT id, name, path FROM raw_nodes),
@@ -84,3 +85,45 @@ def store_history(g: Graph) -> DataFrame:
     store = _stored(g)
     sizes = _all_versions(store, "nodes", "id").groupBy("version").agg(F.count("*").alias("n_nodes"))
     return store.history().join(sizes, "version")
+
+
+# Streams
+
+_CLOSED = """WITH ev AS (SELECT event_type AS root, 'file:' || CAST(user_id AS VARCHAR) AS path, ts FROM events WHERE event_type IS NOT NULL AND user_id IS NOT NULL AND ts IS NOT NULL),
+fresh AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY root ORDER BY ts, path) + INTERVAL 20 MINUTE THEN 0 ELSE 1 END AS f FROM ev),
+numbered AS (SELECT *, sum(f) OVER (PARTITION BY root ORDER BY ts, path) AS burst FROM fresh),
+closed AS (SELECT root, burst, min(ts) AS start, max(ts) + INTERVAL 20 MINUTE AS "end", count(*) AS n, count(DISTINCT path) AS n_paths FROM numbered GROUP BY root, burst HAVING max(ts) + INTERVAL 20 MINUTE <= (SELECT max(ts) FROM ev) - INTERVAL 10 MINUTE)
+"""
+_GAP_MS, _LATE = 20 * 60_000, "10 minutes"
+
+
+def _change_events(g: Graph) -> DataFrame:
+    """The events as a stream of changes: an event's type is the root, its user the file."""
+    events = g.table("events")
+    stream = g.spark.readStream.schema(events.schema).parquet(f"{g.sf_dir}/events.parque[t]")  # a pattern may be a file or a folder
+    return stream.select(F.col("event_type").alias("root"), F.concat(F.lit("file:"), F.col("user_id").cast("string")).alias("path"), F.col("ts").cast("timestamp").alias("ts"))
+
+
+@query("M1_closed_bursts", _CLOSED + 'SELECT root, start, "end", n, n_paths FROM closed', graph=False)
+def closed_bursts(g: Graph) -> DataFrame:
+    """Bursts over all files of a root, closed by the stream's timers; each micro-batch's are written under its number, so one given again replaces itself."""
+    place = scratch(g.spark, "closed-bursts")
+
+    def each(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{place}/batch={number}")
+
+    closing.start(closing.closed_bursts(_change_events(g), _GAP_MS, _LATE), each, scratch(g.spark, "checkpoint")).awaitTermination()
+    rows = g.spark.read.schema(closing.BURSTS).parquet(f"{place}/batch=*")
+    return rows.groupBy("root", "start", "end").agg(F.first("n").alias("n"), F.count("*").alias("n_paths"))
+
+
+@query("M2_stream", PRELUDE + ", " + _CLOSED.removeprefix("WITH ") + "SELECT id, name, path FROM raw_nodes WHERE id IN (SELECT path FROM numbered JOIN closed USING (root, burst))", graph=False)
+def stream_into_store(g: Graph) -> DataFrame:
+    """Files of closed bursts, re-indexed into a versioned store by idempotent transactions."""
+    store, nodes = GraphStore(g.spark, scratch(g.spark, "store")), g.raw_nodes
+
+    def reindex(paths: DataFrame) -> dict[str, DataFrame]:
+        return {"nodes": nodes.join(paths.withColumnRenamed("path", "id"), "id", "left_semi")}
+
+    closing.watch_into(store, _change_events(g), reindex, scratch(g.spark, "checkpoint"), _GAP_MS, _LATE).awaitTermination()
+    return store.read("nodes").select("id", "name", "path")
