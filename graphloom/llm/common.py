@@ -7,12 +7,12 @@ import time
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.operators.storage import mark, release, remove, scratch, ship, stored
 
-__all__ = ["components", "lean", "mark", "met", "mix64", "offsets_of", "release", "remove", "runs", "scratch", "ship", "slices", "stored", "text_bytes", "trim"]
+__all__ = ["batches", "components", "lean", "mark", "met", "mix64", "offsets_of", "release", "remove", "runs", "scratch", "ship", "slices", "stored", "text_bytes", "trim"]
 
 #: Bytes of text that a worker turns into Python objects at a time. Spark itself ends an Arrow batch at 64 MB or the session's number of rows.
 SLICE_BYTES = 2_000_000
@@ -28,6 +28,24 @@ def slices(texts, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
         at = to
 
 
+#: Rows of an Arrow batch of whole texts, inside batches().
+BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+
+
+@contextlib.contextmanager
+def batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """What is run to its end inside, in jobs that pass whole texts to Python, has batches of at most so many rows; then the session is as before."""
+    before = spark.conf.get(BATCH_SETTING)
+    if 0 < int(before) <= rows:
+        yield
+        return
+    spark.conf.set(BATCH_SETTING, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
+
+
 def offsets_of(column) -> np.ndarray:
     """The n + 1 offsets of an Arrow string or binary array into its bytes."""
     import pyarrow as pa

@@ -35,10 +35,10 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import components, lean, mix64, runs, ship, stored, trim
+from graphloom.llm.common import batches, components, lean, mix64, runs, ship, stored
 
 #: A band's largest size over its smallest; how many more parts than t + 1; words hashed at a time.
 RATIO, SLACK, SLICE = 1.5, 0.15, 200_000
@@ -249,7 +249,8 @@ def _compared(words: list[list[bytes]], left: np.ndarray, right: np.ndarray, k:
 
 
 def _digested(rows: DataFrame, k: int) -> DataFrame:
-    """(id, n, node) of rows (id, text); and, with `times`, tokens (as id) that so many of the texts that a task held at a time have."""
+    """(id, n, node, digest) of rows (id, text, digest); and, with `times`, tokens (as id) that so many of the texts that a task held at a time have."""
+    names = ["id", "n", "node", "digest", "times"]
 
     def often(tokens: list[np.ndarray]):
         sorted_tokens = np.sort(np.concatenate(tokens))
@@ -257,13 +258,13 @@ def _digested(rows: DataFrame, k: int) -> DataFrame:
         times = np.diff(np.append(heads, len(sorted_tokens)))
         kept = times >= COMMON_LEAST
         m = int(kept.sum())
-        return pa.RecordBatch.from_arrays([pa.array(sorted_tokens[heads[kept]].view(np.int64)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(times[kept])], ["id", "n", "node", "times"])
+        return pa.RecordBatch.from_arrays([pa.array(sorted_tokens[heads[kept]].view(np.int64)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary()), pa.array(times[kept])], names)
 
     def run(batches: Iterator) -> Iterator:
         tokens, held = [], 0
         for batch in batches:
             for a, b, nodes, values, bounds in chunks(batch.column(1), k):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(bounds)), pa.array(nodes, pa.binary()), pa.nulls(b - a, pa.int64())], ["id", "n", "node", "times"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(bounds)), pa.array(nodes, pa.binary()), batch.column(2).slice(a, b - a), pa.nulls(b - a, pa.int64())], names)
                 tokens.append(values)
                 held += len(values)
                 if held >= HELD_TOKENS:
@@ -272,7 +273,7 @@ def _digested(rows: DataFrame, k: int) -> DataFrame:
         if held:
             yield often(tokens)
 
-    return rows.mapInArrow(lean(run), "id long, n long, node binary, times long")
+    return rows.mapInArrow(lean(run), "id long, n long, node binary, digest binary, times long")
 
 
 def _common(digested: DataFrame) -> np.ndarray:
@@ -424,53 +425,58 @@ def _links(rows: DataFrame, known: DataFrame, k: int, p: int, q: int, common: np
     return near.unionByName(_tiled(tiles, k, p, q))
 
 
-def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, p: int = 90, q: int = 100) -> DataFrame:
-    """(id, n, component, node) of each row: size of its set, and the smallest id that it is linked with, through others too, at p/q or more."""
-    ship(docs.sparkSession)
-    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
-    digested = stored(_digested(rows, k), "nodes")
-    common = _common(digested)
-    digested = digested.where("times IS NULL").drop("times")
-    known = stored(digested.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.count("*").alias("c")), "distinct-nodes")
-    joined = stored(components(_links(rows, known.drop("c"), k, p, q, common), "verified-links"), "linked-nodes").withColumnRenamed("id", "node")
+def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, p: int = 90, q: int = 100, with_digest: bool = False) -> DataFrame:
+    """(id, n, component, node, digest) of each row: size of its set, and the smallest id that it is linked with, through others too, at p/q or more.
+
+    node stands for the text's words, digest, if it is asked for, for the text itself.
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    text = docs[text_col].cast("string")
+    rows = docs.select(docs[id_col].cast("long").alias("id"), text.alias("text"), (_digest(text) if with_digest else F.lit(None).cast("binary")).alias("digest"))
+    with batches(spark):
+        digested = stored(_digested(rows, k), "nodes")
+        common = _common(digested)
+        digested = digested.where("times IS NULL").drop("times")
+        known = stored(digested.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.count("*").alias("c")), "distinct-nodes")
+        joined = stored(components(_links(rows.drop("digest"), known.drop("c"), k, p, q, common), "verified-links"), "linked-nodes").withColumnRenamed("id", "node")
     few = joined.count() <= BROADCAST_ROWS
     named = known.join(F.broadcast(joined) if few else joined, "node", "left").where("c > 1 OR component IS NOT NULL").select("node", "id", F.coalesce("component", "node").alias("component"))
     named = stored(named, "named-nodes")
     least = named.groupBy("component").agg(F.min("id").alias("least"))
     named = stored(named.join(least, "component").select(F.col("node").alias("_node"), "least"), "named-nodes")
     out = digested.join(F.broadcast(named) if named.count() <= BROADCAST_ROWS else named, F.col("node") == F.col("_node"), "left")
-    return out.select("id", "n", F.coalesce("least", "id").alias("component"), "node")
+    return out.select("id", "n", F.coalesce("least", "id").alias("component"), "node", "digest")
+
+
+def _digest(text: Column) -> Column:
+    """128 bits that stand for a text."""
+    return F.unhex(F.md5(text.cast("binary")))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, p: int = 80, q: int = 100) -> DataFrame:
-    """docs with one row of each component, that of the smallest id. Rows with an empty set stay, and so do those of components without an id."""
-    found = clusters(docs, id_col, text_col, k, p, q).where("n > 0").groupBy("id", "node").agg(F.first("component").alias("component"), F.count("*").alias("c"))
+    """docs with one row of each component, that of the smallest id (of several texts of that id the one of the smallest digest). Rows with an empty set stay, and so do those of components without an id."""
+    found = clusters(docs, id_col, text_col, k, p, q, with_digest=True).where("n > 0").groupBy("id", "digest").agg(F.first("component").alias("component"), F.count("*").alias("c"))
     found = stored(found, "nodes-by-id")
     stays = found.where("id = component")
-    several = stays.groupBy("id").agg(F.min("node").alias("first"), F.count("*").alias("m")).where("m > 1").select("id", "first")
-    second = stays.join(several, "id").where("node <> first").select("id", "node", F.lit(False).alias("one"))
-    found = found.where(~F.col("id").eqNullSafe(F.col("component"))).select("id", "node", F.lit(False).alias("one")).unionByName(second).unionByName(stays.where("c > 1").join(second, ["id", "node"], "left_anti").select("id", "node", F.lit(True).alias("one")))
-    found = stored(found, "copies")
+    several = stays.groupBy("id").agg(F.min("digest").alias("first"), F.count("*").alias("m")).where("m > 1").select("id", "first")
+    second = stays.join(several, "id").where("digest <> first").select("id", "digest", F.lit(False).alias("one"))
+    others = found.where(~F.col("id").eqNullSafe(F.col("component"))).select("id", "digest", F.lit(False).alias("one"))
+    repeated = stays.where("c > 1").join(second, ["id", "digest"], "left_anti").select("id", "digest", F.lit(True).alias("one"))
+    found = stored(others.unionByName(second).unionByName(repeated), "copies")
     fresh = lambda name: name + "_" * (1 + max(map(len, docs.columns)))
-
-    @F.arrow_udf("binary")
-    def node(texts: pa.Array) -> pa.Array:
-        out = pa.array([node_of(words_of(t.as_py())) if t.is_valid else None for t in texts], pa.binary())
-        trim()
-        return out
-
-    marked = docs.withColumns({fresh("n"): node(docs[text_col].cast("string")), fresh("i"): docs[id_col].cast("long")})
-    gone = found.toDF(fresh("id"), fresh("node"), fresh("one"))
-    same = F.col(fresh("i")).eqNullSafe(F.col(fresh("id"))) & (F.col(fresh("n")) == F.col(fresh("node")))
+    marked = docs.withColumns({fresh("d"): _digest(docs[text_col].cast("string")), fresh("i"): docs[id_col].cast("long")})
+    gone = found.toDF(fresh("id"), fresh("digest"), fresh("one"))
+    same = F.col(fresh("i")).eqNullSafe(F.col(fresh("id"))) & (F.col(fresh("d")) == F.col(fresh("digest")))
     small = found.count() <= BROADCAST_ROWS
     kept = marked.join(F.broadcast(gone) if small else gone, same, "left_anti").select(*docs.columns)
     again = gone.where(F.col(fresh("one")))
     if again.isEmpty():
         return kept
-    one = marked.join(F.broadcast(again) if small else again, same, "left_semi").dropDuplicates([fresh("i"), fresh("n")])
+    one = marked.join(F.broadcast(again) if small else again, same, "left_semi").dropDuplicates([fresh("i"), fresh("d")])
     return kept.unionByName(one.select(*docs.columns))
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 3-word shingle sets reach a Jaccard similarity of 0.9."""
-    return clusters(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("node").toDF("doc_id", "n_shingles", "component_id")
+    return clusters(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("node", "digest").toDF("doc_id", "n_shingles", "component_id")

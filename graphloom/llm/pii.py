@@ -25,7 +25,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import lean, ship, slices, trim
@@ -194,6 +194,15 @@ def redact(text: str | None) -> str | None:
     return "".join(parts) + text[at:]
 
 
+#: Every text with a span matches it; the others need not go to Python.
+_MAY = r"[@0-9]|(?iu)token|passw|secret|api|akia"
+
+
+def _suspect(text: Column) -> Column:
+    """The text if it may hold a span, else null."""
+    return F.when(text.rlike(_MAY), text)
+
+
 SCHEMA = "id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_more long, top_score double"
 
 
@@ -212,7 +221,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 rows.append((key, *(sum(s[0] == k for s in base) for k in BASE), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), len(spans) - len(base), max((s[3] for s in spans), default=0.0)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds], names)
 
-    return docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).mapInArrow(lean(run), SCHEMA)
+    return docs.select(docs[id_col].cast("long").alias("id"), _suspect(docs[text_col].cast("string")).alias("text")).mapInArrow(lean(run), SCHEMA)
 
 
 def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -225,7 +234,8 @@ def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
         trim()
         return pa.concat_arrays(parts) if parts else texts
 
-    return docs.withColumn(text_col, clean(docs[text_col].cast("string")))
+    text = docs[text_col].cast("string")
+    return docs.withColumn(text_col, F.coalesce(clean(_suspect(text)), text))
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -445,8 +446,6 @@ def test_hot_seeds_of_a_benchmark(spark, monkeypatch):
 
 
 def decontamination_words(text):
-    import re
-
     return [w for w in re.split(decontamination.SEPARATORS, (text or "").lower()) if w]
 
 
@@ -457,6 +456,8 @@ def test_prose_is_no_secret():
     real = ["password=hunterhunter", "token: a1b2c3d4e5", 'secret = "swordfish"', "api_key: qWeRtYuIoP", "passwd: some_long_value", "password: correct-horse-battery", "Token = abc/def+ghi"]
     for text in real:
         assert [s[0] for s in pii.find(text)] == ["secret"]
+    for text in [*prose, *real, "mail a@b.example", "to\u212aen = a_secret_value", "nothing", "AKIA" + "Q" * 16, "call +1 555 010 9999"]:
+        assert re.search(pii._MAY.replace("(?iu)", "(?i:") + ")", text) or pii.find(text) == []
     for number in ("000-12-3456", "666-12-3456", "912-12-3456", "123-00-4567", "123-45-0000"):
         assert pii.find(f"ssn {number}") == []
 
@@ -482,6 +483,12 @@ def test_the_session_is_left_alone(spark, docs):
     before = spark.conf.get(name)
     pii.redacted(docs).collect()
     pii.scan(docs).collect()
+    jaccard.deduplicated(docs).collect()
+    assert spark.conf.get(name) == before
+    with common.batches(spark, 7):
+        assert spark.conf.get(name) == "7"
+        with common.batches(spark):
+            assert spark.conf.get(name) == "7"
     assert spark.conf.get(name) == before
 
 
