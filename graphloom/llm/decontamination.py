@@ -48,26 +48,43 @@ def words(text: Column) -> Column:
     return F.coalesce(F.array_remove(F.split(F.lower(text), SEPARATORS), ""), F.array().cast("array<string>"))
 
 
-def _seed(w: Column, k: int, taken: list[int]):
-    """Of a position: its struct under mask k."""
-    return lambda i: F.struct(i.alias("i"), F.xxhash64(F.lit(k), *(F.get(w, i + F.lit(j)) for j in taken)).alias("h"))
+def _seed(w: Column, k: int, taken: list[int], places: bool):
+    """Of a position: its hash under mask k, in a struct with the position where places are asked for."""
+    h = lambda i: F.xxhash64(F.lit(k), *(F.get(w, i + F.lit(j)) for j in taken))
+    return (lambda i: F.struct(i.alias("i"), h(i).alias("h"))) if places else h
 
 
-def _seeds(w: Column, masks: tuple[str, ...], numbers: range) -> Column:
-    """(position, hash) under the masks of these numbers at all positions of an array of word hashes, as structs i, h."""
+def _seeds(w: Column, masks: tuple[str, ...], numbers: range, places: bool) -> Column:
+    """Hashes under the masks of these numbers at all positions of an array of word hashes; as structs i, h, or alone."""
     out = []
     for k in numbers:
         taken = [j for j, c in enumerate(masks[k]) if c == "1"]
         last = F.size(w) - F.lit(len(masks[k]))
-        places = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-        out.append(F.transform(places, _seed(w, k, taken)))
+        at = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+        out.append(F.transform(at, _seed(w, k, taken, places)))
     return F.concat(*out)
 
 
-def seeds(rows: DataFrame, masks: tuple[str, ...] = MASKS, numbers: range | None = None) -> DataFrame:
-    """(id, i, h) of rows (id, text): one row for each mask, or each of these numbers, and position."""
+def seeds(rows: DataFrame, masks: tuple[str, ...] = MASKS, numbers: range | None = None, places: bool = True) -> DataFrame:
+    """(id, i, h) of rows (id, text): one row for each mask, or each of these numbers, and position; without places (id, h)."""
     hashed = rows.select("id", F.transform(words(F.col("text")), lambda x: F.xxhash64(x)).alias("w"))
-    return hashed.select("id", F.explode(_seeds(F.col("w"), masks, range(len(masks)) if numbers is None else numbers)).alias("s")).select("id", "s.i", "s.h")
+    found = hashed.select("id", F.explode(_seeds(F.col("w"), masks, range(len(masks)) if numbers is None else numbers, places)).alias("s"))
+    return found.select("id", "s.i", "s.h") if places else found.select("id", F.col("s").alias("h"))
+
+
+def _probed(rows: DataFrame, hashes: DataFrame, masks: tuple[str, ...]) -> DataFrame:
+    """(id) of rows (id, text) at each position that has one of the hashes (distinct, small) under any mask.
+
+    A row a position with a hash a mask, looked up in generated code: no arrays of hashes are made. Past the text's end a hash covers
+    fewer words, which no item's does.
+    """
+    hashed = rows.select("id", F.transform(words(F.col("text")), lambda x: F.xxhash64(x)).alias("w")).where(F.size("w") > 0)
+    at = hashed.select("id", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("i"))
+    under = [F.xxhash64(F.lit(k), *(F.get("w", F.col("i") + F.lit(j)) for j, c in enumerate(mask) if c == "1")).alias(f"h{k}") for k, mask in enumerate(masks)]
+    out = at.select("id", *under)
+    for k in range(len(masks)):
+        out = out.join(F.broadcast(hashes.select(F.col("h").alias(f"h{k}"), F.lit(True).alias(f"y{k}"))), f"h{k}", "left")
+    return out.where(F.coalesce(*(F.col(f"y{k}") for k in range(len(masks)))).isNotNull()).select("id")
 
 
 def with_short(items: DataFrame, masks: tuple[str, ...] = MASKS) -> tuple[str, ...]:
@@ -111,7 +128,8 @@ def _matches(rows: DataFrame, items: DataFrame, masks: tuple[str, ...], window:
     known = stored(item_seeds(items, all_masks, len(masks)).select(F.col("id").alias("item"), F.col("i").alias("at"), "h").distinct(), "item-seeds")
     hashes = stored(known.select("h").distinct(), "seed-hashes")
     few = hashes.count() <= BROADCAST_ROWS
-    wanted = stored(seeds(rows, all_masks).join(F.broadcast(hashes) if few else hashes, "h", "left_semi").select(F.col("id").alias("_id")).distinct(), "rows-with-seeds")
+    hit = _probed(rows, hashes, all_masks) if few else seeds(rows, all_masks, places=False).join(hashes, "h", "left_semi")
+    wanted = stored(hit.select(F.col("id").alias("_id")).distinct(), "rows-with-seeds")
     few_rows = wanted.count() <= BROADCAST_ROWS
     with_hits = rows.join(F.broadcast(wanted) if few_rows else wanted, F.col("id").eqNullSafe(F.col("_id")), "left_semi")
     with_hits = with_hits.where("text IS NOT NULL").withColumn("k", _digest(F.col("text")))
