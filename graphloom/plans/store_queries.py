@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators import history, rules
 from graphloom.operators.storage import scratch
 from graphloom.operators.store import GraphStore
 from graphloom.plans.projection import PRELUDE, Graph
@@ -127,3 +128,60 @@ def stream_into_store(g: Graph) -> DataFrame:
 
     closing.watch_into(store, _change_events(g), reindex, scratch(g.spark, "checkpoint"), _GAP_MS, _LATE).awaitTermination()
     return store.read("nodes").select("id", "name", "path")
+
+
+# History
+
+#: Orders as functions that come on their date and, when fulfilled, go 90 days later, customers as classes from their first order on; calls while both ends are there.
+_LIVES = """, lives AS (SELECT 'fn:' || CAST(o_orderkey AS VARCHAR) AS id, CAST(o_orderdate AS DATE) AS valid_from, CASE WHEN o_orderstatus = 'F' THEN CAST(o_orderdate AS DATE) + 90 END AS valid_to FROM orders
+UNION ALL SELECT 'cls:' || CAST(o_custkey AS VARCHAR), min(CAST(o_orderdate AS DATE)), NULL FROM orders GROUP BY o_custkey),
+calls AS (SELECT e.src, e.dst, greatest(a.valid_from, b.valid_from) AS valid_from, least(a.valid_to, b.valid_to) AS valid_to FROM edges e JOIN lives a ON a.id = e.src JOIN lives b ON b.id = e.dst WHERE e.kind IN ('CALLS', 'TESTS')),
+living AS (SELECT * FROM calls WHERE valid_to IS NULL OR valid_from < valid_to),
+nd AS (SELECT v, sum(c) AS came, sum(w) AS went FROM (SELECT valid_from AS v, 1 AS c, 0 AS w FROM lives UNION ALL SELECT valid_to, 0, 1 FROM lives WHERE valid_to IS NOT NULL) GROUP BY v),
+ed AS (SELECT v, sum(c) AS came, sum(w) AS went FROM (SELECT valid_from AS v, 1 AS c, 0 AS w FROM living UNION ALL SELECT valid_to, 0, 1 FROM living WHERE valid_to IS NOT NULL) GROUP BY v),
+versions AS (SELECT v FROM nd UNION SELECT v FROM ed),
+tallied AS (SELECT v AS version, coalesce(nd.came, 0) AS nodes_came, coalesce(nd.went, 0) AS nodes_went, coalesce(ed.came, 0) AS edges_came, coalesce(ed.went, 0) AS edges_went,
+  sum(coalesce(nd.came, 0) - coalesce(nd.went, 0)) OVER (ORDER BY v) AS n_nodes, sum(coalesce(ed.came, 0) - coalesce(ed.went, 0)) OVER (ORDER BY v) AS n_edges FROM versions LEFT JOIN nd USING (v) LEFT JOIN ed USING (v)),
+least_order AS (SELECT o_orderkey AS k FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 1), least_life AS (SELECT l.* FROM lives l, least_order WHERE l.id = 'fn:' || CAST(k AS VARCHAR)),
+verdicts AS (SELECT version, n_nodes > (SELECT count(*) FROM orders) / 4 AS too_many, NOT EXISTS (SELECT 1 FROM least_life WHERE valid_from <= version AND (valid_to IS NULL OR valid_to > version)) AS lost FROM tallied WHERE nodes_came + nodes_went > 0)
+"""
+
+
+def _lives(g: Graph) -> DataFrame:
+    orders = g.table("orders")
+    day, number = F.col("o_orderdate").cast("date"), F.concat(F.lit("fn:"), F.col("o_orderkey").cast("string"))
+    functions = orders.select(number.alias("id"), day.alias("valid_from"), F.when(F.col("o_orderstatus") == "F", F.date_add(day, 90)).alias("valid_to"))
+    classes = orders.groupBy("o_custkey").agg(F.min(day).alias("valid_from")).select(F.concat(F.lit("cls:"), F.col("o_custkey").cast("string")).alias("id"), "valid_from", F.lit(None).cast("date").alias("valid_to"))
+    return functions.unionByName(classes)
+
+
+@query(
+    "F11_counts_by_version",
+    _LIVES + "SELECT version, CAST(nodes_came AS BIGINT) AS nodes_came, CAST(nodes_went AS BIGINT) AS nodes_went, CAST(edges_came AS BIGINT) AS edges_came, CAST(edges_went AS BIGINT) AS edges_went, CAST(n_nodes AS BIGINT) AS nodes, CAST(n_edges AS BIGINT) AS edges FROM tallied",
+)
+def counts_by_version(g: Graph) -> DataFrame:
+    """A timeline: nodes and edges of every day's graph, and what came and went."""
+    lives = _lives(g)
+    calls = g.edges.where("kind IN ('CALLS', 'TESTS')").select("src", "dst")
+    return history.counts_by_version(nodes=lives, edges=history.edge_history(calls, lives))
+
+
+@query(
+    "R8_first_bad",
+    _LIVES + ", started AS (SELECT min(version) AS v FROM verdicts WHERE NOT too_many AND NOT lost), bad AS (SELECT * FROM verdicts, started WHERE (too_many OR lost) AND version > started.v ORDER BY version LIMIT 1) "
+    "SELECT bad.version, array_to_string(list_filter([CASE WHEN too_many THEN 'node_count_max' END, CASE WHEN lost THEN 'nodes_exist' END], lambda x: x IS NOT NULL), ',') AS failed, (SELECT max(version) FROM verdicts g WHERE NOT too_many AND NOT lost AND g.version < bad.version) AS good_before FROM bad",
+)
+def first_bad(g: Graph) -> DataFrame:
+    """The first day on which the graph is too large or has lost a function that it had, after a good day."""
+    first = g.table("orders").orderBy("o_orderdate", "o_orderkey").first()["o_orderkey"]
+    asked = rules.Predicates(node_count_max=g.table("orders").count() // 4, nodes_exist=[f"fn:{first}"])
+    bad = history.first_bad(history.judged(asked, _lives(g)))
+    return bad.select("version", F.array_join("failed", ",").alias("failed"), "good_before")
+
+
+@query("K6_history_of_store", _STATES + """, s AS (SELECT 1 AS v, * FROM n1 UNION ALL SELECT 2, * FROM n2 UNION ALL SELECT 3, * FROM n3 UNION ALL SELECT 4, * FROM n4),
+starts AS (SELECT v, id, name, path FROM s WHERE NOT EXISTS (SELECT 1 FROM s p WHERE p.id = s.id AND p.v = s.v - 1 AND p.name = s.name AND p.path = s.path))
+SELECT id, name, path, v AS valid_from, (SELECT min(e.v) + 1 FROM s e WHERE e.id = starts.id AND e.v >= starts.v AND e.v < 4 AND NOT EXISTS (SELECT 1 FROM s n WHERE n.id = e.id AND n.v = e.v + 1 AND n.name = e.name AND n.path = e.path)) AS valid_to FROM starts""")
+def history_of_store(g: Graph) -> DataFrame:
+    """Since when and until when each node was as it was, from the buckets that each version wrote."""
+    return history.of_store(_stored(g), "nodes").select("id", "name", "path", "valid_from", "valid_to")
