@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators import history, rules
+from graphloom.operators import enrich, history, lineage, rules
 from graphloom.operators.storage import scratch
 from graphloom.operators.store import GraphStore
 from graphloom.plans.projection import PRELUDE, Graph
@@ -185,3 +185,48 @@ SELECT id, name, path, v AS valid_from, (SELECT min(e.v) + 1 FROM s e WHERE e.id
 def history_of_store(g: Graph) -> DataFrame:
     """Since when and until when each node was as it was, from the buckets that each version wrote."""
     return history.of_store(_stored(g), "nodes").select("id", "name", "path", "valid_from", "valid_to")
+
+
+# Lines without git: a conversation is a file, each turn a version of it
+
+
+def _versions(g: Graph) -> DataFrame:
+    return g.table("conversations").select(F.concat(F.lit("talk/"), F.col("conv_id").cast("string")).alias("path"), F.col("turn").alias("version"), F.col("role").alias("author"), F.col("text").alias("content"))
+
+
+@query("S5_line_changes")
+def line_changes(g: Graph) -> DataFrame:
+    """Lines added and removed by every version: smallest differences, which SQL cannot say."""
+    return lineage.line_changes(_versions(g))
+
+
+_LINES = r"CASE WHEN coalesce(text, '') = '' THEN 0 ELSE len(text) - len(replace(text, chr(10), '')) + CASE WHEN text LIKE '%' || chr(10) THEN 0 ELSE 1 END END"
+
+
+@query("S5_line_balance", f"SELECT 'talk/' || CAST(conv_id AS VARCHAR) AS path, turn AS version, role AS author, n AS n_lines, n - coalesce(lag(n) OVER (PARTITION BY conv_id ORDER BY turn), 0) AS net FROM (SELECT conv_id, turn, role, {_LINES} AS n FROM conversations)", graph=False)
+def line_balance(g: Graph) -> DataFrame:
+    """What the differences must add up to: lines of each version, and how many more they are than before."""
+    return lineage.line_changes(_versions(g)).select("path", "version", "author", "n_lines", (F.col("added") - F.col("removed")).alias("net"))
+
+
+@query("A21_line_owners")
+def line_owners(g: Graph) -> DataFrame:
+    """Owners of each file by the lines that are left of what they brought."""
+    owned = enrich.owners(lineage.as_blame(lineage.lines_left(_versions(g))))
+    return owned.select("path", "author_name", "lines", F.round("share", 9).alias("share"), "rank")
+
+
+@query("A21_lines_in_all", f"SELECT 'talk/' || CAST(conv_id AS VARCHAR) AS path, n AS lines FROM (SELECT conv_id, {_LINES} AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r = 1 AND n > 0", graph=False)
+def lines_in_all(g: Graph) -> DataFrame:
+    """All owners' lines of a file are the lines of its last version."""
+    return lineage.lines_left(_versions(g)).groupBy("path").agg(F.sum("lines").alias("lines"))
+
+
+@query(
+    "S7_changed_between",
+    "WITH s AS (SELECT 'talk/' || CAST(conv_id AS VARCHAR) AS path, max_by(text, turn) FILTER (turn <= 1) AS a, max_by(text, turn) FILTER (turn <= 3) AS b, count(*) FILTER (turn <= 1) AS na FROM conversations GROUP BY conv_id) "
+    "SELECT path, CASE WHEN na = 0 THEN 'new' ELSE 'changed' END AS change FROM s WHERE a IS DISTINCT FROM b",
+    graph=False,
+)
+def changed_between(g: Graph) -> DataFrame:
+    return lineage.changed_between(_versions(g), 1, 3)
