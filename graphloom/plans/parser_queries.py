@@ -120,3 +120,62 @@ def _register(name: str, template: Template) -> None:
 
 for _name, _template in TEMPLATES.items():
     _register(_name, _template)
+
+
+# TypeScript put together from shapes: for every part eight functions, each of a shape that the part's key and the function's number say, one in another
+
+#: {f} the function, {g} and {h} what it calls; three lines each. Beside it what is called from where: (owner, callee, confidence), m a method.
+SHAPES = (
+    ("function {f}(a) {\n  return `x ${a + {g}(1)} decoy(1) ${`in ${{h}(2)} {`}`;\n}\n", [("{f}", "{g}", 0.7), ("{f}", "{h}", 0.7)], []),
+    ("const {f} = async (a) => {\n  return { m{f}(b: number) { return {g}(b); }, k: {h}(a) };\n};\n", [("m{f}", "{g}", 0.7), ("{f}", "{h}", 0.7)], ["m{f}"]),
+    ("export function {f}(a) {\n  return /decoy\\(3\\)[/\"`{]/.test(a) ? \"decoy(4) {\" : {g}(a / 2 / {h}(a));\n}\n", [("{f}", "test", 0.7), ("{f}", "{g}", 0.7), ("{f}", "{h}", 0.7)], []),
+    ("export const {f} = (a) => {\n  return <C{f} a={{g}(a)} b='decoy(5) {'>it's decoy(6) ` {{h}(`${a}`)}</C{f}>;\n};\n", [("{f}", "{g}", 0.7), ("{f}", "{h}", 0.7), ("{f}", "C{f}", 0.6)], []),
+    ("function {f}(a) { /* decoy(7) ` { */\n  // decoy(8) ${ '\n  return new {g}(o{f}.{h}(a)); }\n", [("{f}", "{g}", 0.7), ("{f}", "{h}", 0.7), ("{f}", "o{f}", 0.6)], []),
+)
+PIECES = 8
+
+
+def _shape_number(k, i):
+    """Of function i of part k; the same arithmetic in SQL below."""
+    return (k * (i + 3) + (k / 7).cast("long") * i + i * i) % len(SHAPES)
+
+
+def _composed(g: Graph) -> DataFrame:
+    k = F.col("p_partkey")
+    pieces = []
+    for i in range(PIECES):
+        names = {"f": f"f{i}_", "g": f"g{i}_", "h": f"h{i}_"}
+        text = F.lit(SHAPES[-1][0])
+        for s, (shape, *_) in enumerate(SHAPES[:-1]):
+            text = F.when(_shape_number(k, F.lit(i)) == s, F.lit(shape)) if s == 0 else text.when(_shape_number(k, F.lit(i)) == s, F.lit(shape))
+        text = text.otherwise(F.lit(SHAPES[-1][0]))
+        for name, value in names.items():
+            text = F.replace(text, F.lit(f"{{{name}}}"), F.concat(F.lit(value), k.cast("string")))
+        pieces.append(text)
+    return g.table("part").select(F.concat(F.lit("src/p"), k.cast("string"), F.lit(".tsx")).alias("path"), F.lit("typescript").alias("language"), F.concat(*pieces).alias("content"))
+
+
+_SHAPE_ROWS = ", ".join(f"({s}, {_quoted(a)}, {_quoted(b)}, {c})" for s, (_, calls, _) in enumerate(SHAPES) for a, b, c in calls)
+_OWN_ROWS = ", ".join(f"({s}, {_quoted(m)}, {str(m == '{f}' and shape.startswith('export')).lower()}, {int(m != '{f}')})" for s, (shape, _, methods) in enumerate(SHAPES) for m in ["{f}", *methods])
+_PIECE_SQL = f"""WITH piece AS (SELECT p_partkey AS k, i, 'src/p' || CAST(p_partkey AS VARCHAR) || '.tsx' AS path, (p_partkey * (i + 3) + p_partkey // 7 * i + i * i) % {len(SHAPES)} AS shape FROM part, (SELECT unnest(range({PIECES})) AS i)),
+named AS (SELECT *, lambda_f AS f FROM (SELECT *, 'f' || i || '_' || k AS lambda_f, 'g' || i || '_' || k AS gg, 'h' || i || '_' || k AS hh FROM piece))"""
+_FILL = "replace(replace(replace({c}, '{{f}}', f), '{{g}}', gg), '{{h}}', hh)"
+
+
+@query(
+    "P1d_composed_calls",
+    _PIECE_SQL + f" SELECT DISTINCT 'fn:' || path || ':' || {_FILL.format(c='a')} AS src, {_FILL.format(c='b')} AS dst, CAST(c AS DOUBLE) AS confidence FROM named JOIN (VALUES {_SHAPE_ROWS}) v(shape, a, b, c) USING (shape)",
+    graph=False,
+)
+def composed_calls(g: Graph) -> DataFrame:
+    """Calls inside nested templates, object methods, markup, beside regular expressions and decoys in strings and comments."""
+    return parse.edges_of(parse.extract(_composed(g))).where("kind = 'CALLS'").select("src", "dst", "confidence")
+
+
+@query(
+    "P1_composed_symbols",
+    _PIECE_SQL + f" SELECT 'fn:' || path || ':' || {_FILL.format(c='m')} AS id, {_FILL.format(c='m')} AS name, exported, CAST(3 * i + 1 + inner_line AS INT) AS line_start FROM named JOIN (VALUES {_OWN_ROWS}) v(shape, m, exported, inner_line) USING (shape)",
+    graph=False,
+)
+def composed_symbols(g: Graph) -> DataFrame:
+    return parse.nodes_of(parse.extract(_composed(g))).select("id", "name", "exported", "line_start")

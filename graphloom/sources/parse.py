@@ -122,6 +122,147 @@ class Scan:
         return stripped(run) or None
 
 
+#: After one of these a slash begins a regular expression, and an angle bracket markup.
+_BEFORE_VALUE = frozenset("return typeof case in of delete void throw new else do await yield default extends instanceof".split())
+_VALUE_END = re.compile(r"[\w$)\]}]\Z")
+_LAST_WORD = re.compile(r"[A-Za-z_$][\w$]*\Z")
+_REGEX = re.compile(r"/(?![*/])(?:\\[^\n]|\[(?:\\[^\n]|[^\]\\\n])*\]|[^/\\\[\n])+/[a-z]*")
+_TAG_OPENS = re.compile(r"<(?:>|([A-Za-z_$][\w$.:-]*)(?!\s*(?:,|extends\b))(?=[\s/>{]))")
+
+
+class ScriptScan(Scan):
+    """A Scan of TypeScript or JavaScript, with a stack of modes.
+
+    In code, comments, strings and regular expressions are blanked. A template blanks its text, and what stands in ${} is code again, to any depth. Where
+    markup may occur, an element's text is blanked and what stands in its braces is code; its tags stay, without attribute strings.
+    """
+
+    def __init__(self, text: str, markup: bool):
+        self._markup = markup
+        self._spans: list[tuple[int, int, str]] = []
+        #: Where elements open, and their names.
+        self.elements: list[tuple[int, str]] = []
+        self._walk(text)
+        super().__init__(text, re.compile(r"(?P<c>(?!))(?P<s>(?!))"))
+        plain = list(text)
+        for a, b, kind in self._spans:
+            plain[a:b] = re.sub(r"[^\n]", " ", text[a:b])
+            if kind == "c":
+                self.comments.append((a, b))
+            elif kind == "s":
+                self.strings.append((a, b))
+        self.plain = "".join(plain)
+        self.close = {}
+        stack = []
+        for m in re.finditer(r"[{}]", self.plain):
+            if m[0] == "{":
+                stack.append(m.start())
+            elif stack:
+                self.close[stack.pop()] = m.start()
+
+    def _walk(self, text: str) -> None:
+        """Fills the spans to blank: comments c, strings s, other o."""
+        stack: list[list] = [["code", 0]]  # mode, and open braces in code, or where a template began
+        at, n, before = 0, len(text), ""  # before: the end of what was last seen in code
+        blank = self._spans.append
+        special = re.compile(r"""//[^\n]*|/\*|["'`/<{}]|[^\s"'`/<{}]+""")
+        while at < n:
+            mode = stack[-1]
+            if mode[0] == "template":
+                m = re.compile(r"(?:\\[\s\S]|(?!\$\{)[^`\\])*").match(text, at)
+                whole = text[m.end() : m.end() + 1] == "`" and mode[1] == at - 1
+                if text[m.end() : m.end() + 2] != "${":
+                    blank((at - 1 if whole else at, min(n, m.end() + 1), "s" if whole else "o"))
+                    stack.pop()
+                    at, before = m.end() + 1, ")"
+                else:
+                    blank((at, m.end() + 2, "o"))
+                    stack.append(["code", 0, "template"])
+                    at, before = m.end() + 2, ""
+            elif mode[0] == "text":
+                m = re.compile(r"[^<{]*").match(text, at)
+                blank((at, m.end(), "o"))
+                at = m.end()
+                if text[at : at + 1] == "{":
+                    stack.append(["code", 0, "text"])
+                    at, before = at + 1, ""
+                elif text[at : at + 2] == "</":
+                    end = text.find(">", at)
+                    stack.pop()
+                    at, before = (end + 1 if end >= 0 else n), ")"
+                elif at < n:
+                    at = self._tag(stack, text, at)
+            elif mode[0] == "tag":
+                m = re.compile(r"""\s+|"[^"]*"?|'[^']*'?|/>|[>{]|[^\s"'/>{]+|/""").match(text, at)
+                at = m.end()
+                if m[0][0] in "\"'":
+                    blank((m.start(), m.end(), "o"))
+                elif m[0] == "{":
+                    stack.append(["code", 0, "tag"])
+                    before = ""
+                elif m[0] == "/>":
+                    stack.pop()
+                    before = ")"
+                elif m[0] == ">":
+                    stack[-1] = ["text"]
+            else:
+                m = special.search(text, at)
+                if not m:
+                    return
+                word, at = m[0], m.end()
+                if word.startswith("//"):
+                    blank((m.start(), at, "c"))
+                elif word == "/*":
+                    end = text.find("*/", at)
+                    at = end + 2 if end >= 0 else n
+                    blank((m.start(), at, "c"))
+                elif word in "\"'":
+                    end = re.compile(rf"(?:\\[\s\S]|[^{word}\\\n])*{word}?").match(text, at).end()
+                    blank((m.start(), end, "s"))
+                    at, before = end, ")"
+                elif word == "`":
+                    stack.append(["template", m.start()])
+                    blank((m.start(), at, "o"))
+                elif word == "/":
+                    found = None if self._value(before) else _REGEX.match(text, m.start())
+                    if found:
+                        blank((m.start(), found.end(), "o"))
+                        at, before = found.end(), ")"
+                    else:
+                        before = word
+                elif word == "<" and self._markup and not self._value(before) and _TAG_OPENS.match(text, m.start()):
+                    at = self._tag(stack, text, m.start())
+                elif word == "{":
+                    mode[1] += 1
+                    before = word
+                elif word == "}" and mode[1] == 0 and len(mode) > 2:
+                    stack.pop()
+                    if mode[2] == "template":
+                        blank((m.start(), at, "o"))
+                else:
+                    mode[1] -= word == "}" and mode[1] > 0
+                    before = word
+
+    @staticmethod
+    def _value(before: str) -> bool:
+        """Whether what ends so is a value, after which an operator comes."""
+        if not _VALUE_END.search(before):
+            return False
+        word = _LAST_WORD.search(before)
+        return not (word and word[0] in _BEFORE_VALUE)
+
+    def _tag(self, stack: list[list], text: str, at: int) -> int:
+        """Enters an element at its bracket; or leaves a lone one as text."""
+        m = _TAG_OPENS.match(text, at)
+        if not m:
+            self._spans.append((at, at + 1, "o"))
+            return at + 1
+        if m[1]:
+            self.elements.append((at, m[1]))
+        stack.append(["text"] if m[0] == "<>" else ["tag"])
+        return m.end()
+
+
 def stripped(comments: list[str]) -> str:
     """The words of a doc comment."""
     out = []
@@ -150,11 +291,10 @@ def _calls(out: Parsed, scan: Scan, owners: list[tuple[int, int, str]], skip: se
             continue
         src = owner(m.start("name"))
         out.edges.append((src, m["name"], "CALLS", 0.7))
-        if objects and m["obj"] and not m["new"] and m["obj"] not in ("this", "self", "super"):
+        if objects and m["obj"] and not m["new"] and m["obj"] not in ("this", "self", "super") and m["obj"] not in _WORDS[words]:
             out.edges.append((src, m["obj"], "CALLS", 0.6))
     if jsx:
-        for m in re.finditer(r"<([A-Z][\w$]*)[\s/>]", scan.plain):
-            out.edges.append((owner(m.start()), m[1], "CALLS", 0.6))
+        out.edges += [(owner(at), name, "CALLS", 0.6) for at, name in scan.elements if re.fullmatch(r"[A-Z][\w$]*", name)]
 
 
 def _tags(out: Parsed, scan: Scan) -> None:
@@ -184,8 +324,14 @@ def _complexity(scan: Scan, a: int, b: int) -> float:
     return min(score, 100.0) / 100
 
 
+_METHOD = re.compile(r"(?:\b(?:public|private|protected|static|async|override|readonly|get|set)\s+)*\*?(?P<name>\#?[A-Za-z_$][\w$]*)\s*(?:<[^>(]*>)?\(")
+_METHOD_BODY = re.compile(r"\s*(?::\s*[^{;=]*(?:\{[^{}]*\}[^{;=]*)?)?\{")
+_IMPORTS = re.compile(r"\brequire\s*\(\s*$|\bimport\s*\(?\s*$|\bimport\b(?:(?!\b(?:im|ex)port\b)[^;])*\bfrom\s*$")
+
+
 def parse_typescript(path: str, text: str) -> Parsed:
-    out, scan = Parsed(path), Scan(text, _C_LIKE)
+    markup = path.endswith((".tsx", ".jsx", ".js"))
+    out, scan = Parsed(path), ScriptScan(text, markup)
     exported = {n.strip().split(" as ")[0] for m in re.finditer(r"\bexport\s*\{([^}]*)\}", scan.plain) for n in m[1].split(",") if n.strip()}
     keep = lambda c: c.startswith(("/**", "///"))
     owners, skip, classes = [], set(), []
@@ -211,24 +357,22 @@ def parse_typescript(path: str, text: str) -> Parsed:
             end = scan.plain.find("\n", m.end())
             body = (m.end(), end if end >= 0 else len(scan.plain))
         function(m, m.start(), body, bool(m["export"]) or m["name"] in exported)
-    for a, b in classes:
-        at = a + 1
-        while m := re.compile(r"(?:(?:public|private|protected|static|async|override|readonly|get|set)\s+)*\*?(?P<name>\#?[A-Za-z_$][\w$]*)\s*(?:<[^>(]*>)?\(").search(scan.plain, at, b):
-            after = scan.after_params(m.end() - 1)
-            tail = re.compile(r"\s*(?::\s*[^{;=]*(?:\{[^{}]*\}[^{;=]*)?)?\{").match(scan.plain, after)
-            if m["name"] in _WORDS["ts"] or not tail:
-                at = after
-                continue
-            open_at = tail.end() - 1
-            body = (open_at, scan.close.get(open_at, b))
-            function(m, m.start("name"), body, m["name"] in exported)
-            at = body[1]
+    at = 0  # methods of classes and of object literals
+    while m := _METHOD.search(scan.plain, at):
+        after = scan.after_params(m.end() - 1)
+        tail = _METHOD_BODY.match(scan.plain, after)
+        at = m.end()
+        if m["name"] in _WORDS["ts"] or m.start("name") in skip or not tail or scan.plain[: m.start()].rstrip()[-1:] not in ("{", "}", ",", ";", ")", '"', ""):
+            continue
+        open_at = tail.end() - 1
+        function(m, m.start("name"), (open_at, scan.close.get(open_at, len(scan.plain))), m["name"] in exported)
+        at = after
     for a, b in scan.strings:
         if text[a + 1 : a + 2] == ".":
             before = scan.plain[max(0, a - 2000) : a]
-            if re.search(r"\brequire\s*\(\s*$|\bimport\s*$|\bimport\b[^;]*\bfrom\s*$", before):
+            if _IMPORTS.search(before):
                 out.edges.append((f"file:{path}", f"file:{join_path(path, text[a + 1 : b - 1])}", "IMPORTS", 1.0))
-    _calls(out, scan, owners, skip, "ts", jsx=path.endswith((".tsx", ".jsx", ".js")))
+    _calls(out, scan, owners, skip, "ts", jsx=markup)
     _tags(out, scan)
     return out
 
