@@ -28,12 +28,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import lean, ship, slices, trim
+from graphloom.llm.common import batches, lean, ship, slices, stored, trim
 
 SAMPLE, LEAST, FEATURES, LEAST_FEATURES, GRAMS, SMOOTHING = 6000, 20, 60_000, 400, (1, 2, 3), 0.5
 #: Of Viterbi: log-probability lost by a switch, and the most that one word can count against a language.
 SWITCH, CLIP = 12.0, 15.0
 UNDETERMINED = "und"
+BROADCAST_ROWS = 1_000_000
 #: A language uses a script in which at least this share of its letters is.
 SCRIPT_SHARE = 0.005
 #: First code points of ranges of letters, by script; a range ends where the next begins.
@@ -241,9 +242,14 @@ def judged(model: Model, texts: list[str | None]) -> list[tuple[str, float]]:
     return [verdict(model, words, counts, labels) for _, words, counts, labels in labels_of(model, texts)]
 
 
-def accepted(docs: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:
-    """docs in a language that holds at least this share of the letters; judged where the rows are, without a join."""
-    ship(docs.sparkSession)
+def accepted(docs: DataFrame, model: Model, least: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs in a language that holds at least this share of the letters.
+
+    Texts go to Python once, in bounded batches, to tell which are rejected; these are stored by id and digest, and docs go without them, so
+    no text is shuffled or written while rejected rows are few.
+    """
+    spark = docs.sparkSession
+    ship(spark)
 
     @F.arrow_udf("boolean")
     def fits(texts: pa.Array) -> pa.Array:
@@ -253,7 +259,12 @@ def accepted(docs: DataFrame, model: Model, least: float, text_col: str = "text"
         trim()
         return pa.array(out, pa.bool_())
 
-    return docs.where(fits(docs[text_col].cast("string")))
+    text, fresh = docs[text_col].cast("string"), lambda name: name + "_" * (1 + max(map(len, docs.columns)))
+    key = {"id": docs[id_col].cast("string"), "digest": F.unhex(F.md5(text.cast("binary")))}
+    with batches(spark):
+        rejected = stored(docs.where(~fits(text)).select(*(c.alias(fresh(n)) for n, c in key.items())).distinct(), "rejected")
+    same = [c.eqNullSafe(F.col(fresh(n))) for n, c in key.items()]
+    return docs.join(F.broadcast(rejected) if rejected.count() <= BROADCAST_ROWS else rejected, same, "left_anti")
 
 
 SCHEMA = "id long, lang_pred string, score double, n_spans long, spans array<struct<lang:string,start:int,end:int>>"

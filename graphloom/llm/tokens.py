@@ -18,7 +18,7 @@ import numpy as np
 _LETTER, _NUMBER, _SPACE = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾", "\\t-\\r\\x20\\x85\\xa0"
 _LATIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_SPACE}{_LETTER}{_NUMBER}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 #: Pieces kept per worker; when full, the cache starts anew. A piece longer than PIECE is never kept.
-CACHE, PIECE = 400_000, 64
+CACHE, PIECE = 150_000, 64
 
 
 def default_path() -> str:
