@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.functions import tables
+from graphloom.operators import rules
 from graphloom.plans.projection import Graph
 from graphloom.plans.queries import query
 from graphloom.sources import parse
@@ -179,3 +181,35 @@ def composed_calls(g: Graph) -> DataFrame:
 )
 def composed_symbols(g: Graph) -> DataFrame:
     return parse.nodes_of(parse.extract(_composed(g))).select("id", "name", "exported", "line_start")
+
+
+# Rules in SQL that call the parsers and the text functions
+
+
+@query(
+    "U1_rule_parse_source",
+    _PIECE_SQL + f" SELECT path AS file, path || ', ' || {_FILL.format(c='m')} || ', ' || CAST(3 * i + 1 + inner_line AS VARCHAR) AS message FROM named JOIN (VALUES {_OWN_ROWS}) v(shape, m, exported, inner_line) USING (shape) WHERE exported OR inner_line = 1",
+    graph=False,
+)
+def rule_parse_source(g: Graph) -> DataFrame:
+    """A rule over a table of files: functions that are exported or begin inside another."""
+    tables.register(g.spark)
+    sql = "SELECT f.path, s.name, s.line_start FROM files f, LATERAL parse_source(f.path, f.language, f.content, 'nodes') s WHERE s.kind = 'Function' AND (s.exported OR startswith(s.name, 'm'))"
+    none = g.spark.createDataFrame([], "id string")
+    return rules.sql_rule(g.spark, sql, none, none, files=_composed(g))
+
+
+_GRAM_LIST = "list_distinct(list_transform(range(1, strlen(b) - 2), lambda i: substr(b, i, 4)))"
+
+
+@query(
+    "U6_rule_grams",
+    f"SELECT CAST(p_partkey AS VARCHAR) AS file, CAST(p_partkey AS VARCHAR) || ', ' || CAST(len(g) AS VARCHAR) AS message FROM (SELECT p_partkey, {_GRAM_LIST} AS g FROM (SELECT p_partkey, p_name || ' ' || p_brand AS b FROM part)) WHERE len(g) > 0",
+    graph=False,
+)
+def rule_grams(g: Graph) -> DataFrame:
+    """A rule that counts the distinct grams of each body."""
+    tables.register(g.spark)
+    none = g.spark.createDataFrame([], "id string")
+    sql = "SELECT b.p_partkey, count(*) AS n FROM bodies b, LATERAL near_clone_grams(concat(b.p_name, ' ', b.p_brand)) g GROUP BY b.p_partkey"
+    return rules.sql_rule(g.spark, sql, none, none, bodies=g.table("part"))

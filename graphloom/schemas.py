@@ -16,27 +16,27 @@ _TYPES = {
 }
 
 
-def _schema(text: str) -> T.StructType:
+def typed(text: str) -> T.StructType:
     """Of 'name type' pairs; needs no session."""
     return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (pair.split() for pair in text.split(", "))])
 
 
-NODES = _schema(
+NODES = typed(
     "id string, kind string, name string, path string, line_start int, line_end int, language string, churn double, coupling double, "
     "community bigint, in_degree bigint, out_degree bigint, exported boolean, is_dead_candidate boolean, dead_reason string, "
     "complexity double, doc_comment string, is_test_file boolean, test_count bigint, is_tested boolean"
 )
-EDGES = _schema("id string, src string, dst string, kind string, weight double, confidence double")
-FILES = _schema("path string, language string, content string, size_bytes bigint")
-TAGS = _schema("id string, file_path string, tag_type string, text string, line int, comment_type string")
-CLONES = _schema("id string, node_a string, node_b string, kind string, similarity float")
-COMMUNITIES = _schema("id bigint, label string, node_count bigint, top_nodes array<string>")
-FILE_HASHES = _schema("path string, hash string, indexed_at timestamp")
-SNAPSHOTS = _schema("id string, commit_sha string, commit_date string, commit_msg string, node_count bigint, edge_count bigint, file_count bigint, insertions bigint, deletions bigint")
-COMMITS = _schema("sha string, ts timestamp, author_name string, author_email string, path string")
-BLAME = _schema("path string, author_name string, author_email string, lines bigint")
-DEPS = _schema("name string, version string, ecosystem string, manifest string, dep_kind string")
-REPOS = _schema("id string, name string, path string, db_path string, indexed_at timestamp, node_count bigint, edge_count bigint, language_breakdown map<string,double>, last_used_at timestamp")
+EDGES = typed("id string, src string, dst string, kind string, weight double, confidence double")
+FILES = typed("path string, language string, content string, size_bytes bigint")
+TAGS = typed("id string, file_path string, tag_type string, text string, line int, comment_type string")
+CLONES = typed("id string, node_a string, node_b string, kind string, similarity float")
+COMMUNITIES = typed("id bigint, label string, node_count bigint, top_nodes array<string>")
+FILE_HASHES = typed("path string, hash string, indexed_at timestamp")
+SNAPSHOTS = typed("id string, commit_sha string, commit_date string, commit_msg string, node_count bigint, edge_count bigint, file_count bigint, insertions bigint, deletions bigint")
+COMMITS = typed("sha string, ts timestamp, author_name string, author_email string, path string")
+BLAME = typed("path string, author_name string, author_email string, lines bigint")
+DEPS = typed("name string, version string, ecosystem string, manifest string, dep_kind string")
+REPOS = typed("id string, name string, path string, db_path string, indexed_at timestamp, node_count bigint, edge_count bigint, language_breakdown map<string,double>, last_used_at timestamp")
 
 #: Values of columns that a writer leaves out.
 NODE_DEFAULTS = {
