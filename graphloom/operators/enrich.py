@@ -48,14 +48,25 @@ def with_churn(nodes: DataFrame, churned: DataFrame) -> DataFrame:
     return joined.withColumn("churn", F.coalesce("churn", F.lit(0.0))).drop("_path").select(*nodes.columns)
 
 
+#: Paths of a commit that are paired in one task.
+BLOCK = 512
+
+
 def cochange(commits: DataFrame, now: Column | None = None, days: int = COCHANGE_DAYS, least: int = COCHANGE_LEAST) -> DataFrame:
     """(a, b, commits, weight) of paths changed together, a < b.
 
-    Pairs come from one array per commit, so the commits are shuffled once and there is no self-join;
-    the weight is the share of the largest count, taken before pairs below `least` go.
+    Pairs come from one array per commit, so the commits are shuffled once and there is no self-join. A commit of more than BLOCK paths is
+    cut into blocks, and each two of them are paired in a task of their own, so no task makes a large commit's pairs alone.
+    The weight is the share of the largest count, taken before pairs below `least` go.
     """
     sets = _since(commits, now, days).groupBy("sha").agg(F.sort_array(F.collect_set("path")).alias("p")).where(F.size("p") > 1)
-    tails = sets.select(F.posexplode("p").alias("k", "a"), "p").select("a", F.explode(F.slice("p", F.col("k") + 2, F.size("p"))).alias("b"))
+    small = sets.where(F.size("p") <= BLOCK).select(F.posexplode("p").alias("k", "a"), "p").select("a", F.explode(F.slice("p", F.col("k") + 2, F.size("p"))).alias("b"))
+    last = F.floor((F.size("p") - 1) / BLOCK).cast("int")
+    cut = lambda i: F.slice("p", F.col(i) * BLOCK + 1, BLOCK)
+    blocks = sets.where(F.size("p") > BLOCK).select("sha", "p", F.explode(F.sequence(F.lit(0), last)).alias("i")).select("sha", "p", "i", F.explode(F.sequence(F.col("i"), last)).alias("j"))
+    blocks = blocks.select("sha", "i", "j", cut("i").alias("pi"), cut("j").alias("pj")).repartition("sha", "i", "j")
+    large = blocks.select(F.explode("pi").alias("a"), "pj").select("a", F.explode("pj").alias("b")).where("a < b")
+    tails = small.unionByName(large)
     counts = tails.groupBy("a", "b").agg(F.count("*").alias("commits"))
     top = counts.agg(F.max("commits").alias("_top"))
     return counts.join(F.broadcast(top)).where(F.col("commits") >= least).select("a", "b", "commits", (F.col("commits") / F.col("_top")).alias("weight"))

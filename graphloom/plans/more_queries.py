@@ -136,6 +136,13 @@ def json_rows(g: Graph) -> DataFrame:
     return formats.json_rows(g.nodes, g.edges)
 
 
+@query("K10_json_values", "SELECT 'nodes' AS part, id, kind, name, path, round(churn, 9) AS number FROM nodes UNION ALL SELECT 'edges', src || '|' || kind || '|' || dst, kind, src, dst, round(weight, 9) FROM edges UNION ALL SELECT 'meta', NULL, NULL, NULL, NULL, CAST((SELECT count(*) FROM nodes) AS DOUBLE)")
+def json_values(g: Graph) -> DataFrame:
+    """The whole export, read as JSON again: values of every row."""
+    field = lambda *names: F.coalesce(*(F.get_json_object("json", f"$.{n}") for n in names))
+    return formats.json_rows(g.nodes, g.edges).select("part", field("id").alias("id"), field("kind").alias("kind"), field("name", "src").alias("name"), field("path", "dst").alias("path"), F.round(field("churn", "weight", "node_count").cast("double"), 9).alias("number"))
+
+
 @query("K11_mermaid", ", inside AS (SELECT e.* FROM edges e WHERE e.src IN (SELECT id FROM nodes) AND e.dst IN (SELECT id FROM nodes)), deg AS (SELECT id, count(*) AS d FROM (SELECT src AS id FROM inside UNION ALL SELECT dst FROM inside) GROUP BY id), top AS (SELECT n.*, coalesce(d, 0) AS d FROM nodes n LEFT JOIN deg USING (id) ORDER BY coalesce(d, 0) DESC, id LIMIT 50), kept AS (SELECT * FROM inside WHERE src IN (SELECT id FROM top) AND dst IN (SELECT id FROM top) ORDER BY src, kind, dst LIMIT 50) SELECT 'graph TD' AS line UNION ALL SELECT '  ' || regexp_replace(id, '[:./\\-()\\[\\] <>|]', '_', 'g') || '[\"' || left(name, 40) || '\"]' FROM top UNION ALL SELECT '  ' || regexp_replace(src, '[:./\\-()\\[\\] <>|]', '_', 'g') || CASE kind WHEN 'IMPORTS' THEN ' -.-> ' WHEN 'CO_CHANGES' THEN ' ==> ' ELSE ' --> ' END || regexp_replace(dst, '[:./\\-()\\[\\] <>|]', '_', 'g') FROM kept UNION ALL SELECT '  %% Showing 50/' || (SELECT count(*) FROM nodes) || ' nodes (' || ((SELECT count(*) FROM edges) - (SELECT count(*) FROM kept)) || ' edges filtered)'")
 def mermaid(g: Graph) -> DataFrame:
     return formats.mermaid(g.raw_nodes, g.edges, 50).select("line")

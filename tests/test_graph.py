@@ -388,3 +388,15 @@ def test_a_replaced_table_makes_a_new_index(spark, tmp_path):
     kept = spark.read.parquet(f"{tmp_path}/nation.parquet").where("n_nationkey < 5").toPandas()
     kept.to_parquet(f"{tmp_path}/nation.parquet")
     assert modules() == 5
+
+
+def test_large_commits_are_paired_in_blocks(spark, monkeypatch):
+    import datetime
+
+    day = datetime.datetime(2024, 1, 1)
+    rows = [("big", day, f"p{k:02d}") for k in range(23)] + [("two", day, "p03"), ("two", day, "p20"), ("one", day, "p05")]
+    commits = spark.createDataFrame(rows, "sha string, ts timestamp, path string")
+    want = sorted(map(tuple, enrich.cochange(commits, least=1).collect()))
+    assert len(want) == 23 * 22 // 2 and want[0][:2] == ("p00", "p01")
+    monkeypatch.setattr(enrich, "BLOCK", 5)
+    assert sorted(map(tuple, enrich.cochange(commits, least=1).collect())) == want
