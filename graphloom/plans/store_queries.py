@@ -7,11 +7,11 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators import enrich, history, lineage, rules
+from graphloom.operators import enrich, grams, history, lineage, rules
 from graphloom.operators.storage import scratch
 from graphloom.operators.store import GraphStore
 from graphloom.plans.projection import PRELUDE, Graph
-from graphloom.plans.queries import query
+from graphloom.plans.queries import ORACLES, query
 from graphloom.streaming import closing
 
 #: The four states as SQL over raw_nodes and edges: loaded; modules renamed and classes added; every third file gone; functions come back under other paths.
@@ -230,3 +230,25 @@ def lines_in_all(g: Graph) -> DataFrame:
 )
 def changed_between(g: Graph) -> DataFrame:
     return lineage.changed_between(_versions(g), 1, 3)
+
+
+# Lookups by an index of 3-grams; the SQL is that of the lookups without one
+
+
+def _index(g: Graph) -> grams.GramIndex:
+    return grams.GramIndex(g.spark, scratch(g.spark, "grams")).build(g.raw_nodes)
+
+
+@query("F2_indexed_find", ORACLES["F2_find"], graph=False)
+def indexed_find(g: Graph) -> DataFrame:
+    return _index(g).find(g.nodes, "fn_12").select("id", "kind", "name", "in_degree")
+
+
+@query("F3_indexed_symbol", ORACLES["F3_find_symbol"], graph=False)
+def indexed_symbol(g: Graph) -> DataFrame:
+    return _index(g).find_symbol(g.nodes, "Customer#00000001", "class")
+
+
+@query("F4_indexed_search", ORACLES["F4_search"], graph=False)
+def indexed_search(g: Graph) -> DataFrame:
+    return _index(g).search(g.raw_nodes, "Widget", None).select("id", "kind", "name", "path")

@@ -13,7 +13,7 @@ import __spark_entry__
 from tests.conftest import ROOT
 
 SF = "/root/testdata/sf0.001"
-SOME = ("T1_hotspots", "A4_degrees", "A6_communities", "A20_cochange", "G3_blast_radius", "G5_impact", "G7_cycles", "R9_dead_code", "J21_graph_diff", "J5_cross_cluster", "P1_parse_nodes", "M1_bursts", "Q15_file_facts", "W9_collisions", "G4_chain_over_kinds", "J24_exact_clones", "X3_normalized_bodies", "K12_dot", "K13_svg", "K14_graphml", "P1_typescript", "P2_python", "P3_rust", "P4_go", "P5_java", "P6_php", "F20_retrieve", "G10_grid", "X14_purposes", "X17_durations", "X19_sizes", "X19_versions", "D6_registry", "A25_group_exports", "K1_store_nodes", "K4_cleared", "M1_closed_bursts", "M2_stream", "R8_first_bad", "F11_counts_by_version", "S5_line_balance", "S7_changed_between", "P1d_composed_calls", "P1_composed_symbols")
+SOME = ("T1_hotspots", "A4_degrees", "A6_communities", "A20_cochange", "G3_blast_radius", "G5_impact", "G7_cycles", "R9_dead_code", "J21_graph_diff", "J5_cross_cluster", "P1_parse_nodes", "M1_bursts", "Q15_file_facts", "W9_collisions", "G4_chain_over_kinds", "J24_exact_clones", "X3_normalized_bodies", "K12_dot", "K13_svg", "K14_graphml", "P1_typescript", "P2_python", "P3_rust", "P4_go", "P5_java", "P6_php", "F20_retrieve", "G10_grid", "X14_purposes", "X17_durations", "X19_sizes", "X19_versions", "D6_registry", "A25_group_exports", "K1_store_nodes", "M1_closed_bursts", "R8_first_bad", "S5_line_balance", "P1d_composed_calls")
 
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
 
