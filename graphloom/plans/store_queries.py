@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators import enrich, grams, history, lineage, rules
+from graphloom.operators import deltas, enrich, grams, history, lineage, rules
 from graphloom.operators.storage import scratch
 from graphloom.operators.store import GraphStore
 from graphloom.plans.projection import PRELUDE, Graph
@@ -252,3 +252,25 @@ def indexed_symbol(g: Graph) -> DataFrame:
 @query("F4_indexed_search", ORACLES["F4_search"], graph=False)
 def indexed_search(g: Graph) -> DataFrame:
     return _index(g).search(g.raw_nodes, "Widget", None).select("id", "kind", "name", "path")
+
+
+# Enrichment kept up by deltas
+
+
+@query(
+    "A4_by_deltas",
+    ", kept AS (SELECT src, dst, kind FROM edges WHERE src NOT IN (SELECT id FROM raw_nodes WHERE path IN (SELECT path FROM files WHERE p_partkey % 3 = 0)) AND dst NOT IN (SELECT id FROM raw_nodes WHERE path IN (SELECT path FROM files WHERE p_partkey % 3 = 0))), "
+    "i AS (SELECT dst AS id, count(*) AS n, count(*) FILTER (kind = 'TESTS') AS t FROM kept GROUP BY dst), o AS (SELECT src AS id, count(*) AS n FROM kept GROUP BY src), top AS (SELECT max(n) AS m FROM i WHERE starts_with(id, 'file:')) "
+    "SELECT id, coalesce(i.n, 0) AS in_degree, coalesce(o.n, 0) AS out_degree, coalesce(i.t, 0) AS test_count, CASE WHEN starts_with(id, 'file:') THEN round(coalesce(i.n, 0) / CAST(m AS DOUBLE), 9) ELSE 0 END AS coupling FROM raw_nodes r LEFT JOIN i USING (id) LEFT JOIN o USING (id), top WHERE r.path NOT IN (SELECT path FROM files WHERE p_partkey % 3 = 0)",
+)
+def degrees_by_deltas(g: Graph) -> DataFrame:
+    """Degrees, test counts and coupling after edges came in two batches and every third file went, from what changed each time."""
+    store = GraphStore(g.spark, scratch(g.spark, "store"))
+    store.commit("nodes", {"nodes": g.raw_nodes})
+    for batch, edges in (("calls", g.edges.where("kind <> 'IMPORTS'")), ("imports", g.edges.where("kind = 'IMPORTS'"))):
+        store.commit(batch, {"edges": edges})
+        deltas.refresh(store)
+    store.commit("delete", gone=g.files.where("p_partkey % 3 = 0").select("path"))
+    deltas.refresh(store)
+    out = deltas.with_degrees(store.read("nodes"), store)
+    return out.select("id", "in_degree", "out_degree", "test_count", F.round("coupling", 9).alias("coupling"))

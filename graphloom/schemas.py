@@ -32,6 +32,9 @@ TAGS = typed("id string, file_path string, tag_type string, text string, line in
 CLONES = typed("id string, node_a string, node_b string, kind string, similarity float")
 COMMUNITIES = typed("id bigint, label string, node_count bigint, top_nodes array<string>")
 FILE_HASHES = typed("path string, hash string, indexed_at timestamp")
+#: Kept up by deltas: degrees of ids, and how many files have each number of incoming edges.
+DEGREES = typed("id string, in_degree bigint, out_degree bigint, test_count bigint")
+HISTOGRAM = typed("degree bigint, files bigint")
 SNAPSHOTS = typed("id string, commit_sha string, commit_date string, commit_msg string, node_count bigint, edge_count bigint, file_count bigint, insertions bigint, deletions bigint")
 COMMITS = typed("sha string, ts timestamp, author_name string, author_email string, path string")
 BLAME = typed("path string, author_name string, author_email string, lines bigint")
