@@ -12,6 +12,7 @@ HOOKS = ("getServerSideProps", "getStaticProps", "loader", "action", "beforeEach
 ENTRIES = ("main", "init", "setup", "bootstrap", "start")
 INDEX_FILES = ("index.ts", "index.js", "lib.rs", "mod.rs")
 ROOT_FILES = ("index.ts", "index.js", "main.ts", "main.rs", "lib.rs", "mod.rs", "app.ts", "__init__.py")
+#: What is said of the risk of a false finding.
 RISK_HOOK = "Framework hook — called by framework not by your code"
 RISK_ENTRY = "Common entry point name — verify before deleting"
 RISK_TYPE = "Types erased at runtime — may be used by consuming TypeScript packages"

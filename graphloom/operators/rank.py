@@ -38,6 +38,7 @@ def entry_points(nodes: DataFrame, limit: int = 20) -> DataFrame:
 
 def listed_entry_points(nodes: DataFrame) -> DataFrame:
     """All symbols that nothing refers to, with a reason; exported ones first, then by what they refer to."""
+    # The reasons.
     reason = F.when(F.col("exported"), "exported, no callers").when(F.col("kind").isin("Function", "Method"), "no callers in graph (CLI entry / event handler / dead candidate)").otherwise("no incoming references")
     hit = nodes.where((F.col("in_degree") == 0) & ~F.col("kind").isin("File", "Author", "Module") & ~F.col("is_test_file"))
     return hit.select("id", "kind", "name", "path", "line_start", "exported", "out_degree", reason.alias("reason")).orderBy(F.desc("exported"), F.desc("out_degree"), "path", "line_start", "id")

@@ -176,7 +176,7 @@ def slice_hashes(facts: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def tldr() -> Column:
     """A sentence on a row of file_facts."""
-    # Display names of languages.
+    # Display names of languages, and the phrases below.
     names = {"rust": "Rust", "typescript": "TypeScript", "javascript": "JavaScript", "python": "Python", "go": "Go", "java": "Java", "php": "PHP"}
     language = F.when(F.col("language") == "", "Source")
     for key, shown in names.items():
