@@ -122,6 +122,13 @@ def cross_cluster(nodes: DataFrame, edges: DataFrame, labels: DataFrame | None =
     return by.select("src_community", F.coalesce("src_label", F.lit("")).alias("src_label"), "dst_community", F.coalesce("dst_label", F.lit("")).alias("dst_label"), "edge_count", "total_weight")
 
 
+def top_cross_cluster(nodes: DataFrame, edges: DataFrame, labels: DataFrame | None = None, limit: int = 50) -> DataFrame:
+    """The pairs of communities with most dependencies between them, with `rank` from 1; ties by the pair."""
+    order = (F.desc("edge_count"), "src_community", "dst_community")
+    top = cross_cluster(nodes, edges, labels).orderBy(*order).limit(limit)
+    return top.withColumn("rank", F.row_number().over(W.orderBy(*order)))  # `limit` rows
+
+
 def community_edges(nodes: DataFrame, edges: DataFrame, community: int) -> DataFrame:
     """Distinct edges with both ends in the community."""
     own = nodes.where(F.col("community") == community).select(F.col("id").alias("_n"))

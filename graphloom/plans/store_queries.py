@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators import deltas, enrich, grams, history, lineage, rules
+from graphloom.operators import deltas, enrich, grams, history, lineage, rank, rules
 from graphloom.operators.storage import scratch
 from graphloom.operators.store import GraphStore
 from graphloom.plans.projection import PRELUDE, Graph
@@ -274,3 +274,17 @@ def degrees_by_deltas(g: Graph) -> DataFrame:
     deltas.refresh(store)
     out = deltas.with_degrees(store.read("nodes"), store)
     return out.select("id", "in_degree", "out_degree", "test_count", F.round("coupling", 9).alias("coupling"))
+
+
+# Ordered, capped listings
+
+
+@query("T9_cross_cluster", f"SELECT *, CAST(row_number() OVER (ORDER BY edge_count DESC, src_community, dst_community) AS INT) AS rank FROM ({ORACLES['J5_cross_cluster']}) ORDER BY rank LIMIT 50", graph=False)
+def top_cross_cluster(g: Graph) -> DataFrame:
+    return rank.top_cross_cluster(g.nodes, g.edges, rank.communities(g.nodes))
+
+
+@query("A1_counts_with_snapshots", "SELECT (SELECT count(*) FROM nodes) AS node_count, (SELECT count(*) FROM edges) AS edge_count, (SELECT count(DISTINCT sha) FROM commits) AS snapshot_count")
+def counts_with_snapshots(g: Graph) -> DataFrame:
+    """Of a graph whose commits all have a snapshot."""
+    return rank.counts(g.raw_nodes, g.edges, g.commits.select("sha").distinct())
