@@ -11,7 +11,8 @@ Each task packs the rows it reads, window by window: no shuffle, bounded memory,
 gives the same rows, since its input rows and their order are the same.
 
 Nulls: a null text is empty; every document ends with the end token, so it has one piece at least. A
-null id stays null. Repeated rows: packed each. Empty table: no rows. Other columns are not looked at.
+null id stays null. Repeated rows: packed each. Long texts: cut over as many sequences as they need. Ties: of equal costs the
+sequence opened first. Empty table: no rows. Other columns are not looked at.
 """
 
 from __future__ import annotations

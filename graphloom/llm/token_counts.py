@@ -9,7 +9,7 @@ done (it is skipped). compact() folds committed batches into one folder that lis
 
 Nulls: a null text has no tokens and no bytes but counts as a document; null source, language and
 version are groups of their own. Repeated rows: each counts. Empty batch: committed, no rows. Groups
-whose totals are all zero are left out of the totals. Other columns are not looked at.
+whose totals are all zero are left out of the totals. Long texts: counted whole; a worker holds one text's ids. Other columns are not looked at.
 """
 
 from __future__ import annotations
