@@ -5,7 +5,7 @@ versioned table maps each slot to a shard. Rebalancing edits that table; no reco
 DataFrame operations only.
 
 Nulls: a null text has no bytes, a null id hashes as such. Empty table: an empty plan. Repeated rows:
-each is placed, beside its twin, in the same slot. Ties: of equal loads the lower shard, of equal slots the lower slot. Long texts: a
+each is placed, beside its twin, in the same slot. Ties: of equal loads the lower shard takes the next slot, of equal slots the higher number goes first. Long texts: a
 slot with one may be larger than a fair share, which the others make up for. Other columns of the input are not looked at.
 """
 
