@@ -405,6 +405,11 @@ def _links(rows: DataFrame, known: DataFrame, k: int, p: int, q: int, common: np
     wanted = stored(known.join(F.broadcast(groups.withColumnRenamed("id", "node")) if few else groups.withColumnRenamed("id", "node"), "node"), "candidate-sizes")
     texts = stored(_texts_of(rows, wanted, few), "candidate-texts")
 
+    # a head and another of too different sizes cannot link with each other, so their texts need not meet
+    sizes = wanted.select("node", "n")
+    sizes = F.broadcast(sizes) if few else sizes
+    fit = stars.join(sizes.toDF("a", "n_a"), "a").join(sizes.toDF("b", "n_b"), "b").where(p * F.greatest("n_a", "n_b") <= q * F.least("n_a", "n_b"))
+    stars = stored(fit.select("a", "b"), "fitting-links")
     buckets = stars.groupBy(F.col("a").alias("head")).agg(F.ceil(F.count("*") / BLOCK_DOCS).cast("int").alias("nb")).where("nb > 1")
     buckets = stored(buckets, "large-stars")  # at most a row for BLOCK_DOCS pairs
     large = F.broadcast(buckets) if buckets.count() <= BROADCAST_ROWS else buckets
