@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import tables
 from graphloom.operators import rules
+from graphloom.operators.storage import spread, stored
 from graphloom.plans.projection import Graph
 from graphloom.plans.queries import query
 from graphloom.sources import parse
@@ -106,9 +107,15 @@ def _sql(t: Template) -> str:
     return f"SELECT element, {fill('a')} AS a, kind, {fill('b')} AS b, first, last, exported, value, {fill('doc')} AS doc FROM part, (VALUES {values}) v(element, a, kind, b, first, last, exported, value, doc)"
 
 
+def _parts(g: Graph) -> DataFrame:
+    """Keys of all parts, dealt over tasks before texts are made of them."""
+    return spread(g.table("part").select("p_partkey"), "p_partkey")
+
+
 def _found(g: Graph, t: Template) -> DataFrame:
     k = F.col("p_partkey")
-    parsed = parse.extract(g.table("part").select(_filled(t.path, k).alias("path"), F.lit(t.language).alias("language"), _filled(t.text, k).alias("content")))
+    # stored, as each of the three plans below else parses all texts
+    parsed = stored(parse.extract(_parts(g).select(_filled(t.path, k).alias("path"), F.lit(t.language).alias("language"), _filled(t.text, k).alias("content")), dealt=True), "parsed")
     none = F.lit(None).cast("string")
     nodes = parse.nodes_of(parsed).select(F.lit("node").alias("element"), F.col("id").alias("a"), "kind", F.col("name").alias("b"), F.col("line_start").alias("first"), F.col("line_end").alias("last"), "exported", F.col("complexity").alias("value"), F.col("doc_comment").alias("doc"))
     edges = parse.edges_of(parsed).select(F.lit("edge").alias("element"), F.col("src").alias("a"), "kind", F.col("dst").alias("b"), F.lit(0).alias("first"), F.lit(0).alias("last"), F.lit(False).alias("exported"), F.col("confidence").alias("value"), none.alias("doc"))
@@ -154,7 +161,7 @@ def _composed(g: Graph) -> DataFrame:
         for name, value in names.items():
             text = F.replace(text, F.lit(f"{{{name}}}"), F.concat(F.lit(value), k.cast("string")))
         pieces.append(text)
-    return g.table("part").select(F.concat(F.lit("src/p"), k.cast("string"), F.lit(".tsx")).alias("path"), F.lit("typescript").alias("language"), F.concat(*pieces).alias("content"))
+    return _parts(g).select(F.concat(F.lit("src/p"), k.cast("string"), F.lit(".tsx")).alias("path"), F.lit("typescript").alias("language"), F.concat(*pieces).alias("content"))
 
 
 _SHAPE_ROWS = ", ".join(f"({s}, {_quoted(a)}, {_quoted(b)}, {c})" for s, (_, calls, _) in enumerate(SHAPES) for a, b, c in calls)
@@ -171,7 +178,7 @@ _FILL = "replace(replace(replace({c}, '{{f}}', f), '{{g}}', gg), '{{h}}', hh)"
 )
 def composed_calls(g: Graph) -> DataFrame:
     """Calls inside nested templates, object methods, markup, beside regular expressions and decoys in strings and comments."""
-    return parse.edges_of(parse.extract(_composed(g))).where("kind = 'CALLS'").select("src", "dst", "confidence")
+    return parse.edges_of(parse.extract(_composed(g), dealt=True)).where("kind = 'CALLS'").select("src", "dst", "confidence")
 
 
 @query(
@@ -180,7 +187,7 @@ def composed_calls(g: Graph) -> DataFrame:
     graph=False,
 )
 def composed_symbols(g: Graph) -> DataFrame:
-    return parse.nodes_of(parse.extract(_composed(g))).select("id", "name", "exported", "line_start")
+    return parse.nodes_of(parse.extract(_composed(g), dealt=True)).select("id", "name", "exported", "line_start")
 
 
 # Rules in SQL that call the parsers and the text functions

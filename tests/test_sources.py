@@ -179,3 +179,28 @@ def test_incremental_graph(spark):
     later = files.where("path <> 'a.ts'").withColumn("content", F.when(F.col("path") == "b.ts", "export function h() {}").otherwise(F.col("content")))
     again, _ = watch.incremental(later, hashes, parsed)
     assert sorted(r["id"] for r in parse.nodes_of(again).collect()) == ["fn:b.ts:h"]
+
+
+def test_texts_of_a_small_table_are_parsed_by_many_tasks(spark):
+    """A table of one file is one task's; parsing it must not be."""
+    from graphloom.plans import parser_queries
+    from graphloom.plans.projection import Graph
+
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    one = spark.createDataFrame([(f"m{k}.py", "python", f"def f{k}(): pass\n") for k in range(200)], "path string, language string, content string").coalesce(1)
+    parsed = parse.extract(one)
+    assert parsed.rdd.getNumPartitions() >= tasks and parsed.count() == 200
+    data = "/root/testdata/sf0.001"
+    if os.path.isdir(data):
+        assert parser_queries._composed(Graph(spark, data)).rdd.getNumPartitions() >= tasks
+
+
+def test_a_parser_query_parses_each_text_once(spark, monkeypatch):
+    """Nodes, edges and tags are read from what was parsed, not parsed again for each."""
+    from graphloom.plans import parser_queries
+    from graphloom.plans.projection import Graph
+
+    monkeypatch.setattr(Graph, "table", lambda self, name: spark.range(1, 30).toDF("p_partkey"))
+    found = parser_queries._found(Graph(spark, "nowhere"), parser_queries.TEMPLATES["P4_go"])
+    assert "MapInArrow" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 29 * 9
