@@ -30,3 +30,22 @@ def test_pairs_by_name_are_not_shuffled(spark):
     lines = plan.split("\n")
     above = lines[: next(k for k, x in enumerate(lines) if "Union" in x)]
     assert not any("Exchange" in x or "Aggregate" in x for x in above)
+
+
+def test_commits_and_nodes_are_dealt_by_few_bytes(spark):
+    """Commits are made distinct by keys, without another shuffle of names and paths; nodes are dealt by id once."""
+    import os
+
+    import pytest
+
+    from graphloom.plans.projection import COMMITS, Graph
+
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("no test tables here")
+    g = Graph(spark, data)
+    made = g._committed()
+    assert made.schema.simpleString() == g._sql(COMMITS).schema.simpleString()
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, g._sql(COMMITS).collect()))
+    assert not any("Exchange" in x and "author_name" in x for x in _plan(made).split("\n"))
+    assert sum("hashpartitioning(path" in x for x in _plan(g._enriched()).split("\n")) <= sum("hashpartitioning(path" in x for x in _plan(g.churn).split("\n")) + 1
