@@ -18,7 +18,9 @@ Hamming distance, nearest first. Groups are cut into blocks, and each pair of bl
 own, so neither a group nor its pairs are ever gathered or emitted. A link counts only when the pair's word shingles,
 compared as words, reach the threshold; what is emitted are spanning links, and their components are taken once more.
 
-Hot keys are combined before they are shuffled: of HELD_KEYS keys at a time, a task sends each once.
+Hot keys are combined before they are shuffled: of HELD_KEYS keys at a time, a task sends each once. They travel packed, KEY_BYTES
+of the key and IDENT_BYTES of the node (its ident), many in a row. Two keys or nodes that agree in these bytes only add candidates: an ident
+stands for all of its nodes, and these are candidates of each other, so no link is lost.
 
 Nulls: a null text has no words, an empty set, and links with nothing; a null id is a document like others, but
 never names a component unless all its ids are null. Texts with fewer words than a shingle have the whole
@@ -48,6 +50,8 @@ BLOCK_DOCS, BLOCK_SHINGLES, BLOCKS, LEAST_DOCS = 256, 400_000, 32, 64
 DIRECT = 3
 #: Keys that a task holds to combine them; tokens that it holds to count them.
 HELD_KEYS, HELD_TOKENS = 500_000, 2_000_000
+#: What travels of a key, beside its bucket, and of a node; keys in a row; tokens of all sets for a bucket, which has fewer keys than these.
+KEY_BYTES, IDENT_BYTES, PACKED, BUCKET_TOKENS = 6, 5, 512, 1_000_000
 #: Key of the words' hash.
 HASH_KEY = "parity sketches."
 #: Tokens that tell nothing alone: those in at least so many of the texts that a task holds at a time; at most so many of them.
@@ -290,26 +294,66 @@ def _headed(keys: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return first, head, pairs[pairs[:, 0] != pairs[:, 1]]
 
 
-def _candidates(rows: DataFrame, k: int, p: int, q: int, common: np.ndarray | None = None) -> DataFrame:
-    """(a, b): nodes of rows (text) that connect all sets with a common key; a is the head of such a key, in a batch or overall."""
+def ident_of(node: bytes, width: int) -> int:
+    """The first bytes of a node as a number, so that idents are in the order of nodes."""
+    return int.from_bytes(node[:width], "big")
+
+
+def _packed(values: np.ndarray, width: int) -> np.ndarray:
+    """The low bytes of unsigned numbers, a row each."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+
+
+def _unpacked(raw: bytes, width: int, per_row: int = 1) -> np.ndarray:
+    """Numbers of so many bytes, so many in a row."""
+    out = np.zeros((len(raw) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
+    return out.view("<u8").astype(np.int64).reshape(-1, per_row)
+
+
+def _rows_of(bucket: np.ndarray, columns: list[np.ndarray | None]) -> Iterator:
+    """Batches (bucket, binary columns) of items sorted by bucket: a row holds up to PACKED items of a bucket."""
+    if not len(bucket):
+        return
+    heads = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    ends = np.append(heads[1:], len(bucket))
+    pieces = (ends - heads + PACKED - 1) // PACKED
+    which = np.repeat(np.arange(len(heads)), pieces)
+    starts = heads[which] + PACKED * (np.arange(len(which)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    cuts = np.append(starts, len(bucket))
+    for at in range(0, len(starts), 200):
+        here = cuts[at : at + 201]
+        arrays = [pa.array(bucket[here[:-1]], pa.int32())]
+        for c in columns:
+            if c is None:
+                arrays.append(pa.nulls(len(here) - 1, pa.binary()))
+            else:
+                raw = np.ascontiguousarray(c[here[0] : here[-1]])
+                offsets = ((here - here[0]) * c.shape[1]).astype(np.int32)
+                arrays.append(pa.Array.from_buffers(pa.binary(), len(here) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(raw)]))
+        yield pa.RecordBatch.from_arrays(arrays, ["bucket", "keys", "nodes"])
+
+
+def _candidates(rows: DataFrame, k: int, p: int, q: int, common: np.ndarray | None = None, buckets: int = 1) -> DataFrame:
+    """(a, b): idents of nodes of rows (text) that connect all sets with a common key; a is the head of such a key, in a batch or overall."""
+    width = IDENT_BYTES
 
     def combined(names: dict[bytes, int], own: list[np.ndarray], keys: list[np.ndarray]) -> Iterator:
         """The keys of some nodes, each key once with its smallest node, and the pairs of that node and the others."""
         nodes = sorted(names)
         rank = {node: r for r, node in enumerate(nodes)}
+        idents = np.array([ident_of(node, width) for node in nodes], np.int64)
         place, key = np.array([rank[node] for node in names], np.int64)[np.concatenate(own)], np.concatenate(keys)
         order = np.lexsort((place, key))
         place, key = place[order], key[order]
         first, _, pairs = _headed(key, place)
-        node = pa.array(nodes, pa.binary())
-        salt = mix64(pairs[:, 0].astype(np.uint64) * _BASE + pairs[:, 1].astype(np.uint64))
         key, place = key[first], place[first]
-        for at in range(0, len(key), 50_000):
-            part = slice(at, at + 50_000)
-            yield pa.RecordBatch.from_arrays([pa.array(key[part].view(np.int64)), node.take(pa.array(place[part])), pa.nulls(len(key[part]), pa.binary())], ["key", "a", "b"])
-        for at in range(0, len(pairs), 50_000):
-            part = slice(at, at + 50_000)
-            yield pa.RecordBatch.from_arrays([pa.array(salt[part].view(np.int64)), node.take(pa.array(pairs[part, 0])), node.take(pa.array(pairs[part, 1]))], ["key", "a", "b"])
+        bucket = key % _U(buckets)
+        order = np.argsort(bucket, kind="stable")
+        yield from _rows_of(bucket[order].astype(np.int32), [_packed(key[order] // _U(buckets), KEY_BYTES), _packed(idents[place[order]], width)])
+        bucket = mix64(pairs[:, 0].astype(np.uint64) * _BASE + pairs[:, 1].astype(np.uint64)) % _U(buckets)
+        order = np.argsort(bucket, kind="stable")
+        yield from _rows_of(bucket[order].astype(np.int32), [None, np.concatenate([_packed(idents[pairs[order, 0]], width), _packed(idents[pairs[order, 1]], width)], 1)])
 
     def emit(batches: Iterator) -> Iterator:
         names: dict[bytes, int] = {}
@@ -335,29 +379,23 @@ def _candidates(rows: DataFrame, k: int, p: int, q: int, common: np.ndarray | No
     def meet(batches: Iterator) -> Iterator:
         import pyarrow.compute as pc
 
-        last_key, last_node = None, None
-        for batch in batches:
-            told = pc.is_valid(batch.column(2))
-            pairs = batch.filter(told)
-            yield pa.RecordBatch.from_arrays([pairs.column(1), pairs.column(2)], ["a", "b"])
-            rest = batch.filter(pc.invert(told))
-            if not rest.num_rows:
-                continue
-            keys, nodes = np.asarray(rest.column(0)), rest.column(1)
-            if last_key is not None:
-                keys, nodes = np.concatenate([[last_key], keys]), pa.concat_arrays([pa.array([last_node], pa.binary()), nodes])
-            coded = nodes.dictionary_encode()
-            own = np.asarray(coded.indices).astype(np.int64)
-            _, head, found = _headed(keys, own)
-            last_key, last_node = keys[-1], coded.dictionary[int(head[-1])].as_py()
-            yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(found[:, 0])), coded.dictionary.take(pa.array(found[:, 1]))], ["a", "b"])
-
-    keyed = rows.mapInArrow(lean(emit), "key long, a binary, b binary")
-    return keyed.repartition("key").sortWithinPartitions("key", "a").mapInArrow(lean(meet), "a binary, b binary").where("a <> b").distinct()
+        for table in runs(batches, 1):
+            told = pc.is_null(table["keys"])
+            found = [_unpacked(b"".join(table["nodes"].filter(told).to_pylist()), width, 2)]
+            rest = table.filter(pc.invert(told))
+            keys, own = _unpacked(b"".join(rest["keys"].to_pylist()), KEY_BYTES)[:, 0], _unpacked(b"".join(rest["nodes"].to_pylist()), width)[:, 0]
+            order = np.lexsort((own, keys))
+            found.append(_headed(keys[order], own[order])[2])
+            pairs = np.concatenate(found)
+            for at in range(0, len(pairs), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[at : at + 50_000, 0]), pa.array(pairs[at : at + 50_000, 1])], ["a", "b"])
+
+    packed = rows.mapInArrow(lean(emit), "bucket int, keys binary, nodes binary")
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(meet), "a long, b long").where("a <> b").distinct()
 
 
 def _texts_of(rows: DataFrame, wanted: DataFrame, few: bool) -> DataFrame:
-    """(node, text): one text of each wanted node; wanted has (node, id), the smallest id that has it."""
+    """(node, text), stored: one text of each wanted node; wanted has (node, id), the smallest id that has it, once a node."""
 
     def run(batches: Iterator) -> Iterator:
         for batch in batches:
@@ -365,7 +403,9 @@ def _texts_of(rows: DataFrame, wanted: DataFrame, few: bool) -> DataFrame:
 
     ids, nodes = wanted.select(F.col("id").alias("_id")).distinct(), wanted.select("node")
     held = rows.join(F.broadcast(ids) if few else ids, F.col("id").eqNullSafe(F.col("_id")), "left_semi").select("text")
-    return held.mapInArrow(lean(run), "node binary, text string").join(F.broadcast(nodes) if few else nodes, "node", "left_semi").dropDuplicates(["node"])
+    texts = stored(held.mapInArrow(lean(run), "node binary, text string").join(F.broadcast(nodes) if few else nodes, "node", "left_semi"), "candidate-texts")
+    # each node is there; unless an id or a row is repeated, once, and then no text travels for it
+    return texts if texts.count() == wanted.count() else stored(texts.dropDuplicates(["node"]), "candidate-texts")
 
 
 def _starred(members: DataFrame, k: int, p: int, q: int) -> DataFrame:
@@ -399,16 +439,22 @@ def _tiled(members: DataFrame, k: int, p: int, q: int) -> DataFrame:
 
 def _links(rows: DataFrame, known: DataFrame, k: int, p: int, q: int, common: np.ndarray) -> DataFrame:
     """(a, b): links of nodes that connect all that are to be connected; known has (node, id, n) once a node."""
-    stars = stored(_candidates(rows.select("text"), k, p, q, common), "candidate-links")
-    groups = stored(components(stars, "candidate-groups"), "candidate-nodes")
+    known = known.withColumn("ident", F.conv(F.hex(F.substring("node", 1, IDENT_BYTES)), 16, 10).cast("long"))
+    tokens = known.agg(F.sum("n")).first()[0] or 0
+    stars = stored(_candidates(rows.select("text"), k, p, q, common, 1 + tokens // BUCKET_TOKENS), "candidate-links")
+    groups = stored(components(stars, "candidate-groups").withColumnRenamed("id", "ident"), "candidate-nodes")
+    twins = stored(known.groupBy("ident").agg(F.min("node").alias("first"), F.count("*").alias("m")).where("m > 1").select("ident", "first"), "twins")
+    groups = groups.unionByName(twins.join(groups, "ident", "left_anti").select("ident", F.col("ident").alias("component")))
     few = groups.count() <= BROADCAST_ROWS
-    wanted = stored(known.join(F.broadcast(groups.withColumnRenamed("id", "node")) if few else groups.withColumnRenamed("id", "node"), "node"), "candidate-sizes")
-    texts = stored(_texts_of(rows, wanted, few), "candidate-texts")
+    wanted = stored(known.join(F.broadcast(groups) if few else groups, "ident"), "candidate-sizes")
+    texts = _texts_of(rows, wanted, few)
 
     # a head and another of too different sizes cannot link with each other, so their texts need not meet
-    sizes = wanted.select("node", "n")
+    sizes = wanted.select("ident", "node", "n")
     sizes = F.broadcast(sizes) if few else sizes
-    fit = stars.join(sizes.toDF("a", "n_a"), "a").join(sizes.toDF("b", "n_b"), "b").where(p * F.greatest("n_a", "n_b") <= q * F.least("n_a", "n_b"))
+    same = wanted.join(F.broadcast(twins), "ident").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    met = stars.toDF("ident_a", "ident_b").join(sizes.toDF("ident_a", "a", "n_a"), "ident_a").join(sizes.toDF("ident_b", "b", "n_b"), "ident_b")
+    fit = met.where(p * F.greatest("n_a", "n_b") <= q * F.least("n_a", "n_b")).select("a", "b").unionByName(same)
     stars = stored(fit.select("a", "b"), "fitting-links")
     buckets = stars.groupBy(F.col("a").alias("head")).agg(F.ceil(F.count("*") / BLOCK_DOCS).cast("int").alias("nb")).where("nb > 1")
     buckets = stored(buckets, "large-stars")  # at most a row for BLOCK_DOCS pairs

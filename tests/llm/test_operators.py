@@ -499,3 +499,19 @@ def test_slices_by_bytes():
         texts = pa.array(["x" * n for n in (5, 0, 5, 30, 1, 1)] + [None, "é" * 6], kind)
         assert list(common.slices(texts, 10)) == [(0, 3), (3, 4), (4, 7), (7, 8)]
         assert list(common.slices(texts.slice(2, 3), 10)) == [(0, 1), (1, 2), (2, 3)] and list(common.slices(texts[:0], 10)) == []
+
+
+@pytest.mark.parametrize(("key_bytes", "ident_bytes"), [(6, 5), (1, 1)])
+def test_jaccard_keys_travel_packed_and_lose_no_link(docs, monkeypatch, key_bytes, ident_bytes):
+    want = {r["id"]: r["component"] for r in jaccard.clusters(docs).collect()}
+    for name, n in (("KEY_BYTES", key_bytes), ("IDENT_BYTES", ident_bytes), ("PACKED", 3), ("BUCKET_TOKENS", 500)):
+        monkeypatch.setattr(jaccard, name, n)  # one byte: many nodes share an ident
+    assert {r["id"]: r["component"] for r in jaccard.clusters(docs).collect()} == want
+
+
+def test_a_row_of_packed_keys_takes_few_bytes_a_key():
+    values = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 20_000).astype(np.uint64))
+    bucket = np.repeat(np.arange(4, dtype=np.int32), 5000)
+    rows = [r for b in jaccard._rows_of(bucket, [jaccard._packed(values, 6), jaccard._packed(values, 5)]) for r in b.to_pylist()]
+    assert sum(len(r["keys"]) + len(r["nodes"]) for r in rows) == 11 * len(values) and len(rows) == 40
+    assert np.concatenate([jaccard._unpacked(r["keys"], 6)[:, 0] for r in rows]).tolist() == (values & np.uint64((1 << 48) - 1)).tolist()
