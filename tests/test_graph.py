@@ -304,6 +304,17 @@ def test_blast_radius_of_every_node(spark):
     assert len(found) == len(want) and {r["seed"]: (r["total"], r["by_kind"], r["risk"]) for r in found} == want
 
 
+def test_blast_radius_has_few_rows_for_many_seeds(spark):
+    names = ["hub", *(f"u{i}" for i in range(20)), *(f"f{i}" for i in range(1000))]
+    links = [*((f"u{i}", "hub", "IMPORTS", 1) for i in range(20)), *(("hub", f"f{i}", "EXPORTS", 1) for i in range(1000)), ("hub", "gone", "CALLS", 1)]
+    nodes, edges = graph(spark, names, links)
+    seeds = nodes.select(F.col("id").alias("seed")).unionByName(spark.createDataFrame([("gone",), ("hub",), (None,)], "seed string"))
+    _, masks, _, _ = traverse.reached_masks(nodes, edges, seeds)
+    assert masks.groupBy("n").count().agg({"count": "max"}).first()[0] <= 3  # a row for a block of 512 seeds; with 64 seeds, 16
+    found = {r["seed"]: r["total"] for r in traverse.blast_radius(nodes, edges, seeds).collect()}
+    assert found == {n: 20 if n == "hub" else 0 if n.startswith("u") else 21 for n in [*names, "gone"]}
+
+
 def test_chain_over_kinds_equals_brute_force(spark):
     import __spark_entry__
     from graphloom.plans.projection import Graph
