@@ -236,6 +236,39 @@ def test_near_clones_of_whole_documents_equal_brute_force(spark, tmp_path):
     assert (2, 6) in want and len(found) == len(want)
 
 
+@pytest.mark.parametrize("long", [0, 1 << 40])
+def test_near_clones_by_sketches_and_by_rare_grams_equal_brute_force(spark, monkeypatch, long):
+    rng = random.Random(7)
+    words = [f"{a}{b}" for a in ("stone", "river", "cloud") for b in ("fall", "mark", "wise", "less")]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.choice((1, 3, 8, 9, 10, 40)))) for _ in range(60)]
+    texts += [texts[3], "abcd", "abcde", "äöü", "", "abc"]
+    for name, n in (("LONG", long), ("LEAST_BLOCK", 7), ("MOST_BLOCK", 7), ("SKETCH_WORDS", 2)):
+        monkeypatch.setattr(clones, name, n)
+    found = clones.near_clones(spark.createDataFrame([*enumerate(texts), (70, None)], "id long, body string"), 0.8).collect()
+    sets = {}
+    for i, t in enumerate(texts):
+        raw = t.encode()
+        if len(raw) >= 4 and texts.index(t) == i:
+            sets[i] = {raw[k : k + 4] for k in range(len(raw) - 3)}
+    want = {(a, b): len(x & y) / len(x | y) for a, x in sets.items() for b, y in sets.items() if a < b and len(x & y) / len(x | y) >= 0.8}
+    assert len(found) == len(want) > 3 and {(r["node_a"], r["node_b"]): r["similarity"] for r in found} == {k: pytest.approx(v, abs=1e-6) for k, v in want.items()}
+
+
+def test_sketches_leave_few_pairs_of_long_bodies():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    common = rng.integers(0, 1 << 32, 1500)
+    grams = [np.unique(rng.choice(common, 1000, replace=False)).astype(np.uint32) for _ in range(60)]
+    grams[9] = np.unique(np.append(grams[4][:-40], 7)).astype(np.uint32)
+    grams.sort(key=len)
+    sizes = np.array([len(g) for g in grams])
+    everyone = np.arange(len(grams))
+    found = [(x, y) for x, ys in clones.near_pairs(sizes, [clones.sketch(g) for g in grams], everyone, everyone, 0.8) for y in ys.tolist()]
+    alike = [(x, y) for x in everyone for y in everyone[x + 1 :] if 10 * len(np.intersect1d(grams[x], grams[y])) >= 8 * len(np.union1d(grams[x], grams[y]))]
+    assert len(alike) == 1 and set(alike) <= set(found) and len(found) < 5
+
+
 def test_storage(spark):
     table = spark.createDataFrame([("a", 1), ("b", 2)], "id string, v int")
     new = spark.createDataFrame([("b", 3, 1), ("b", 4, 2), ("c", 5, 1)], "id string, v int, seq int")
