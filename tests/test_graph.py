@@ -97,6 +97,17 @@ def test_communities(spark):
     assert weights["center"] == weights["strong"]
 
 
+def test_communities_by_shuffles_and_with_decimal_weights_are_the_same(spark, monkeypatch):
+    rng = random.Random(3)
+    names = [f"n{i}" for i in range(24)]
+    links = [(a, b, "CALLS", rng.choice((0.1, 0.3, 1, 2.5))) for a, b in (rng.sample(names[:12], 2) if rng.random() < 0.5 else rng.sample(names[10:], 2) for _ in range(50))]
+    few, most = community.BROADCAST_NODES, community.MOST_IN_UNITS
+    found = parts(spark, names, links)
+    monkeypatch.setattr(community, "BROADCAST_NODES", 0)
+    monkeypatch.setattr(community, "MOST_IN_UNITS", 0)
+    assert few > 0 and most > 0 and parts(spark, names, links) == found and 1 < len(set(found.values())) < 24
+
+
 def test_communities_of_the_whole_graph(spark):
     import __spark_entry__
     from graphloom.plans.projection import Graph
