@@ -455,3 +455,31 @@ def test_large_commits_are_paired_in_blocks(spark, monkeypatch):
     assert len(want) == 23 * 22 // 2 and want[0][:2] == ("p00", "p01")
     monkeypatch.setattr(enrich, "BLOCK", 5)
     assert sorted(map(tuple, enrich.cochange(commits, least=1).collect())) == want
+
+
+def shuffle_files(spark) -> set[str]:
+    """Names of the shuffle files that there are."""
+    files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+    return {name for k in range(files.length()) if (name := files.apply(k).getName()).startswith("shuffle_")}
+
+
+def test_what_is_stored_leaves_no_shuffle_files(spark):
+    before, setting = shuffle_files(spark), spark.conf.get(storage.TIDY_SETTING)
+    found = storage.stored(spark.range(100).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count(), "t-tidy")
+    assert shuffle_files(spark) <= before and found.count() == 7
+    assert spark.conf.get(storage.TIDY_SETTING) == setting
+
+
+def test_walk_from_few_looks_at_their_edges_only(spark, monkeypatch):
+    rng = random.Random(12)
+    names = [f"n{k}" for k in range(40)]
+    nodes, edges = graph(spark, names, [(rng.choice(names), rng.choice([*names, "gone"]), "CALLS", 1) for _ in range(70)])
+    nodes, edges = storage.stored(nodes, "t-n"), storage.stored(edges, "t-e")
+    seeds = spark.createDataFrame([(n,) for n in names[:4]] + [("nowhere",), (None,)], "seed string")
+    for direction, cap in (("both", None), ("in", None), ("out", 1)):
+        monkeypatch.setattr(traverse, "NEAR_ROWS", 1_000_000)
+        since = storage.mark()
+        few = sorted(map(tuple, traverse.within(nodes, edges, seeds, 3, direction, cap).collect()))
+        assert not any("/ends-" in path for path in storage._MADE[since:])
+        monkeypatch.setattr(traverse, "NEAR_ROWS", 0)
+        assert few == sorted(map(tuple, traverse.within(nodes, edges, seeds, 3, direction, cap).collect())) and few
