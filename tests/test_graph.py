@@ -483,3 +483,18 @@ def test_walk_from_few_looks_at_their_edges_only(spark, monkeypatch):
         assert not any("/ends-" in path for path in storage._MADE[since:])
         monkeypatch.setattr(traverse, "NEAR_ROWS", 0)
         assert few == sorted(map(tuple, traverse.within(nodes, edges, seeds, 3, direction, cap).collect())) and few
+
+
+def test_blast_radius_blocks_are_of_seeds_that_reach_the_same(spark, monkeypatch):
+    names = ["a-hub", "b-hub", *(f"{c}-u{i}" for c in "ab" for i in range(20)), *(f"f{i:04}" for i in range(2048))]  # every other function is of the other hub
+    links = [*((f"{c}-u{i}", f"{c}-hub", "IMPORTS", 1) for c in "ab" for i in range(20)), *((f"{'ab'[i % 2]}-hub", f"f{i:04}", "EXPORTS", 1) for i in range(2048))]
+    nodes, edges = graph(spark, names, links)
+    nodes, edges = storage.stored(nodes, "t-n"), storage.stored(edges, "t-e")
+    seeds = nodes.select(F.col("id").alias("seed"))
+    _, masks, _, _ = traverse.reached_masks(nodes, edges, seeds)
+    assert masks.count() - nodes.count() <= 3 * 42  # with all blocks at both hubs, 5 * 42
+    few = sorted(map(tuple, traverse.blast_radius(nodes, edges, seeds).collect()))
+    monkeypatch.setattr(traverse, "BROADCAST_EDGES", 0)
+    monkeypatch.setattr(traverse, "TOGETHER", 2)
+    assert few == sorted(map(tuple, traverse.blast_radius(nodes, edges, seeds).collect()))
+    assert spark.conf.get(traverse.DEALT_SETTING) == "true"
